@@ -1,11 +1,45 @@
-"""Corpus pipeline: quality classifier, quality rules, near-duplicate removal, packing."""
+"""Corpus pipeline: quality classifier, quality rules, near-duplicate removal, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept.  `run` writes each
+stage's rows to the shared folder and reads them again, so a stage never reaches back further than that.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from seriesloom.llm import packing, quality_rules, rule_ensemble, simhash
+from seriesloom.llm.shared import cut
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble, fitted to the labels, scores at 0.5 or more."""
+    return rule_ensemble.accept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and lie within their language's and source's fences."""
+    return quality_rules.accept(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near-duplicates."""
+    return simhash.representatives(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces, packed into training sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("quality classifier", quality_classifier), ("quality rules", rules), ("SimHash near-dedup", near_duplicates), ("best-fit packing", pack)]
+
+#: SQL expresses neither the classifier nor the fingerprints; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lexicon, packing, sharding, simhash, token_counts, warc
+from . import digest, lexicon, licenses, packing, quality_rules, rule_ensemble, sharding, simhash, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,22 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_report(table(spark, sf_dir, "documents"))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.edited_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -45,8 +61,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_sharding": op4_sharding,
         "op5_warc": op5_warc,
         "op6_bpe": op6_bpe,
+        "op7_quality_classifier": op7_quality_classifier,
+        "op8_license_scan": op8_license_scan,
+        "op9_quality_rules": op9_quality_rules,
+        "op10_fingerprints": op10_fingerprints,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_quality_rules": quality_rules.oracle_sql()}
