@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,18 +77,27 @@ def two_classes(df: DataFrame, keys: list[str], label: str) -> DataFrame:
     return df.groupBy(*keys).agg((F.countDistinct(label) >= 2).alias("has_two_classes"))
 
 
+PAIRS_A_PASS = 30
+
+
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, r, n) for each pair of columns, over rows where both are known, from one pass.
+    """(a, b, r, n) for each pair of columns, over rows where both are known.
 
-    A constant column has a NULL correlation.
+    A constant column has a NULL correlation.  A pass takes PAIRS_A_PASS pairs, so that its code stays small
+    enough to be compiled; with many columns `df` should be a written table.
     """
-    cells = []
-    for i, a in enumerate(columns):
-        for b in columns[i + 1 :]:
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    parts = []
+    for at in range(0, len(pairs), PAIRS_A_PASS):
+        cells = []
+        for a, b in pairs[at : at + PAIRS_A_PASS]:
             x, y = (F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(c).cast("double")) for c in (a, b))
             r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
             cells.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r"), F.count(x).alias("n")))
-    return df.agg(F.array(*cells).alias("p")).select(F.inline("p"))
+        parts.append(df.agg(F.array(*cells).alias("p")).select(F.inline("p")))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "a string, b string, r double, n long")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def prune(df: DataFrame, columns: list[str], threshold: float = 0.95) -> list[str]:

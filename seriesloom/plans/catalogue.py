@@ -1,6 +1,6 @@
 """All queries and their SQL."""
 
-from . import checks, series  # noqa: F401
+from . import checks, models, series  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
