@@ -392,3 +392,50 @@ def affine_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = b.withColumn("_first", first)
     maps = {"e": (F.when(F.col("_first"), 0.0).otherwise(11 / 13), F.when(F.col("_first"), F.col("close")).otherwise(F.col("close") * 2 / 13))}
     return scan.affine_scan(b, KEYS, TS, maps, F.floor(F.unix_date("date") / 50)).select("series_id", "date", F.round("e", 4).alias("ema_12"))
+
+
+# -- scalar functions ------------------------------------------------------------------------------
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: CAST(x AS DOUBLE)) AS l FROM embeddings), m AS (SELECT vec_id, list_transform(l, lambda x: exp(x - list_max(l))) AS p FROM v)
+SELECT vec_id, round(p[1] / list_sum(p), 6) AS p0, round(p[2] / list_sum(p), 6) AS p1, round(p[4] / list_sum(p), 6) AS p3 FROM m""")
+def softmax_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Softmax over the first four entries of each vector."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("l"))
+    return e.select("vec_id", scalar.softmax("l").alias("p")).select("vec_id", *[F.round(F.col("p")[i], 6).alias(f"p{i}") for i in (0, 1, 3)])
+
+
+@query("""SELECT l_orderkey, l_linenumber, round((l_discount + l_tax) / 2, 6) AS mean_rate, greatest(l_discount, l_tax) AS max_rate, round(100 * l_tax / nullif(l_discount, 0), 4) AS tax_pct_of_discount,
+    round(l_tax * sqrt(365) * 100, 4) AS annualised_tax, round(sin(2 * pi() * l_discount), 6) AS phase_sin, round(cos(2 * pi() * l_discount), 6) AS phase_cos FROM lineitem""")
+def row_wise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means and maxima over columns, percentages, annualised and cyclic values."""
+    sin, cos = scalar.cyclic("l_discount")
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.round(scalar.mean_of(["l_discount", "l_tax"]), 6).alias("mean_rate"), scalar.max_of(["l_discount", "l_tax"]).alias("max_rate"), F.round(scalar.percent_of("l_tax", "l_discount"), 4).alias("tax_pct_of_discount"),
+        F.round(scalar.annualised("l_tax"), 4).alias("annualised_tax"), F.round(sin, 6).alias("phase_sin"), F.round(cos, 6).alias("phase_cos"),
+    )
+
+
+@query("""SELECT event_id, coalesce(CAST(props->>'$.k' AS BIGINT), -1) AS k, date_trunc('hour', ts) AS hour, CAST(ts AS DATE) + 30 AS due FROM events""")
+def json_and_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field of a JSON text as a map entry with a default, truncated times and date arithmetic."""
+    m = F.from_json("props", "map<string,bigint>")
+    return table(spark, sf_dir, "events").select("event_id", scalar.map_get(m, "k", -1).cast("long").alias("k"), F.date_trunc("hour", "ts").alias("hour"), F.date_add("ts", 30).alias("due"))
+
+
+@query(f"""WITH {BARS}, f AS (SELECT series_id, date, close, lag(close) {W} AS naive, {roll('close', 7, 'avg')} AS smooth, {roll('close', 30, 'avg')} AS slow FROM bars)
+SELECT 'naive' AS a, 'smooth' AS b, round(corr(naive, smooth), 6) AS r, count(smooth) AS n FROM f UNION ALL SELECT 'naive', 'slow', round(corr(naive, slow), 6), count(slow) FROM f UNION ALL SELECT 'smooth', 'slow', round(corr(smooth, slow), 6), count(slow) FROM f""")
+def model_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlations of three forecasts' outputs over rows where both are known."""
+    from ..operators import splits
+
+    w = clean.by(KEYS, TS)
+    f = bars(spark, sf_dir).select(windows.lag("close", 1, w).alias("naive"), windows.rolling("close", 7, w, "mean").alias("smooth"), windows.rolling("close", 30, w, "mean").alias("slow"))
+    return rounded(splits.correlations(f, ["naive", "smooth", "slow"]), ["r"])
+
+
+@query(f"WITH {BARS} SELECT 'bands' AS name, count(*) AS n FROM bars UNION ALL SELECT 'history', count(*) FROM daily")
+def forecast_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forecast tables written side by side and counted where they were put."""
+    path = shared_path(spark, "run")
+    places = sources.write_forecast({"bands": bars(spark, sf_dir), "history": raw_daily(spark, sf_dir)}, path)
+    counts = [spark.read.parquet(p).agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n, p in places.items()]
+    return counts[0].unionByName(counts[1])
