@@ -85,7 +85,7 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in data["added_tokens"] if t["special"]}
         self._special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         size = max([*self.vocab.values(), *self.special.values()]) + 1
-        self.tokens = [""] * size
+        self.tokens = np.full(size, "", dtype=object)
         for token, i in [*self.vocab.items(), *self.special.items()]:
             self.tokens[i] = token
         self.pad = size
@@ -243,21 +243,14 @@ class WordBpe:
 
     # -- texts ---------------------------------------------------------------------------------
     def encode_batch(self, texts: list[str | None], first: Callable[[list[str]], dict[str, bytes]] | None = None) -> list[bytes]:
-        """Ids of each text. `first` may answer for some words before the memo and the merges do."""
+        """Ids of each text. Of the words that the memo lacks, `first` may answer for some; the others are merged."""
         split = [words_of(t) for t in texts]
         flat = list(chain.from_iterable(split))
-        found = first(list(set(flat))) if first else {}
-        if found:
-            got = list(map(found.get, flat))
-            asked = [i for i, x in enumerate(got) if x is None]
-            rest, unknown = self.cache.find([flat[i] for i in asked])
-            for i, x in zip(asked, rest, strict=True):
-                got[i] = x
-            unknown = [asked[i] for i in unknown]
-        else:
-            got, unknown = self.cache.find(flat)
+        got, unknown = self.cache.find(flat)
         if unknown:
-            fresh = self.encode_words({flat[i] for i in unknown})
+            asked = {flat[i] for i in unknown}
+            fresh = first(list(asked)) if first else {}
+            fresh |= self.encode_words(asked.difference(fresh))
             for i in unknown:
                 got[i] = fresh[flat[i]]
             self.cache.add(fresh)
@@ -270,7 +263,7 @@ class WordBpe:
 
     def decode(self, ids: bytes) -> str:
         """The library's decode with special tokens kept: without a decoder in the file, tokens joined by spaces."""
-        return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+        return " ".join(self.tokens[np.frombuffer(ids, dtype="<u4")].tolist())
 
 
 def _byte_chars() -> list[str]:

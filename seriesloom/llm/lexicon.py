@@ -4,7 +4,7 @@ Frequent words are compiled into a minimal acyclic automaton (shared prefixes an
 carries how many words its smaller siblings accept, so the sum along a word's path is the word's number,
 which points at its ids.  The automaton is one file: written to the shared folder, sent to the executors as a
 Spark file and memory-mapped by their workers, who share its pages.  Words it doesn't accept are merged
-exactly.
+exactly.  A worker asks the automaton, or merges, once for each word; a bounded memo holds the answers.
 """
 
 from __future__ import annotations
