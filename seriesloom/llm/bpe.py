@@ -11,6 +11,7 @@ import heapq
 import json
 import re
 from collections.abc import Callable, Iterable
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -72,15 +73,13 @@ class WordBpe:
     `cache_words` bounds the memo of encoded words, and half of it that of their pieces.
     """
 
-    def __init__(self, path: str, cache_words: int = 500_000):
-        from tokenizers import Tokenizer
-
+    def __init__(self, path: str, cache_words: int = 300_000):
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
         model = data["model"]
         if model["type"] != "BPE" or not model.get("end_of_word_suffix"):
             raise ValueError("a BPE vocabulary with word ends is needed")
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         self.vocab: dict[str, int] = dict(model["vocab"])
         self.special = {t["content"]: t["id"] for t in data["added_tokens"] if t["special"]}
         self._special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
@@ -101,12 +100,23 @@ class WordBpe:
         order = np.argsort(keys)
         self._keys, self._ranks = keys[order], order.astype(np.int64)
         self._made = np.array([self.vocab[a + b] for a, b in pairs], dtype=np.int64)
-        self._rank_of = dict(zip(keys.tolist(), range(len(pairs)), strict=True))
         self._first_ranks = np.full(512 * 512, _NO_RANK, dtype=np.int64)
         early = (left < 512) & (right < 512)
         self._first_ranks[left[early] * 512 + right[early]] = np.flatnonzero(early)
         self.cache, self.piece_cache = Memo(cache_words), Memo(cache_words // 2)
 
+    @cached_property
+    def library(self):
+        """The library's tokenizer, for words beyond the plain range; opened when the first one comes."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    @cached_property
+    def _rank_of(self) -> dict[int, int]:
+        """Rank of each pair, for very long words."""
+        return dict(zip(self._keys.tolist(), self._ranks.tolist(), strict=True))
+
     # -- words ---------------------------------------------------------------------------------
     def pieces(self, word: str) -> list[bytes | int]:
         """Pre-tokens of one space-delimited word as bytes; special tokens as their id."""

@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _fallback: dict[str, str] = {}
 _shipped: set[str] = set()
@@ -55,8 +56,17 @@ def discard(*tables: DataFrame) -> None:
         filesystem.delete_dir(path)
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the workers, unless they can import it already."""
+    """Send this package to the workers, unless they can import it already.
+
+    Rows are whole texts, so Arrow batches of Spark's default size take much memory in the JVM and in Python;
+    a session that still has the default gets smaller ones.
+    """
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
     roots = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(":")]
     app = spark.sparkContext.applicationId
     if app in _shipped or PACKAGE_ROOT in map(os.path.abspath, filter(None, roots)):
@@ -82,7 +92,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 6_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Cut an Arrow batch so that each piece holds about `max_bytes` of `column`; one value may exceed it."""
     values = batch.column(column)
     start, held = 0, 0
@@ -104,3 +114,16 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return name
 
 
+
+
+def least_hashed(df: DataFrame, columns: list[str], rows: int) -> DataFrame:
+    """The `rows` rows with the least hash of `columns`: a repeatable sample of bounded size.
+
+    A bound on the hash first thins the table to about four times as many, so that what is sorted doesn't grow
+    with it.
+    """
+    h = F.xxhash64(*columns)
+    n = df.count()
+    if n > 4 * rows:
+        df = df.where(h < -(2**63) + (2**64 * 4 * rows) // n)
+    return df.orderBy(h, *columns).limit(rows)
