@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import cut, free_name, ship, slices
+from .shared import cut, free_name, least_hashed, ship, slices
 
 STATISTICS = [
     "log_words", "word_length", "distinct_share", "top_word_share", "repeat_share", "repeat_line_share", "words_per_line", "capital_share",
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, trees: in
 
     ship(docs.sparkSession)
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("quality").cast("double").alias("label"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample_rows)
+    sample = least_hashed(known, ["doc_id", "label"], sample_rows)
     joined = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")  # at most sample_rows ids
     rows = cut(joined.select("label", statistics_column("text").alias("held")).repartition(4), "training")
     n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).collect()[0]

@@ -126,7 +126,7 @@ def links(distinct: DataFrame, column: str, radius: int = 4, tile_rows: int = 32
     salts = F.array(*[F.lit(-(-counts.get(p, 0) // tile_rows)) for p in range(65)])
     placed = tiles.withColumn("s", F.pmod(F.xxhash64("f"), F.greatest(F.get(salts, F.col("p")), F.lit(1))).cast("int"))
     met = placed.withColumn("q", F.explode(F.sequence(F.greatest(F.col("p") - radius, F.lit(0)), F.least(F.col("p") + radius, F.lit(64)))))
-    met = met.withColumn("t", F.explode(F.sequence(F.lit(0), F.get(salts, F.col("q")) - 1, F.lit(1)))) if max(counts.values(), default=0) > tile_rows else met.withColumn("t", F.lit(0))
+    met = met.withColumn("t", F.explode(F.sequence(F.lit(0), F.greatest(F.get(salts, F.col("q")), F.lit(1)) - 1))) if max(counts.values(), default=0) > tile_rows else met.withColumn("t", F.lit(0))
     met = met.where(F.get(salts, F.col("q")) > 0)
     first = (F.col("p") < F.col("q")) | ((F.col("p") == F.col("q")) & (F.col("s") <= F.col("t")))
     pair = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
