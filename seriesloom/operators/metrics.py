@@ -113,17 +113,11 @@ def threshold_scores(df: DataFrame, keys: list[str], label: str, score: str, thr
     grid = thresholds or threshold_grid()
     reached = F.size(F.filter(F.array(*map(F.lit, grid)), lambda t: F.col(score) >= t))
     counts = df.groupBy(*keys, reached.alias("k")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("m"))
-    cells = [
-        F.struct(
-            F.lit(t).alias("threshold"),
-            F.sum(F.when(F.col("k") > i, F.col("p")).otherwise(0)).alias("tp"),
-            F.sum(F.when(F.col("k") > i, F.col("m")).otherwise(0)).alias("fp"),
-            F.sum(F.when(F.col("k") <= i, F.col("p")).otherwise(0)).alias("fn"),
-            F.sum(F.when(F.col("k") <= i, F.col("m")).otherwise(0)).alias("tn"),
-        )
-        for i, t in enumerate(grid)
-    ]
-    return binary_scores(counts.groupBy(*keys).agg(F.array(*cells).alias("c")).select(*keys, F.inline("c")))
+    each = counts.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))))  # thresholds squared, at most, for each key
+    above = F.col("k") > F.col("i")
+    total = lambda hit, c: F.sum(F.when(hit, F.col(c)).otherwise(0)).alias
+    sums = each.groupBy(*keys, "i").agg(total(above, "p")("tp"), total(above, "m")("fp"), total(~above, "p")("fn"), total(~above, "m")("tn"))
+    return binary_scores(sums.withColumn("threshold", F.get(F.array(*map(F.lit, grid)), F.col("i"))).drop("i"))
 
 
 def best_threshold(df: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
