@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import packing, quality_rules, rule_ensemble, simhash
+from seriesloom.llm import near_copies, packing, quality_rules, rule_ensemble
 from seriesloom.llm.shared import cut
 
 
@@ -23,8 +23,11 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
-    return simhash.representatives(docs)
+    """The document with the smallest id of each group of near-duplicates: five-word Jaccard of 0.8 or more.
+
+    The op2 query's fingerprints (four words, 4 bits) miss most of these, so candidates come from min-hash bands.
+    """
+    return near_copies.representatives(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
