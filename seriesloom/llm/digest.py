@@ -64,8 +64,34 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(tail[: n - width + 1], head[width - 1 : n])
 
 
+def _recurring(data: bytes, rank: np.ndarray, points: np.ndarray, least: int, window: int) -> np.ndarray:
+    """Places under `least` points whose windows recur within a window's length and reach it together.
+
+    Where a text repeats a short unit its windows tie, so the points of one content lie on many places.
+    """
+    low = np.flatnonzero((points > 0) & (points < least))
+    same = (np.diff(low) < window) & (np.diff(rank[low]) == 0)
+    low = low[np.append(same, False) | np.append(False, same)] if len(low) else low
+    chains: dict[bytes, list[int]] = {}
+    out: list[int] = []
+    reached = lambda c: len(c) > 1 and points[c].sum() >= least
+    for p in low.tolist():
+        content = data[p : p + window]
+        chain = chains.get(content)
+        if chain and p - chain[-1] < window:
+            chain.append(p)
+            continue
+        if chain and reached(chain):
+            out.append(chain[0])
+        chains[content] = [p]
+    return np.array(out + [c[0] for c in chains.values() if reached(c)], dtype=np.int64)
+
+
 def features(text: str) -> list[int]:
-    """Hashes of the selected windows in text order, each once. A text within one window is one feature."""
+    """Hashes of the selected windows in text order, each once. A text within one window is one feature.
+
+    If no place has enough points those with the most are taken: a text that isn't empty has a feature.
+    """
     data = text.encode("utf-8", "surrogatepass")
     window, least = (SHORT_WINDOW, SHORT_POINTS) if len(text) < SHORT else (WINDOW, POINTS)
     if len(data) <= window:
@@ -73,7 +99,10 @@ def features(text: str) -> list[int]:
     rank = concentration(np.frombuffer(data, dtype=np.uint8), window)
     best = sliding_least((rank << 32) | np.arange(len(rank)), window) & 0xFFFFFFFF
     points = np.bincount(best)
-    places = np.flatnonzero(points >= min(least, len(best)))
+    least = min(least, len(best))
+    places = np.union1d(np.flatnonzero(points >= least), _recurring(data, rank, points, least, window))
+    if not len(places):
+        places = np.flatnonzero(points == points.max())
     digest = xxhash.xxh3_64_intdigest
     return list(dict.fromkeys([digest(data[p : p + window]) for p in places.tolist()]))
 

@@ -64,3 +64,15 @@ def test_column_functions(spark):
     df = spark.createDataFrame([("some text that is long enough", "other"), (None, "")], "a string, b string")
     got = df.select(d.similarity(d.fingerprint("a"), d.fingerprint("a")).alias("s"), d.similarity(d.fingerprint("a"), d.fingerprint("b")).alias("o")).collect()
     assert [r.s for r in got] == [1, 1] and got[0].o < 0.5
+
+
+def test_periodic_texts_have_features_of_their_own():
+    rnd = random.Random(4)
+    other = " ".join("".join(rnd.choice("bcdefgij") for _ in range(6)) for _ in range(300))
+    texts = ["a" * 2000, "ha" * 1000, "lorem " * 300, "spam ham " * 300, "0123456789" * 200, "-" * 300]
+    prints = [d.Fingerprint.of(t) for t in texts]
+    assert all(str(p) for p in prints)
+    for i, p in enumerate(prints):
+        assert d.likeness(p, p) == 1 and d.likeness(p, d.Fingerprint.of("")) == 0
+        assert all(d.likeness(p, q) < 0.2 for q in prints[:i])
+        assert set(d.features(texts[i])) & set(d.features(d.edited(texts[i], other)))
