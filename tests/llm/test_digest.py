@@ -76,3 +76,12 @@ def test_periodic_texts_have_features_of_their_own():
         assert d.likeness(p, p) == 1 and d.likeness(p, d.Fingerprint.of("")) == 0
         assert all(d.likeness(p, q) < 0.2 for q in prints[:i])
         assert set(d.features(texts[i])) & set(d.features(d.edited(texts[i], other)))
+
+
+def test_near_copies_on_both_sides_of_the_length_limits():
+    rnd = random.Random(5)
+    text = " ".join("".join(rnd.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(100))
+    for n, m in ((303, 213), (256, 255), (300, 250), (520, 500), (512, 511), (560, 250)):
+        a, b = d.Fingerprint.of(text[:n]), d.Fingerprint.of(text[:m])
+        assert d.likeness(a, b) == d.likeness(d.Fingerprint.parse(str(a)), d.Fingerprint.parse(str(b))) > 0.3
+        assert d.likeness(a, d.Fingerprint.of(text[::-1][:m])) < 0.1
