@@ -23,7 +23,7 @@ from .shared import least_hashed, ship, slices
 
 # Customary wording of public license notices; {v} stands for a version.
 TEMPLATES = {
-    "AGPL": ["licensed under the GNU Affero General Public License version {v}", "SPDX-License-Identifier: AGPL-{v}-or-later"],
+    "AGPL": ["licensed under the GNU Affero General Public License version {v}", "SPDX-License-Identifier: AGPL-{v}-or-later", "redistribute it and/or modify it under the terms of the GNU Affero General Public License"],
     "Apache": ["licensed under the Apache License, Version {v}", "you may not use this file except in compliance with the License", "SPDX-License-Identifier: Apache-{v}", "released under the Apache License {v}"],
     "BSD": ["licensed under the BSD {v}-Clause License", "released under the BSD License", "redistribution and use in source and binary forms, with or without modification, are permitted", "SPDX-License-Identifier: BSD-{v}-Clause"],
     "CC-BY": ["licensed under CC BY {v}", "licensed under a Creative Commons Attribution {v} International License", "SPDX-License-Identifier: CC-BY-{v}"],
@@ -31,7 +31,7 @@ TEMPLATES = {
     "CC-BY-SA": ["licensed under CC BY-SA {v}", "licensed under a Creative Commons Attribution-ShareAlike {v} International License", "SPDX-License-Identifier: CC-BY-SA-{v}"],
     "CC0": ["dedicated to the public domain under CC0 {v}", "SPDX-License-Identifier: CC0-{v}"],
     "GPL": ["licensed under the GNU General Public License, version {v}", "redistribute it and/or modify it under the terms of the GNU General Public License", "SPDX-License-Identifier: GPL-{v}-only", "released under the GPL version {v}"],
-    "LGPL": ["licensed under the GNU Lesser General Public License, version {v}", "SPDX-License-Identifier: LGPL-{v}-or-later"],
+    "LGPL": ["licensed under the GNU Lesser General Public License, version {v}", "SPDX-License-Identifier: LGPL-{v}-or-later", "redistribute it and/or modify it under the terms of the GNU Lesser General Public License"],
     "MIT": ["licensed under the MIT License", "released under the MIT License", "permission is hereby granted, free of charge, to any person obtaining a copy of this software", "SPDX-License-Identifier: MIT"],
     "MPL": ["subject to the terms of the Mozilla Public License, v. {v}", "licensed under the Mozilla Public License {v}", "SPDX-License-Identifier: MPL-{v}"],
 }
@@ -163,20 +163,58 @@ SPANS = T.ArrayType(
 )
 
 
+_PAIRS = [(f, frozenset(zip(t, t[1:], strict=False))) for f, wordings in TEMPLATES.items() for t in (tokens(w.replace("{v}", "0")) for w in wordings)]
+_KNOWN = frozenset().union(*(p for _, p in _PAIRS))
+_REACH = max(len(tokens(w.replace("{v}", "0"))) for wordings in TEMPLATES.values() for w in wordings)
+
+
+def wrapped(lines: list[list[str]]) -> list[tuple[int, int]]:
+    """Ranges (first, last) of lines that hold most of a template only together; a line without words ends a range.
+
+    A range takes in as many words after its first line as the longest template has.
+    """
+    known = [_KNOWN.intersection(zip(x, x[1:], strict=False)) for x in lines]
+    out = []
+    for i, line in enumerate(lines):
+        if not line:
+            continue
+        held, after, j, alone = set(known[i]), 0, i, [known[i]]
+        while j + 1 < len(lines) and lines[j + 1] and after < _REACH:
+            j += 1
+            after += len(lines[j])
+            held |= known[j]
+            held |= _KNOWN.intersection([(lines[j - 1][-1], lines[j][0])])
+            alone.append(known[j])
+            if any(len(p & held) >= CONFIRM * len(p) and len(p & held) > max(len(p & k) for k in alone) for _, p in _PAIRS):
+                out.append((i, j))
+    return out
+
+
 def scan_text(text: str | None, model: LicenseModel) -> list[dict]:
-    """Predicted paragraphs (lines, numbered from 0) of one whole text."""
+    """Predicted paragraphs of one whole text: lines, or notices wrapped over lines; numbered by first line from 0.
+
+    Of paragraphs that lie within each other, or overlap and are of one family, the confirmed one most like a
+    template stays, on ties the one of fewest lines.
+    """
     if not text or model.anchors.isdisjoint(_TOKEN.findall(text.lower())):
         return []
-    out = []
-    for k, line in enumerate(text.split("\n")):
-        words = tokens(line)
+    lines = [tokens(line) for line in text.split("\n")]
+    found = []
+    for i, j in [(k, k) for k in range(len(lines))] + wrapped(lines):
+        words = [w for line in lines[i : j + 1] for w in line]
         if model.anchors.isdisjoint(words):
             continue
         family, probability = model.classify(words)
         if family != UNKNOWN:
             like = likeness(family, words)
-            out.append({"paragraph": k, "family": family, "probability": probability, "likeness": like, "confirmed": like >= CONFIRM})
-    return out
+            if i == j or like >= CONFIRM:
+                found.append((i, j, {"paragraph": i, "family": family, "probability": probability, "likeness": like, "confirmed": like >= CONFIRM}))
+    kept: list[tuple[int, int, dict]] = []
+    for i, j, row in sorted(found, key=lambda x: (-x[2]["likeness"] if x[2]["confirmed"] else 1, x[1] - x[0], x[0])):
+        inside = lambda a, b: a <= i and j <= b or i <= a and b <= j
+        if not any(inside(a, b) or (a <= j and i <= b and r["family"] == row["family"]) for a, b, r in kept):
+            kept.append((i, j, row))
+    return [row for _, _, row in sorted(kept, key=lambda x: x[:2])]
 
 
 def scan(docs: DataFrame, model: LicenseModel, text: str = "text", name: str = "licenses") -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from seriesloom.llm.licenses import UNKNOWN, fit, license_report, likeness, notices, scan_text, tokens
+from seriesloom.llm.licenses import UNKNOWN, fit, license_report, likeness, notices, scan_text, tokens, wrapped
 
 FILLER = "der mit und von nicht the of and see a license of trust apache tribe public version".split()
 
@@ -42,3 +42,19 @@ def test_planted_lines(spark, model):
     assert {r.doc_id: r.families for r in license_report(docs).collect()} == want
     assert scan_text("a\n\nReleased under the MIT License.", model)[0]["paragraph"] == 2
     assert license_report(docs.limit(0)).count() == 0
+
+
+HEADER = "This program is free software: you can {}redistribute it and/or modify\nit under the terms of the GNU {}General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+
+
+@pytest.mark.parametrize("family, name", [("GPL", ""), ("LGPL", "Lesser "), ("AGPL", "Affero ")])
+def test_wrapped_headers(model, family, name):
+    header = HEADER.format("", name)
+    narrow = header.replace("\n", " ").replace(" the GNU ", " the GNU\n").replace("modify it", "modify\nit").replace("can redistribute", "can\nredistribute")
+    for text in (header, narrow, "der die und\n" + header + "\nmit von\n\nund", "x\n\n" + header):
+        got = [r for r in scan_text(text, model) if r["confirmed"]]
+        assert [r["family"] for r in got] == [family], text
+    both = scan_text(header + "\nReleased under the MIT License.", model)
+    assert [r["family"] for r in both if r["confirmed"]] == [family, "MIT"]
+    split = [tokens(x) for x in ("can redistribute it and/or modify", "", "it under the terms of the GNU General Public License")]
+    assert wrapped(split) == [] and wrapped([split[0], split[2]]) == [(0, 1)]
