@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import words_of
+from .bpe import lines_of, words_of
 from .shared import slices
 
 FAN_IN = 16
@@ -61,8 +61,9 @@ def frequent_words(docs: DataFrame, text: str, k: int = 32_768, table: int = 262
         counts: Counter = Counter()
         for batch in batches:
             for part in slices(batch, "text"):
-                for t in part.column("text").to_pylist():
-                    counts.update(words_of(t))
+                words, codes, _ = words_of(part.column("text"))
+                counts.update(dict(zip(lines_of(words).split("\n"), np.bincount(codes, minlength=len(words)).tolist(), strict=True)) if len(words) else {})
+                counts.pop("", None)
                 if len(counts) > table:
                     shrink(counts, table // 2)
         context = TaskContext.get()

@@ -10,18 +10,19 @@ exactly.  A worker asks the automaton, or merges, once for each word; a bounded
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import encoder
+from .bpe import NO_LISTS, Ragged, bytes_of, encoder
 from .frequent import frequent_words
-from .shared import new_path, ship, slices, tokenizer_path
+from .shared import cut, new_path, ship, slices, tokenizer_path
 
 
 class _State:
@@ -118,14 +119,12 @@ class Lexicon:
             start = len(head) + at
             setattr(self, name, data[start : start + count * np.dtype(kind).itemsize].view(kind))
 
-    def find(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of those words that the automaton accepts; all words walk at once, a byte each step."""
+    def find(self, words: pa.Array) -> tuple[np.ndarray, Ragged]:
+        """Places of those words that the automaton accepts, and their ids; all words walk at once, a byte each step."""
         if not len(self.keys):
-            return {}
-        coded = [w.encode("utf-8", "surrogatepass") for w in words]
-        size = np.fromiter(map(len, coded), np.int64, len(coded))
-        flat = np.frombuffer(b"".join(coded), dtype=np.uint8)
-        at = np.cumsum(size) - size
+            return np.zeros(0, dtype=np.int64), NO_LISTS
+        flat, ends = bytes_of(words)
+        at, size = ends[:-1], np.diff(ends)
         rows = np.flatnonzero((size > 0) & (size <= self.longest))
         state, number = np.full(len(rows), self.root, dtype=np.int64), np.zeros(len(rows), dtype=np.int64)
         ended_rows, ended_numbers = [], []
@@ -142,10 +141,16 @@ class Lexicon:
             ended_rows.append(rows[accepted])
             ended_numbers.append(number[accepted])
             rows, state, number = rows[~over], state[~over], number[~over]
-        found, numbers = np.concatenate(ended_rows), np.concatenate(ended_numbers)
-        starts, ends = self.places[numbers].tolist(), self.places[numbers + 1].tolist()
-        ids = self.ids
-        return {words[i]: ids[a:b].tobytes() for i, a, b in zip(found.tolist(), starts, ends, strict=True)}
+        if not ended_rows:
+            return np.zeros(0, dtype=np.int64), NO_LISTS
+        return np.concatenate(ended_rows), Ragged(self.ids, self.places).take(np.concatenate(ended_numbers))
+
+    def complete(self, words: pa.Array, missing: Callable[[pa.Array], Ragged]) -> Ragged:
+        """Ids of each word: those that the automaton doesn't accept come from `missing`."""
+        found, known = self.find(words)
+        left = np.setdiff1d(np.arange(len(words)), found)
+        both = known.then(missing(words.take(pa.array(left))))
+        return both.take(np.argsort(np.concatenate([found, left])))
 
 
 _lexicons: dict[str, Lexicon] = {}
@@ -154,7 +159,9 @@ _lexicons: dict[str, Lexicon] = {}
 def publish(docs: DataFrame, text: str, path: str, words: int) -> str:
     """Compiles the corpus's frequent words and sends the file to all executors; returns its name."""
     spark = docs.sparkSession
-    block = compile_lexicon(encoder(path).encode_words(frequent_words(docs, text, words)))
+    frequent = list(frequent_words(docs, text, words))
+    coded = encoder(path).encode_words(pa.array(frequent, pa.string()))
+    block = compile_lexicon({w: coded.ids[a:b].tobytes() for w, a, b in zip(frequent, coded.ends, coded.ends[1:])})
     place = new_path(spark, "lexicon")
     filesystem, base = pafs.FileSystem.from_uri(place)
     filesystem.create_dir(base.rpartition("/")[0], recursive=True)
@@ -178,10 +185,10 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, words:
         if file not in _lexicons:
             _lexicons.clear()
             _lexicons[file] = Lexicon(SparkFiles.get(file))
-        find, bpe, out = _lexicons[file].find, encoder(path), []
+        lexicon, bpe, out = _lexicons[file], encoder(path), NO_LISTS
         for part in slices(pa.record_batch([texts], names=["text"]), "text"):
-            out += bpe.encode_batch(part.column("text").to_pylist(), find)
-        return pa.array(out, pa.binary())
+            out = out.then(bpe.encode_batch(part.column("text"), lambda words: lexicon.complete(words, bpe.encode_words)))
+        return pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((out.ends * 4).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(out.ids, dtype="<u4"))])
 
     return docs.withColumn(name, run(F.col(text).cast("string")))
 
@@ -193,8 +200,9 @@ def decode(coded: DataFrame, ids: str = "ids", path: str | None = None, name: st
 
     @F.arrow_udf("string")
     def run(held: pa.Array) -> pa.Array:
-        bpe = encoder(path)
-        return pa.array([bpe.decode(x or b"") for x in held.to_pylist()], pa.string())
+        data, ends = bytes_of(pc.fill_null(held, b""))
+        coded = Ragged(data[ends[0] : ends[-1]].view("<u4"), (ends - ends[0]) >> 2)
+        return encoder(path).decode_batch(coded)
 
     return coded.withColumn(name, run(F.col(ids)))
 
@@ -203,9 +211,10 @@ def round_trip(docs: DataFrame) -> DataFrame:
     """The query's columns: digests of ids and of decoded texts, taken from the operators' outputs."""
     coded = encode(docs.select("doc_id", "text")).drop("text")
     both = decode(coded)
-    return both.select(
+    digests = both.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+    return cut(digests, "round-trip")

@@ -8,6 +8,7 @@ sequence is found by descending a segment tree over remaining capacities.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import encoder
-from .shared import cut, ship, slices, tokenizer_path
+from .shared import cut, discard, ship, slices, tokenizer_path
 
 
 class TightestFit:
@@ -72,31 +73,39 @@ def best_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int]]:
     return bins, offsets
 
 
-def pieces(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = 4096, end: int = 1) -> DataFrame:
-    """(doc_id, piece, start, length, ids): each text's ids and the end id, cut into pieces of `capacity`.
+PIECES = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())]
 
-    `ids` are bytes, little-endian unsigned 32-bit.  Null or empty texts give one piece with the end id alone.
+
+def pieces(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = 4096, end: int = 1, ids: bool = True) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, ids): each text's ids and the end id, cut into pieces of `capacity`.
+
+    `ids` are bytes, little-endian unsigned 32-bit; without them only their checksum leaves the worker.  Null or
+    empty texts give one piece with the end id alone.  Rows that repeat an id have their pieces each; a null id
+    stays null.  Other columns are not read; an empty table gives an empty result.
     """
     ship(docs.sparkSession)
     path = path or tokenizer_path()
-    closing = end.to_bytes(4, "little")
-    narrow = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
+    narrow = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    schema = pa.schema(PIECES if ids else PIECES[:-1])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
         for batch in batches:
             for part in slices(batch, "text"):
-                rows = ([], [], [], [], [])
-                for doc, ids in zip(part.column("doc_id").to_pylist(), bpe.encode_batch(part.column("text").to_pylist()), strict=True):
-                    ids += closing
-                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        one = ids[at : at + 4 * capacity]
-                        for column, value in zip(rows, (doc, k, k * capacity, len(one) // 4, one), strict=True):
-                            column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
-
-    return narrow.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(encode, "doc_id long, piece int, start long, length long, ids binary")
+                coded = bpe.encode_batch(part.column("text"))
+                sizes = coded.sizes() + 1
+                count = -(-sizes // capacity)
+                doc = np.repeat(np.arange(len(sizes)), count)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+                length = np.minimum(capacity, sizes[doc] - piece * capacity)
+                closed = np.insert(coded.ids, coded.ends[1:], end).astype("<u4", copy=False)
+                at = np.cumsum(length) - length
+                held = [memoryview(closed[a : a + n]).cast("B") for a, n in zip(at.tolist(), length.tolist(), strict=True)]
+                columns = [part.column("doc_id").take(pa.array(doc)), piece.astype(np.int32), piece * capacity, length, list(map(zlib.crc32, held))]
+                columns += [list(map(bytes, held))] if ids else []
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return narrow.mapInArrow(encode, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if ids else ""))
 
 
 def pack(items: DataFrame, size: str = "length", capacity: int = 4096, group_rows: int = 32_768, key: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
@@ -122,5 +131,7 @@ def pack(items: DataFrame, size: str = "length", capacity: int = 4096, group_row
 
 def pack_documents(docs: DataFrame, capacity: int = 4096) -> DataFrame:
     """The query's columns: pieces with a digest of their ids, packed; ids stay in the task that made them."""
-    narrow = pieces(docs, capacity=capacity).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return pack(cut(narrow, "pieces"), capacity=capacity)
+    items = cut(pieces(docs, capacity=capacity, ids=False), "pieces")
+    packed = cut(pack(items, capacity=capacity), "packed")
+    discard(items)
+    return packed

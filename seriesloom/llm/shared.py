@@ -11,6 +11,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
@@ -40,10 +41,27 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+BATCH_ROWS, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most ROWS rows for the jobs run inside: rows are whole texts, so batches of Spark's
+    default size take much memory in the JVM and in Python. The session's own setting comes back afterwards."""
+    before = spark.conf.get(BATCH_ROWS)
+    if not 0 < int(before) <= ROWS:
+        spark.conf.set(BATCH_ROWS, str(ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: later stages start from files, not from lineage."""
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out
@@ -56,17 +74,8 @@ def discard(*tables: DataFrame) -> None:
         filesystem.delete_dir(path)
 
 
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
 def ship(spark: SparkSession) -> None:
-    """Send this package to the workers, unless they can import it already.
-
-    Rows are whole texts, so Arrow batches of Spark's default size take much memory in the JVM and in Python;
-    a session that still has the default gets smaller ones.
-    """
-    if spark.conf.get(BATCH_ROWS) == "10000":
-        spark.conf.set(BATCH_ROWS, "1000")
+    """Send this package to the workers, unless they can import it already."""
     roots = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(":")]
     app = spark.sparkContext.applicationId
     if app in _shipped or PACKAGE_ROOT in map(os.path.abspath, filter(None, roots)):
@@ -92,7 +101,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut an Arrow batch so that each piece holds about `max_bytes` of `column`; one value may exceed it."""
     values = batch.column(column)
     start, held = 0, 0
@@ -114,16 +123,18 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return name
 
 
-
-
 def least_hashed(df: DataFrame, columns: list[str], rows: int) -> DataFrame:
-    """The `rows` rows with the least hash of `columns`: a repeatable sample of bounded size.
+    """The `rows` rows with the least hash of `columns`, or all if there are fewer: a repeatable sample.
 
     A bound on the hash first thins the table to about four times as many, so that what is sorted doesn't grow
-    with it.
+    with it; where rows repeat their columns, the bound rises until enough rows are below it.
     """
     h = F.xxhash64(*columns)
-    n = df.count()
-    if n > 4 * rows:
-        df = df.where(h < -(2**63) + (2**64 * 4 * rows) // n)
+    wanted, n = 4 * rows, df.count()
+    while wanted < n:
+        held = df.where(h < -(2**63) + (2**64 * wanted) // n)
+        if held.count() >= rows:
+            df = held
+            break
+        wanted *= 16
     return df.orderBy(h, *columns).limit(rows)

@@ -1,57 +1,43 @@
 """Token counts of whole texts by a map-side two-tier lookup.
 
 Tier one is a broadcast table of the corpus's frequent words and their token counts (at most `frequent`
-entries, so its size is bounded).  Tier two is each worker's memo for the other words, filled by exact
+entries, so its size is bounded).  Tier two is each worker's memo of the other words' ids, filled by exact
 byte-pair merges.  Words never leave their task.
 """
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Memo, encoder, words_of
+from .bpe import WordBpe, encoder, words_of
 from .frequent import frequent_words
-from .shared import free_name, ship, slices, tokenizer_path
-
-_misses: dict[str, Memo] = {}
+from .shared import cut, free_name, ship, slices, tokenizer_path
 
 
-def compact(table: dict[str, int]) -> tuple[bytes, bytes]:
+def compact(words: list[str], counts: np.ndarray) -> tuple[bytes, bytes]:
     """A frequent-word table as two byte strings: words by line, counts as unsigned 16-bit."""
-    return "\n".join(table).encode("utf-8", "surrogatepass"), np.array(list(table.values()), dtype="<u2").tobytes()
-
-
-def expand(words: bytes, counts: bytes) -> dict[str, int]:
-    if not counts:
-        return {}
-    return dict(zip(words.decode("utf-8", "surrogatepass").split("\n"), np.frombuffer(counts, dtype="<u2").tolist(), strict=True))
-
-
-def count_texts(texts: list[str | None], frequent: dict[str, int], memo: Memo, path: str) -> list[int]:
-    split = [words_of(t) for t in texts]
-    flat = list(chain.from_iterable(split))
-    got = list(map(frequent.get, flat))
-    missed = [i for i, x in enumerate(got) if x is None]
-    if missed:
-        counts, unknown = memo.find([flat[i] for i in missed])
-        if unknown:
-            fresh = {w: len(ids) // 4 for w, ids in encoder(path).encode_words({flat[missed[i]] for i in unknown}).items()}
-            for i in unknown:
-                counts[i] = fresh[flat[missed[i]]]
-            memo.add(fresh)
-        for i, n in zip(missed, counts, strict=True):
-            got[i] = n
-    out, start = [], 0
-    for words in split:
-        end = start + len(words)
-        out.append(sum(got[start:end]))
-        start = end
-    return out
+    return "\n".join(words).encode(), counts.astype("<u2").tobytes()
+
+
+def expand(words: bytes, counts: bytes) -> tuple[pa.Array, np.ndarray]:
+    held = np.frombuffer(counts, dtype="<u2").astype(np.int64)
+    return pa.array(words.decode().split("\n") if len(held) else [], pa.string()), held
+
+
+def count_texts(texts: pa.Array, frequent: tuple[pa.Array, np.ndarray], bpe: WordBpe) -> np.ndarray:
+    """Token counts of a batch of texts: words of the table `frequent` first, the others through the encoder's memo."""
+    words, codes, ends = words_of(texts)
+    known, sizes = frequent
+    places = pc.fill_null(pc.index_in(words, known), -1).to_numpy()
+    counts = np.append(sizes, 0)[places]
+    missed = np.flatnonzero(places < 0)
+    if len(missed):
+        counts[missed] = bpe.cache.complete(words.take(pa.array(missed)), bpe.encode_words).sizes()
+    return np.diff(np.concatenate([[0], np.cumsum(counts[codes])])[ends])
 
 
 def token_counts(docs: DataFrame, text: str = "text", path: str | None = None, frequent: int = 32_768, name: str = "n_tokens") -> DataFrame:
@@ -63,20 +49,18 @@ def token_counts(docs: DataFrame, text: str = "text", path: str | None = None, f
     """
     ship(docs.sparkSession)
     path = path or tokenizer_path()
-    words = frequent_words(docs, text, frequent)
-    table = {w: n for w, ids in encoder(path).encode_words(words).items() if (n := len(ids) // 4) < 65536}
-    sent = docs.sparkSession.sparkContext.broadcast(compact(table))
-    opened: list[dict[str, int]] = []
+    words = list(frequent_words(docs, text, frequent))
+    counts = encoder(path).encode_words(pa.array(words, pa.string())).sizes()
+    table = compact([w for w, n in zip(words, counts, strict=True) if n < 65536], counts[counts < 65536])
+    sent = docs.sparkSession.sparkContext.broadcast(table)
+    opened: list[tuple[pa.Array, np.ndarray]] = []
 
     @F.arrow_udf("long")
     def count(texts: pa.Array) -> pa.Array:
         if not opened:
             opened.append(expand(*sent.value))
-        memo = _misses.setdefault(path, Memo(600_000))
-        counts: list[int] = []
-        for part in slices(pa.record_batch([texts], names=["text"]), "text"):
-            counts += count_texts(part.column("text").to_pylist(), opened[0], memo, path)
-        return pa.array(counts, pa.int64())
+        parts = slices(pa.record_batch([texts], names=["text"]), "text")
+        return pa.array(np.concatenate([np.zeros(0, np.int64), *[count_texts(p.column("text"), opened[0], encoder(path)) for p in parts]]))
 
     return docs.withColumn(free_name(docs, name), count(F.col(text).cast("string")))
 
@@ -84,4 +68,4 @@ def token_counts(docs: DataFrame, text: str = "text", path: str | None = None, f
 def count_report(docs: DataFrame, limit: int = 2048) -> DataFrame:
     """doc_id, UTF-8 length, token count and whether the count is above `limit`."""
     sized = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
-    return token_counts(sized).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return cut(token_counts(sized).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")), "token-counts")

@@ -54,6 +54,7 @@ def test_documents_keep_every_id(spark):
     got = pack_documents(docs).collect()
     assert sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
     held = defaultdict(list)
+    assert {(str(r.doc_id), r.piece, zlib.crc32(r.ids), len(r.ids) // 4) for r in pieces(docs).collect()} == {(i, k, c, n) for i, k, _, n, c in want}
     for r in got:
         held[r.sequence_id].append((r.offset, r.length))
     for spans in held.values():

@@ -5,8 +5,10 @@ import subprocess
 import sys
 
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
-from seriesloom.llm.shared import PACKAGE_ROOT, cut, discard, free_name, least_hashed, slices
+from seriesloom.llm.shared import BATCH_ROWS, PACKAGE_ROOT, cut, discard, free_name, least_hashed, slices, small_batches
 
 OUTSIDE = """
 import sys
@@ -27,6 +29,25 @@ def test_sample_is_bounded_and_repeats(spark):
     assert least_hashed(df.limit(30), ["k"], 100).count() == 30 and least_hashed(df.limit(0), ["k"], 5).count() == 0
 
 
+@pytest.mark.parametrize("keys", [1, 3, 40])
+def test_sample_of_repeated_keys_is_full(spark, keys):
+    df = spark.range(4000).select((F.col("id") % keys).alias("k"))
+    assert least_hashed(df, ["k"], 100).count() == 100
+    assert least_hashed(df.select(F.lit(None).cast("long").alias("k")), ["k"], 100).count() == 100
+
+
+def test_session_keeps_its_batch_size(spark):
+    before = spark.conf.get(BATCH_ROWS)
+    try:
+        spark.conf.set(BATCH_ROWS, "7777")
+        with small_batches(spark):
+            assert spark.conf.get(BATCH_ROWS) == "1000"
+        cut(spark.range(3), "t")
+        assert spark.conf.get(BATCH_ROWS) == "7777"
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+
+
 def test_slices_cover_all_rows():
     batch = pa.record_batch([pa.array(["a" * 10, None, "b" * 25, "", "c" * 9, "d"])], names=["t"])
     parts = list(slices(batch, "t", 20))
