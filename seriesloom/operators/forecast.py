@@ -211,23 +211,27 @@ def garch_grid(returns: DataFrame, keys: list[str], ts: str, r: str, grid: list[
     """The variance-targeted GARCH(1,1) of largest likelihood on a grid: alpha, beta, persistence, last and
     long-run sigma for each series (Bollerslev, 1986).
 
-    Each candidate's variances are one affine scan; all candidates and series run as one job.
+    All candidates' variances are one affine scan over all series.
     """
-    candidates = F.explode(F.array(*[F.struct(F.lit(a).alias("alpha"), F.lit(b).alias("beta")) for a, b in grid]))
-    w = Window.partitionBy(*keys)
-    centred = returns.where(F.col(r).isNotNull()).withColumn("_e", F.col(r) - F.avg(r).over(w)).withColumn("_v", F.avg(F.col("_e") * F.col("_e")).over(w))
-    centred = centred.withColumn("_last", F.lag("_e").over(w.orderBy(ts)))
-    rows = centred.select(*keys, ts, "_e", "_v", "_last", candidates.alias("c")).select("*", "c.alpha", "c.beta").drop("c")
-    omega = (1 - F.col("alpha") - F.col("beta")) * F.col("_v")
-    a = F.when(F.col("_last").isNull(), 0.0).otherwise(F.col("beta"))
-    b = F.when(F.col("_last").isNull(), F.col("_v")).otherwise(omega + F.col("alpha") * F.col("_last") * F.col("_last"))
-    fitted = affine_scan(rows, [*keys, "alpha", "beta"], ts, {"s2": (a, b)})
-    like = F.sum(-0.5 * (F.ln("s2") + F.col("_e") * F.col("_e") / F.col("s2")))
-    scored = fitted.groupBy(*keys, "alpha", "beta").agg(
-        F.count("*").alias("n"), like.alias("log_likelihood"), F.max_by("s2", ts).alias("_s2"), F.max_by("_e", ts).alias("last_residual"), F.first("_v").alias("_v")
-    )
-    best = scored.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.round("log_likelihood", 6)), "alpha", "beta"))).where("_k = 1")
-    return best.select(*keys, "alpha", "beta", (F.col("alpha") + F.col("beta")).alias("persistence"), "n", "log_likelihood", F.sqrt("_s2").alias("last_sigma"), F.sqrt("_v").alias("long_run_sigma"), "last_residual")
+    known = returns.where(F.col(r).isNotNull()).select(*keys, ts, r)
+    moments = known.groupBy(*keys).agg(F.avg(r).alias("_mean"), F.var_pop(r).alias("_v"))
+    centred = known.join(moments, keys).withColumn("_e", F.col(r) - F.col("_mean"))
+    centred = centred.withColumn("_last", F.lag("_e").over(by(keys, ts))).select(*keys, ts, "_e", "_v", "_last")
+    maps = {f"_s{i}": _variance(F.lit(a), F.lit(b), F.col("_v")) for i, (a, b) in enumerate(grid)}
+    fitted = affine_scan(centred, keys, ts, maps)
+    like = lambda s2: F.sum(-0.5 * (F.ln(s2) + F.col("_e") * F.col("_e") / F.col(s2)))
+    tried = [F.struct(F.lit(a).alias("alpha"), F.lit(b).alias("beta"), like(s).alias("ll"), F.max_by(s, ts).alias("s2")) for s, (a, b) in zip(maps, grid, strict=True)]
+    scored = fitted.groupBy(*keys).agg(F.count("*").alias("n"), F.max_by("_e", ts).alias("last_residual"), F.max("_v").alias("_v"), F.array(*tried).alias("_tried"))
+    ranked = F.transform("_tried", lambda c: F.struct(-F.round(c["ll"], 6), c["alpha"].alias("alpha"), c["beta"].alias("beta"), c["ll"].alias("ll"), c["s2"].alias("s2")))
+    best = scored.withColumn("_best", F.array_min(ranked)).select("*", "_best.*")
+    return best.select(*keys, "alpha", "beta", (F.col("alpha") + F.col("beta")).alias("persistence"), "n", F.col("ll").alias("log_likelihood"), F.sqrt("s2").alias("last_sigma"), F.sqrt("_v").alias("long_run_sigma"), "last_residual")
+
+
+def _variance(alpha: Column, beta: Column, long_run: Column) -> tuple[Column, Column]:
+    """The map of a GARCH variance onto the next one, from `_last`, the residual before; the first is the long-run one."""
+    first = F.col("_last").isNull()
+    shock = (1 - alpha - beta) * long_run + alpha * F.col("_last") * F.col("_last")
+    return F.when(first, 0.0).otherwise(beta), F.when(first, long_run).otherwise(shock)
 
 
 def start_sigma(fit: DataFrame, returns: DataFrame, implied: DataFrame, keys: list[str], ts: str, r: str, dvol: str, window: int = 30, least: int = 60) -> DataFrame:
@@ -244,47 +248,58 @@ def start_sigma(fit: DataFrame, returns: DataFrame, implied: DataFrame, keys: li
     return out.withColumn("start_sigma", F.coalesce(scaled, "last_sigma")).drop("_n")
 
 
-def residual_pool(returns: DataFrame, fit: DataFrame, keys: list[str], ts: str, r: str, most: int = 1000) -> DataFrame:
-    """The last `most` standardised residuals and plain centred returns of each series as arrays."""
-    w = Window.partitionBy(*keys)
-    e = returns.where(F.col(r).isNotNull()).join(fit.select(*keys, "alpha", "beta", "long_run_sigma"), keys)
-    e = e.withColumn("_e", F.col(r) - F.avg(r).over(w)).withColumn("_last", F.lag("_e").over(w.orderBy(ts)))
-    v = F.col("long_run_sigma") * F.col("long_run_sigma")
-    a = F.when(F.col("_last").isNull(), 0.0).otherwise(F.col("beta"))
-    b = F.when(F.col("_last").isNull(), v).otherwise((1 - F.col("alpha") - F.col("beta")) * v + F.col("alpha") * F.col("_last") * F.col("_last"))
-    e = affine_scan(e, keys, ts, {"_s2": (a, b)}).withColumn("_z", F.col("_e") / F.sqrt("_s2"))
-    e = e.withColumn("_k", F.row_number().over(w.orderBy(F.col(ts).desc()))).where(F.col("_k") <= most)
-    return e.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct(ts, "_z", "_e"))), lambda x: F.struct(x["_z"].alias("z"), x["_e"].alias("e"))).alias("pool"))
+def residual_pool(returns: DataFrame, fit: DataFrame, keys: list[str], ts: str, r: str) -> DataFrame:
+    """(keys, place, size, z, e): every standardised residual and centred return of a series, numbered from 0."""
+    known = returns.where(F.col(r).isNotNull()).select(*keys, ts, r)
+    moments = known.groupBy(*keys).agg(F.avg(r).alias("_mean"), F.count("*").alias("size"))
+    e = known.join(moments.join(fit.select(*keys, "alpha", "beta", "long_run_sigma"), keys), keys).withColumn("_e", F.col(r) - F.col("_mean"))
+    w = by(keys, ts)
+    e = e.withColumns({"_last": F.lag("_e").over(w), "place": (F.row_number().over(w) - 1).cast("long")})
+    scanned = affine_scan(e, keys, ts, {"_s2": _variance(F.col("alpha"), F.col("beta"), F.col("long_run_sigma") * F.col("long_run_sigma"))})
+    return scanned.select(*keys, "place", "size", (F.col("_e") / F.sqrt("_s2")).alias("z"), F.col("_e").alias("e"))
 
 
 METHODS = ["fhs", "fhs_dvol", "fhs_cal", "iid", "garch_normal"]
+DRAW_RANGE = 1 << 52
 
 
-def bootstrap_paths(origins: DataFrame, keys: list[str], steps: int, paths: int, seed: int = 7) -> DataFrame:
+def draw(seed: int, keys: list[str], *more: Column) -> Column:
+    """A repeatable whole number from 0 to 2^52 - 1: the leading 13 hex digits of an md5 over seed, keys and more."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], *[c.cast("string") for c in more])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
+
+
+def bootstrap_paths(origins: DataFrame, pool: DataFrame, keys: list[str], steps: int = 30, paths: int = 10_000, seed: int = 7, pool_keys: list[str] | None = None) -> DataFrame:
     """(keys, method, path, step, log_change): filtered historical simulation without drift (Barone-Adesi, 1999).
 
-    `origins` has alpha, beta, long_run_sigma, last_sigma, start_sigma, calibration, pool and method.  A path draws its
-    residuals by a hash of seed, keys, path and step, so a run repeats however rows are partitioned; its
-    variance follows its own recursion, folded within the row.
+    `origins` has keys, alpha, beta, long_run_sigma, last_sigma, start_sigma and calibration; every method runs
+    from each.  A path draws a residual of its pool for each step by `draw`, so a run repeats however rows are
+    partitioned; draws meet the pool, of any size, in a join by place.  The variance follows its own recursion,
+    folded within the row.
     """
-    p = origins.withColumn("path", F.explode(F.sequence(F.lit(1), F.lit(paths))))
+    pool_keys = pool_keys or keys
+    sizes = pool.groupBy(*pool_keys).agg(F.max("size").alias("size"))
+    starts = origins.join(sizes, pool_keys).select(*dict.fromkeys([*keys, *pool_keys]), "size", F.explode(F.sequence(F.lit(1), F.lit(paths))).alias("path"))
+    drawn = starts.repartition(*keys, "path").withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))  # few origins make many paths
+    drawn = drawn.withColumn("place", draw(seed, keys, F.col("path"), F.col("step")) % F.col("size"))
+    unit = lambda salt: (draw(seed, keys, F.col("path"), F.col("step"), F.lit(salt)) + 1) / F.lit(DRAW_RANGE + 1.0)
+    drawn = drawn.select(*dict.fromkeys([*keys, *pool_keys]), "path", "step", "place", (F.sqrt(-2 * F.ln(unit(1))) * F.cos(2 * math.pi * unit(2))).alias("normal"))
+    found = drawn.join(pool.drop("size"), [*pool_keys, "place"])
+    walks = found.groupBy(*keys, "path").agg(F.sort_array(F.collect_list(F.struct("step", "z", "e", "normal"))).alias("_draws"))
+    p = walks.join(origins, keys).withColumn("method", F.explode(F.array(*map(F.lit, METHODS))))
     method = F.col("method")
     sigma = F.when(method == "fhs_dvol", F.col("start_sigma")).when(method == "fhs_cal", F.col("last_sigma") * F.col("calibration")).otherwise(F.col("last_sigma"))
-    v, size = F.col("long_run_sigma") * F.col("long_run_sigma"), F.size("pool")
-    unit = lambda k, salt: (F.pmod(F.xxhash64(F.lit(seed), *keys, "path", k, F.lit(salt)), F.lit(1_000_000_007)) + 1) / F.lit(1_000_000_008.0)
-    drawn = lambda k: F.get(F.col("pool"), F.pmod(F.xxhash64(F.lit(seed), *keys, "path", k), size).cast("int"))
-    normal = lambda k: F.sqrt(-2 * F.ln(unit(k, 1))) * F.cos(2 * math.pi * unit(k, 2))
+    v = F.col("long_run_sigma") * F.col("long_run_sigma")
 
-    def step(s: Column, k: Column) -> Column:
-        z = F.when(method == "garch_normal", normal(k)).otherwise(drawn(k)["z"])
-        e = F.when(method == "iid", drawn(k)["e"]).otherwise(z * F.sqrt(s["v"]))
-        total = s["x"] + e
-        new = (1 - F.col("alpha") - F.col("beta")) * v + F.col("alpha") * e * e + F.col("beta") * s["v"]
-        return F.struct(new.alias("v"), total.alias("x"), F.array_append(s["out"], total).alias("out"))
+    def step(s: Column, d: Column) -> Column:
+        last = F.element_at(s, -1)
+        e = F.when(method == "iid", d["e"]).otherwise(F.when(method == "garch_normal", d["normal"]).otherwise(d["z"]) * F.sqrt(last["v"]))
+        new = (1 - F.col("alpha") - F.col("beta")) * v + F.col("alpha") * e * e + F.col("beta") * last["v"]
+        return F.array_append(s, F.struct(new.alias("v"), (last["x"] + e).alias("x")))
 
-    start = F.struct((sigma * sigma).alias("v"), F.lit(0.0).alias("x"), F.array().cast("array<double>").alias("out"))
-    walk = p.withColumn("_w", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: s["out"]))
-    return walk.select(*keys, "method", "path", F.posexplode("_w").alias("_i", "log_change")).withColumn("step", F.col("_i") + 1).drop("_i")
+    start = F.array(F.struct((sigma * sigma).alias("v"), F.lit(0.0).alias("x")))
+    walk = p.withColumn("_w", F.transform(F.aggregate("_draws", start, step), lambda s: s["x"]))
+    return walk.select(*keys, "method", "path", F.posexplode("_w").alias("step", "log_change")).where("step > 0")
 
 
 def bands(paths: DataFrame, keys: list[str], spot: Column, levels: tuple[float, ...] = (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95)) -> DataFrame:
@@ -303,10 +318,10 @@ def exceedance(paths: DataFrame, keys: list[str], changes: tuple[float, ...] = (
 def sample_paths(paths: DataFrame, keys: list[str], count: int = 24, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """`count` whole paths spread evenly by their last value between two quantiles."""
     last = paths.groupBy(*keys, "method", "path").agg(F.max_by("log_change", "step").alias("_end"))
-    w = Window.partitionBy(*keys, "method").orderBy("_end", "path")
+    w = Window.partitionBy(*keys, "method").orderBy(F.round("_end", 9), "path")
     ranked = last.withColumn("_u", F.percent_rank().over(w))
-    grid = ranked.withColumn("_g", F.round((F.col("_u") - low) / (high - low) * (count - 1)).cast("int")).where(F.col("_g").between(0, count - 1))
+    grid = ranked.withColumn("_g", F.floor((F.col("_u") - low) / (high - low) * (count - 1) + 0.5).cast("int")).where(F.col("_g").between(0, count - 1))
     goal = low + F.col("_g") * (high - low) / (count - 1)
-    near = Window.partitionBy(*keys, "method", "_g").orderBy(F.abs(F.col("_u") - goal), "path")
+    near = Window.partitionBy(*keys, "method", "_g").orderBy(F.round(F.abs(F.col("_u") - goal), 9), "path")
     chosen = grid.withColumn("_k", F.row_number().over(near)).where("_k = 1").select(*keys, "method", "path")
     return paths.join(chosen, [*keys, "method", "path"])

@@ -1,56 +1,65 @@
 """Affine scan: e[t] = a[t] * e[t-1] + b[t] over each series, in chunks.
 
-Two affine maps compose to one, so a chunk's effect is a pair (A, B).  Chunks are summarised in parallel, the
-few summaries of a series are folded to each chunk's carry-in, and chunks are replayed from it.  The fold and
-the replay are array functions; a chunk is a bounded span of time, so no array grows with the series' rows.
+Two affine maps compose to one, so a chunk's effect is a pair (A, B).  Chunks hold at most `chunk_rows` rows,
+with all their columns, and are written once.  Their summaries are folded to each chunk's carry-in, series by
+series and without the rows; chunks are then replayed from it, each on its own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
 from .clean import by
 
-CHUNK_DAYS = 128
+CHUNK_DAYS, CHUNK_ROWS = 128, 1024
+
+
+def running(values: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """The states after each element of an array, from `start`.
+
+    Blocks of about the square root of the array's size are folded one by one, so an append copies a block at
+    most and the work stays near linear.
+    """
+    block = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(values))).cast("int"))
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(values) / block).cast("int") - 1), lambda i: F.slice(values, i * block + 1, block))
+    last = lambda states: F.element_at(states, -1)
+    inner = lambda state, own: F.aggregate(own, F.array(state), lambda out, x: F.array_append(out, step(last(out), x)))
+    states = F.aggregate(blocks, F.array(F.array(start)), lambda out, own: F.array_append(out, F.slice(inner(last(last(out)), own), F.lit(2), F.size(own))))
+    return F.slice(F.flatten(states), F.lit(2), F.size(values))
 
 
-def affine_scan(df: DataFrame, keys: list[str], ts: str, maps: dict[str, tuple[Column, Column]], chunk: Column | None = None) -> DataFrame:
+def affine_scan(df: DataFrame, keys: list[str], ts: str, maps: dict[str, tuple[Column, Column]], chunk: Column | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """`df` with a column for each (a, b) in `maps`; before a series' first row, e is 0.
 
-    `chunk` must grow with the time; by default it is the date's span of CHUNK_DAYS.  Times are unique within a
-    series.
+    `chunk` must grow with the time; by default it is the date's span of CHUNK_DAYS.  Spans of more than
+    `chunk_rows` rows are cut further.  Times are unique within a series.
     """
-    chunk = F.floor(F.unix_date(F.col(ts).cast("date")) / CHUNK_DAYS) if chunk is None else chunk
-    names = list(maps)
-    rows = df.withColumn("_chunk", chunk).select(*keys, ts, "_chunk", *[F.struct(a.cast("double").alias("a"), b.cast("double").alias("b")).alias(f"_{n}") for n, (a, b) in maps.items()])
-    chunks = rows.groupBy(*keys, "_chunk").agg(F.sort_array(F.collect_list(F.struct(ts, *[f"_{n}" for n in names]))).alias("_rows"))
+    span = F.floor(F.unix_date(F.col(ts).cast("date")) / CHUNK_DAYS) if chunk is None else chunk
+    names, others = list(maps), [c for c in df.columns if c not in (*keys, ts)]
+    pair = lambda a, b: F.struct(a.cast("double").alias("a"), b.cast("double").alias("b"))
+    placed = df.withColumn("_span", span.cast("long"))
+    placed = placed.withColumn("_part", F.floor((F.row_number().over(Window.partitionBy(*keys, "_span").orderBy(ts)) - 1) / chunk_rows))
+    row = F.struct(ts, F.struct(*[pair(a, b).alias(n) for n, (a, b) in maps.items()]).alias("_maps"), *others)
+    chunks = placed.groupBy(*keys, "_span", "_part").agg(F.sort_array(F.collect_list(row)).alias("_rows"))
 
     def summary(n: str) -> Column:
-        start = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
-        return F.aggregate("_rows", start, lambda s, r: F.struct((s["a"] * r[f"_{n}"]["a"]).alias("a"), (s["b"] * r[f"_{n}"]["a"] + r[f"_{n}"]["b"]).alias("b")))
-
-    chunks = chunks.withColumns({f"_s_{n}": summary(n) for n in names})
-    series = chunks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_chunk", *[f"_s_{n}" for n in names]))).alias("_all"))
-    carried = series.withColumn(
-        "_carry",
-        F.aggregate(
-            "_all",
-            F.struct(*[F.lit(0.0).alias(n) for n in names], F.array().cast("array<struct<_chunk:bigint," + ",".join(f"_c_{n}:double" for n in names) + ">>").alias("out")),
-            lambda s, r: F.struct(
-                *[(s[n] * r[f"_s_{n}"]["a"] + r[f"_s_{n}"]["b"]).alias(n) for n in names],
-                F.array_append(s["out"], F.struct(r["_chunk"].cast("long").alias("_chunk"), *[s[n].alias(f"_c_{n}") for n in names])).alias("out"),
-            ),
-            lambda s: s["out"],
-        ),
-    ).select(*keys, F.inline("_carry"))
-    replay = chunks.select(*keys, F.col("_chunk").cast("long").alias("_chunk"), "_rows").join(carried, [*keys, "_chunk"])
-    step = F.struct(F.col("_rows")[0][ts].alias(ts), *[F.lit(0.0).alias(n) for n in names])
-    one = lambda r, s: F.struct(r[ts].alias(ts), *[(s[n] * r[f"_{n}"]["a"] + r[f"_{n}"]["b"]).alias(n) for n in names])
-    start = F.struct(F.struct(F.lit(None).cast(df.schema[ts].dataType).alias(ts), *[F.col(f"_c_{n}").alias(n) for n in names]).alias("last"), F.slice(F.array(step), 1, 0).alias("out"))
-    folded = F.aggregate("_rows", start, lambda s, r: F.struct(one(r, s["last"]).alias("last"), F.array_append(s["out"], one(r, s["last"])).alias("out")), lambda s: s["out"])
-    out = replay.select(*keys, F.inline(folded))
-    return df.join(out, [*keys, ts], "left")
+        whole = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+        return F.aggregate("_rows", whole, lambda s, r: F.struct((s["a"] * r["_maps"][n]["a"]).alias("a"), (s["b"] * r["_maps"][n]["a"] + r["_maps"][n]["b"]).alias("b")))
+
+    chunks = written(chunks.withColumn("_sum", F.struct(*[summary(n).alias(n) for n in names])), "chunks")
+    step = lambda state, m: F.struct(*[(state[n] * m[n]["a"] + m[n]["b"]).alias(n) for n in names])
+    series = chunks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_span", "_part", "_sum"))).alias("_all"))
+    zero = F.struct(*[F.lit(0.0).alias(n) for n in names])
+    after = running(F.transform("_all", lambda x: x["_sum"]), zero, step)
+    carried = series.select(*keys, F.inline(F.arrays_zip(F.transform("_all", lambda x: x["_span"]).alias("_span"), F.transform("_all", lambda x: x["_part"]).alias("_part"), F.concat(F.array(zero), after).alias("_carry"))))
+    replay = chunks.drop("_sum").join(carried.where("_span is not null"), [*keys, "_span", "_part"])
+    states = running(F.transform("_rows", lambda r: r["_maps"]), F.col("_carry"), step)
+    full = F.zip_with("_rows", states, lambda r, s: F.struct(r[ts].alias(ts), *[r[c].alias(c) for c in others], *[s[n].alias(n) for n in names]))
+    return replay.select(*keys, F.inline(full)).select(*df.columns, *names)
 
 
 def ema(df: DataFrame, keys: list[str], ts: str, specs: dict[str, tuple[str, float, int]], chunk: Column | None = None) -> DataFrame:

@@ -228,12 +228,15 @@ def market(spark: SparkSession, sf_dir: str, series=None) -> DataFrame:
 _GRID = [(a, b) for a, b in forecast.GRID]
 
 
-@query(f"""WITH RECURSIVE {BARS}, sm AS (SELECT series_id, date, {roll('close', 7, 'avg')} AS close FROM bars), rr AS (SELECT series_id, date, ln(close / lag(close) {W}) AS r FROM sm),
+_GARCH = f"""sm AS (SELECT series_id, date, {roll('close', 7, 'avg')} AS close FROM bars), rr AS (SELECT series_id, date, ln(close / lag(close) {W}) AS r FROM sm),
 ce AS (SELECT series_id, date, r - avg(r) OVER (PARTITION BY series_id) AS e, row_number() OVER (PARTITION BY series_id ORDER BY date) AS rn FROM rr WHERE r IS NOT NULL), va AS (SELECT series_id, avg(e * e) AS v FROM ce GROUP BY 1),
 gr AS (SELECT unnest({[a for a, _ in _GRID]}) AS alpha, unnest({[b for _, b in _GRID]}) AS beta),
 s AS (SELECT series_id, rn, CAST(alpha AS DOUBLE) AS alpha, CAST(beta AS DOUBLE) AS beta, v, v AS s2, e FROM ce JOIN va USING (series_id) CROSS JOIN gr WHERE rn = 1
     UNION ALL SELECT s.series_id, ce.rn, alpha, beta, v, (1 - alpha - beta) * v + alpha * s.e * s.e + beta * s2, ce.e FROM s JOIN ce ON ce.series_id = s.series_id AND ce.rn = s.rn + 1),
-l AS (SELECT series_id, alpha, beta, count(*) AS n, sum(-0.5 * (ln(s2) + e * e / s2)) AS ll, arg_max(s2, rn) AS last, max(v) AS v FROM s GROUP BY 1, 2, 3), k AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY round(ll, 6) DESC, alpha, beta) AS k FROM l)
+l AS (SELECT series_id, alpha, beta, count(*) AS n, sum(-0.5 * (ln(s2) + e * e / s2)) AS ll, arg_max(s2, rn) AS last, max(v) AS v FROM s GROUP BY 1, 2, 3), k AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY round(ll, 6) DESC, alpha, beta) AS k FROM l)"""
+
+
+@query(f"""WITH RECURSIVE {BARS}, {_GARCH}
 SELECT series_id, alpha, beta, round(alpha + beta, 6) AS persistence, n, round(ll, 3) AS log_likelihood, round(sqrt(last), 6) AS last_sigma, round(sqrt(v), 6) AS long_run_sigma FROM k WHERE k = 1""")
 def garch_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = forecast.garch_grid(market(spark, sf_dir), KEYS, TS, "r").drop("last_residual")
@@ -253,39 +256,83 @@ def volatility_inputs(spark: SparkSession, sf_dir: str, series=None) -> tuple[Da
     return returns, fit
 
 
-@query()
+_AHEAD = "OVER (PARTITION BY series_id ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 30 FOLLOWING)"
+_FIT = f"""WITH RECURSIVE {BARS}, {_GARCH},
+fit AS (SELECT series_id, alpha, beta, n, ll, sqrt(last) AS last_sigma, sqrt(v) AS long_run_sigma FROM k WHERE k = 1),
+qu AS (SELECT series_id, date, CASE WHEN isodow(date) <= 5 AND date >= DATE '1998-01-01' AND count(r) OVER q = 90 THEN stddev_samp(r) OVER q * sqrt(365) * 120 END AS dvol FROM rr WHERE r IS NOT NULL
+    WINDOW q AS (PARTITION BY series_id ORDER BY date ROWS BETWEEN 89 PRECEDING AND CURRENT ROW)),
+iv AS (SELECT series_id, date, last_value(dvol IGNORE NULLS) {W} / 100 / sqrt(365) AS iv FROM qu),
+re AS (SELECT series_id, date, iv, CASE WHEN count(r) {_AHEAD} = 30 THEN stddev_samp(r) {_AHEAD} END AS rea FROM iv JOIN (SELECT * FROM rr WHERE r IS NOT NULL) USING (series_id, date)),
+sv AS (SELECT series_id, median(rea / nullif(iv, 0)) AS vrp, count(*) FILTER (WHERE rea IS NOT NULL AND iv IS NOT NULL) AS m, arg_max(iv, date) FILTER (WHERE iv IS NOT NULL) AS implied_sigma FROM re GROUP BY 1),
+st AS (SELECT fit.*, vrp, implied_sigma, coalesce(CASE WHEN m >= 60 THEN vrp * implied_sigma END, last_sigma) AS start_sigma FROM fit LEFT JOIN sv USING (series_id))"""
+
+
+@query(f"""{_FIT} SELECT series_id, alpha, beta, round(alpha + beta, 6) AS persistence, n, round(ll, 3) AS log_likelihood, round(last_sigma, 6) AS last_sigma, round(long_run_sigma, 6) AS long_run_sigma,
+    round(vrp, 6) AS vrp, round(implied_sigma, 6) AS implied_sigma, round(start_sigma, 6) AS start_sigma FROM st""")
 def start_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Implied volatility as of each day, the median premium and the start volatility."""
     _, fit = volatility_inputs(spark, sf_dir)
-    return fit.drop("last_residual")
+    df = rounded(fit.drop("last_residual"), ["log_likelihood"], 3)
+    return rounded(df, ["persistence", "last_sigma", "long_run_sigma", "vrp", "implied_sigma", "start_sigma"])
 
 
-def simulated(spark: SparkSession, sf_dir: str, paths: int) -> tuple[DataFrame, DataFrame]:
-    returns, fit = volatility_inputs(spark, sf_dir)
-    spot = returns.groupBy("series_id").agg(F.max_by("close", "date").alias("spot"), F.max("date").alias("as_of"))
-    origins = fit.join(forecast.residual_pool(returns, fit, KEYS, TS, "r"), KEYS).withColumn("calibration", F.lit(1.0))
-    origins = origins.withColumn("method", F.explode(F.array(*map(F.lit, forecast.METHODS))))
-    return forecast.bootstrap_paths(origins, KEYS, 30, paths), spot
+PATHS, STEPS, SEED = 10_000, 30, 7
 
 
-@query()
+def simulated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    returns, fit = volatility_inputs(spark, sf_dir)
+    spot = returns.groupBy("series_id").agg(F.max_by("close", "date").alias("spot"), F.max("date").alias("as_of"))
+    pool = written(forecast.residual_pool(returns, fit, KEYS, TS, "r"), "pool")
+    paths = forecast.bootstrap_paths(fit.withColumn("calibration", F.lit(1.0)), pool, KEYS, STEPS, PATHS, SEED)
+    return written(paths, "paths"), spot
+
+
+_DRAW = lambda *more: f"('0x' || substr(md5(concat_ws('|', '{SEED}', series_id{''.join(f', {m}' for m in more)})), 1, 13))::BIGINT"
+_UNIT = lambda salt: f"(({_DRAW('path', 'step', str(salt))} + 1) / {float(forecast.DRAW_RANGE + 1)!r}::DOUBLE)"
+_PATHS = f"""{_FIT},
+es AS (SELECT series_id, ce.rn, e, alpha, beta, v FROM ce JOIN k USING (series_id) WHERE k.k = 1),
+z1 AS (SELECT series_id, rn, e, alpha, beta, v, v AS s2 FROM es WHERE rn = 1
+    UNION ALL SELECT z1.series_id, es.rn, es.e, es.alpha, es.beta, es.v, (1 - es.alpha - es.beta) * es.v + es.alpha * z1.e * z1.e + es.beta * s2 FROM z1 JOIN es ON es.series_id = z1.series_id AND es.rn = z1.rn + 1),
+po AS (SELECT series_id, rn - 1 AS place, e / sqrt(s2) AS z, e FROM z1), sz AS (SELECT series_id, count(*) AS size FROM po GROUP BY 1),
+dr AS (SELECT series_id, path, step, {_DRAW('path', 'step')} % size AS place, sqrt(-2 * ln({_UNIT(1)})) * cos(2 * pi() * {_UNIT(2)}) AS normal
+    FROM sz CROSS JOIN (SELECT unnest(range(1, {PATHS + 1})) AS path) CROSS JOIN (SELECT unnest(range(1, {STEPS + 1})) AS step)),
+dw AS (SELECT dr.series_id, path, step, z, e, normal FROM dr JOIN po ON po.series_id = dr.series_id AND po.place = dr.place),
+wk AS (SELECT series_id, method, 0 AS path, 0 AS step, 0.0::DOUBLE AS x, 0.0::DOUBLE AS v, 0.0::DOUBLE AS alpha, 0.0::DOUBLE AS beta, 0.0::DOUBLE AS lv FROM st CROSS JOIN (SELECT unnest({forecast.METHODS}) AS method) WHERE false
+    UNION ALL SELECT * FROM (SELECT series_id, method, path, 0 AS step, 0.0::DOUBLE AS x, CASE method WHEN 'fhs_dvol' THEN start_sigma * start_sigma ELSE last_sigma * last_sigma END AS v, alpha, beta, long_run_sigma * long_run_sigma AS lv
+        FROM st CROSS JOIN (SELECT unnest({forecast.METHODS}) AS method) CROSS JOIN (SELECT unnest(range(1, {PATHS + 1})) AS path))),
+pa AS (SELECT * FROM wk UNION ALL
+    SELECT series_id, method, path, step, x + ee, (1 - alpha - beta) * lv + alpha * ee * ee + beta * v, alpha, beta, lv FROM (
+        SELECT pa.series_id, method, pa.path, dw.step, x, v, alpha, beta, lv, CASE method WHEN 'iid' THEN e WHEN 'garch_normal' THEN normal * sqrt(v) ELSE z * sqrt(v) END AS ee
+        FROM pa JOIN dw ON dw.series_id = pa.series_id AND dw.path = pa.path AND dw.step = pa.step + 1)),
+sp AS (SELECT series_id, arg_max(close, date) AS spot, max(date) AS as_of FROM (SELECT sm.series_id, sm.date, sm.close FROM sm JOIN rr ON rr.series_id = sm.series_id AND rr.date = sm.date WHERE r IS NOT NULL) GROUP BY 1)"""
+
+
+@query(f"""{_PATHS}, qt AS (SELECT series_id, method, step, quantile_cont(spot * exp(x), [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95]) AS q, max(spot) AS spot, max(as_of) AS as_of FROM pa JOIN sp USING (series_id) WHERE step IN (1, 7, 14, 21, 30) GROUP BY 1, 2, 3)
+SELECT series_id, method, step, CAST(as_of + step AS DATE) AS date, round(spot, 3) AS spot, {', '.join(f'round(q[{i + 1}], 3) AS {p}' for i, p in enumerate(['p5', 'p10', 'p25', 'p50', 'p75', 'p90', 'p95']))},
+    {', '.join(f'round(100 * (q[{i}] / spot - 1), 4) AS {p}_pct' for i, p in ((1, 'p5'), (4, 'p50'), (7, 'p95')))} FROM qt""")
 def bootstrap_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bands of each method at days 1, 7, 14, 21 and 30, in prices and as changes from the spot."""
-    paths, spot = simulated(spark, sf_dir, 200)
-    found = forecast.bands(paths.join(F.broadcast(spot), KEYS), ["series_id", "spot", "as_of"], F.col("spot"))  # a row for each series
-    found = found.where(F.col("step").isin(1, 7, 14, 21, 30)).withColumn("date", F.date_add("as_of", F.col("step")))
-    return found.withColumns({f"{p}_pct": 100 * (F.col(p) / F.col("spot") - 1) for p in ("p5", "p50", "p95")})
+    """Bands of each method at days 1, 7, 14, 21 and 30, in prices and as changes from the spot; 10 000 paths."""
+    paths, spot = simulated(spark, sf_dir)
+    near = paths.where(F.col("step").isin(1, 7, 14, 21, 30)).join(spot, KEYS)
+    found = forecast.bands(near, ["series_id", "spot", "as_of"], F.col("spot")).withColumn("date", F.date_add("as_of", F.col("step"))).drop("as_of")
+    found = found.withColumns({f"{p}_pct": F.round(100 * (F.col(p) / F.col("spot") - 1), 4) for p in ("p5", "p50", "p95")})
+    return rounded(found, ["spot", "p5", "p10", "p25", "p50", "p75", "p90", "p95"], 3)
 
 
-@query()
+@query(f"""{_PATHS}, lv AS (SELECT unnest([-0.2, -0.1, 0.0, 0.1, 0.2])::DOUBLE AS change)
+SELECT series_id, method, change, round(avg(CAST(exp(x) >= 1 + change AS INTEGER)), 6) AS prob_above FROM pa CROSS JOIN lv WHERE step = {STEPS} GROUP BY 1, 2, 3""")
 def exceedance_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forecast.exceedance(written(simulated(spark, sf_dir, 200)[0], "paths"), KEYS)
+    """Share of 10 000 paths that end at or above each level, by method."""
+    return rounded(forecast.exceedance(simulated(spark, sf_dir)[0], KEYS), ["prob_above"])
 
 
-@query()
+@query(f"""{_PATHS}, en AS (SELECT series_id, path, round(x, 9) AS x, percent_rank() OVER (PARTITION BY series_id ORDER BY round(x, 9), path) AS u FROM pa WHERE method = 'fhs' AND step = {STEPS}),
+gr2 AS (SELECT *, CAST(floor((u - 0.05) / (0.95 - 0.05) * 23 + 0.5) AS INTEGER) AS g FROM en), ch AS (SELECT *, row_number() OVER (PARTITION BY series_id, g ORDER BY round(abs(u - (0.05 + g * (0.95 - 0.05) / 23)), 9), path) AS kk FROM gr2 WHERE g BETWEEN 0 AND 23)
+SELECT pa.series_id, pa.method, pa.path, step, round(pa.x, 6) AS log_change FROM pa JOIN ch ON ch.series_id = pa.series_id AND ch.path = pa.path AND ch.kk = 1 WHERE pa.method = 'fhs' AND step > 0""")
 def sampled_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths, _ = simulated(spark, sf_dir, 200)
-    return forecast.sample_paths(written(paths.where("method = 'fhs'"), "paths"), KEYS)
+    """24 whole paths of 10 000, spread evenly by where they end."""
+    paths, _ = simulated(spark, sf_dir)
+    return rounded(forecast.sample_paths(paths.where("method = 'fhs'"), KEYS), ["log_change"])
 
 
 @query()
@@ -293,20 +340,20 @@ def band_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly origins, three horizons, all methods on the same dates: coverage, pinball, misses, tests.
 
     Parameters are refitted each year on all data before it; volatility at an origin uses returns up to it.
+    1 000 paths from each origin draw from all residuals before its year.
     """
     returns = written(market(spark, sf_dir, F.lit("all")), "returns")
     w = clean.by(KEYS, TS)
     years = [r["y"] for r in returns.select(F.year("date").alias("y")).distinct().orderBy("y").collect()][2:]
     past = returns.withColumn("y", F.explode(F.array(*map(F.lit, years)))).where(F.year("date") < F.col("y"))
     keys = ["series_id", "y"]
-    fit = forecast.garch_grid(past, keys, TS, "r", [(0.05, 0.9), (0.1, 0.8), (0.15, 0.7), (0.2, 0.5)])
-    fit = written(fit, "fit")
-    pool = forecast.residual_pool(past, fit, keys, TS, "r", 500)
+    fit = written(forecast.garch_grid(past, keys, TS, "r"), "fit")
+    pool = written(forecast.residual_pool(past, fit, keys, TS, "r"), "pool")
     recent = returns.withColumns({"sigma_now": windows.rolling("r", 30, w, "std"), "y": F.year("date"), **{f"actual_{h}": windows.future_return("close", h, w) for h in (7, 14, 30)}})
-    origins = recent.where("weekday(date) = 0 and sigma_now is not null and actual_30 is not null").join(fit, keys).join(pool, keys)
+    origins = recent.where("weekday(date) = 0 and sigma_now is not null and actual_30 is not null").join(fit, keys)
     origins = origins.withColumns({"last_sigma": F.col("sigma_now"), "start_sigma": F.sqrt(F.col("sigma_now") * F.col("long_run_sigma")), "calibration": F.lit(1.1)})
-    origins = origins.withColumn("method", F.explode(F.array(*map(F.lit, forecast.METHODS))))
-    paths = forecast.bootstrap_paths(origins, ["series_id", "date"], 30, 40)
+    columns = ["series_id", "date", "y", "alpha", "beta", "long_run_sigma", "last_sigma", "start_sigma", "calibration"]
+    paths = forecast.bootstrap_paths(written(origins.select(columns), "origins"), pool, ["series_id", "date"], STEPS, 1000, SEED, keys)
     q = paths.where("step in (7, 14, 30)").groupBy("series_id", "date", "method", F.col("step").alias("h")).agg(F.percentile("log_change", [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95]).alias("q"))
     actual = recent.select("series_id", "date", F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"actual_{h}").alias("actual")) for h in (7, 14, 30)])).alias("a")).select("series_id", "date", "a.*")
     scored = written(q.join(actual, ["series_id", "date", "h"]).withColumns({"lower": F.col("q")[1], "mid": F.col("q")[3], "upper": F.col("q")[5], "c50": F.col("actual").between(F.col("q")[2], F.col("q")[4]).cast("double"), "c90": F.col("actual").between(F.col("q")[0], F.col("q")[6]).cast("double")}), "backtest")

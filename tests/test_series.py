@@ -178,12 +178,11 @@ def test_pinball_boosting_lowers_the_loss(spark):
 
 
 def test_paths_repeat_and_bands_are_ordered(spark):
-    pool = [(0.1 * k - 0.5, 0.001 * k - 0.005) for k in range(11)]
-    row = ("a", 0.05, 0.9, 0.01, 0.012, 0.011, 1.0, pool)
-    schema = "series_id string, alpha double, beta double, long_run_sigma double, last_sigma double, start_sigma double, calibration double, pool array<struct<z:double,e:double>>"
-    origins = spark.createDataFrame([row], schema).withColumn("method", F.explode(F.array(*map(F.lit, forecast.METHODS))))
-    a = forecast.bootstrap_paths(origins, KEYS, 10, 60)
-    b = forecast.bootstrap_paths(origins.repartition(5), KEYS, 10, 60)
+    pool = spark.createDataFrame([("a", k, 11, 0.1 * k - 0.5, 0.001 * k - 0.005) for k in range(11)], "series_id string, place long, size long, z double, e double")
+    schema = "series_id string, alpha double, beta double, long_run_sigma double, last_sigma double, start_sigma double, calibration double"
+    origins = spark.createDataFrame([("a", 0.05, 0.9, 0.01, 0.012, 0.011, 1.0)], schema)
+    a = forecast.bootstrap_paths(origins, pool, KEYS, 10, 60)
+    b = forecast.bootstrap_paths(origins.repartition(5), pool.repartition(3), KEYS, 10, 60)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     for r in forecast.bands(a, KEYS, F.lit(100.0)).collect():
         assert r.p5 <= r.p10 <= r.p25 <= r.p50 <= r.p75 <= r.p90 <= r.p95
