@@ -12,15 +12,17 @@ chance gives and the most that is possible.
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import ship
+from .shared import ship, slices
 
 WINDOW, POINTS = 32, 8
 SHORT, SHORT_WINDOW, SHORT_POINTS = 256, 8, 1
@@ -182,49 +184,64 @@ def similarity(a: pa.Array, b: pa.Array) -> pa.Array:
 
 
 # -- edited copies -------------------------------------------------------------------------------
-COARSE = 256
+ORDER = ["bare", "down", "h"]  # null ids last, ids downwards (complement: no overflow), repeated ids by their text's hash
 
 
-def _steps(value: Column, bounds: list[int], first: int = 0) -> Column:
-    """The number of `bounds` at or below `value`, by halving."""
-    if not bounds:
-        return F.lit(first)
-    middle = len(bounds) // 2
-    return F.when(value < bounds[middle], _steps(value, bounds[:middle], first)).otherwise(_steps(value, bounds[middle + 1 :], first + middle + 1))
+def _ordered(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, and the columns of ORDER); null texts are empty."""
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return held.withColumns({"bare": F.col("doc_id").isNull(), "down": F.coalesce(F.bitwise_not("doc_id"), F.lit(0)).cast("long"), "h": F.xxhash64("text")})
 
 
-def with_next(docs: DataFrame, bucket_rows: int = 512, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Rows of (doc_id, text) dealt into `bucket`s of neighbouring ids, each with a guest: the row that follows
-    the bucket's last one in descending order (after the very last, the first).
+def _packed(bare: np.ndarray, down: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The three columns of ORDER as byte strings that sort like them."""
+    out = np.zeros(len(bare), dtype=[("bare", "u1"), ("down", ">u8"), ("h", ">u8")])
+    sign = np.uint64(1 << 63)
+    out["bare"], out["down"], out["h"] = bare, down.view(np.uint64) ^ sign, h.view(np.uint64) ^ sign
+    return out.view("S17")
 
-    Buckets split the ranges between 256 quantiles of the ids evenly, so there are as many as the rows need and
-    no bucket depends on another.  Null ids come last.
+
+def bucket_heads(ordered: DataFrame, bucket_rows: int) -> list[tuple]:
+    """The ORDER columns of each bucket's first row: of every `bucket_rows`-th row of a range partition.
+
+    Only these 17 bytes a row are sorted; about one row in `bucket_rows` reaches the driver.
+    """
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
+        for batch in batches:
+            yield batch.take(pa.array(np.arange(-seen % bucket_rows, batch.num_rows, bucket_rows)))
+            seen += batch.num_rows
+
+    keys = ordered.select(*ORDER)
+    heads = keys.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).mapInArrow(every, keys.schema)
+    return sorted({tuple(r) for r in heads.collect()})
+
+
+def with_next(docs: DataFrame, bucket_rows: int = 2048, most_buckets: int = 200_000, broadcast_rows: int = 20_000) -> tuple[DataFrame, int]:
+    """Rows of (doc_id, text) with the columns of ORDER, `bucket` and `guest`: buckets of neighbouring rows, each
+    with a guest, the first row of the next bucket (of the last one: the very first row); and the number of buckets.
+
+    A bucket has `bucket_rows` rows at most, however ids are spread, repeat or are null; only rows that have both
+    id and text in common share one whatever their number.  Beyond `most_buckets` buckets grow instead, which
+    bounds what the driver holds.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    row = docs.agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.percentile_approx("doc_id", [i / COARSE for i in range(1, COARSE)], 10_000).alias("cuts")).collect()[0]
-    if row["low"] is None:
-        bounds, low, high = [], 0, 0
-    else:
-        bounds, low, high = sorted(set(row["cuts"]) - {row["low"]}), row["low"], row["high"]
-    sub = max(1, -(-row["n"] // (bucket_rows * (len(bounds) + 1))))
-    starts, ends = [low, *bounds], [*bounds, high + 1]
-    coarse = _steps(F.col("doc_id"), bounds)
-    start, end = F.get(F.array(*map(F.lit, starts)), F.col("coarse")), F.get(F.array(*map(F.lit, ends)), F.col("coarse"))
-    inner = F.least(F.floor((F.col("doc_id") - start).cast("double") * sub / (end - start).cast("double")), F.lit(sub - 1))
-    placed = docs.withColumn("coarse", F.when(F.col("doc_id").isNull(), -1).otherwise(coarse))
-    placed = placed.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise((F.col("coarse") * sub + inner).cast("long")))
-    heads = placed.groupBy("coarse", "bucket").agg(F.max("doc_id").alias("head"))
-    ranges = heads.groupBy("coarse").agg(F.min("bucket").alias("first")).orderBy("coarse").collect()  # 257 rows at most
-    above = {a["coarse"]: b["first"] for a, b in zip(ranges, ranges[1:] + ranges[:1], strict=True)}
-    larger = F.lead("bucket").over(Window.partitionBy("coarse").orderBy("bucket"))
-    lift = F.create_map(*[F.lit(x) for pair in above.items() for x in pair]) if above else F.create_map(F.lit(-2), F.lit(0).cast("long"))
-    guests = heads.select("head", F.col("bucket").alias("own"), F.coalesce(larger, F.element_at(lift, F.col("coarse"))).cast("long").alias("visits"))
-    few = -(-row["n"] // bucket_rows) + COARSE <= broadcast_rows
-    same = placed["doc_id"].eqNullSafe(guests["head"]) & (placed["bucket"] == guests["own"])
-    joined = placed.join(F.broadcast(guests) if few else guests, same, "left")
-    place = lambda b, guest: F.struct(b.cast("long").alias("bucket"), F.lit(guest).alias("guest"))
-    places = F.when(F.col("visits").isNull(), F.array(place(F.col("bucket"), False))).otherwise(F.array(place(F.col("bucket"), False), place(F.col("visits"), True)))
-    return joined.select("doc_id", "text", F.inline(places))
+    spark = docs.sparkSession
+    ordered = _ordered(docs)
+    heads = bucket_heads(ordered, max(bucket_rows, -(-docs.count() // most_buckets)))
+    columns = [np.array([r[i] for r in heads], dtype=t) for i, t in enumerate((bool, np.int64, np.int64))]
+    sent = spark.sparkContext.broadcast(_packed(*columns))
+
+    @F.arrow_udf(T.LongType())
+    def bucket(bare: pa.Array, down: pa.Array, h: pa.Array) -> pa.Array:
+        rows = _packed(bare.to_numpy(zero_copy_only=False), down.to_numpy(), h.to_numpy())
+        return pa.array(np.searchsorted(sent.value, rows, side="right") - 1)
+
+    placed = ordered.withColumn("bucket", bucket(*ORDER))
+    visits = spark.createDataFrame([(*r, (i - 1) % len(heads)) for i, r in enumerate(heads)], "bare boolean, down long, h long, visits long")
+    first = ordered.join(F.broadcast(visits) if len(heads) <= broadcast_rows else visits, ORDER).dropDuplicates(["visits"])
+    guests = first.select("doc_id", "text", *ORDER, F.col("visits").alias("bucket"), F.lit(True).alias("guest"))
+    return placed.withColumn("guest", F.lit(False)).select(*guests.columns).union(guests), len(heads)
 
 
 def edited(text: str, following: str) -> str:
@@ -233,30 +250,37 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def edited_report(docs: DataFrame, bucket_rows: int = 512) -> DataFrame:
+REPORT = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
+
+
+def edited_report(docs: DataFrame, bucket_rows: int = 2048) -> DataFrame:
     """Fingerprints of each text and of its edited copy, with their likeness and that to the next text.
 
-    Null texts count as empty.  Rows that share an id follow each other by text.  A single row is its own
-    next.  Other columns are not read; an empty table gives an empty result.
+    Null texts count as empty.  Rows that share an id follow each other by their text's hash; null ids come last.
+    A single row is its own next.  Repeated rows are returned each.  Other columns are not read; an empty table
+    gives an empty result.  Rows stream through a task in order, so it holds a batch of texts at most.
     """
     import hashlib
 
     ship(docs.sparkSession)
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-
-    def run(group: pa.Table) -> pa.Table:
-        rows = list(zip(*(group.column(c).to_pylist() for c in ("doc_id", "text", "guest")), strict=True))
-        rows.sort(key=lambda r: (r[2], r[0] is None, -(r[0] or 0), r[1]))
-        own = sum(not r[2] for r in rows)
-        texts = [r[1] for r in rows[: own + 1]]
-        prints = [Fingerprint.of(t) for t in texts]
-        out = []
-        for i in range(own):
-            copy = edited(texts[i], texts[i + 1])
-            other = Fingerprint.of(copy)
-            out.append((rows[i][0], len(texts[i]), hashlib.sha256(copy.encode("utf-8", "surrogatepass")).hexdigest(), str(prints[i]), str(other), likeness(prints[i], other), likeness(prints[i], prints[i + 1])))
-        columns = zip(*out, strict=True) if out else [[]] * len(kinds)
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[c.split(" ")[0] for c in schema.split(", ")])
-
-    return with_next(docs, bucket_rows).groupBy("bucket").applyInArrow(run, schema)
+    schema = pa.schema(REPORT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        print_of = lru_cache(4)(Fingerprint.of)  # repeated rows follow each other
+        held = None  # the row before: its bucket, id, text and fingerprint
+        for batch in batches:
+            for part in slices(batch, "text"):
+                out = []
+                for place, guest, doc, text in zip(*(part.column(c).to_pylist() for c in ("bucket", "guest", "doc_id", "text")), strict=True):
+                    own = print_of(text)
+                    if held is not None and held[0] == place:
+                        copy = edited(held[2], text)
+                        other = print_of(copy)
+                        out.append((held[1], len(held[2]), hashlib.sha256(copy.encode()).hexdigest(), str(held[3]), str(other), likeness(held[3], other), likeness(held[3], own)))
+                    held = None if guest else (place, doc, text, own)
+                columns = zip(*out, strict=True) if out else [[]] * len(schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    placed, buckets = with_next(docs, bucket_rows)
+    sorted_rows = placed.repartition(max(1, buckets // 4), "bucket").sortWithinPartitions("bucket", "guest", *ORDER, "text")
+    return sorted_rows.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from seriesloom.llm import digest as d
 
@@ -52,6 +53,24 @@ def test_edited_copies_against_brute_force(spark, bucket_rows):
     assert got == want
 
 
+@pytest.mark.parametrize("kind", ["clustered", "null", "repeated"])
+def test_no_bucket_is_large(spark, kind):
+    id = {"clustered": "case when id < 5900 then id else id * 1000000000 end", "null": "if(id % 3 = 0, null, id)", "repeated": "if(id % 3 = 0, 7, id)"}[kind]
+    docs = spark.range(6000).select(F.expr(id).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    placed, buckets = d.with_next(docs, 100)
+    sizes = [r["count"] for r in placed.groupBy("bucket").count().collect()]
+    assert max(sizes) <= 101 and len(sizes) == buckets and sum(sizes) == 6000 + buckets
+    assert placed.where("guest").groupBy("bucket").count().where("count > 1").count() == 0
+
+
+def test_repeated_ids_follow_each_other(spark):
+    rows = [(i % 5, f"text number {i % 7} of them") for i in range(60)] + [(None, "x y z")] * 3
+    got = d.edited_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in rows)
+    by_id = {i: sorted(h for j, h in ((r.doc_id, r.fingerprint) for r in got) if j == i) for i in {r.doc_id for r in got}}
+    assert by_id[3] == sorted(str(d.Fingerprint.of(t)) for i, t in rows if i == 3)
+
+
 def test_repeats_single_row_and_empty_table(spark):
     one = spark.createDataFrame([(4, "only one text here")], "doc_id long, text string")
     assert d.edited_report(one).collect()[0].near_next == 1
@@ -85,3 +104,5 @@ def test_near_copies_on_both_sides_of_the_length_limits():
         a, b = d.Fingerprint.of(text[:n]), d.Fingerprint.of(text[:m])
         assert d.likeness(a, b) == d.likeness(d.Fingerprint.parse(str(a)), d.Fingerprint.parse(str(b))) > 0.3
         assert d.likeness(a, d.Fingerprint.of(text[::-1][:m])) < 0.1
+    for n in range(200, 301):
+        assert d.likeness(d.Fingerprint.of(text[:n]), d.Fingerprint.of(text[: n - 1])) > 0.8
