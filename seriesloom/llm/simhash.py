@@ -1,23 +1,26 @@
 """SimHash near-duplicates by tiled exact comparison.
 
-Distinct fingerprints lie in tiles by their population count (and a salt, where one count has more than
-`tile_rows` fingerprints).  Two fingerprints at a Hamming distance of r have population counts at most r
-apart, so only such tile pairs meet.  Within a tile pair the same bound on the four 16-bit quarters skips
-further blocks; what is left is compared by exclusive-or and bit counts.  A tile pair returns a spanning
-forest of its links, never all pairs, and components are found over these.
+Distinct fingerprints lie in tiles by their population count.  Two fingerprints at a Hamming distance of r have
+population counts at most r apart, so only such tile pairs meet.  Where a tile would grow beyond `tile_rows`
+fingerprints, tiles are those of the counts of both halves, or of all four quarters, under the same bound on the
+sum of differences; beyond that a salt splits them.  Within a tile pair the bound on the quarters skips further
+blocks; what is left is compared by exclusive-or and bit counts.  A tile pair returns a spanning forest of its
+links, never all pairs, and components are found over these.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import cut, free_name, ship, slices
+from .shared import cut, discard, ship, slices
 
 BLOCK = 1 << 21
 FLUSH = 1 << 19
@@ -119,27 +122,51 @@ def compare(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np
     return every[moved], every[label[moved]]
 
 
+def _offsets(parts: int, radius: int) -> list[tuple[int, ...]]:
+    """Differences of `parts` counts whose sizes sum to at most `radius`."""
+    out: list[tuple[int, ...]] = [()]
+    for _ in range(parts):
+        out = [(*o, d) for o in out for d in range(-radius, radius + 1) if sum(map(abs, o)) + abs(d) <= radius]
+    return out
+
+
+def _cell(parts: int) -> Column:
+    """The population counts of `parts` equal parts of `f`, as one number."""
+    width, base = 64 // parts, 64 // parts + 1
+    counts = [F.bit_count("f")] if parts == 1 else [F.bit_count(F.shiftrightunsigned("f", width * i).bitwiseAND(F.lit((1 << width) - 1))) for i in range(parts)]
+    return sum((c * base**i for i, c in enumerate(counts)), F.lit(0)).cast("int")
+
+
 def links(distinct: DataFrame, column: str, radius: int = 4, tile_rows: int = 32_768) -> DataFrame:
     """Links (a, b) that join all fingerprints of one component; `column` holds each fingerprint once."""
-    tiles = distinct.select(F.col(column).alias("f"), F.bit_count(column).alias("p"))
-    counts = {r["p"]: r["n"] for r in tiles.groupBy("p").agg(F.count("*").alias("n")).collect()}  # 65 rows at most
-    salts = F.array(*[F.lit(-(-counts.get(p, 0) // tile_rows)) for p in range(65)])
-    placed = tiles.withColumn("s", F.pmod(F.xxhash64("f"), F.greatest(F.get(salts, F.col("p")), F.lit(1))).cast("int"))
-    met = placed.withColumn("q", F.explode(F.sequence(F.greatest(F.col("p") - radius, F.lit(0)), F.least(F.col("p") + radius, F.lit(64)))))
-    met = met.withColumn("t", F.explode(F.sequence(F.lit(0), F.greatest(F.get(salts, F.col("q")), F.lit(1)) - 1))) if max(counts.values(), default=0) > tile_rows else met.withColumn("t", F.lit(0))
-    met = met.where(F.get(salts, F.col("q")) > 0)
-    first = (F.col("p") < F.col("q")) | ((F.col("p") == F.col("q")) & (F.col("s") <= F.col("t")))
+    codes = distinct.select(F.col(column).alias("f"))
+    for parts in (1, 2, 4):  # 65, 1 089 or 83 521 tiles at most
+        sizes = codes.groupBy(_cell(parts).alias("c")).agg(F.count("*").alias("n"))
+        if (sizes.agg(F.max("n")).collect()[0][0] or 0) <= tile_rows:
+            break
+    base = 64 // parts + 1
+    salts = cut(sizes.select("c", F.ceil(F.col("n") / tile_rows).cast("int").alias("salts")), "tiles")
+    placed = codes.withColumn("c", _cell(parts)).join(F.broadcast(salts), "c")
+    placed = placed.select("f", "c", F.pmod(F.xxhash64("f"), "salts").cast("int").alias("s"))
+    digits = [F.floor(F.col("c") / base**i).cast("int") % base for i in range(parts)]
+    near = F.array(*[F.struct(*[F.lit(d).alias(f"d{i}") for i, d in enumerate(o)]) for o in _offsets(parts, radius)])
+    met = placed.withColumns({f"x{i}": x for i, x in enumerate(digits)}).withColumn("o", F.explode(near))
+    moved = [F.col(f"x{i}") + F.col(f"o.d{i}") for i in range(parts)]
+    within = [m.between(0, base - 1) for m in moved]
+    met = met.where(reduce(lambda x, y: x & y, within)).select("f", "c", "s", sum((m * base**i for i, m in enumerate(moved)), F.lit(0)).cast("int").alias("q"))
+    met = met.join(F.broadcast(salts.toDF("q", "other")), "q").withColumn("t", F.explode(F.sequence(F.lit(0), F.col("other") - 1)))
+    first = (F.col("c") < F.col("q")) | ((F.col("c") == F.col("q")) & (F.col("s") <= F.col("t")))
     pair = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
-    met = met.select("f", first.alias("first"), pair("p", "q").alias("p1"), pair("s", "t").alias("s1"), pair("q", "p").alias("p2"), pair("t", "s").alias("s2"))
+    met = met.select("f", first.alias("first"), pair("c", "q").alias("c1"), pair("s", "t").alias("s1"), pair("q", "c").alias("c2"), pair("t", "s").alias("s2"))
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         f = group.column("f").to_numpy().view(np.uint64)
         first = group.column("first").to_numpy()
-        p1, s1, p2, s2 = (k.as_py() for k in key)
-        a, b = compare(f, None, radius) if (p1, s1) == (p2, s2) else compare(f[first], f[~first], radius)
+        c1, s1, c2, s2 = (k.as_py() for k in key)
+        a, b = compare(f, None, radius) if (c1, s1) == (c2, s2) else compare(f[first], f[~first], radius)
         return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
-    return met.groupBy("p1", "s1", "p2", "s2").applyInArrow(run, "a long, b long")
+    return met.groupBy("c1", "s1", "c2", "s2").applyInArrow(run, "a long, b long")
 
 
 def _classes(prints: DataFrame, radius: int, tile_rows: int) -> DataFrame:
@@ -165,22 +192,24 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", rad
     """
     prints = _prints(docs, id, text)
     named = _classes(prints, radius, tile_rows).select("f", "component_id")
-    return prints.join(named, "f").select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
+    found = cut(prints.join(named, "f").select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id"), "components")
+    discard(prints)
+    return found
 
 
 def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = 4, tile_rows: int = 32_768) -> DataFrame:
-    """`docs` with one row of each component: one that has the smallest id.
+    """`docs` with exactly one row of each component: one that has the smallest id, of these the one whose text
+    has the least hash.
 
-    Where rows repeat an id, one of them stays.  A component whose rows all lack an id keeps one of them;
-    rows without an id go where another row of their component has one.
+    Rows are told apart by their place in a written copy, so ids may repeat, over equal or different texts.  A
+    component keeps a row without an id only if it has no other.
     """
-    prints = _prints(docs, id, text)
-    named = cut(_classes(prints, radius, tile_rows), "classes")
-    one, turn, own = free_name(docs, "kept_id"), free_name(docs, "turn"), free_name(docs, "print")
-    kept = prints.join(named, "f").where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(one)).distinct()
-    held = docs.join(kept, docs[id] == kept[one], "left_semi")
-    held = held.withColumn(turn, F.row_number().over(Window.partitionBy(id).orderBy(F.xxhash64(text)))).where(F.col(turn) == 1)
-    bare = docs.where(F.col(id).isNull()).withColumn(own, fingerprint_column(F.col(text).cast("string")))
-    alone = named.where("component_id is null").select(F.col("f").alias(own), F.col("root").alias(one))
-    bare = bare.join(alone, own).withColumn(turn, F.row_number().over(Window.partitionBy(one).orderBy(own))).where(F.col(turn) == 1)
-    return held.select(docs.columns).union(bare.select(docs.columns))
+    ship(docs.sparkSession)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    held = docs.toDF(*names)
+    own, body = F.col(names[docs.columns.index(id)]), F.col(names[docs.columns.index(text)]).cast("string")
+    marked = cut(held.select("*", fingerprint_column(body).alias("f"), F.xxhash64(body).alias("h"), F.monotonically_increasing_id().alias("row")), "marked")
+    named = _classes(marked.select(own.alias("doc_id"), "f"), radius, tile_rows).select("f", "root")
+    first = marked.select("f", F.struct(own.isNull().alias("bare"), own.alias("id"), "h", "row").alias("place")).join(named, "f")
+    kept = first.groupBy("root").agg(F.min("place").alias("place")).select("place.row")
+    return marked.join(kept, "row", "left_semi").select(*names).toDF(*docs.columns)

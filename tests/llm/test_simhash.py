@@ -53,7 +53,7 @@ def test_fingerprints():
     assert len(fingerprints([])) == 0
 
 
-@pytest.mark.parametrize("tile_rows", [32_768, 9])
+@pytest.mark.parametrize("tile_rows", [32_768, 60, 4])
 def test_components_against_brute_force(spark, tile_rows):
     texts = corpus()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
@@ -92,6 +92,22 @@ def test_null_ids_repeats_and_clashing_columns(spark):
     assert sorted((r.doc_id is None, r.text) for r in kept.collect()) == [(False, "a b c d f g h"), (True, "a b c d e"), (True, "solo text here now")]
 
 
+def test_every_component_keeps_one_row_where_ids_repeat(spark):
+    rnd = random.Random(8)
+    texts = corpus(90)
+    rows = [(rnd.choice([None, *range(25)]), t, k) for k, t in enumerate(texts)]
+    prints = {k: slow_print(t) for _, t, k in rows}
+    group = slow_components(prints)
+    want = {}
+    for i, _, k in rows:
+        want.setdefault(group[k], []).append((i is None, i))
+    kept = representatives(spark.createDataFrame(rows, "doc_id long, text string, row int").repartition(3)).collect()
+    got = {group[r.row]: (r.doc_id is None, r.doc_id) for r in kept}
+    assert len(kept) == len(got) and got == {g: min(x, key=lambda y: (y[0], y[1] or 0)) for g, x in want.items()}
+    three = spark.createDataFrame([(1, "A a a a a"), (5, "A a a a a"), (5, "B b other words here")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in representatives(three).collect()) == [(1, "A a a a a"), (5, "B b other words here")]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(docs).count() == 0 and representatives(docs).count() == 0
