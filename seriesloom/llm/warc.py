@@ -72,26 +72,43 @@ def parse(member: bytes) -> dict:
     }
 
 
-def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+def revisits(keys: DataFrame) -> DataFrame:
     """(page_id, payload_key, refers_to) of pages whose payload a page with a smaller id has."""
-    keys = cut(pages.where(F.octet_length("payload") >= least_bytes).select("page_id", "payload_key"), "payload-keys")
     first = keys.groupBy("payload_key").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
     return keys.join(first, "payload_key").where("page_id > refers_to").select("page_id", "payload_key", "refers_to").distinct()
 
 
+def _one_response(told: DataFrame, keys: DataFrame, broadcast_rows: int) -> DataFrame:
+    """`told` where of responses that repeat both id and payload one stays a response; the others revisit it."""
+    twice = cut(keys.where("page_id is not null").groupBy("page_id", "payload_key").count().where("count > 1").select("page_id", "payload_key"), "repeated-pages")
+    n = twice.count()
+    if not n:
+        return told
+    small = lambda df: F.broadcast(df) if n <= broadcast_rows else df
+    same = ["page_id", "payload_key"]
+    rows = cut(told.join(small(twice), same, "left_semi").withColumn("row", F.monotonically_increasing_id()), "repeated-rows")
+    head = rows.groupBy(*same).agg(F.min("row").alias("head"))
+    refers = F.when(F.col("refers_to").isNull() & (F.col("row") != F.col("head")), F.col("page_id")).otherwise(F.col("refers_to"))
+    rows = rows.join(small(head), same).withColumn("refers_to", refers).select(told.columns)
+    return told.join(small(twice), same, "left_anti").union(rows)
+
+
 def write(pages: DataFrame, folder: str, least_bytes: int = 0, broadcast_rows: int = 100_000, roll_bytes: int = 256_000_000) -> DataFrame:
     """Archives of (page_id, url, html) in `folder`; returns the written index.
 
-    Null html is an empty payload.  Rows that repeat both id and payload are all responses if theirs is the
-    smallest id of that payload; rows without an id are responses.  An empty table gives an empty index.
+    Null html is an empty payload.  Of rows that repeat both id and payload one is the response, unless a smaller
+    id has it, and the others revisit it; rows without an id are responses.  Other columns are not read.  An empty
+    table gives an empty index.
     """
     spark = pages.sparkSession
     ship(spark)
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("payload_key", F.unhex(F.sha2("payload", 256)))
-    again = cut(revisits(pages, least_bytes), "revisits")
+    keys = cut(pages.where(F.octet_length("payload") >= least_bytes).select("page_id", "payload_key"), "payload-keys")
+    again = cut(revisits(keys), "revisits")
     few = again.count() <= broadcast_rows  # 48 bytes a row; beyond that the join shuffles
-    told = pages.join(F.broadcast(again) if few else again, ["page_id", "payload_key"], "left").select("page_id", "url", "payload", "refers_to")
+    told = pages.join(F.broadcast(again) if few else again, ["page_id", "payload_key"], "left").select("page_id", "payload_key", "url", "payload", "refers_to")
+    told = _one_response(told, keys, broadcast_rows).drop("payload_key")
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -139,10 +156,11 @@ def coalesce(spans: list[tuple[int, int]], gap: int, most: int) -> list[tuple[in
     return [tuple(r) for r in reads]
 
 
-def read(index: DataFrame, folder: str, gap: int = 65_536, most: int = 8_000_000, region: int = 32_000_000) -> DataFrame:
+def read(index: DataFrame, folder: str, gap: int = 65_536, most: int = 8_000_000, region: int = 8_000_000) -> DataFrame:
     """Fields of the records that `index` selects, from the archives alone, with their payloads.
 
     Index rows meet by file and `region` of it, so a task holds one region's records, however large a file is.
+    Index rows are tiny, so the number of tasks comes from the archives' bytes: about two regions each.
     """
     ship(index.sparkSession)
     schema = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary, intact boolean"
@@ -162,7 +180,9 @@ def read(index: DataFrame, folder: str, gap: int = 65_536, most: int = 8_000_000
                 yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in found], t) for n, t in zip(names, kinds, strict=True)], names=names)
 
     narrow = index.select("file", F.floor(F.col("offset") / region).alias("region"), "offset", "length")
-    return narrow.groupBy("file", "region").applyInArrow(fetch, schema)
+    total = index.agg(F.sum("length")).collect()[0][0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, total // (2 * region))
+    return narrow.repartition(tasks, "file", "region").groupBy("file", "region").applyInArrow(fetch, schema)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
