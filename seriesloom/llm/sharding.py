@@ -1,33 +1,64 @@
 """Shards of near-equal bytes: longest-processing-time scheduling over groups of equal texts.
 
-Groups are scheduled largest first to the least-loaded shard through a heap.  A group of at least one
-`bundles`-th of all bytes is scheduled on its own; there are at most `bundles` of these.  Smaller groups are
-bundled by their hash first, so the schedule has at most twice `bundles` entries however large the corpus is,
-and a bundle is small against a shard.
+Groups are scheduled largest first to the least-loaded shard through a heap.  Groups of one weight are
+interchangeable, so the schedule needs only how many groups each weight has: a heap of 40 shards hands out the
+groups of a weight, and these are dealt to the shards by their rank within the weight.  There are at most as many
+weights as the square root of twice all bytes.  Only if even these are more than `most_weights`, groups below
+the largest such weights are bundled by hash first, so that the driver's part stays bounded.
 """
 
 from __future__ import annotations
 
 import heapq
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import cut
 
 
-def schedule(weights: list[tuple[int, int]], shards: int) -> dict[int, int]:
-    """Shard of each (key, weight), largest first, to the least-loaded shard; ties by key and by shard."""
+def schedule(weights: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int, int]]:
+    """Deals groups, largest weight first, each to the least-loaded shard; ties by shard.
+
+    `weights` are (weight, number of groups); returns (weight, shard, first rank, end rank) of the groups.  Whole
+    rounds, in which each shard gets one group, are handed out at once when the loads are within one weight.
+    """
     heap = [(0, s) for s in range(shards)]
-    out = {}
-    for key, weight in sorted(weights, key=lambda x: (-x[1], x[0])):
-        load, shard = heap[0]
-        heapq.heapreplace(heap, (load + weight, shard))
-        out[key] = shard
+    out = []
+    for weight, count in sorted(weights, reverse=True):
+        taken = [0] * shards
+        left = count
+        while left:
+            if left > shards and max(heap)[0] - heap[0][0] <= weight:
+                rounds = left // shards
+                taken = [n + rounds for n in taken]
+                heap = [(load + rounds * weight, s) for load, s in heap]
+                left -= rounds * shards
+                continue
+            load, s = heap[0]
+            heapq.heapreplace(heap, (load + weight, s))
+            taken[s] += 1
+            left -= 1
+        at = 0
+        for s, n in enumerate(taken):
+            if n:
+                out.append((weight, s, at, at + n))
+                at += n
     return out
 
 
-def shard(docs: DataFrame, shards: int = 40, id: str = "doc_id", text: str = "text", overhead: int = 16, bundles: int = 16_384, slot_rows: int = 100_000) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], by: str, parts: int, name: str) -> DataFrame:
+    """`df` with each row's rank from 0 among the rows of its keys, numbered apart in `parts` parts by `by`."""
+    dealt = df.withColumn("part", F.pmod(F.xxhash64(by), F.lit(parts)))
+    counts = dealt.groupBy(*keys, "part").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*keys, "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy(*keys, "part").orderBy(by)) - 1
+    return dealt.withColumn("own", own).join(before, [*keys, "part"]).withColumn(name, (F.col("before") + F.col("own")).cast("long")).drop("part", "own", "before")
+
+
+def shard(docs: DataFrame, shards: int = 40, id: str = "doc_id", text: str = "text", overhead: int = 16, most_weights: int = 200_000, slot_rows: int = 100_000) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for each row, by the law `bytes`.
 
     Null texts count no bytes and share a group with empty ones.  Equal texts share a shard, however many they
@@ -40,29 +71,25 @@ def shard(docs: DataFrame, shards: int = 40, id: str = "doc_id", text: str = "te
         (F.octet_length(held) + overhead).cast("long").alias("size"),
         F.crc32(held.cast("binary")).alias("text_crc32"),
         F.xxhash64(held, F.lit(1)).alias("group"),
+        F.monotonically_increasing_id().alias("row"),
     )
     narrow = cut(narrow, "sizes")
-    total, rows = narrow.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).collect()[0]
-    groups = narrow.groupBy("group").agg(F.sum("size").alias("weight"))
-    least = max(1, -(-total // bundles))
-    unit = F.when(F.col("weight") >= least, F.struct(F.lit(True).alias("own"), F.col("group").alias("k")))
-    unit = unit.otherwise(F.struct(F.lit(False).alias("own"), F.pmod("group", F.lit(bundles)).alias("k")))
-    units = groups.groupBy(unit.alias("unit")).agg(F.sum("weight").alias("weight"))
-    loads = [((r["unit"]["own"], r["unit"]["k"]), r["weight"]) for r in units.collect()]  # at most 2 * bundles rows
-    placed = schedule(loads, shards)
-    own = spark.createDataFrame([(k, s) for (alone, k), s in placed.items() if alone], "group long, own_shard int")
-    rest = spark.createDataFrame([(k, s) for (alone, k), s in placed.items() if not alone], "bundle long, rest_shard int")
-    dealt = narrow.withColumn("bundle", F.pmod("group", F.lit(bundles))).join(F.broadcast(own), "group", "left").join(F.broadcast(rest), "bundle", "left")
-    dealt = dealt.select("doc_id", "size", "text_crc32", F.coalesce("own_shard", "rest_shard").alias("shard"))
-    return slots(dealt, max(1, -(-rows // (shards * slot_rows)) * 4)).select(
+    groups = cut(narrow.groupBy("group").agg(F.sum("size").alias("weight"), F.count("*").alias("rows")), "groups")
+    total, rows = groups.agg(F.coalesce(F.sum("weight"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).collect()[0]
+    least = groups.select("weight").distinct().orderBy(F.desc("weight")).limit(most_weights + 1).agg(F.count("*"), F.min("weight")).collect()[0]
+    unit = F.struct(F.lit(False).alias("bundle"), F.col("group").alias("k"))
+    if least[0] > most_weights:
+        bundled = F.struct(F.lit(True).alias("bundle"), F.pmod("group", F.lit(most_weights)).alias("k"))
+        unit = F.when(F.col("weight") > least[1], unit).otherwise(bundled)
+    members = groups.select("group", F.xxhash64(unit).alias("unit"), "weight")
+    units = cut(members.groupBy("unit").agg(F.sum("weight").alias("weight")), "units")
+    weights = [(r["weight"], r["n"]) for r in units.groupBy("weight").agg(F.count("*").alias("n")).collect()]  # at most 2 * most_weights rows
+    dealt = list(zip(*schedule(weights, shards), strict=True)) or [[], [], [], []]
+    plan = spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in dealt], names=["weight", "shard", "first", "end"]))
+    parts = max(1, -(-rows // slot_rows)) * 4
+    placed = ranked(units, ["weight"], "unit", parts, "rank").join(plan.select("weight", F.col("shard").cast("int").alias("shard"), "first", "end"), "weight")
+    placed = members.join(placed.where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end"))).select("unit", "shard"), "unit").select("group", "shard")
+    narrow = narrow.join(placed, "group")
+    return ranked(narrow, ["shard"], "row", max(1, parts // shards), "slot").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
-
-
-def slots(dealt: DataFrame, parts: int) -> DataFrame:
-    """Numbers the rows of each shard from 0 without a gap, in `parts` parts that are numbered apart."""
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(parts)))
-    counts = dealt.groupBy("shard", "part").agg(F.count("*").alias("n"))
-    before = counts.select("shard", "part", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    local = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id")) - 1
-    return dealt.withColumn("local", local).join(before, ["shard", "part"]).withColumn("slot", (F.col("before") + F.col("local")).cast("long"))

@@ -1,15 +1,35 @@
 """Shards: loads near equal, groups whole, slots gapless; the heap schedule against its definition."""
 
+import random
 import zlib
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from seriesloom.llm.sharding import schedule, shard
 
 
+def slow_schedule(weights, shards):
+    loads = [0] * shards
+    for w in sorted((w for w, n in weights for _ in range(n)), reverse=True):
+        s = loads.index(min(loads))
+        loads[s] += w
+    return loads
+
+
 def test_schedule_takes_the_least_loaded():
-    placed = schedule([(k, w) for k, w in enumerate([7, 5, 4, 4, 3, 1])], 3)
-    assert placed == {0: 0, 1: 1, 2: 2, 3: 2, 4: 1, 5: 0}
-    assert schedule([], 2) == {}
+    rnd = random.Random(3)
+    cases = [[(7, 1), (5, 1), (4, 2), (3, 1), (1, 1)], [(5, 100)], [(90, 1), (3, 50), (2, 77)], [(rnd.randrange(1, 60), rnd.randrange(1, 40)) for _ in range(30)]]
+    for weights in cases:
+        weights = list(dict(weights).items())
+        for shards in (1, 3, 8):
+            dealt, loads = schedule(weights, shards), [0] * shards
+            for w, s, first, end in dealt:
+                loads[s] += w * (end - first)
+            assert loads == slow_schedule(weights, shards)
+            for w, n in weights:
+                assert sorted(k for v, _, a, b in dealt if v == w for k in range(a, b)) == list(range(n))
+    assert schedule([], 2) == []
 
 
 def check(got, rows, shards):
@@ -26,8 +46,8 @@ def check(got, rows, shards):
 def test_groups_and_loads(spark):
     rows = [(i, "t" * (i * 37 % 900)) for i in range(2000)] + [(None, None), (1, ""), (1, ""), (2, "é" * 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for bundles in (16_384, 256):
-        got = shard(docs, shards=8, bundles=bundles, slot_rows=50).collect()
+    for most in (200_000, 256):
+        got = shard(docs.withColumn("group", F.lit("x")).withColumn("shard", F.lit(1)), shards=8, most_weights=most, slot_rows=50).collect()
         load = check(got, rows, 8)
         assert max(load.values()) <= 1.02 * sum(load.values()) / 8
         by_text = defaultdict(set)
@@ -43,5 +63,11 @@ def test_a_hot_group_stays_whole(spark):
     assert len({r.shard for r in got if r.doc_id % 3 == 0}) == 1
 
 
+def test_rows_equal_in_id_and_text(spark):
+    rows = [(1, "same text")] * 500 + [(2, "other")] * 20
+    got = shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), shards=3, slot_rows=20).collect()
+    check(got, rows, 3)
+
+
 def test_empty_table(spark):
     assert shard(spark.createDataFrame([], "doc_id long, text string")).count() == 0
