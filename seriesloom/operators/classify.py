@@ -7,6 +7,7 @@ table.  Predictions of all models are rows of one long table (row keys, model, s
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,17 +29,38 @@ def positive_rate(df: DataFrame, keys: list[str], label: str) -> DataFrame:
     return df.groupBy(*keys).agg(p.alias("positive_rate"), F.try_divide(1 - p, p).alias("positive_weight"))
 
 
-def learners() -> dict[str, list]:
-    """Candidates of each base learner."""
+#: Settings that are tried for each base learner.  Spark's trees have no leaf penalty, so the two penalties of
+#: each boosting grid are two least leaf sizes.
+FULL_GRID = {
+    "gbt": {"rounds": (200, 400), "depth": (3, 4, 5), "rate": (0.03, 0.05, 0.08), "leaf": (5, 20)},
+    "gbt_shallow": {"rounds": (200, 400), "depth": (3, 4, 5), "rate": (0.03, 0.05, 0.08), "leaf": (5, 20)},
+    "forest": {"trees": (300, 500), "depth": (4, 6, 8), "leaf": (10, 30)},
+    "logistic": {"strength": (0.01, 0.1, 1.0), "mix": (0.2, 0.5, 0.8)},
+}
+SMALL_GRID = {
+    "gbt": {"rounds": (10,), "depth": (3,), "rate": (0.1,), "leaf": (5,)},
+    "gbt_shallow": {"rounds": (10,), "depth": (2,), "rate": (0.1,), "leaf": (5,)},
+    "forest": {"trees": (20,), "depth": (3, 5), "leaf": (10,)},
+    "logistic": {"strength": (0.1, 1.0), "mix": (0.5,)},
+}
+
+
+def learners(grid: dict[str, dict[str, tuple]] | None = None, rows: int = 1000) -> dict[str, list]:
+    """Candidates of each base learner: every combination of the grid, FULL_GRID by default.
+
+    A logistic strength C counts the summed loss of `rows` training rows, Spark's penalty the mean loss.
+    """
     from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 
     common = {"labelCol": "y", "weightCol": "weight"}
-    return {
-        "gbt": [GBTClassifier(maxDepth=3, maxIter=10, stepSize=0.1, seed=42, **common)],
-        "gbt_shallow": [GBTClassifier(maxDepth=2, maxIter=10, stepSize=0.1, subsamplingRate=0.7, featureSubsetStrategy="0.5", seed=43, **common)],
-        "forest": [RandomForestClassifier(numTrees=20, maxDepth=d, minInstancesPerNode=10, seed=42, **common) for d in (3, 5)],
-        "logistic": [LogisticRegression(elasticNetParam=a, regParam=c, maxIter=40, **common) for a, c in ((0.5, 0.001), (0.5, 0.02))],
+    make = {
+        "gbt": lambda rounds, depth, rate, leaf: GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=rate, minInstancesPerNode=leaf, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42, **common),
+        "gbt_shallow": lambda rounds, depth, rate, leaf: GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=rate, minInstancesPerNode=leaf, subsamplingRate=0.7, featureSubsetStrategy="0.5", seed=43, **common),
+        "forest": lambda trees, depth, leaf: RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=42, **common),
+        "logistic": lambda strength, mix: LogisticRegression(elasticNetParam=mix, regParam=1.0 / (strength * rows), maxIter=100, **common),
     }
+    every = lambda settings: [dict(zip(settings, values, strict=True)) for values in product(*settings.values())]
+    return {name: [make[name](**values) for values in every(settings)] for name, settings in (grid or FULL_GRID).items()}
 
 
 def _score(model, df: DataFrame, keep: list[str]) -> DataFrame:
@@ -47,13 +69,24 @@ def _score(model, df: DataFrame, keep: list[str]) -> DataFrame:
     return model.transform(df).select(*keep, vector_to_array("probability")[1].alias("score"))
 
 
-def scaled(df: DataFrame, columns: list[str], within: Column) -> DataFrame:
-    """`features`: the columns less their mean over their deviation, both over the rows where `within` holds."""
-    from pyspark.ml.feature import StandardScaler
+def with_raw(df: DataFrame, columns: list[str]) -> DataFrame:
+    """`raw`: the columns as a vector."""
     from pyspark.ml.functions import array_to_vector
 
-    raw = df.withColumn("_raw", array_to_vector(F.array(*[F.col(c).cast("double") for c in columns])))
-    return StandardScaler(inputCol="_raw", outputCol="features", withMean=True).fit(raw.where(within)).transform(raw).drop("_raw")
+    return df.withColumn("raw", array_to_vector(F.array(*[F.col(c).cast("double") for c in columns])))
+
+
+def rescaled(df: DataFrame, within: Column) -> DataFrame:
+    """`features`: `raw` less its mean over its deviation, both over the rows where `within` holds."""
+    from pyspark.ml.feature import StandardScaler
+
+    df = df.drop("features")
+    return StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(df.where(within)).transform(df)
+
+
+def scaled(df: DataFrame, columns: list[str], within: Column) -> DataFrame:
+    """`raw` and `features`: the columns, and the columns scaled over the rows where `within` holds."""
+    return rescaled(with_raw(df, columns), within)
 
 
 def minmax(df: DataFrame, columns: list[str], within: Column) -> DataFrame:
@@ -69,27 +102,29 @@ def minmax_inverse(df: DataFrame, scaled_column: str, column: str) -> Column:
 
 
 def tune(folds: DataFrame, candidates: list, keys: list[str]) -> int:
-    """Place of the candidate with the best mean AUC over purged folds; the first on ties."""
+    """Place of the candidate with the best mean AUC over purged folds; the first on ties.
+
+    Where `folds` has `raw`, each fold is scaled by its own training rows: no row of a later fold tells on it.
+    """
     if len(candidates) == 1:
         return 0
     numbers = sorted(r["fold"] for r in folds.select("fold").distinct().collect())
-    best, chosen = -1.0, 0
-    for i, candidate in enumerate(candidates):
-        scores = []
-        for fold in numbers:
-            own = folds.where(F.col("fold") == fold)
+    scores = [0.0] * len(candidates)
+    for fold in numbers:
+        own = folds.where(F.col("fold") == fold)
+        own = written(rescaled(own, F.col("role") == "train") if "raw" in folds.columns else own, "fold")
+        for i, candidate in enumerate(candidates):
             fitted = candidate.fit(own.where("role = 'train'"))
-            scores.append(auc(_score(fitted, own.where("role = 'validation'"), [*keys, "y"]), [], "y", "score").collect()[0]["auc"] or 0.5)
-        if sum(scores) / len(scores) > best:
-            best, chosen = sum(scores) / len(scores), i
-    return chosen
+            found = auc(_score(fitted, own.where("role = 'validation'"), [*keys, "y"]), [], "y", "score").collect()[0]["auc"]
+            scores[i] += 0.5 if found is None else found
+    return scores.index(max(scores))
 
 
-def base_predictions(df: DataFrame, folds: DataFrame, keys: list[str]) -> tuple[DataFrame, dict]:
+def base_predictions(df: DataFrame, folds: DataFrame, keys: list[str], grid: dict | None = None) -> tuple[DataFrame, dict]:
     """Scores of the tuned learners on validation and test rows, and the fitted models."""
     train, rest = df.where("split = 'train'"), df.where("split in ('validation', 'test')")
     fitted, out = {}, []
-    for name, candidates in learners().items():
+    for name, candidates in learners(grid, train.count()).items():
         fitted[name] = candidates[tune(folds, candidates, keys)].fit(train)
         out.append(_score(fitted[name], rest, [*keys, "split", "y"]).withColumn("model", F.lit(name)))
     return written(reduce(DataFrame.unionByName, out), "base"), fitted
@@ -101,18 +136,18 @@ def wide_scores(scores: DataFrame, keys: list[str], models: list[str]) -> DataFr
     return wide.withColumn("average", reduce(lambda a, b: a + b, map(F.col, models)) / len(models))
 
 
-def meta_learners(inputs: int) -> dict:
+def meta_learners(inputs: int, trees: int = 200, rounds: int = 100) -> dict:
     from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 
     return {
         "meta_logistic": LogisticRegression(labelCol="y", regParam=0.01, maxIter=40),
-        "meta_forest": RandomForestClassifier(labelCol="y", numTrees=20, maxDepth=3, seed=42),
-        "meta_gbt": GBTClassifier(labelCol="y", maxIter=10, maxDepth=2, stepSize=0.05, seed=42),
+        "meta_forest": RandomForestClassifier(labelCol="y", numTrees=trees, maxDepth=3, seed=42),
+        "meta_gbt": GBTClassifier(labelCol="y", maxIter=rounds, maxDepth=2, stepSize=0.05, seed=42),
         "meta_network": MultilayerPerceptronClassifier(labelCol="y", layers=[inputs, 8, 4, 2], maxIter=60, seed=42),
     }
 
 
-def stack_predictions(wide: DataFrame, keys: list[str], models: list[str], folds: DataFrame) -> DataFrame:
+def stack_predictions(wide: DataFrame, keys: list[str], models: list[str], folds: DataFrame, trees: int = 200, rounds: int = 100) -> DataFrame:
     """Out-of-fold scores of the meta-learners on validation rows, then their test scores after a fit to all of
     validation. Folds whose training rows hold one class are passed over."""
     from pyspark.ml.functions import array_to_vector
@@ -122,7 +157,7 @@ def stack_predictions(wide: DataFrame, keys: list[str], models: list[str], folds
     classes = held.where("role = 'train'").groupBy("fold").agg(F.countDistinct("y").alias("c")).where("c > 1")
     numbers = sorted(r["fold"] for r in classes.select("fold").collect())
     out = []
-    for name, learner in meta_learners(len(models)).items():
+    for name, learner in meta_learners(len(models), trees, rounds).items():
         for fold in numbers:
             own = held.where(F.col("fold") == fold)
             out.append(_score(learner.fit(own.where("role = 'train'")), own.where("role = 'validation'"), [*keys, "y"]).select("*", F.lit("oof").alias("split"), F.lit(name).alias("model")))

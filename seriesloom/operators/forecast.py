@@ -51,39 +51,54 @@ def _features(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumn("features", array_to_vector(F.array(*[F.col(c).cast("double") for c in columns])))
 
 
-def boosted_points(folds: DataFrame, columns: list[str], target: str, rounds: int = 20, depth: int = 5, rate: float = 0.1, share: float = 0.8, leaf: int = 5) -> DataFrame:
-    """Walk-forward predictions of gradient-boosted trees (squared loss): one fit for each fold."""
+def boosted_points(folds: DataFrame, columns: list[str], target: str, rounds: int = 100, depth: int = 5, rate: float = 0.1, share: float = 0.8, leaf: int = 5, stop: Column | None = None) -> DataFrame:
+    """Walk-forward predictions of gradient-boosted trees (squared loss): one fit for each fold.
+
+    Training rows where `stop` holds are kept from the trees and end the rounds when their loss stops falling.
+    """
     from pyspark.ml.regression import GBTRegressor
 
-    coded = written(_features(folds, columns), "boosted")
+    coded = written(_features(folds.withColumn("_stop", F.lit(False) if stop is None else stop), columns), "boosted")
     model = GBTRegressor(labelCol=target, maxIter=rounds, maxDepth=depth, stepSize=rate, featureSubsetStrategy=str(share), minInstancesPerNode=leaf, seed=42)
+    if stop is not None:
+        model = model.setValidationIndicatorCol("_stop")
     out = []
     for fold in sorted(r["fold"] for r in coded.select("fold").distinct().collect()):
         own = coded.where(F.col("fold") == fold)
         fitted = model.fit(own.where("role = 'train'"))
-        out.append(fitted.transform(own.where("role = 'test'")))
-    return reduce(DataFrame.unionByName, out).drop("features")
+        out.append(fitted.transform(own.where("role = 'test'")).withColumn("n_trees", F.lit(fitted.getNumTrees)))
+    return reduce(DataFrame.unionByName, out).drop("features", "_stop")
 
 
-def pinball_boosting(df: DataFrame, columns: list[str], target: str, q: float, train: Column, rounds: int = 10, depth: int = 3, rate: float | Callable[[int], float] = 0.3, leaf: int = 10, shrink: float = 2.0, seed: int = 42) -> DataFrame:
+def pinball_boosting(
+    df: DataFrame, columns: list[str], target: str, q: float, train: Column, rounds: int = 100, depth: int = 3, rate: float | Callable[[int], float] = 0.3, leaf: int = 10,
+    shrink: float = 2.0, cut: float = 0.0, rows_share: float = 1.0, columns_share: float = 1.0, seed: int = 42,
+) -> DataFrame:
     """`df` with `prediction`: trees fitted to the pinball gradient, leaves set to the quantile of their errors.
 
     Each round is one tree, one grouped percentile over its leaves and one join with that small table; every
-    fifth round is written, so lineage stays short.  `shrink` pulls a leaf's step towards 0 by its row count.
+    fifth round is written, so lineage stays short.  A leaf's step is its quantile over its m rows, where
+    `cut` (L1) is taken off m times the quantile and `shrink` (L2) is added to m.  A round's tree sees the share of
+    training rows that a hash of features and round picks, and a drawn share of the columns.
     """
+    from pyspark.ml.feature import VectorSlicer
     from pyspark.ml.regression import DecisionTreeRegressor
 
     now = _features(df, columns).withColumn("_train", train)
     start = now.where("_train").agg(F.percentile(target, q)).collect()[0][0]
     now = written(now.withColumn("prediction", F.lit(float(start))), "pinball")
-    tree = DecisionTreeRegressor(labelCol="_g", maxDepth=depth, minInstancesPerNode=leaf, seed=seed).setLeafCol("_leaf").setPredictionCol("_p")
+    tree = DecisionTreeRegressor(featuresCol="_own", labelCol="_g", maxDepth=depth, minInstancesPerNode=leaf, seed=seed).setLeafCol("_leaf").setPredictionCol("_p")
+    drawn = np.random.default_rng(seed)
     for i in range(rounds):
         step = rate(i) if callable(rate) else rate
-        graded = now.withColumn("_g", F.when(F.col(target) > F.col("prediction"), q).otherwise(q - 1))
-        placed = tree.fit(graded.where("_train")).transform(graded)
-        leaves = placed.where("_train").groupBy("_leaf").agg(F.percentile(F.col(target) - F.col("prediction"), q).alias("_e"), F.count("*").alias("_m"))
+        own = sorted(drawn.choice(len(columns), max(1, round(columns_share * len(columns))), replace=False).tolist())
+        graded = VectorSlicer(inputCol="features", outputCol="_own", indices=own).transform(now.withColumn("_g", F.when(F.col(target) > F.col("prediction"), q).otherwise(q - 1)))
+        picked = F.col("_train") & (F.pmod(F.xxhash64(F.lit(seed + i), *columns), F.lit(10_000)) < int(rows_share * 10_000))
+        placed = tree.fit(graded.where(picked)).transform(graded)
+        leaves = placed.where(picked).groupBy("_leaf").agg(F.percentile(F.col(target) - F.col("prediction"), q).alias("_e"), F.count("*").alias("_m"))
         moved = placed.join(F.broadcast(leaves), "_leaf", "left")  # at most 2 ** depth rows
-        now = moved.withColumn("prediction", F.col("prediction") + step * F.coalesce(F.col("_e") * F.col("_m") / (F.col("_m") + shrink), F.lit(0.0))).select(now.columns)
+        pull = F.signum("_e") * F.greatest(F.abs("_e") * F.col("_m") - cut, F.lit(0.0)) / (F.col("_m") + shrink)
+        now = moved.withColumn("prediction", F.col("prediction") + step * F.coalesce(pull, F.lit(0.0))).select(now.columns)
         if i % 5 == 4:
             now = written(now, "pinball")
     return now.drop("features", "_train")
@@ -203,6 +218,21 @@ def ar_forecast(df: DataFrame, best: DataFrame, keys: list[str], ts: str, value:
     return given.mapInPandas(run, schema)
 
 
+def ar_fitted(df: DataFrame, best: DataFrame, keys: list[str], ts: str, value: str, orders: int = 2, season: int = 12) -> DataFrame:
+    """(keys, ts, forecast): the chosen autoregression's one-step forecast of each row that has all its lags."""
+    w = by(keys, ts)
+    lags = [*range(1, orders + 1), *[season * k for k in range(1, 3)]]
+    d = df.withColumn("_v", F.col(value) - F.lag(value).over(w)).withColumn("_y", F.col("_v") - F.lag("_v", season).over(w))
+    d = d.withColumns({"_level": F.lag(value).over(w), "_season": F.lag("_v", season).over(w), **{f"_x{k}": F.lag("_y", k).over(w) for k in lags}})
+    chosen = best.where("rank = 1").select(*keys, "p", "seasonal_p", "coefficients")
+    d = d.join(chosen, keys)
+    at = lambda i: F.get("coefficients", i)
+    terms = [F.when(F.col("p") >= k, at(F.lit(k)) * F.col(f"_x{k}")).otherwise(0.0) for k in range(1, orders + 1)]
+    terms += [F.when(F.col("seasonal_p") >= k, at(F.col("p") + k) * F.col(f"_x{season * k}")).otherwise(0.0) for k in (1, 2)]
+    made = reduce(lambda x, y: x + y, terms, at(F.lit(0)))
+    return d.select(*keys, ts, (F.col("_level") + F.col("_season") + made).alias("forecast")).where("forecast is not null")
+
+
 # -- volatility ------------------------------------------------------------------------------------
 GRID = [(a, b) for a in (0.02, 0.05, 0.1, 0.15, 0.2) for b in (0.5, 0.7, 0.8, 0.9, 0.95) if a + b < 1]
 

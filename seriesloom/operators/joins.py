@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .clean import by
+
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], ts: str, columns: list[str], bucket: Column | None = None) -> DataFrame:
     """`left` with the last known value of each of right's columns at or before its time.
@@ -83,9 +85,10 @@ def score_once(df: DataFrame, column: str, score: Callable[[DataFrame], DataFram
 
 def autocorrelation(df: DataFrame, keys: list[str], ts: str, value: str, lags: int) -> DataFrame:
     """(keys, lag, acf) for lags 0 to `lags`: lagged products around the series' mean, over its sum of squares."""
-    w = Window.partitionBy(*keys)
-    centred = df.withColumn("_x", F.col(value) - F.avg(value).over(w)).withColumn("_rn", F.row_number().over(w.orderBy(ts)))
-    shifted = centred.select(*keys, "_rn", F.col("_x").alias("_y")).withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(lags)))).withColumn("_rn", F.col("_rn") + F.col("lag"))
-    products = shifted.join(centred.select(*keys, "_rn", "_x"), [*keys, "_rn"]).groupBy(*keys, "lag").agg(F.sum(F.col("_x") * F.col("_y")).alias("_p"))
-    total = F.max(F.when(F.col("lag") == 0, F.col("_p"))).over(w)
-    return products.select(*keys, "lag", F.try_divide("_p", total).alias("acf"))
+    means = df.groupBy(*keys).agg(F.avg(value).alias("_mean"))
+    w = by(keys, ts)
+    centred = df.join(means, keys).select(*keys, ts, (F.col(value) - F.col("_mean")).alias("_x"))
+    shifted = centred.select(*keys, "_x", *[F.lag("_x", k).over(w).alias(f"_x{k}") for k in range(1, lags + 1)])
+    cells = [F.struct(F.lit(k).alias("lag"), F.sum(F.col("_x") * F.col(f"_x{k}" if k else "_x")).alias("_p")) for k in range(lags + 1)]
+    sums = shifted.groupBy(*keys).agg(F.array(*cells).alias("_c"))
+    return sums.select(*keys, F.col("_c")[0]["_p"].alias("_total"), F.inline("_c")).where("_p is not null").select(*keys, "lag", F.try_divide("_p", F.col("_total")).alias("acf"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,13 @@ def interval_metrics(df: DataFrame, keys: list[str], actual: str, lower: str, mi
     )
 
 
+def relative_metrics(df: DataFrame, keys: list[str], actual: str, mid: str, naive: str, lower: str, upper: str) -> DataFrame:
+    """MAPE of the middle and of a naive forecast on the same rows, and the range's mean width in percent of the middle."""
+    share = lambda c: F.avg(F.abs(F.try_divide(F.col(c) - F.col(actual), F.col(actual))))
+    width = 100 * F.avg(F.try_divide(F.col(upper) - F.col(lower), F.col(mid)))
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), share(mid).alias("mape"), share(naive).alias("naive_mape"), width.alias("width_pct"))
+
+
 def pit_histogram(df: DataFrame, keys: list[str], u: str, bins: int = 10) -> DataFrame:
     return df.groupBy(*keys, F.least(F.floor(F.col(u) * bins), F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"))
 
@@ -67,12 +76,24 @@ def confusion_metrics(counts: DataFrame, keys: list[str], classes: list) -> Data
     return macro.join(right, keys) if keys else macro.crossJoin(right)  # one row each
 
 
+AUC_BUCKETS = 4096
+
+
 def auc(df: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
-    """Area under the ROC curve by average ranks: scores are counted first, then ranked by their counts."""
-    counts = df.groupBy(*keys, score).agg(F.count("*").alias("m"), F.sum(F.col(label).cast("long")).alias("p"))
-    w = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("rank", F.coalesce(F.sum("m").over(w), F.lit(0)) + (F.col("m") + 1) / 2)
-    sums = ranked.groupBy(*keys).agg(F.sum(F.col("rank") * F.col("p")).alias("r"), F.sum("p").alias("p"), F.sum("m").alias("m"))
+    """Area under the ROC curve by average ranks: scores are counted first, then ranked by their counts.
+
+    Distinct scores are ranked within buckets of a growing function of the score; totals of the buckets, at most
+    AUC_BUCKETS a key, give each bucket's first rank.  So no task holds all scores of a key.
+    """
+    place = F.coalesce(F.floor((F.atan(F.col(score).cast("double")) / math.pi + 0.5) * AUC_BUCKETS), F.lit(-1)).alias("_b")
+    counts = df.groupBy(*keys, place, score).agg(F.count("*").alias("m"), F.sum(F.col(label).cast("long")).alias("p"))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c, w: F.coalesce(F.sum(c).over(earlier(w)), F.lit(0))
+    own = Window.partitionBy(*keys, "_b").orderBy(score)
+    local = counts.withColumn("rank", before("m", own) + (F.col("m") + 1) / 2)
+    sums = local.groupBy(*keys, "_b").agg(F.sum(F.col("rank") * F.col("p")).alias("r"), F.sum("p").alias("p"), F.sum("m").alias("m"))
+    sums = sums.withColumn("r", F.col("r") + F.col("p") * before("m", Window.partitionBy(*keys).orderBy("_b")))
+    sums = sums.groupBy(*keys).agg(F.sum("r").alias("r"), F.sum("p").alias("p"), F.sum("m").alias("m"))
     return sums.select(*keys, F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * (F.col("m") - F.col("p"))).alias("auc"))
 
 

@@ -174,7 +174,14 @@ def corr_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(splits.correlations(table(spark, sf_dir, "lineitem"), _NUM), ["r"])
 
 
-@query()
+_PRUNED = ["close", "ma7", "ma8", "lag1", "twice", "one"]
+_PAIR = lambda a, b: f"CASE WHEN abs(coalesce(CASE WHEN stddev_pop({a}) FILTER (WHERE {b} IS NOT NULL) > 0 AND stddev_pop({b}) FILTER (WHERE {a} IS NOT NULL) > 0 THEN corr({a}, {b}) END, 0)) > 0.9 THEN '{a} {b}' END"
+
+
+@query(f"""WITH RECURSIVE {BARS}, f AS (SELECT close, {roll('close', 7, 'avg')} AS ma7, {roll('close', 8, 'avg')} AS ma8, lag(close) {W} AS lag1, close * 2 AS twice, 1.0::DOUBLE AS one FROM bars),
+b AS (SELECT [{', '.join(_PAIR(x, y) for i, x in enumerate(_PRUNED) for y in _PRUNED[i + 1:])}] AS bad FROM f), o AS (SELECT {_PRUNED} AS names),
+k AS (SELECT 0 AS i, []::VARCHAR[] AS kept UNION ALL SELECT i + 1, CASE WHEN len(list_filter(kept, lambda x: list_contains(bad, x || ' ' || names[i + 1]))) > 0 THEN kept ELSE list_append(kept, names[i + 1]) END FROM k CROSS JOIN b CROSS JOIN o WHERE i < {len(_PRUNED)})
+SELECT unnest(kept) AS feature FROM k WHERE i = {len(_PRUNED)}""")
 def corr_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kept features: the later one of each pair above 0.9 goes; a constant column stays."""
     w = clean.by(KEYS, TS)
@@ -200,6 +207,13 @@ def point_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(rounded(metrics.point_metrics(forecasts(spark, sf_dir), KEYS, "target", "mid"), ["mse"], 2), ["mae"], 4), ["r2", "mape", "median_ape"])
 
 
+@query(f"""WITH {BARS}, {_FORECAST} SELECT series_id, count(*) AS n, round(avg(abs((mid - target) / target)), 6) AS mape, round(avg(abs((naive - target) / target)), 6) AS naive_mape, round(100 * avg((upper - lower) / mid), 4) AS width_pct FROM q WHERE naive IS NOT NULL GROUP BY 1""")
+def naive_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The middle's MAPE beside that of the day before's close, and the range's width in percent."""
+    df = metrics.relative_metrics(forecasts(spark, sf_dir).where("naive is not null"), KEYS, "target", "mid", "naive", "lower", "upper")
+    return rounded(rounded(df, ["mape", "naive_mape"]), ["width_pct"], 4)
+
+
 @query(f"""WITH {BARS}, {_FORECAST} SELECT series_id, count(*) AS n, round(avg(CAST(target BETWEEN lower AND upper AS INTEGER)), 6) AS coverage, round(avg(upper - lower), 4) AS width, round(avg(CAST(target > upper AS INTEGER)), 6) AS upper_miss,
     round(avg(CAST(target < lower AS INTEGER)), 6) AS lower_miss, round(avg(abs(target - mid)), 4) AS mae_mid, round(avg((greatest(0.1 * (target - lower), -0.9 * (target - lower)) + greatest(0.5 * (target - mid), -0.5 * (target - mid)) + greatest(0.9 * (target - upper), -0.1 * (target - upper))) / 3), 4) AS pinball,
     round(avg(CAST(sign(mid) = sign(target) AS INTEGER)), 6) AS direction_accuracy FROM q GROUP BY 1""")
@@ -409,12 +423,23 @@ def label_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(text.label_distribution(splits.date_quantile_split(a, "date"), ["split"], "label"), ["share"])
 
 
-@query(f"""WITH {_OVER}, v AS (SELECT id, reference AS gold, model_label, final_label, CAST(id AS BIGINT) % 17 = 0 AS uncertain FROM ov),
-m AS (SELECT 'model' AS model, gold, model_label AS predicted, uncertain FROM v UNION ALL SELECT 'override', gold, final_label, uncertain FROM v)
-SELECT model, count(*) FILTER (WHERE uncertain) AS n_uncertain, count(*) FILTER (WHERE NOT uncertain) AS n_certain, round(avg(CAST(gold = predicted AS INTEGER)) FILTER (WHERE NOT uncertain), 6) AS accuracy FROM m GROUP BY 1""")
+_F1 = lambda c: f"coalesce(2.0 * count(*) FILTER (WHERE gold = '{c}' AND predicted = '{c}') / nullif(count(*) FILTER (WHERE gold = '{c}') + count(*) FILTER (WHERE predicted = '{c}'), 0), 0)"
+_GOLD2 = "CASE WHEN CAST(id AS BIGINT) % 11 = 0 THEN 'neutral' ELSE reference END"
+
+
+@query(f"""WITH {_OVER}, g AS (SELECT id, 'v1' AS version, reference AS gold, model_label, final_label, CAST(id AS BIGINT) % 17 = 0 AS uncertain FROM ov UNION ALL SELECT id, 'v2', {_GOLD2}, model_label, final_label, CAST(id AS BIGINT) % 23 = 0 FROM ov),
+m AS (SELECT version, 'model' AS model, gold, model_label AS predicted, uncertain FROM g UNION ALL SELECT version, 'override', gold, final_label, uncertain FROM g),
+sz AS (SELECT version, model, count(*) FILTER (WHERE uncertain) AS n_uncertain, count(*) FILTER (WHERE NOT uncertain) AS n_certain FROM m GROUP BY 1, 2),
+sc AS (SELECT version, model, round(avg(CAST(gold = predicted AS INTEGER)), 6) AS accuracy, round(({_F1('negative')} + {_F1('neutral')} + {_F1('positive')}) / 3, 6) AS macro_f1 FROM m WHERE NOT uncertain GROUP BY 1, 2)
+SELECT version, model, n_uncertain, n_certain, accuracy, macro_f1 FROM sz JOIN sc USING (version, model)""")
 def version_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two label versions against one reference; uncertain rows are counted apart."""
-    df = overridden(spark, sf_dir).withColumn("uncertain", F.col("id").cast("long") % 17 == 0)
-    rows = reduce(DataFrame.unionByName, [df.select(F.lit(m).alias("model"), F.col("reference").alias("gold"), F.col(c).alias("predicted"), "uncertain") for m, c in (("model", "model_label"), ("override", "final_label"))])
-    right = F.when(~F.col("uncertain"), (F.col("gold") == F.col("predicted")).cast("double"))
-    return rows.groupBy("model").agg(F.count_if("uncertain").alias("n_uncertain"), F.count_if(~F.col("uncertain")).alias("n_certain"), F.round(F.avg(right), 6).alias("accuracy"))
+    """Two label sets against two gold versions: accuracy and macro F1 of the certain rows; uncertain ones are counted."""
+    df, id = overridden(spark, sf_dir), F.col("id").cast("long")
+    second = F.when(id % 11 == 0, "neutral").otherwise(F.col("reference"))
+    gold = {"v1": (F.col("reference"), id % 17 == 0), "v2": (second, id % 23 == 0)}
+    cells = [F.struct(F.lit(v).alias("version"), F.lit(m).alias("model"), g.alias("gold"), F.col(c).alias("predicted"), u.alias("uncertain")) for v, (g, u) in gold.items() for m, c in (("model", "model_label"), ("override", "final_label"))]
+    rows = df.select(F.inline(F.array(*cells)))
+    sizes = rows.groupBy("version", "model").agg(F.count_if("uncertain").alias("n_uncertain"), F.count_if(~F.col("uncertain")).alias("n_certain"))
+    counts = metrics.confusion(rows.where("not uncertain"), ["version", "model"], "gold", "predicted")
+    scores = metrics.confusion_metrics(counts, ["version", "model"], CLASSES).drop("n")
+    return rounded(sizes.join(scores, ["version", "model"]), ["accuracy", "macro_f1"])

@@ -49,11 +49,23 @@ def vol_scaled_band(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- feature stages and boosting -------------------------------------------------------------------
 UNIVARIATE = ["lag_1", "lag_3", "lag_7", "roll_mean_7", "roll_std_7", "roll_mean_30", "roll_std_30", "dayofweek", "month", "quarter", "dayofyear"]
 TECHNICAL = ["ema_8", "ema_21", "rsi_14", "bb_percent_b_20", "bb_width_20", "atr_norm_14", "volatility_30d", "drawdown_30d", "channel_pos_30d", "log_return_7d"]
-STAGES = [UNIVARIATE, UNIVARIATE + TECHNICAL, UNIVARIATE + TECHNICAL + ["volume", "price_release"]]
+MACRO = ["volume", "price_release", "spread_release"]
+ONCHAIN = ["chain_transfers", "chain_quantity", "chain_quantity_change", "chain_mean_value", "chain_active_suppliers"]
+CALENDAR = ["dayofweek", "month", "quarter", "dayofyear"]
+STAGES = [UNIVARIATE, UNIVARIATE + TECHNICAL, UNIVARIATE + TECHNICAL + MACRO, UNIVARIATE + TECHNICAL + MACRO + ONCHAIN]
+
+
+def onchain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily activity of the whole market, from shipments: the stand-in for on-chain measures."""
+    day = F.to_date("l_shipdate").alias("date")
+    found = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(day).agg(
+        F.count("*").cast("double").alias("chain_transfers"), F.sum("l_quantity").alias("chain_quantity"), F.avg("l_extendedprice").alias("chain_mean_value"), F.approx_count_distinct("l_suppkey").cast("double").alias("chain_active_suppliers")
+    )
+    return found.withColumn("chain_quantity_change", windows.percent_change("chain_quantity", Window.orderBy("date"), 7))  # a row for each day
 
 
 def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages' features in one table: univariate, technical, volume and a lagged monthly release."""
+    """All stages' features in one table: univariate, technical, volume and lagged monthly releases, activity."""
     w = clean.by(KEYS, TS)
     df = calendar_features(bars(spark, sf_dir), "date")
     df = df.withColumns({f"lag_{n}": windows.lag("close", n, w) for n in (1, 3, 7)} | {f"roll_{h}_{n}": windows.rolling("close", n, w, h) for h in ("mean", "std") for n in (7, 30)})
@@ -61,8 +73,9 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = indicators.ema_features(df, KEYS, TS, (8, 21))
     df = indicators.bollinger(indicators.rsi(df, KEYS, TS, (14,)), KEYS, TS, (20,))
     df = indicators.atr(df, KEYS, TS, (14,))
-    low = raw_daily(spark, sf_dir).groupBy("series_id", F.trunc("date", "MM").alias("date")).agg(F.avg("close").alias("price_release"))
-    df = joins.release_lagged(df, low, KEYS, TS, {"price_release": 75})
+    low = raw_daily(spark, sf_dir).groupBy("series_id", F.trunc("date", "MM").alias("date")).agg(F.avg("close").alias("price_release"), F.avg(F.col("high") - F.col("low")).alias("spread_release"))
+    df = joins.release_lagged(df, low, KEYS, TS, {"price_release": 75, "spread_release": 45})
+    df = df.join(onchain(spark, sf_dir), "date", "left")
     return df.withColumn("target", windows.future_return("close", 30, w))
 
 
@@ -86,43 +99,58 @@ def model_folds(spark: SparkSession, sf_dir: str, columns: list[str], folds: int
 
 @query()
 def gbt_point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boosted trees in purged walk-forward folds over all series: errors by fold."""
+    """Boosted trees in purged walk-forward folds over all series, on calendar features alone and on all of stage 2:
+    errors by fold.
+
+    10 rounds at most; the last tenth of a fold's training days ends them early.  The operator's default is 100.
+    """
     folds = model_folds(spark, sf_dir, STAGES[1])
-    return metrics.point_metrics(forecast.boosted_points(folds, STAGES[1], "target", rounds=10, depth=4), ["fold"], "target", "prediction")
+    last = folds.where("role = 'train'").groupBy("fold").agg(F.date_sub(F.max("date"), (F.datediff(F.max("date"), F.min("date")) / 10).cast("int")).alias("late"))
+    folds = written(folds.join(F.broadcast(last), "fold"), "folds")  # a row for each fold
+    made = [forecast.boosted_points(folds, c, "target", rounds=10, depth=4, stop=F.col("date") > F.col("late")).withColumn("features", F.lit(n)) for n, c in (("calendar", CALENDAR), ("stage 2", STAGES[1]))]
+    return metrics.point_metrics(joins.stack(made), ["features", "fold"], "target", "prediction")
 
 
 @query()
 def pinball_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quantile boosting for the last fold's band, with size-dependent leaves and a cosine learning rate."""
-    folds = model_folds(spark, sf_dir, STAGES[1]).where("fold = 3")
-    n = folds.where("role = 'train'").count()
-    leaf, _, shrink = forecast.adaptive_settings(n)
-    rounds = 5
-    made = None
-    for name, q in (("lower", Q10), ("mid", Q50), ("upper", Q90)):
-        got = forecast.pinball_boosting(folds, STAGES[1], "target", q, F.col("role") == "train", rounds, 3, lambda i: 3 * forecast.cosine_rate(i, rounds), int(leaf), shrink)
-        got = written(got.select("series_id", "date", "role", "target", F.col("prediction").alias(name)), "quantile")
-        made = got if made is None else made.join(got.drop("role", "target"), ["series_id", "date"])
-    ordered = made.withColumns({"lower": F.least("lower", "mid", "upper"), "upper": F.greatest("lower", "mid", "upper")})
-    return metrics.interval_metrics(ordered, ["role"], "target", "lower", "mid", "upper")
+    """Quantile boosting for each fold's band: size-dependent leaves and penalties, a cosine learning rate, four
+    fifths of rows and columns a round.
+
+    5 rounds; the operator's default is 100.
+    """
+    every = model_folds(spark, sf_dir, STAGES[1])
+    sizes = {r["fold"]: r["n"] for r in every.where("role = 'train'").groupBy("fold").agg(F.count("*").alias("n")).collect()}  # a row for each fold
+    rounds, out = 5, []
+    for fold, n in sorted(sizes.items()):
+        folds, made = every.where(F.col("fold") == fold), None
+        leaf, cut, shrink = forecast.adaptive_settings(n)
+        for name, q in (("lower", Q10), ("mid", Q50), ("upper", Q90)):
+            got = forecast.pinball_boosting(folds, STAGES[1], "target", q, F.col("role") == "train", rounds, 3, lambda i: 3 * forecast.cosine_rate(i, rounds), int(leaf), shrink, cut, 0.8, 0.8)
+            got = written(got.select("series_id", "date", "role", "target", F.col("prediction").alias(name)), "quantile")
+            made = got if made is None else made.join(got.drop("role", "target"), ["series_id", "date"])
+        out.append(made.withColumns({"fold": F.lit(fold), "lower": F.least("lower", "mid", "upper"), "upper": F.greatest("lower", "mid", "upper")}))
+    return metrics.interval_metrics(joins.stack(out), ["fold", "role"], "target", "lower", "mid", "upper")
 
 
 # -- direction classification ----------------------------------------------------------------------
 @query()
 def stacking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base learners, their average and stacked meta-learners: thresholds from validation, scores on test."""
+    """Base learners, their average and stacked meta-learners: thresholds from validation, scores on test.
+
+    Tuned over SMALL_GRID on 2 folds, each scaled by its own training rows; the operators' default is FULL_GRID.
+    """
     df = feature_table(spark, sf_dir).drop("target")
     label = labelled(spark, sf_dir).select("series_id", "date", F.col("label").alias("y"))
     ready = clean.complete(df.join(label, ["series_id", "date"]), [*STAGES[1], "y"]).withColumn("y", F.col("y").cast("double"))
     parts = splits.purged_split(ready, KEYS, TS).where("split is not null").drop("rn", "n")
     coded = classify.scaled(classify.with_class_weights(parts, "y", F.col("split") == "train"), STAGES[1], F.col("split") == "train")
-    coded = written(coded.select("series_id", "date", "split", "y", "weight", "features"), "direction")
+    coded = written(coded.select("series_id", "date", "split", "y", "weight", "raw", "features"), "direction")
     folds = written(splits.purged_folds(coded.where("split = 'train'"), KEYS, TS, 2), "tuning")
-    scores, fitted = classify.base_predictions(coded, folds, ["series_id", "date"])
+    scores, fitted = classify.base_predictions(coded, folds, ["series_id", "date"], classify.SMALL_GRID)
     models = list(fitted)
     wide = written(classify.wide_scores(scores, ["series_id", "date"], models), "wide")
     meta_folds = splits.purged_folds(wide.where("split = 'validation'"), KEYS, TS, 2)
-    meta = classify.stack_predictions(wide, ["series_id", "date"], models, meta_folds)
+    meta = classify.stack_predictions(wide, ["series_id", "date"], models, meta_folds, 20, 10)
     average = wide.select("series_id", "date", "y", F.when(F.col("split") == "test", "test").otherwise("oof").alias("split"), F.lit("average").alias("model"), F.col("average").alias("score"))
     base = scores.select("series_id", "date", "y", F.when(F.col("split") == "test", "test").otherwise("oof").alias("split"), "model", "score")
     every = written(joins.stack([base, average, meta.select("series_id", "date", "y", "split", "model", "score")]), "scores")
@@ -139,7 +167,7 @@ def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready = clean.complete(df, [*STAGES[1], "target"]).withColumn("y", (F.col("target") > 0).cast("double"))
     train = splits.purged_split(ready, KEYS, TS, horizon=30).where("split = 'train'")
     coded = written(classify.scaled(classify.with_class_weights(train, "y", F.lit(True)), STAGES[1], F.lit(True)).select("y", "weight", "features"), "importance")
-    fitted = {name: c[0].fit(coded) for name, c in classify.learners().items()}
+    fitted = {name: c[0].fit(coded) for name, c in classify.learners(classify.SMALL_GRID).items()}
     w = Window.partitionBy("model").orderBy(F.desc(F.abs("importance")), "feature")
     return classify.importances(fitted, STAGES[1], spark).withColumn("rank", F.row_number().over(w)).where("rank <= 15")
 
@@ -178,19 +206,24 @@ def decompose(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ACF = f"""r AS (SELECT series_id, date, v - avg(v) OVER (PARTITION BY series_id) AS x, row_number() OVER (PARTITION BY series_id ORDER BY date) AS rn FROM m),
-p AS (SELECT a.series_id, b.rn - a.rn AS lag, sum(a.x * b.x) AS p FROM r a JOIN r b ON a.series_id = b.series_id AND b.rn - a.rn BETWEEN 0 AND 12 GROUP BY 1, 2)"""
+p AS (SELECT a.series_id, b.rn - a.rn AS lag, sum(a.x * b.x) AS p FROM r a JOIN r b ON a.series_id = b.series_id AND b.rn - a.rn BETWEEN 0 AND 50 GROUP BY 1, 2)"""
 
 
-@query(f"WITH {BARS}, {_MONTHS}, {_ACF} SELECT series_id, CAST(lag AS INTEGER) AS lag, round(p / max(p) FILTER (WHERE lag = 0) OVER (PARTITION BY series_id), 6) + 0.0 AS acf FROM p")
+@query(f"WITH {BARS}, {_MONTHS}, {_ACF} SELECT series_id, CAST(lag AS INTEGER) AS lag, round(p / max(p) FILTER (WHERE lag = 0) OVER (PARTITION BY series_id), 6) + 0.0 AS acf FROM p WHERE lag <= 40")
 def acf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = rounded(joins.autocorrelation(monthly(spark, sf_dir), KEYS, TS, "v", 12), ["acf"])
+    df = rounded(joins.autocorrelation(monthly(spark, sf_dir), KEYS, TS, "v", 40), ["acf"])
     return df.select("series_id", F.col("lag").cast("int").alias("lag"), (F.col("acf") + 0.0).alias("acf"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {BARS}, {_MONTHS}, {_ACF}, a AS (SELECT series_id, lag, p / max(p) FILTER (WHERE lag = 0) OVER (PARTITION BY series_id) AS r FROM p), l AS (SELECT series_id, list(r ORDER BY lag) FILTER (WHERE lag > 0) AS r FROM a GROUP BY 1),
+f AS (SELECT series_id, 1 AS k, [r[1]] AS phi, r FROM l
+    UNION ALL SELECT series_id, k + 1, list_append(list_transform(phi, lambda x, i: x - last * phi[k - i + 1]), last), r FROM (SELECT *, (r[k + 1] - list_dot_product(phi, list_reverse(r[1:k]))) / (1 - list_dot_product(phi, r[1:k])) AS last FROM f WHERE k < 50))
+SELECT series_id, CAST(k AS INTEGER) AS lag, round(phi[k], 5) + 0.0 AS pacf FROM f UNION ALL SELECT series_id, 0, 1.0 FROM l""")
 def pacf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = joins.autocorrelation(monthly(spark, sf_dir), KEYS, TS, "v", 20)
-    return forecast.partial_autocorrelation(found.withColumn("lag", F.col("lag").cast("int")), KEYS)
+    """Partial autocorrelations of monthly sums to lag 50."""
+    found = joins.autocorrelation(monthly(spark, sf_dir), KEYS, TS, "v", 50)
+    df = forecast.partial_autocorrelation(found.withColumn("lag", F.col("lag").cast("int")), KEYS)
+    return df.withColumn("pacf", F.round("pacf", 5) + 0.0)
 
 
 @query(f"""WITH {BARS}, d AS (SELECT series_id, date, lag(close) {W} AS x, close - lag(close) {W} AS y FROM bars), s AS (SELECT series_id, count(*) AS n, regr_slope(y, x) AS b, regr_sxx(y, x) AS xx, regr_syy(y, x) AS yy, regr_sxy(y, x) AS xy FROM d WHERE x IS NOT NULL GROUP BY 1)
@@ -213,8 +246,11 @@ def ar_order_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ar_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-step forecasts within the sample (step 0), then 200 months beyond it."""
     m = written(monthly(spark, sf_dir), "monthly")
-    return forecast.ar_forecast(m, forecast.ar_order_search(m, KEYS, TS, "v"), KEYS, TS, "v", 24)
+    best = written(forecast.ar_order_search(m, KEYS, TS, "v"), "orders")
+    ahead = forecast.ar_forecast(m, best, KEYS, TS, "v", 200)
+    return joins.stack([forecast.ar_fitted(m, best, KEYS, TS, "v").withColumn("step", F.lit(0)), ahead])
 
 
 # -- volatility ------------------------------------------------------------------------------------
@@ -374,7 +410,7 @@ def tfidf_logreg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     a = audited(spark, sf_dir).where("reason = 'retained'").select("id", F.to_date("published_at").alias("date"), F.col("raw_text").alias("text"), text.weak_label("polarity").alias("label"))
     parts = splits.date_quantile_split(a, "date")
-    found, strength = text.tfidf_logistic(parts, "text", "label", "split", (0.5, 2.0), 1 << 12)
+    found, strength = text.tfidf_logistic(parts, "text", "label", "split")
     counts = metrics.confusion(found, ["split"], "label", "predicted")
     return metrics.confusion_metrics(counts, ["split"], ["negative", "neutral", "positive"]).withColumn("chosen_c", F.lit(strength))
 

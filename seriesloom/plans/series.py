@@ -182,12 +182,12 @@ def numeric_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- joins -----------------------------------------------------------------------------------------
-@query(f"""WITH {BARS}, e AS (SELECT l_returnflag AS flag, CAST(l_shipdate AS DATE) AS date, round(sum(l_quantity), 2) AS shipped FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 7 GROUP BY 1, 2)
+@query(f"""WITH {BARS}, e0 AS (SELECT l_returnflag AS flag, CAST(l_shipdate AS DATE) AS date, round(sum(l_quantity), 2) AS shipped FROM lineitem GROUP BY 1, 2), e AS (SELECT date, round(sum(shipped), 2) AS shipped FROM e0 GROUP BY 1)
 SELECT s.series_id, s.date, s.close, e.shipped FROM bars s ASOF LEFT JOIN e ON s.date >= e.date""")
 def asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last known shipment at or before each day, read in yearly buckets."""
     left = bars(spark, sf_dir).select("series_id", "date", "close")
-    right = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_linenumber = 7").groupBy(F.to_date("l_shipdate").alias("date")).agg(F.round(F.sum("l_quantity"), 2).alias("shipped"))
+    right = table(spark, sf_dir, "lineitem").groupBy(F.to_date("l_shipdate").alias("date")).agg(F.round(F.sum("l_quantity"), 2).alias("shipped"))
     right = right.crossJoin(F.broadcast(left.select("series_id").distinct()))  # one event series, read by each price series
     return joins.asof(left, right, KEYS, TS, ["shipped"], F.year("date"))
 
@@ -304,26 +304,26 @@ def _least(specs) -> str:
     return ", ".join(f"CASE WHEN c_{n} >= {max(1, m)} THEN {n} END AS {n}" for n, (_, _, m) in specs.items())
 
 
-_EMA = {f"ema_{n}": ("close", 2 / (n + 1), n) for n in (5, 8, 13, 21, 50)}
+_EMA = {f"ema_{n}": ("close", 2 / (n + 1), n) for n in (5, 8, 13, 21, 50, 100, 200)}
 
 
 @query(f"""WITH RECURSIVE {BARS}, {_recursive('bars', _EMA)}, e AS (SELECT series_id, date, {_least(_EMA)} FROM r)
 SELECT series_id, date, {', '.join(f'round({n}, 4) AS {n}, round(close / {n} - 1, 6) AS ema_distance_{n[4:]}, round({n} / lag({n}) {W} - 1, 6) AS ema_slope_{n[4:]}' for n in _EMA)} FROM e JOIN bars USING (series_id, date)""")
 def ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exponential averages by the chunked scan, with distances and slopes."""
-    spans = (5, 8, 13, 21, 50)
+    spans = (5, 8, 13, 21, 50, 100, 200)
     df = indicators.ema_features(bars(spark, sf_dir), KEYS, TS, spans)
     return rounded(rounded(df, [f"ema_{n}" for n in spans], 4), [f"ema_{k}_{n}" for n in spans for k in ("distance", "slope")]).select("series_id", "date", *[c for c in df.columns if c.startswith("ema_")])
 
 
-_RSI = {f"{c}_{n}": (c, 1 / n, n) for n in (7, 14) for c in ("g", "l")}
+_RSI = {f"{c}_{n}": (c, 1 / n, n) for n in (7, 14, 21, 28) for c in ("g", "l")}
 
 
 @query(f"""WITH RECURSIVE {BARS}, d AS (SELECT series_id, date, greatest(close - lag(close) {W}, 0) AS g0, greatest(lag(close) {W} - close, 0) AS l0, lag(close) {W} AS p FROM bars),
 x AS (SELECT series_id, date, CASE WHEN p IS NOT NULL THEN g0 END AS g, CASE WHEN p IS NOT NULL THEN l0 END AS l FROM d), {_recursive('x', _RSI)}, e AS (SELECT series_id, date, {_least(_RSI)} FROM r)
-SELECT series_id, date, {', '.join(f'round(100 - 100 / (1 + g_{n} / nullif(l_{n}, 0)), 4) AS rsi_{n}, round(50 - 100 / (1 + g_{n} / nullif(l_{n}, 0)), 4) AS rsi_distance50_{n}' for n in (7, 14))} FROM e""")
+SELECT series_id, date, {', '.join(f'round(100 - 100 / (1 + g_{n} / nullif(l_{n}, 0)), 4) AS rsi_{n}, round(50 - 100 / (1 + g_{n} / nullif(l_{n}, 0)), 4) AS rsi_distance50_{n}' for n in (7, 14, 21, 28))} FROM e""")
 def rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = indicators.rsi(bars(spark, sf_dir), KEYS, TS, (7, 14))
+    df = indicators.rsi(bars(spark, sf_dir), KEYS, TS)
     names = [c for c in df.columns if c.startswith("rsi")]
     return rounded(df, names, 4).select("series_id", "date", *names)
 
@@ -340,15 +340,17 @@ def atr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(df, [*a, "true_range"], 4), b).select("series_id", "date", "true_range", *a, *b)
 
 
-_FAST = {"e12": ("close", 2 / 13, 1), "e26": ("close", 2 / 27, 1)}
+_FAST = {f"e{n}": ("close", 2 / (n + 1), 1) for n in (5, 12, 26, 35)}
+_SIGNAL = lambda n: f"s{n} AS (SELECT series_id, date, rn, m{n}, m{n} AS g FROM m WHERE rn = 1 UNION ALL SELECT m.series_id, m.date, m.rn, m.m{n}, (1 - {2 / (n + 1)!r}) * s{n}.g + {2 / (n + 1)!r} * m.m{n} FROM s{n} JOIN m ON m.series_id = s{n}.series_id AND m.rn = s{n}.rn + 1)"
+_MACD = lambda n, x: f"round(s{n}.m{n}, 3) + 0.0 AS macd_{x}, round(s{n}.g, 3) + 0.0 AS macd_signal_{x}, round(s{n}.m{n} - s{n}.g, 3) + 0.0 AS macd_gap_{x}, round((s{n}.m{n} - s{n}.g) / close, 6) + 0.0 AS macd_hist_{x}"
 
 
-@query(f"""WITH RECURSIVE {BARS}, {_recursive('bars', _FAST)}, m AS (SELECT series_id, date, rn, e12 - e26 AS macd FROM r),
-s AS (SELECT series_id, date, rn, macd, macd AS signal FROM m WHERE rn = 1 UNION ALL SELECT m.series_id, m.date, m.rn, m.macd, 0.8 * s.signal + 0.2 * m.macd FROM s JOIN m ON m.series_id = s.series_id AND m.rn = s.rn + 1)
-SELECT series_id, date, round(macd, 3) + 0.0 AS macd, round(signal, 3) + 0.0 AS macd_signal, round(macd - signal, 3) + 0.0 AS macd_gap, round((macd - signal) / close, 6) + 0.0 AS macd_hist FROM s JOIN bars USING (series_id, date)""")
+@query(f"""WITH RECURSIVE {BARS}, {_recursive('bars', _FAST)}, m AS (SELECT series_id, date, rn, e12 - e26 AS m9, e5 - e35 AS m5 FROM r), {_SIGNAL(9)}, {_SIGNAL(5)}
+SELECT series_id, date, {_MACD(9, '12_26_9')}, {_MACD(5, '5_35_5')} FROM s9 JOIN s5 USING (series_id, date) JOIN bars USING (series_id, date)""")
 def macd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = indicators.macd(bars(spark, sf_dir), KEYS, TS, ((12, 26, 9),))
-    return df.select("series_id", "date", *[(F.round(f"{c}_12_26_9", 3) + 0.0).alias(c) for c in ("macd", "macd_signal", "macd_gap")], (F.round("macd_hist_12_26_9", 6) + 0.0).alias("macd_hist"))
+    df = indicators.macd(bars(spark, sf_dir), KEYS, TS)
+    digits = {"macd": 3, "macd_signal": 3, "macd_gap": 3, "macd_hist": 6}
+    return df.select("series_id", "date", *[(F.round(f"{c}_{x}", d) + 0.0).alias(f"{c}_{x}") for x in ("12_26_9", "5_35_5") for c, d in digits.items()])
 
 
 @query(f"""WITH {BARS}, b AS (SELECT series_id, date, close, {', '.join(f"{roll('close', n, 'avg')} AS m{n}, {roll('close', n, 'stddev_samp')} AS s{n}" for n in (14, 20, 30))} FROM bars)
@@ -432,10 +434,44 @@ def model_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(splits.correlations(f, ["naive", "smooth", "slow"]), ["r"])
 
 
-@query(f"WITH {BARS} SELECT 'bands' AS name, count(*) AS n FROM bars UNION ALL SELECT 'history', count(*) FROM daily")
+@query(f"WITH {BARS} SELECT 'bands' AS name, series_id, date, close, volume FROM bars UNION ALL SELECT 'history', series_id, date, close, volume FROM daily")
 def forecast_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forecast tables written side by side and counted where they were put."""
+    """Forecast tables written side by side and read back from where they were put."""
     path = shared_path(spark, "run")
     places = sources.write_forecast({"bands": bars(spark, sf_dir), "history": raw_daily(spark, sf_dir)}, path)
-    counts = [spark.read.parquet(p).agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n, p in places.items()]
-    return counts[0].unionByName(counts[1])
+    held = [spark.read.parquet(p).select(F.lit(n).alias("name"), "series_id", "date", "close", "volume") for n, p in places.items()]
+    return held[0].unionByName(held[1])
+
+
+@query(f"""WITH {BARS_ALL} SELECT CAST(date_trunc('month', date) AS DATE) AS date, arg_max(close, date) AS Close, max(high) AS High, min(low) AS Low, arg_min(open, date) AS Open, CAST(sum(volume) AS BIGINT) AS Volume FROM daily GROUP BY 1""")
+def source_csv_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A monthly OHLCV file in its own column order, read by name with its schema."""
+    path = shared_path(spark, "monthly")
+    months = calendars.roll_up(raw_daily(spark, sf_dir, F.lit("all")), KEYS, TS, F.trunc("date", "MM"), "date")
+    months.select("date", *[F.col(c.lower()).alias(c) for c in ("Close", "High", "Low", "Open", "Volume")]).write.option("header", True).csv(path)
+    return sources.read_csv(spark, path, sources.MONTHLY_OHLCV)
+
+
+@query(f"""WITH {BARS_ALL}, v AS (SELECT date, CASE WHEN isodow(date) <= 5 THEN round(100 * (high - low) / close, 6) END AS dvol FROM bars), k AS (SELECT * FROM v WHERE dvol IS NOT NULL)
+SELECT bars.date, close, dvol FROM bars LEFT JOIN k USING (date)""")
+def source_csv_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of closes and one of implied volatility with missing days, read with their schemas and joined by day."""
+    prices, quoted = shared_path(spark, "prices"), shared_path(spark, "dvol")
+    b = bars(spark, sf_dir, F.lit("all"))
+    b.select("date", "close").write.option("header", True).csv(prices)
+    b.where("weekday(date) < 5").select("date", F.round(100 * (F.col("high") - F.col("low")) / F.col("close"), 6).alias("dvol")).write.option("header", True).csv(quoted)
+    return sources.read_csv(spark, prices, sources.PRICE).join(sources.read_csv(spark, quoted, sources.IMPLIED_VOLATILITY), "date", "left")
+
+
+_GAPPY = f"g AS (SELECT s.series_id, s.date, d.close, d.volume, {roll('d.close', 3, 'avg').replace('PARTITION BY series_id ORDER BY date', 'PARTITION BY s.series_id ORDER BY s.date')} AS mean_3 FROM spine s LEFT JOIN daily d ON d.series_id = s.series_id AND d.date = s.date)"
+
+
+@query(f"""WITH {BARS}, {_GAPPY}, f AS (SELECT series_id, date, close, coalesce(volume, 0) AS volume, mean_3 FROM g)
+SELECT 'filled' AS rows, series_id, date, close, volume, round(mean_3, 4) AS mean_3 FROM f UNION ALL SELECT 'known_mean', series_id, date, close, volume, round(mean_3, 4) FROM g WHERE mean_3 IS NOT NULL
+UNION ALL SELECT 'complete', series_id, date, close, volume, round(mean_3, 4) FROM g WHERE close IS NOT NULL AND volume IS NOT NULL AND mean_3 IS NOT NULL""")
+def complete_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days without orders: volume filled with 0; rows without NULL in one column; rows without any NULL."""
+    g = calendars.on_spine(raw_daily(spark, sf_dir), KEYS, TS, "interval 1 day").select("series_id", "date", "close", "volume")
+    g = g.withColumn("mean_3", windows.rolling("close", 3, clean.by(KEYS, TS), "mean"))
+    parts = {"filled": clean.fill_constant(g, {"volume": 0}), "known_mean": clean.complete(g, ["mean_3"]), "complete": clean.complete(g)}
+    return rounded(joins.stack([df.withColumn("rows", F.lit(n)) for n, df in parts.items()]), ["mean_3"], 4)

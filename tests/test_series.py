@@ -207,3 +207,91 @@ def test_missing_values_raise(spark):
     with pytest.raises(ValueError, match="v"):
         quality.require_complete(frame(spark, [1.0, None]), ["v"])
     assert quality.require_complete(frame(spark, [1.0]), ["v"]).count() == 1
+
+
+def test_scan_is_linear_and_spans_are_cut(spark):
+    n = 60_000
+    df = spark.range(n).select(F.lit("a").alias("series_id"), F.timestamp_seconds(F.lit(1_600_000_000) + F.col("id") * 60).alias("date"), ((F.col("id") * 7919) % 97).cast("double").alias("v"))
+    got = scan.ema(df, KEYS, "date", {"e": ("v", 0.1, 5)}).orderBy("date").select("e").toPandas()["e"]
+    want = pd.Series([float(i * 7919 % 97) for i in range(n)]).ewm(alpha=0.1, adjust=False, min_periods=5).mean()
+    assert np.allclose(got.to_numpy(dtype=float), want, rtol=1e-9, equal_nan=True)
+
+
+def test_running_states(spark):
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(50)), lambda x: x.cast("double")).alias("v"), F.array().cast("array<double>").alias("none"))
+    row = df.select(scan.running(F.col("v"), F.lit(0.0), lambda s, x: s / 2 + x).alias("r")).collect()[0]
+    want, state = [], 0.0
+    for x in range(1, 51):
+        state = state / 2 + x
+        want.append(state)
+    assert np.allclose(row.r, want)
+
+
+def test_auc_by_buckets_equals_pairs(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.choice("ab"), float(rnd.random() < 0.4), rnd.choice([round(rnd.gauss(0, 2), 1), rnd.random() * 1e6, -5.0])) for _ in range(400)]
+    got = {r.k: r.auc for r in metrics.auc(spark.createDataFrame(rows, "k string, y double, s double"), ["k"], "y", "s").collect()}
+    for k in "ab":
+        pos, neg = [s for g, y, s in rows if g == k and y], [s for g, y, s in rows if g == k and not y]
+        assert abs(got[k] - np.mean([(p > n) + (p == n) / 2 for p in pos for n in neg])) < 1e-12
+    one = metrics.auc(spark.createDataFrame([(1.0, 0.3)], "y double, s double"), [], "y", "s").collect()
+    assert one[0].auc is None
+
+
+def test_autoregression_equals_least_squares(spark):
+    rnd = random.Random(11)
+    level, values = 100.0, []
+    for i in range(90):
+        level += rnd.gauss(0, 1) + 3 * np.sin(i * np.pi / 6)
+        values.append(level)
+    df = frame(spark, values)
+    found = forecast.ar_order_search(df, KEYS, TS, "v")
+    v = np.diff(np.array(values))
+    y = v[12:] - v[:-12]
+    rows = {(r.p, r.seasonal_p): r for r in found.collect()}
+    for (p, sp), r in rows.items():
+        lags = [*range(1, p + 1), *[12 * k for k in range(1, sp + 1)]]
+        at = np.arange(24, len(y))
+        x = np.column_stack([np.ones(len(at)), *[y[at - k] for k in lags]])
+        beta, *_ = np.linalg.lstsq(x, y[at], rcond=None)
+        rss = ((y[at] - x @ beta) ** 2).sum()
+        assert r.n == len(at) and np.allclose(r.coefficients, beta, rtol=1e-6, atol=1e-8)
+        assert abs(r.aic - (len(at) * np.log(rss / len(at)) + 2 * (len(lags) + 2))) < 1e-6
+    best = min(rows.values(), key=lambda r: (r.aic, r.p, r.seasonal_p))
+    assert best["rank"] == 1
+    ahead = [r.forecast for r in forecast.ar_forecast(df, found, KEYS, TS, "v", 3).orderBy("step").collect()]
+    changes, twice, last, want = v.tolist(), y.tolist(), values[-1], []
+    for _ in range(3):
+        lags = [*range(1, best.p + 1), *[12 * k for k in range(1, best.seasonal_p + 1)]]
+        twice.append(best.coefficients[0] + sum(b * twice[-k] for b, k in zip(best.coefficients[1:], lags, strict=True)))
+        changes.append(twice[-1] + changes[-12])
+        last += changes[-1]
+        want.append(last)
+    assert np.allclose(ahead, want)
+    inside = {r.date: r.forecast for r in forecast.ar_fitted(df, found, KEYS, TS, "v").collect()}
+    i = 70
+    lags = [*range(1, best.p + 1), *[12 * k for k in range(1, best.seasonal_p + 1)]]
+    j = i - 13  # y[j] = v[j + 12] - v[j], v[k] = values[k + 1] - values[k]
+    step = best.coefficients[0] + sum(b * y[j - k] for b, k in zip(best.coefficients[1:], lags, strict=True))
+    assert abs(inside[dt.date(2020, 1, 1) + dt.timedelta(days=i)] - (values[i - 1] + v[i - 13] + step)) < 1e-6
+
+
+def test_grids_and_adaptive_penalties(spark):
+    from seriesloom.operators import classify
+
+    assert {n: len(c) for n, c in classify.learners().items()} == {"gbt": 36, "gbt_shallow": 36, "forest": 12, "logistic": 9}
+    assert {n: len(c) for n, c in classify.learners(classify.SMALL_GRID).items()} == {"gbt": 1, "gbt_shallow": 1, "forest": 2, "logistic": 2}
+    rows = [("a", dt.date(2020, 1, 1) + dt.timedelta(days=i), float(i % 10), float(i % 10)) for i in range(200)]
+    df = spark.createDataFrame(rows, "series_id string, date date, x double, y double")
+    still = forecast.pinball_boosting(df, ["x"], "y", 0.5, F.lit(True), rounds=2, cut=1e9)
+    assert still.agg(F.countDistinct("prediction")).collect()[0][0] == 1
+    moved = forecast.pinball_boosting(df, ["x"], "y", 0.5, F.lit(True), rounds=2, rows_share=0.5, columns_share=0.5)
+    assert moved.agg(F.countDistinct("prediction")).collect()[0][0] > 1
+
+
+def test_folds_are_scaled_by_their_own_training_rows(spark):
+    from seriesloom.operators import classify
+
+    df = classify.with_raw(spark.createDataFrame([("train", 1.0), ("train", 3.0), ("validation", 100.0)], "role string, x double"), ["x"])
+    got = {r.x: r.features[0] for r in classify.rescaled(df, F.col("role") == "train").collect()}
+    assert abs(got[1.0] + got[3.0]) < 1e-12 and abs(got[100.0] - 98 / 2**0.5) < 1e-9
