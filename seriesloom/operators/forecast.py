@@ -13,23 +13,25 @@ from pyspark.sql import functions as F
 
 from ..storage import written
 from .clean import by
+from .quantiles import quantiles
 from .scan import affine_scan
 from .windows import centred_mean
 
 BAND = (0.1, 0.5, 0.9)
+ACCURACY = 10_000
 
 
 # -- baselines -------------------------------------------------------------------------------------
 def constant_band(folds: DataFrame, keys: list[str], target: str, q: tuple[float, ...] = BAND) -> DataFrame:
     """Test rows with the quantiles of the target over their fold's training rows."""
-    train = folds.where("role = 'train'").groupBy(*keys, "fold").agg(F.percentile(target, list(q)).alias("_q"))
+    train = quantiles(folds.where("role = 'train'"), [*keys, "fold"], target, list(q))
     return folds.where("role = 'test'").join(train, [*keys, "fold"]).withColumns({"lower": F.col("_q")[0], "mid": F.col("_q")[1], "upper": F.col("_q")[2]}).drop("_q")
 
 
 def scaled_band(folds: DataFrame, keys: list[str], target: str, sigma: str, q: tuple[float, float] = (0.1, 0.9)) -> DataFrame:
     """Training quantiles of target over volatility, times the row's volatility; the middle is 0."""
     held = folds.withColumn("_z", F.try_divide(target, F.col(sigma)))
-    train = held.where("role = 'train'").groupBy(*keys, "fold").agg(F.percentile("_z", list(q)).alias("_q"))
+    train = quantiles(held.where("role = 'train'"), [*keys, "fold"], "_z", list(q))
     out = held.where("role = 'test'").join(train, [*keys, "fold"])
     return out.withColumns({"lower": F.col("_q")[0] * F.col(sigma), "mid": F.lit(0.0), "upper": F.col("_q")[1] * F.col(sigma)}).drop("_q", "_z")
 
@@ -76,7 +78,8 @@ def pinball_boosting(
 ) -> DataFrame:
     """`df` with `prediction`: trees fitted to the pinball gradient, leaves set to the quantile of their errors.
 
-    Each round is one tree, one grouped percentile over its leaves and one join with that small table; every
+    Each round is one tree, one grouped percentile (off by 1/ACCURACY of the ranks at most) over its leaves and one
+    join with that small table; every
     fifth round is written, so lineage stays short.  A leaf's step is its quantile over its m rows, where
     `cut` (L1) is taken off m times the quantile and `shrink` (L2) is added to m.  A round's tree sees the share of
     training rows that a hash of features and round picks, and a drawn share of the columns.
@@ -85,7 +88,7 @@ def pinball_boosting(
     from pyspark.ml.regression import DecisionTreeRegressor
 
     now = _features(df, columns).withColumn("_train", train)
-    start = now.where("_train").agg(F.percentile(target, q)).collect()[0][0]
+    start = now.where("_train").agg(F.percentile_approx(target, q, ACCURACY)).collect()[0][0]
     now = written(now.withColumn("prediction", F.lit(float(start))), "pinball")
     tree = DecisionTreeRegressor(featuresCol="_own", labelCol="_g", maxDepth=depth, minInstancesPerNode=leaf, seed=seed).setLeafCol("_leaf").setPredictionCol("_p")
     drawn = np.random.default_rng(seed)
@@ -95,7 +98,7 @@ def pinball_boosting(
         graded = VectorSlicer(inputCol="features", outputCol="_own", indices=own).transform(now.withColumn("_g", F.when(F.col(target) > F.col("prediction"), q).otherwise(q - 1)))
         picked = F.col("_train") & (F.pmod(F.xxhash64(F.lit(seed + i), *columns), F.lit(10_000)) < int(rows_share * 10_000))
         placed = tree.fit(graded.where(picked)).transform(graded)
-        leaves = placed.where(picked).groupBy("_leaf").agg(F.percentile(F.col(target) - F.col("prediction"), q).alias("_e"), F.count("*").alias("_m"))
+        leaves = placed.where(picked).groupBy("_leaf").agg(F.percentile_approx(F.col(target) - F.col("prediction"), q, ACCURACY).alias("_e"), F.count("*").alias("_m"))
         moved = placed.join(F.broadcast(leaves), "_leaf", "left")  # at most 2 ** depth rows
         pull = F.signum("_e") * F.greatest(F.abs("_e") * F.col("_m") - cut, F.lit(0.0)) / (F.col("_m") + shrink)
         now = moved.withColumn("prediction", F.col("prediction") + step * F.coalesce(pull, F.lit(0.0))).select(now.columns)

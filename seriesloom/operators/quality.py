@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .clean import by
 from .joins import compare_runs
+from .quantiles import quantiles
 
 TUKEY = 1.5  # fixed value: the usual fence factor
 
@@ -43,11 +44,14 @@ def date_format_profile(df: DataFrame, column: str) -> DataFrame:
 def iqr_outliers(df: DataFrame, columns: list[str], factor: float = TUKEY, accuracy: int | None = None) -> DataFrame:
     """Fences of each column and what lies outside: count, share, least and largest outlier.
 
-    With `accuracy` the quartiles are approximate and of bounded memory; without it they are exact.
+    With `accuracy` the quartiles are approximate and come from one pass; without it they are exact, from ranks
+    within buckets.
     """
     rows = long_form(df, columns).where("value is not null")
-    points = F.percentile_approx("value", [0.25, 0.75], accuracy) if accuracy else F.percentile("value", [0.25, 0.75])
-    bounds = rows.groupBy("column_name").agg(points.alias("q"))
+    if accuracy:
+        bounds = rows.groupBy("column_name").agg(F.percentile_approx("value", [0.25, 0.75], accuracy).alias("q"))
+    else:
+        bounds = quantiles(rows, ["column_name"], "value", [0.25, 0.75], name="q")
     spread = F.col("q")[1] - F.col("q")[0]
     bounds = bounds.select("column_name", (F.col("q")[0] - factor * spread).alias("lower"), (F.col("q")[1] + factor * spread).alias("upper"))
     out = (F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper"))
@@ -86,14 +90,18 @@ def classify_missing(df: DataFrame, keys: list[str], ts: str, windows: dict[str,
     )
 
 
-def audit(df: DataFrame, reasons: list[tuple[str, Column]], duplicate_key: list[Column], order: list[Column]) -> DataFrame:
+def audit(df: DataFrame, reasons: list[tuple[str, Column]], duplicate_key: Column, order: list[Column]) -> DataFrame:
     """Each row's first matching reason to leave it out, then `duplicate` for all but the first row of a key
-    among the rest, then `retained`: the counts of the reasons add up to the rows."""
+    among the rest, then `retained`: the counts of the reasons add up to the rows.
+
+    `order` tells the rows of a key apart.  The first one is a grouped minimum, combined before the shuffle, so
+    copies of a frequent key don't meet in a task to be sorted.
+    """
     reason = reduce(lambda acc, r: acc.when(r[1], r[0]), reasons[1:], F.when(reasons[0][1], reasons[0][0]))
-    marked = df.withColumn("_early", reason)
-    w = Window.partitionBy(F.col("_early").isNull(), *duplicate_key).orderBy(*order)
-    turn = F.row_number().over(w)
-    return marked.withColumn("reason", F.coalesce("_early", F.when(turn > 1, "duplicate").otherwise("retained"))).drop("_early")
+    marked = df.withColumns({"_early": reason, "_key": duplicate_key}).withColumn("_order", F.struct(*order))
+    first = marked.where("_early is null").groupBy("_key").agg(F.min("_order").alias("_first"))
+    turn = F.when(F.col("_order") == F.col("_first"), "retained").otherwise("duplicate")
+    return marked.join(first, "_key", "left").withColumn("reason", F.coalesce("_early", turn)).drop("_early", "_key", "_order", "_first")
 
 
 def leakage(df: DataFrame, feature: Callable[[DataFrame], DataFrame], keys: list[str], ts: str, columns: list[str], out: list[str], cut) -> DataFrame:

@@ -25,7 +25,7 @@ def clean_and_audit(articles: DataFrame, text: str, published: str, label: str,
         ("empty", F.col(text).isNull() | (F.length(normalised(text)) == 0)),
         ("missing_label", F.col(label).isNull()),
     ]
-    return audit(articles, reasons, [F.xxhash64(normalised(text))], [F.col(published), F.col(id)])
+    return audit(articles, reasons, F.sha2(normalised(text), 256), [F.col(published), F.col(id)])
 
 
 def label_distribution(df: DataFrame, keys: list[str], label: str) -> DataFrame:

@@ -295,3 +295,15 @@ def test_folds_are_scaled_by_their_own_training_rows(spark):
     df = classify.with_raw(spark.createDataFrame([("train", 1.0), ("train", 3.0), ("validation", 100.0)], "role string, x double"), ["x"])
     got = {r.x: r.features[0] for r in classify.rescaled(df, F.col("role") == "train").collect()}
     assert abs(got[1.0] + got[3.0]) < 1e-12 and abs(got[100.0] - 98 / 2**0.5) < 1e-9
+
+
+def test_quantiles_of_groups(spark):
+    from seriesloom.operators.quantiles import quantiles
+
+    rnd = random.Random(13)
+    rows = [("ab"[i % 3 == 0], rnd.choice([rnd.gauss(0, 100), 7.0, None, -1e9])) for i in range(900)] + [("c", 5.0), ("d", None), ("e", 2.0), ("e", 2.0)]
+    points = [0.0, 0.1, 0.5, 0.9, 1.0]
+    got = {r.k: r._q for r in quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", points, buckets=16).collect()}
+    assert set(got) == set("abce")
+    for k in got:
+        assert np.allclose(got[k], np.quantile([v for g, v in rows if g == k and v is not None], points))
