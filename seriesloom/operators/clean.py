@@ -15,10 +15,22 @@ def last_known(c: str, w: WindowSpec) -> Column:
     return F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
 
 
-def ffill(df: DataFrame, columns: list[str], keys: list[str], ts: str) -> DataFrame:
-    """Each NULL takes the last value before it."""
-    w = by(keys, ts)
-    return df.withColumns({c: last_known(c, w) for c in columns})
+def ffill(df: DataFrame, columns: list[str], keys: list[str], ts: str, bucket: Column | None = None) -> DataFrame:
+    """Each NULL takes the last value before it.
+
+    With `bucket`, which must grow with the time, a task holds one bucket of a series: the last value of each
+    bucket is carried over to the next ones, a row for each bucket.
+    """
+    if bucket is None:
+        w = by(keys, ts)
+        return df.withColumns({c: last_known(c, w) for c in columns})
+    placed = df.withColumn("_bucket", bucket)
+    last = placed.groupBy(*keys, "_bucket").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(ts))).alias(f"_last_{c}") for c in columns])
+    before = by(keys, "_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(*keys, "_bucket", *[F.last(f"_last_{c}", ignorenulls=True).over(before).alias(f"_carry_{c}") for c in columns])
+    w = by([*keys, "_bucket"], ts)
+    filled = placed.withColumns({c: last_known(c, w) for c in columns}).join(carried, [*keys, "_bucket"])
+    return filled.withColumns({c: F.coalesce(c, f"_carry_{c}") for c in columns}).select(df.columns)
 
 
 def bfill_leading(df: DataFrame, columns: list[str], keys: list[str], ts: str, suffix: str = "_is_backfilled") -> DataFrame:

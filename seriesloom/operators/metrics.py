@@ -170,10 +170,10 @@ def kupiec(df: DataFrame, keys: list[str], miss: Column, p: float) -> DataFrame:
 
 def diebold_mariano(df: DataFrame, keys: list[str], ts: str, loss_a: str, loss_b: str, lags: int) -> DataFrame:
     """Mean loss difference over its standard error with `lags` autocovariances (Diebold and Mariano, 1995)."""
-    w = Window.partitionBy(*keys)
     d = df.withColumn("_d", F.col(loss_a) - F.col(loss_b))
-    d = d.withColumn("_c", F.col("_d") - F.avg("_d").over(w))
-    shifted = d.withColumns({f"_c{k}": F.lag("_c", k).over(w.orderBy(ts)) for k in range(1, lags + 1)})
+    means = d.groupBy(*keys).agg(F.avg("_d").alias("_mean"))
+    d = (d.join(means, keys) if keys else d.crossJoin(means)).withColumn("_c", F.col("_d") - F.col("_mean"))  # one row
+    shifted = d.withColumns({f"_c{k}": F.lag("_c", k).over(Window.partitionBy(*keys).orderBy(ts)) for k in range(1, lags + 1)})
     n = F.count("*")
     variance = F.sum(F.col("_c") * F.col("_c"))
     for k in range(1, lags + 1):

@@ -98,9 +98,9 @@ j AS (SELECT s.series_id, CAST(s.bin AS TIMESTAMP) AS bin, price, extra FROM s L
 
 @query(_first_sql("date_trunc('hour', ts)", "1 HOUR", True))
 def hourly_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly bars of the first known value, empty hours kept and filled forward."""
+    """Hourly bars of the first known value, empty hours kept and filled forward, in daily buckets."""
     first = calendars.resample_first(irregular(spark, sf_dir), KEYS, "at", ["price", "extra"], calendars.hour_bin("ts"))
-    return clean.ffill(calendars.on_spine(first, KEYS, "bin", "interval 1 hour"), ["price", "extra"], KEYS, "bin")
+    return clean.ffill(calendars.on_spine(first, KEYS, "bin", "interval 1 hour"), ["price", "extra"], KEYS, "bin", F.to_date("bin"))
 
 
 @query(_first_sql("CAST(ts AS DATE) + CAST((8 - isodow(CAST(ts AS DATE))) % 7 AS INTEGER)", "7 DAY", False).replace("CAST(s.bin AS TIMESTAMP) AS bin", "CAST(s.bin AS DATE) AS bin"))

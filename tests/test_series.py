@@ -307,3 +307,11 @@ def test_quantiles_of_groups(spark):
     assert set(got) == set("abce")
     for k in got:
         assert np.allclose(got[k], np.quantile([v for g, v in rows if g == k and v is not None], points))
+
+
+def test_fills_in_buckets_equal_plain_fills(spark):
+    rnd = random.Random(12)
+    df = frame(spark, [None if rnd.random() < 0.8 else rnd.random() for _ in range(200)])
+    for days in (1, 7, 500):
+        got = clean.ffill(df, ["v"], KEYS, TS, F.floor(F.unix_date(TS) / days))
+        assert got.columns == df.columns and column(got, "v") == column(clean.ffill(df, ["v"], KEYS, TS), "v")
