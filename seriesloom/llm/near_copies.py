@@ -1,15 +1,18 @@
-"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
-
-Texts with the same set are one node.  Min-hashes in bands (20 of 4) name the candidates: a pair at 0.8
-shares no band with a probability of (1 - 0.8^4)^20, under 3 in 100 000, and closer pairs less often.  Every
-candidate pair that could change the components is then checked by the exact similarity of the two sets: first
-each node of a band with the band's least node, then, in bands whose nodes are still apart, all pairs of
-different components.
+"""Near copies by wide SimHash: a five-word Jaccard similarity of 0.8 or more, by tiled exact comparison.
+
+Fingerprints have 256 bits over the set of five-word shingles.  The share of differing bits estimates the angle
+between two sets: at a Jaccard similarity of 0.8 it is arccos(2 * 0.8 / 1.8) / pi, 38.8 bits, with a deviation of
+5.7.  Fingerprints link at `RADIUS` bits, one deviation above, if the sets' sizes allow a similarity of 0.8;
+64 bits can't tell such pairs from unrelated ones in a large corpus, 256 can (unrelated ones differ in 128 bits,
+with a deviation of 8).  Sets meet in tiles by size: a bucket is as wide as the size ratio allows, so only
+neighbouring buckets meet.  Within a tile pair, rows are sorted by population count and blocks whose counts differ
+beyond the radius are skipped; the others are compared by exclusive-or and bit counts.  A tile pair returns a
+spanning forest of its links, never all pairs.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +23,12 @@ from pyspark.sql import types as T
 
 from .components import components
 from .shared import cut, ship, slices
+from .simhash import BLOCK, FLUSH, unite
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 4, 5  # similarity 0.8, compared in integers
-BANDS, ROWS = 20, 4
-_FACTORS = np.random.default_rng(8).integers(1 << 62, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+LANES, RADIUS = 4, 45
+_STEPS = (np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
 
 
 def shingles(text: str | None, words: int = WORDS, seed: int = 42) -> np.ndarray:
@@ -42,89 +46,122 @@ def shingles(text: str | None, words: int = WORDS, seed: int = 42) -> np.ndarray
     return np.unique(np.array([digest(joined[a:b], seed) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)], dtype=np.uint64))
 
 
-def bands(own: np.ndarray) -> list[int]:
-    """A signed 64-bit key for each band of min-hashes; none for an empty set."""
+def fingerprint(own: np.ndarray) -> np.ndarray:
+    """LANES 64-bit words; each lane's bits are the majority over the set's mixed hashes (none: zero)."""
     if not len(own):
-        return []
-    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(own), 8192):
-        np.minimum(least, (own[None, at : at + 8192] * _FACTORS[:, None]).min(axis=1), out=least)
-    keys = [xxhash.xxh3_64_intdigest(row.tobytes(), i) for i, row in enumerate(least.reshape(BANDS, ROWS))]
-    return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
-
-
-def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether the Jaccard similarity of two sets is 0.8 or more; two empty sets are alike."""
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return DENOMINATOR * shared >= NUMERATOR * (len(a) + len(b) - shared)
+        return np.zeros(LANES, dtype="<u8")
+    ones = np.zeros(64 * LANES, dtype=np.int64)
+    for at in range(0, len(own), 16_384):
+        z = own[None, at : at + 16_384] + _STEPS  # the finaliser of splitmix64, a stream for each lane
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        bits = np.unpackbits(np.ascontiguousarray(z.T).astype("<u8", copy=False).view(np.uint8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(own), bitorder="little").view("<u8")
 
 
-MARK = T.StructType([T.StructField("node", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+MARK = T.StructType([T.StructField("f", T.BinaryType()), T.StructField("size", T.LongType())])
 
 
 @F.arrow_udf(MARK)
 def marks(texts: pa.Array) -> pa.Array:
-    nodes, sizes, keys = [], [], []
+    prints, sizes = [], []
     for part in slices(pa.record_batch([texts], names=["text"]), "text"):
         for text in part.column("text").to_pylist():
             own = shingles(text)
-            nodes.append(xxhash.xxh3_64_intdigest(own.tobytes()))
+            prints.append(fingerprint(own).tobytes())
             sizes.append(len(own))
-            keys.append(bands(own))
-    return pa.StructArray.from_arrays([pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["node", "size", "bands"])
-
-
-@F.arrow_udf(T.BooleanType())
-def alike_column(left: pa.Array, right: pa.Array) -> pa.Array:
-    held = lru_cache(64)(shingles)  # the least node of a band comes often
-    return pa.array([alike(held(x.as_py()), held(y.as_py())) for x, y in zip(left, right, strict=True)], pa.bool_())
-
+    return pa.StructArray.from_arrays([pa.array(prints, pa.binary()), pa.array(sizes, pa.int64())], ["f", "size"])
 
-def _checked(pairs: DataFrame, marked: DataFrame) -> DataFrame:
-    """The pairs (a, b) of row numbers whose texts are alike."""
-    wanted = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
-    texts = marked.join(wanted, "row", "left_semi").select("row", "text")
-    left, right = texts.toDF("a", "left"), texts.toDF("b", "right")
-    return pairs.join(left, "a").join(right, "b").where(alike_column("left", "right")).select("a", "b")
 
+def compare(left: tuple, right: tuple | None, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between two tiles, or within one: places in left followed by right.
 
-def _near_in_size(x: str, y: str):
-    return DENOMINATOR * F.least(x, y) >= NUMERATOR * F.greatest(x, y)
-
-
-def links(marked: DataFrame, heads: DataFrame) -> DataFrame:
-    """Links (a, b) between the first rows of alike nodes, enough to join all that the bands bring together."""
-    first = marked.join(heads.select(F.col("head").alias("row")), "row", "left_semi")
-    places = cut(first.select("row", F.col("mark.size").alias("size"), F.explode("mark.bands").alias("k")), "bands")
-    crowded = places.groupBy("k").agg(F.min(F.struct("row", "size")).alias("least"), F.count("*").alias("n")).where("n > 1")
-    met = cut(places.join(crowded, "k"), "met")
-    star = met.where((F.col("row") > F.col("least.row")) & _near_in_size("size", "least.size"))
-    star = cut(star.select(F.col("least.row").alias("a"), F.col("row").alias("b")).distinct(), "star")
-    found = cut(_checked(star, marked), "links")
-    named = met.where("n > 2").select("k", "row", "size").join(components(found).withColumnRenamed("node", "row"), "row", "left")
-    named = cut(named.withColumn("component", F.coalesce("component", "row")), "named")
-    apart = named.groupBy("k").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("k")
-    left = named.join(apart, "k", "left_semi").select("k", "row", "size", "component")
-    right = left.toDF("k", "row_b", "size_b", "component_b")
-    rest = left.join(right, "k").where((F.col("row") < F.col("row_b")) & (F.col("component") != F.col("component_b")) & _near_in_size("size", "size_b"))
-    rest = cut(rest.select(F.col("row").alias("a"), F.col("row_b").alias("b")).distinct().join(star, ["a", "b"], "left_anti"), "rest")
-    return found.union(_checked(rest, marked))
-
-
-def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with one row of each component of near copies: one that has the smallest id.
-
-    Null or blank texts are copies of each other.  Rows without an id stay only where their whole component has none.
+    A tile is (fingerprints as rows of 64-bit words, sizes).
+    """
+    within = right is None
+    (fa, na), (fb, nb) = left, left if within else right
+    shift = 0 if within else len(na)
+    ca, cb = np.bitwise_count(fa).sum(axis=1, dtype=np.int64), np.bitwise_count(fb).sum(axis=1, dtype=np.int64)
+    order_a, order_b = np.argsort(ca, kind="stable"), np.argsort(cb, kind="stable")
+    sorted_b = cb[order_b]
+    label = np.arange(len(na) + (0 if within else len(nb)))
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting = 0
+    rows = 256
+    for at in range(0, len(order_a), rows):
+        own = order_a[at : at + rows]
+        low, high = np.searchsorted(sorted_b, ca[own[0]] - radius, "left"), np.searchsorted(sorted_b, ca[own[-1]] + radius, "right")
+        low = max(low, at) if within else low  # earlier rows have met this block
+        step = max(1, BLOCK // (8 * rows))
+        for start in range(low, high, step):
+            other = order_b[start : min(high, start + step)]
+            half = np.bitwise_count(fa[own, 0][:, None] ^ fb[other, 0][None]) + np.bitwise_count(fa[own, 1][:, None] ^ fb[other, 1][None])
+            i, j = np.nonzero(half <= radius)
+            i, j = own[i], other[j]
+            linked = label[i] != label[j + shift]
+            i, j = i[linked], j[linked]
+            if not len(i):
+                continue
+            near = np.bitwise_count(fa[i] ^ fb[j]).sum(axis=1, dtype=np.int64) <= radius
+            near &= DENOMINATOR * np.minimum(na[i], nb[j]) >= NUMERATOR * np.maximum(na[i], nb[j])
+            i, j = i[near], j[near] + shift
+            held.append((i, j))
+            waiting += len(i)
+            if waiting > FLUSH // 8:
+                label = unite(label, *map(np.concatenate, zip(*held, strict=True)))
+                held, waiting = [], 0
+    if held:
+        label = unite(label, *map(np.concatenate, zip(*held, strict=True)))
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return moved, label[moved]
+
+
+def links(nodes: DataFrame, tile_rows: int = 16_384) -> DataFrame:
+    """Links (a, b) that join the nodes of each component; `nodes` is a written table of (node, f, size)."""
+    bucket = F.floor(F.ln(F.greatest("size", F.lit(1)).cast("double")) / math.log(DENOMINATOR / NUMERATOR)).cast("int")
+    tiles = nodes.where("size > 0").withColumn("b", bucket)
+    counts = {r["b"]: r["n"] for r in tiles.groupBy("b").agg(F.count("*").alias("n")).collect()}  # a row for each bucket, some 100
+    salts = F.array(*[F.lit(-(-counts.get(b, 0) // tile_rows)) for b in range(max(counts, default=0) + 2)])
+    placed = tiles.withColumn("s", F.pmod(F.xxhash64("node"), F.get(salts, F.col("b"))).cast("int"))
+    met = placed.withColumn("q", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1))).where((F.col("q") >= 0) & (F.get(salts, F.col("q")) > 0))
+    met = met.withColumn("t", F.explode(F.sequence(F.lit(0), F.get(salts, F.col("q")) - 1)))
+    first = (F.col("b") < F.col("q")) | ((F.col("b") == F.col("q")) & (F.col("s") <= F.col("t")))
+    pair = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    met = met.select("node", "f", "size", first.alias("first"), pair("b", "q").alias("b1"), pair("s", "t").alias("s1"), pair("q", "b").alias("b2"), pair("t", "s").alias("s2"))
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        node, first, size = (group.column(c).to_numpy() for c in ("node", "first", "size"))
+        prints = np.frombuffer(b"".join(group.column("f").to_pylist()), dtype="<u8").reshape(-1, LANES)
+        b1, s1, b2, s2 = (k.as_py() for k in key)
+        if (b1, s1) == (b2, s2):
+            every, (a, b) = node, compare((prints, size), None)
+        else:
+            every, (a, b) = np.concatenate([node[first], node[~first]]), compare((prints[first], size[first]), (prints[~first], size[~first]))
+        return pa.table({"a": pa.array(every[a]), "b": pa.array(every[b])})
+
+    return met.groupBy("b1", "s1", "b2", "s2").applyInArrow(run, "a long, b long")
+
+
+def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", tile_rows: int = 16_384, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """`docs` with exactly one row of each component of near copies: one that has the smallest id.
+
+    Null or blank texts are copies of each other.  Rows are told apart by their place in a written copy, so ids may
+    repeat, over equal or different texts.  A component keeps a row without an id only if it has no other.
     """
     ship(docs.sparkSession)
     names = [f"c{i}" for i in range(len(docs.columns))]
     held = docs.toDF(*names)
-    body = F.col(names[docs.columns.index(text)]).cast("string")
-    marked = cut(held.select(*names, body.alias("text"), marks(body).alias("mark"), F.monotonically_increasing_id().alias("row")), "marked")
-    heads = cut(marked.groupBy(F.col("mark.node").alias("node")).agg(F.min("row").alias("head")), "heads")
-    found = components(links(marked, heads)).withColumnRenamed("node", "head")
-    roots = heads.join(found, "head", "left").select("node", F.coalesce("component", "head").alias("root"))
-    own = F.col(names[docs.columns.index(id)])
-    rows = marked.select("row", F.col("mark.node").alias("node"), own.alias("id"), F.xxhash64("text").alias("h")).join(roots, "node")
-    kept = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("bare"), "id", "h", "row")).alias("least")).select(F.col("least.row").alias("row"))
-    return marked.join(kept, "row", "left_semi").select(*names).toDF(*docs.columns)
+    own, body = F.col(names[docs.columns.index(id)]), F.col(names[docs.columns.index(text)]).cast("string")
+    marked = cut(held.select("*", marks(body).alias("mark"), F.xxhash64(body).alias("h"), F.monotonically_increasing_id().alias("row")), "marked")
+    nodes = cut(marked.groupBy("mark.f").agg(F.min("row").alias("node"), F.max("mark.size").alias("size")), "nodes")
+    found = components(links(nodes, tile_rows))
+    roots = nodes.join(found, "node", "left").select("f", F.coalesce("component", "node").alias("root"))
+    place = F.struct(own.isNull().alias("bare"), own.alias("id"), "h", "row")
+    least = marked.groupBy("mark.f").agg(F.min(place).alias("place")).join(roots, "f").groupBy("root").agg(F.min("place").alias("place"))
+    kept = least.select("place.row")
+    gone = cut(marked.select("row").join(kept, "row", "left_anti"), "gone")
+    few = gone.count() <= broadcast_rows  # 8 bytes a row; beyond that the join shuffles
+    return marked.join(F.broadcast(gone) if few else gone, "row", "left_anti").select(*names).toDF(*docs.columns)

@@ -1,10 +1,16 @@
-"""Near copies against brute force over all pairs, beyond 4 bits of SimHash."""
+"""Near copies against brute force over all pairs of wide fingerprints, and against exact similarities."""
 
 import random
 
+import numpy as np
+import pytest
+import xxhash
+
 import corpus_pipeline
-from seriesloom.llm.near_copies import alike, representatives, shingles
-from seriesloom.llm.simhash import fingerprints
+from seriesloom.llm.near_copies import RADIUS, compare, fingerprint, representatives, shingles
+from seriesloom.llm.simhash import unite
+
+MASK = (1 << 64) - 1
 
 
 def corpus():
@@ -21,33 +27,79 @@ def corpus():
     return texts + [None, "", " \t", "short text", "Short TEXT", "a b c d e", "a b c d e f"]
 
 
+def slow_set(text):
+    words = (text or "").lower().split(" ") if (text or "").strip() else []
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def slow_print(grams):
+    def mixed(h, lane):
+        z = (h + (lane + 1) * 0x9E3779B97F4A7C15) & MASK
+        z = ((z ^ (z >> 30)) * 0xBF58476D1CE4E5B9) & MASK
+        z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & MASK
+        return z ^ (z >> 31)
+
+    out = 0
+    for lane in range(4):
+        hashes = [mixed(xxhash.xxh64_intdigest(g.encode(), 42), lane) for g in grams]
+        out |= sum(1 << (64 * lane + b) for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    return out
+
+
 def slow_roots(texts):
-    sets = [frozenset(shingles(t).tolist()) for t in texts]
-    near = lambda a, b: a == b or 10 * len(a & b) >= 8 * len(a | b)
+    """The least place in each text's component, and the linked pairs."""
+    sets = [slow_set(t) for t in texts]
+    prints = [slow_print(s) for s in sets]
+    near = lambda i, j: prints[i] == prints[j] or (5 * min(len(sets[i]), len(sets[j])) >= 4 * max(len(sets[i]), len(sets[j])) > 0 and (prints[i] ^ prints[j]).bit_count() <= RADIUS)
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if near(i, j)]
     parent = list(range(len(texts)))
-    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if near(sets[i], sets[j])]
     for _ in texts:
         for i, j in pairs:
             parent[i] = parent[j] = min(parent[i], parent[j])
     return parent, pairs, sets
 
 
-def test_stage_against_brute_force(spark):
+@pytest.mark.parametrize("tile_rows", [16_384, 7])
+def test_stage_against_brute_force(spark, tile_rows):
     texts = corpus()
     parent, pairs, sets = slow_roots(texts)
-    prints = [int(x) for x in fingerprints(texts)]
-    assert any((prints[i] ^ prints[j]).bit_count() > 4 and parent[i] == parent[j] for i, j in pairs)
-    assert sum(len(sets[i]) > 5 and not alike(shingles(texts[i]), shingles(texts[j])) for i in range(144) for j in range(i)) > 100
+    linked = set(pairs)
+    jaccard = lambda i, j: len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j]))
+    every = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] and sets[j]]
+    assert all((i, j) in linked for i, j in every if jaccard(i, j) >= 0.9)
+    assert not any(jaccard(i, j) < 0.5 for i, j in linked if sets[i])
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    got = corpus_pipeline.near_duplicates(spark, docs, "") if tile_rows > 100 else representatives(docs, tile_rows=tile_rows)
     assert got.columns == docs.columns
     assert sorted(r.doc_id for r in got.collect()) == sorted(set(parent))
 
 
+def test_tiles_lose_no_link():
+    rnd = np.random.default_rng(3)
+    centres = rnd.integers(0, 1 << 63, (40, 4), dtype=np.uint64)
+    flips = lambda n: np.packbits(rnd.random((n, 256)) < 0.1, axis=1).view(np.uint64)
+    x = np.concatenate([c[None] ^ flips(25) for c in centres])
+    size = rnd.integers(80, 110, len(x))
+    near = (np.bitwise_count(x[:, None] ^ x[None]).sum(axis=2) <= RADIUS) & (5 * np.minimum(size[:, None], size[None]) >= 4 * np.maximum(size[:, None], size[None]))
+    for half in (None, 333):
+        a, b = compare((x, size), None) if half is None else compare((x[:half], size[:half]), (x[half:], size[half:]))
+        i, j = np.nonzero(near if half is None else near & ((np.arange(len(x)) < half)[:, None] != (np.arange(len(x)) < half)[None]))
+        assert (unite(np.arange(len(x)), a, b) == unite(np.arange(len(x)), i, j)).all()
+
+
+def test_long_and_blank_texts():
+    rnd = random.Random(1)
+    text = " ".join(str(rnd.randrange(10**6)) for _ in range(40_000))
+    assert fingerprint(shingles(text)).tolist() == [slow_print(slow_set(text)) >> (64 * k) & MASK for k in range(4)]
+    assert fingerprint(shingles(None)).tolist() == [0, 0, 0, 0] and len(shingles("A b")) == 1
+
+
 def test_ids_that_repeat_or_lack(spark):
     rows = [(1, "one text of some words here", 1), (1, "another text with quite other words", 2), (None, "one text of some words here", 3), (None, "nobody has this text at all", 4), (None, "nobody has this text at all", 5)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark int")
     kept = representatives(docs)
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "nobody has this text at all"), (1, "another text with quite other words"), (1, "one text of some words here")]
+    want = [(0, "nobody has this text at all"), (1, "another text with quite other words"), (1, "one text of some words here")]
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == want
+    assert sorted((r.doc_id or 0, r.text) for r in representatives(docs, broadcast_rows=0).collect()) == want
     assert representatives(docs.limit(0)).count() == 0

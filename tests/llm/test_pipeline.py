@@ -5,8 +5,8 @@ import random
 import corpus_pipeline
 from seriesloom.llm.rule_ensemble import statistics
 
+from .test_near_copies import slow_roots
 from .test_packing import pack_documents
-from .test_simhash import slow_components, slow_print
 
 
 def write(spark, folder):
@@ -38,12 +38,24 @@ def test_stages(spark, tmp_path):
     assert ids[0] == {r[0] for r in rows if r[0] >= 1000 or r[0] % 4}
     assert ids[1] == ids[0] - {2000}
     text = {r[0]: r[1] for r in rows}
-    assert ids[2] == set(slow_components({i: slow_print(text[i]) for i in ids[1]}).values())
+    order = sorted(ids[1])
+    assert ids[2] == {order[k] for k in slow_roots([text[i] for i in order])[0]}
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in got} == ids[2]
     assert sum(r.length for r in got) == sum(r.length for r in pack_documents(kept).collect())
 
 
+def test_repeated_and_missing_ids(spark, tmp_path):
+    write(spark, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").where("doc_id between 1 and 40 and doc_id % 4 > 0")
+    own = docs.selectExpr("if(doc_id % 3 = 0, null, 7L) as doc_id", "text", "lang", "source", "n_chars")
+    kept, texts = own.union(own), docs.select("text").distinct().count()
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path))
+    assert kept.count() == kept.select("text").distinct().count() == texts
+    assert corpus_pipeline.STAGES[-1][1](spark, kept, str(tmp_path)).where("piece = 0").count() == texts
+
+
 def test_empty_documents(spark, tmp_path):
     write(spark, str(tmp_path))
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
