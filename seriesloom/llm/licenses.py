@@ -2,16 +2,19 @@
 
 Word n-grams of license notices are the features of a sparse multinomial logistic regression.  It is trained
 on filled templates of each family against an unknown class: paragraphs of the corpus and notices of invented
-licenses.  Probabilities are calibrated by one temperature on rows that the fit didn't see; a paragraph whose
-best family stays under one half is unknown.  A prediction counts as confirmed if the paragraph holds most of
-one of that family's templates.
+licenses.  Probabilities are calibrated by one temperature on whole wordings that the fit didn't see; a paragraph
+whose best family stays under one half is unknown.  A prediction counts as confirmed if the paragraph holds most
+of one of that family's templates.
+
+Paragraphs are lines and blocks of lines between blank ones; every one of them is classified.  Where none of a
+paragraph's words is part of a weighted n-gram its logits are the intercepts, so that verdict is known beforehand.
 """
 
 from __future__ import annotations
 
 import random
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import least_hashed, ship, slices
+from .shared import cut, free_name, least_hashed, ship, slices
 
 # Customary wording of public license notices; {v} stands for a version.
 TEMPLATES = {
@@ -51,46 +54,60 @@ def grams(words: list[str]) -> set[str]:
     return {" ".join(words[i : i + n]) for n in range(1, GRAMS + 1) for i in range(len(words) - n + 1)}
 
 
-def notices(seed: int = 3, each: int = 24) -> list[tuple[str, str]]:
-    """(family, notice) rows from the templates, and notices of invented licenses as unknown."""
+def notices(seed: int = 3, each: int = 24) -> list[tuple[str, int, str]]:
+    """(family, number of its wording, notice) rows from the templates, and of invented licenses as unknown."""
     rnd = random.Random(seed)
     out = []
     for family, wordings in TEMPLATES.items():
-        for wording in wordings:
+        for k, wording in enumerate(wordings):
             for _ in range(each):
                 full = rnd.choice(OPENINGS) + wording + rnd.choice(["", ".", " or later.", ", see the file."])
-                out.append((family, full.replace("{v}", rnd.choice(["1", "2", "2.0", "3", "3.0", "4.0", "2021"]))))
+                out.append((family, k, full.replace("{v}", rnd.choice(["1", "2", "2.0", "3", "3.0", "4.0", "2021"]))))
+    forms = ["licensed under the {n} license, version {v}", "released under the {n} license", "this work is licensed under {n} {v}", "the {n} public license", "see the license of {n}", "subject to the terms of the {n} license", "a license to {n} is in the file", "{n} SPDX-License-Identifier: {n}"]
     for _ in range(len(out) // 3):
         name = "".join(rnd.choice(["ka", "lo", "mi", "ten", "ver", "sa", "pu"]) for _ in range(3))
-        form = rnd.choice(["licensed under the {n} license, version {v}", "released under the {n} license", "this work is licensed under {n} {v}", "the {n} public license", "see the license of {n}", "subject to the terms of the {n} license", "a license to {n} is in the file", "{n} SPDX-License-Identifier: {n}"])
-        out.append((UNKNOWN, rnd.choice(OPENINGS).replace("{v}", "1") + form.replace("{n}", name).replace("{v}", rnd.choice(["1.0", "2"]))))
+        k = rnd.randrange(len(forms))
+        out.append((UNKNOWN, k, rnd.choice(OPENINGS).replace("{v}", "1") + forms[k].replace("{n}", name).replace("{v}", rnd.choice(["1.0", "2"]))))
     return out
 
 
 @dataclass
 class LicenseModel:
-    """Classes, intercepts, weights by n-gram, temperature and the words without which nothing is predicted."""
+    """Classes, intercepts, weights by n-gram and temperature; `report` has the figures on held-out wordings."""
 
     classes: list[str]
     intercepts: np.ndarray
     weights: dict[str, np.ndarray]
     temperature: float
-    anchors: frozenset[str]
+    report: dict[str, float] = field(default_factory=dict)
 
-    def classify(self, words: list[str]) -> tuple[str, float]:
-        """(family or unknown, calibrated probability of it) for a paragraph's words."""
-        logits = self.intercepts.copy()
-        for g in grams(words):
-            w = self.weights.get(g)
-            if w is not None:
-                logits += w
-        logits /= self.temperature
-        p = np.exp(logits - logits.max())
+    def __post_init__(self) -> None:
+        self.words = frozenset(w for g in self.weights for w in g.split(" "))
+        self.bare = self._verdict(self.intercepts)
+
+    def _verdict(self, logits: np.ndarray) -> tuple[str, float]:
+        p = np.exp((logits - logits.max()) / self.temperature)
         p /= p.sum()
-        best = int(p.argmax())
-        unknown = self.classes.index(UNKNOWN)
+        best, unknown = int(p.argmax()), self.classes.index(UNKNOWN)
         return (self.classes[best], float(p[best])) if best != unknown and p[best] >= 0.5 else (UNKNOWN, float(p[unknown]))
 
+    def classify(self, words: list[str]) -> tuple[str, float]:
+        """(family or unknown, calibrated probability of it) for a paragraph's words."""
+        held = self._weighted(words)
+        return self._verdict(self.intercepts + sum(self.weights[g] for g in sorted(held))) if held else self.bare
+
+    def _weighted(self, words: list[str]) -> set[str]:
+        """The paragraph's n-grams that have weights; all words of such an n-gram are in `words` of the model."""
+        own, weights, held = self.words, self.weights, set()
+        last: list[str] = []  # the n-grams that end at the word before
+        for w in words:
+            if w in own:
+                last = [w, *[f"{g} {w}" for g in last[: GRAMS - 1]]]
+                held.update([g for g in last if g in weights])
+            elif last:
+                last = []
+        return held
+
 
 def likeness(family: str, words: list[str]) -> float:
     """The largest share of a template's word pairs that the paragraph holds."""
@@ -103,51 +120,71 @@ def likeness(family: str, words: list[str]) -> float:
     return best
 
 
+def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, k, p): the lines of each whole text that aren't empty."""
+    return docs.select("doc_id", F.posexplode(F.split(F.col(text).cast("string"), "\n")).alias("k", "p")).where(F.length("p") > 0)
+
+
+FOLDS = 3
+
+
 def fit(docs: DataFrame, text: str = "text", sample_paragraphs: int = 4_000, penalty: float = 2e-4, seed: int = 3) -> LicenseModel:
-    """Trains on the templates' notices and at most `sample_paragraphs` paragraphs of the corpus.
+    """Trains on the templates' notices and at most `sample_paragraphs` whole paragraphs of the corpus.
 
-    The sample is of the paragraphs with the least hash of document and place, cut to 2 000 characters, without those that a template matches in full, as
-    these are notices themselves.
+    The sample is of the lines with the least hash of document, place and text, without those that a template
+    matches in full, as these are notices themselves.  Wordings are dealt into FOLDS folds; each fold's notices and
+    paragraphs are scored by a fit to the others.  These scores give the temperature and the report: precision and
+    recall of families, and the expected calibration error.  The model itself is fitted to all rows.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.linalg import Vectors
 
     spark = docs.sparkSession
-    lines = docs.select("doc_id", F.posexplode(F.split(F.col(text).cast("string"), "\n")).alias("k", "p")).where(F.length("p") > 0)
-    drawn = [r["p"] for r in least_hashed(lines, ["doc_id", "k"], sample_paragraphs).select(F.substring("p", 1, 2_000).alias("p")).collect()]
+    drawn = [r["p"] for r in least_hashed(paragraphs(docs, text), ["doc_id", "k", "p"], sample_paragraphs).select("p").collect()]
     plain = [p for p in drawn if max(likeness(f, tokens(p)) for f in TEMPLATES) < CONFIRM]
     known = notices(seed)
-    vocabulary = sorted(set().union(*(grams(tokens(n)) for f, n in known if f != UNKNOWN)))
-    place = {g: i for i, g in enumerate(vocabulary)}
     rnd = random.Random(seed)
-    rows = [(f, grams(tokens(n))) for f, n in known] + [(UNKNOWN, grams(tokens(p))) for p in plain]
+    rows = [(f, k % FOLDS, grams(tokens(n))) for f, k, n in known] + [(UNKNOWN, i % FOLDS, grams(tokens(p))) for i, p in enumerate(plain)]
     # Notices also come inside longer paragraphs.
-    rows += [(f, grams(tokens(rnd.choice(plain) + " " + n))) for f, n in known if plain and rnd.random() < 0.5]
+    rows += [(f, k % FOLDS, grams(tokens(rnd.choice(plain) + " " + n))) for f, k, n in known if plain and rnd.random() < 0.5]
     rnd.shuffle(rows)
     classes = [*TEMPLATES, UNKNOWN]
-    coded = [(float(classes.index(f)), Vectors.sparse(len(vocabulary), sorted((place[g], 1.0) for g in gs if g in place))) for f, gs in rows]
-    cutoff = len(coded) * 3 // 4
-    train = spark.createDataFrame(coded[:cutoff], ["label", "features"]).coalesce(2).persist()
-    model = LogisticRegression(family="multinomial", elasticNetParam=1.0, regParam=penalty, maxIter=60, standardization=False).fit(train)
-    train.unpersist()
+    vocabulary = sorted(set().union(*(grams(tokens(n)) for f, _, n in known if f != UNKNOWN)))
+    place = {g: i for i, g in enumerate(vocabulary)}
+    coded = [(float(classes.index(f)), fold, Vectors.sparse(len(vocabulary), sorted((place[g], 1.0) for g in gs if g in place))) for f, fold, gs in rows]
+    table = spark.createDataFrame(coded, ["label", "fold", "features"]).coalesce(2).persist()
+    learner = LogisticRegression(family="multinomial", elasticNetParam=1.0, regParam=penalty, maxIter=60, standardization=False)
+    logits, truth = [], []
+    for fold in range(FOLDS):
+        part = learner.fit(table.where(F.col("fold") != fold))
+        matrix, intercepts = part.coefficientMatrix.toArray(), part.interceptVector.toArray()
+        for y, own, v in coded:
+            if own == fold:
+                logits.append(intercepts + (matrix[:, v.indices].sum(axis=1) if len(v.indices) else 0))
+                truth.append(int(y))
+    model = learner.fit(table)
+    table.unpersist()
     matrix, intercepts = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
-    if len(intercepts) < len(classes):
-        raise ValueError("every family needs a notice in the training part")
-    held = coded[cutoff:]
-    logits = np.array([intercepts + (matrix[:, v.indices].sum(axis=1) if len(v.indices) else 0) for _, v in held])
-    truth = np.array([int(y) for y, _ in held])
-
-    def loss(temperature: float) -> float:
-        scaled = logits / temperature
-        top = scaled.max(axis=1, keepdims=True)
-        return float(-(scaled[np.arange(len(truth)), truth] - top[:, 0] - np.log(np.exp(scaled - top).sum(axis=1))).mean())
-
-    temperature = min(np.geomspace(0.2, 5.0, 65).tolist(), key=loss)
-    common = {w for w in set().union(*(set(tokens(f)) for t in TEMPLATES.values() for f in t)) if sum(w in set(tokens(p)) for p in plain[:1000]) > len(plain[:1000]) // 200}
-    words = {w for t in TEMPLATES.values() for f in t for w in tokens(f.replace("{v}", "0"))} - {"0"}
-    anchors = frozenset(w for w in words - common if len(w) > 2) | {"license", "licensed", "cc"}
+    held, right = np.array(logits), np.array(truth)
+
+    def probabilities(temperature: float) -> np.ndarray:
+        p = np.exp((held - held.max(axis=1, keepdims=True)) / temperature)
+        return p / p.sum(axis=1, keepdims=True)
+
+    loss = lambda temperature: float(-np.log(np.maximum(probabilities(temperature)[np.arange(len(right)), right], 1e-300)).mean())
+    temperature = min(np.geomspace(0.2, 20.0, 97).tolist(), key=loss)
+    p, unknown = probabilities(temperature), classes.index(UNKNOWN)
+    said = np.where(p.max(axis=1) >= 0.5, p.argmax(axis=1), unknown)
+    sure = p.max(axis=1)
+    bins = np.minimum((sure * 10).astype(int), 9)
+    gaps = [(bins == k).mean() * abs(sure[bins == k].mean() - (p.argmax(axis=1) == right)[bins == k].mean()) for k in set(bins.tolist())]
+    report = {
+        "precision": float((said == right)[said != unknown].mean()) if (said != unknown).any() else 1.0,
+        "recall": float((said == right)[right != unknown].mean()),
+        "calibration_error": float(sum(gaps)),
+    }
     used = np.flatnonzero(np.abs(matrix).sum(axis=0))
-    return LicenseModel(classes, intercepts, {vocabulary[i]: matrix[:, i].copy() for i in used}, temperature, anchors)
+    return LicenseModel(classes, intercepts, {vocabulary[i]: matrix[:, i].copy() for i in used}, temperature, report)
 
 
 SPANS = T.ArrayType(
@@ -165,6 +202,7 @@ SPANS = T.ArrayType(
 
 _PAIRS = [(f, frozenset(zip(t, t[1:], strict=False))) for f, wordings in TEMPLATES.items() for t in (tokens(w.replace("{v}", "0")) for w in wordings)]
 _KNOWN = frozenset().union(*(p for _, p in _PAIRS))
+_LEAST = min(-int(-CONFIRM * len(p) // 1) for _, p in _PAIRS)  # no template is held by fewer pairs
 _REACH = max(len(tokens(w.replace("{v}", "0"))) for wordings in TEMPLATES.values() for w in wordings)
 
 
@@ -175,6 +213,8 @@ def wrapped(lines: list[list[str]]) -> list[tuple[int, int]]:
     """
     known = [_KNOWN.intersection(zip(x, x[1:], strict=False)) for x in lines]
     out = []
+    if sum(map(len, known)) < _LEAST - len(lines):
+        return out
     for i, line in enumerate(lines):
         if not line:
             continue
@@ -185,30 +225,41 @@ def wrapped(lines: list[list[str]]) -> list[tuple[int, int]]:
             held |= known[j]
             held |= _KNOWN.intersection([(lines[j - 1][-1], lines[j][0])])
             alone.append(known[j])
-            if any(len(p & held) >= CONFIRM * len(p) and len(p & held) > max(len(p & k) for k in alone) for _, p in _PAIRS):
+            if len(held) >= _LEAST and any(len(p & held) >= CONFIRM * len(p) and len(p & held) > max(len(p & k) for k in alone) for _, p in _PAIRS):
                 out.append((i, j))
     return out
 
 
+def blocks(lines: list[list[str]]) -> list[tuple[int, int]]:
+    """Ranges (first, last) of two or more neighbouring lines with words: paragraphs between blank lines."""
+    out, start = [], None
+    for i, line in enumerate([*lines, []]):
+        if line and start is None:
+            start = i
+        elif not line and start is not None:
+            if i - start > 1:
+                out.append((start, i - 1))
+            start = None
+    return out
+
+
 def scan_text(text: str | None, model: LicenseModel) -> list[dict]:
-    """Predicted paragraphs of one whole text: lines, or notices wrapped over lines; numbered by first line from 0.
+    """Predicted paragraphs of one whole text, numbered by their first line from 0: lines, blocks of lines between
+    blank ones, and notices wrapped over some lines of a block.
 
-    Of paragraphs that lie within each other, or overlap and are of one family, the confirmed one most like a
-    template stays, on ties the one of fewest lines.
+    All lines and blocks are classified.  Of paragraphs that lie within each other, or overlap and are of one
+    family, the confirmed one most like a template stays, then the one of fewest lines.
     """
-    if not text or model.anchors.isdisjoint(_TOKEN.findall(text.lower())):
+    if not text:
         return []
     lines = [tokens(line) for line in text.split("\n")]
     found = []
-    for i, j in [(k, k) for k in range(len(lines))] + wrapped(lines):
-        words = [w for line in lines[i : j + 1] for w in line]
-        if model.anchors.isdisjoint(words):
-            continue
+    for i, j in [(k, k) for k, x in enumerate(lines) if x] + blocks(lines) + wrapped(lines):
+        words = lines[i] if i == j else [w for line in lines[i : j + 1] for w in line]
         family, probability = model.classify(words)
         if family != UNKNOWN:
             like = likeness(family, words)
-            if i == j or like >= CONFIRM:
-                found.append((i, j, {"paragraph": i, "family": family, "probability": probability, "likeness": like, "confirmed": like >= CONFIRM}))
+            found.append((i, j, {"paragraph": i, "family": family, "probability": probability, "likeness": like, "confirmed": like >= CONFIRM}))
     kept: list[tuple[int, int, dict]] = []
     for i, j, row in sorted(found, key=lambda x: (-x[2]["likeness"] if x[2]["confirmed"] else 1, x[1] - x[0], x[0])):
         inside = lambda a, b: a <= i and j <= b or i <= a and b <= j
@@ -218,7 +269,10 @@ def scan_text(text: str | None, model: LicenseModel) -> list[dict]:
 
 
 def scan(docs: DataFrame, model: LicenseModel, text: str = "text", name: str = "licenses") -> DataFrame:
-    """`docs` with the predicted paragraphs of each whole text; null or empty texts have none."""
+    """`docs` with the predicted paragraphs of each whole text; null or empty texts have none.
+
+    If `docs` has a column of the new name, that one keeps it and the paragraphs get underscores in front.
+    """
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("likeness", pa.float64()), ("confirmed", pa.bool_())]))
@@ -230,7 +284,7 @@ def scan(docs: DataFrame, model: LicenseModel, text: str = "text", name: str = "
             out += [scan_text(t, sent.value) for t in part.column("text").to_pylist()]
         return pa.array(out, kind)
 
-    return docs.withColumn(name, run(F.col(text).cast("string")))
+    return docs.withColumn(free_name(docs, name), run(F.col(text).cast("string")))
 
 
 def license_report(docs: DataFrame) -> DataFrame:
@@ -240,9 +294,10 @@ def license_report(docs: DataFrame) -> DataFrame:
     """
     found = scan(docs.select("doc_id", "text"), fit(docs))
     sure = F.filter("licenses", lambda x: x["confirmed"])
-    return found.select(
+    report = found.select(
         "doc_id",
         F.size("licenses").cast("long").alias("n_predicted"),
         F.size(sure).cast("long").alias("n_confirmed"),
         F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))), ",").alias("families"),
     )
+    return cut(report, "licenses")

@@ -1,10 +1,11 @@
 """License scans: families in held-out notices, unknown notices, and planted lines in a corpus."""
 
+import math
 import random
 
 import pytest
 
-from seriesloom.llm.licenses import UNKNOWN, fit, license_report, likeness, notices, scan_text, tokens, wrapped
+from seriesloom.llm.licenses import UNKNOWN, blocks, fit, license_report, likeness, notices, scan, scan_text, tokens, wrapped
 
 FILLER = "der mit und von nicht the of and see a license of trust apache tribe public version".split()
 
@@ -26,10 +27,47 @@ def model(spark):
 
 def test_fresh_notices(model):
     fresh = notices(seed=99, each=4)
-    right = sum(model.classify(tokens(n))[0] == f for f, n in fresh)
+    right = sum(model.classify(tokens(n))[0] == f for f, _, n in fresh)
     assert right >= 0.95 * len(fresh)
     assert model.classify(tokens("der die und mit von"))[0] == UNKNOWN
-    assert 0 < model.temperature < 6
+    assert 0 < model.temperature <= 20
+    assert model.report["precision"] > 0.9 and model.report["recall"] > 0.3 and model.report["calibration_error"] < 0.2
+
+
+def slow_class(model, words):
+    """The classifier by its definition, without the skip."""
+    names = {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
+    logits = [b + sum(float(model.weights[g][c]) for g in names if g in model.weights) for c, b in enumerate(model.intercepts)]
+    top = max(logits)
+    odds = [math.exp((x - top) / model.temperature) for x in logits]
+    p = [x / sum(odds) for x in odds]
+    best = p.index(max(p))
+    return model.classes[best] if p[best] >= 0.5 else UNKNOWN
+
+
+def test_every_paragraph_is_classified(model):
+    for _, text, _ in corpus():
+        if not text or len(text) > 10_000:
+            continue
+        lines = [tokens(x) for x in text.split("\n")]
+        want = {k: slow_class(model, x) for k, x in enumerate(lines) if x}
+        assert {k: model.classify(x)[0] for k, x in enumerate(lines) if x} == want
+        got = {r["paragraph"]: r["family"] for r in scan_text(text, model)}
+        assert {k for k, f in want.items() if f != UNKNOWN and likeness(f, lines[k]) >= 0.75} <= set(got)
+        whole = [w for x in lines for w in x]
+        assert bool(got) == any(f != UNKNOWN for f in [*want.values(), slow_class(model, whole)])
+
+
+def test_blocks_between_blank_lines():
+    assert blocks([["a"], ["b"], [], ["c"], [], ["d"], ["e"], ["f"]]) == [(0, 1), (5, 7)] and blocks([]) == [] == blocks([[], ["x"]])
+
+
+def test_repeats_missing_ids_and_clashing_names(spark, model):
+    rows = [(None, "Released under the MIT License", 1), (3, "x", 2), (3, "x", 2), (None, None, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, licenses int")
+    got = scan(docs, model).collect()
+    assert sorted((r.licenses, len(r._licenses)) for r in got) == [(1, 1), (2, 0), (2, 0), (3, 0)]
+    assert sorted((str(r.doc_id), r.families) for r in license_report(docs).collect()) == [("3", ""), ("3", ""), ("None", ""), ("None", "MIT")]
 
 
 def test_templates_confirm():
