@@ -282,5 +282,5 @@ def edited_report(docs: DataFrame, bucket_rows: int = 2048) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     placed, buckets = with_next(docs, bucket_rows)
-    sorted_rows = placed.repartition(max(1, buckets // 4), "bucket").sortWithinPartitions("bucket", "guest", *ORDER, "text")
+    sorted_rows = placed.repartitionById(max(1, buckets // 4), F.col("bucket").cast("int")).sortWithinPartitions("bucket", "guest", *ORDER, "text")
     return sorted_rows.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
