@@ -91,7 +91,7 @@ def pieces(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str |
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1_000_000):
                 coded = bpe.encode_batch(part.column("text"))
                 sizes = coded.sizes() + 1
                 count = -(-sizes // capacity)

@@ -176,7 +176,8 @@ def quality_report(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000
 
 
 def accept(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> DataFrame:
-    """The rows of `docs` whose score is at least 0.5, with their columns as they are."""
+    """The rows of `docs` whose score is at least 0.5, with their columns as they are, in a written table: so the
+    texts pass through the workers in small batches."""
     model = fit(docs, labels, sample_rows)
     name = free_name(docs, "score")
-    return with_score(docs, model).where(F.col(name) >= 0.5).select(docs.columns)
+    return cut(with_score(docs, model).where(F.col(name) >= 0.5).select(docs.columns), "accepted")
