@@ -44,5 +44,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        kept = stage(spark, docs, sf_dir)
+        docs = kept if "cut_path" in vars(kept) else cut(kept, "stage-" + name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
