@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import digest, lexicon, licenses, packing, quality_rules, rule_ensemble, sharding, simhash, target_sampling, token_counts, warc
+from . import digest, lexicon, licenses, max_sketches, packing, quality_rules, rule_ensemble, sharding, simhash, target_sampling, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.edited_report(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return max_sketches.search_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_target_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target_sampling.sampled_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -69,9 +73,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": op8_license_scan,
         "op9_quality_rules": op9_quality_rules,
         "op10_fingerprints": op10_fingerprints,
+        "op11_lexical_search": op11_lexical_search,
         "op13_target_sampling": op13_target_sampling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality_rules": quality_rules.oracle_sql(), "op13_target_sampling": target_sampling.oracle_sql()}
+    return {
+        "op9_quality_rules": quality_rules.oracle_sql(),
+        "op11_lexical_search": max_sketches.oracle_sql(),
+        "op13_target_sampling": target_sampling.oracle_sql(),
+    }
