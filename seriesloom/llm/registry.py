@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import digest, lexicon, licenses, max_sketches, packing, quality_rules, rule_ensemble, sharding, simhash, target_sampling, token_counts, warc
+from . import digest, lexicon, licenses, max_sketches, packing, quality_rules, rule_ensemble, sharding, simhash, substrings, target_sampling, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return max_sketches.search_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op13_target_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target_sampling.sampled_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -74,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_rules": op9_quality_rules,
         "op10_fingerprints": op10_fingerprints,
         "op11_lexical_search": op11_lexical_search,
+        "op12_substring_dedup": op12_substring_dedup,
         "op13_target_sampling": op13_target_sampling,
     }
 
@@ -82,5 +87,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op9_quality_rules": quality_rules.oracle_sql(),
         "op11_lexical_search": max_sketches.oracle_sql(),
+        "op12_substring_dedup": substrings.oracle_sql(),
         "op13_target_sampling": target_sampling.oracle_sql(),
     }
