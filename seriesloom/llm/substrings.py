@@ -268,7 +268,8 @@ def dedup_report(docs: DataFrame, id: str = "doc_id", text: str = "text", window
     """
     rows, texts, spans = removals(docs, id, text, window, hot, shard_bytes)
     changed = cut(kept_texts(docs, spans, id, text, window).select("k", "n_removed", F.unhex(F.sha2("kept", 256)).alias("kept")), "kept")
-    known = rows.select("doc_id", "k", "n_words", "sha256").join(texts.select("k", "doc"), "k").join(changed, "k", "left")
+    known = cut(texts.select("k", "doc").join(changed, "k", "left"), "known")  # apart, so that a text of very many rows can be split in the join
+    known = rows.select("doc_id", "k", "n_words", "sha256").join(known, "k")
     repeat = (F.coalesce("doc_id", F.lit(LAST)) > F.col("doc")) & (F.col("n_words") >= window)
     none = F.unhex(F.sha2(F.lit("").cast("binary"), 256))
     digest = F.when(repeat, none).otherwise(F.coalesce("kept", "sha256"))
@@ -280,11 +281,11 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", win
     """`docs` with texts that repeat a passage cut to their other words, joined by one space; other texts and columns
     stay as they are.  A text that goes whole is empty.  Rows and odd values as in `dedup_report`."""
     _, texts, spans = removals(docs, id, text, window, hot, shard_bytes)
-    changed = kept_texts(docs, spans, id, text, window).select("k", "kept")
+    changed = cut(texts.join(kept_texts(docs, spans, id, text, window).select("k", "kept"), "k", "left").select("k", "doc", "n_words", "kept"), "kept")
     names = [f"c{i}" for i in range(len(docs.columns))]
     held = docs.toDF(*names)
     own, body = F.col(names[docs.columns.index(id)]), names[docs.columns.index(text)]
-    known = held.withColumn("k", _key(F.coalesce(F.col(body).cast("string"), F.lit("")))).join(texts.select("k", "doc", "n_words"), "k").join(changed, "k", "left")
+    known = held.withColumn("k", _key(F.coalesce(F.col(body).cast("string"), F.lit("")))).join(changed, "k")
     repeat = (F.coalesce(own.cast("long"), F.lit(LAST)) > F.col("doc")) & (F.col("n_words") >= window)
     return known.withColumn(body, F.when(repeat, "").otherwise(F.coalesce(F.col("kept").cast("string"), F.col(body)))).select(*names).toDF(*docs.columns)
 
