@@ -18,30 +18,25 @@ def last_known(c: str, w: WindowSpec) -> Column:
 def ffill(df: DataFrame, columns: list[str], keys: list[str], ts: str, bucket: Column | None = None) -> DataFrame:
     """Each NULL takes the last value before it.
 
-    With `bucket`, which must grow with the time, a task holds one bucket of a series: the last value of each
-    bucket is carried over to the next ones, a row for each bucket.
+    A task holds one bucket of a series: the last value of each bucket is carried over to the next ones.  `bucket`
+    must grow with the time; it is a span of days by default.
     """
-    if bucket is None:
-        w = by(keys, ts)
-        return df.withColumns({c: last_known(c, w) for c in columns})
-    placed = df.withColumn("_bucket", bucket)
-    last = placed.groupBy(*keys, "_bucket").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(ts))).alias(f"_last_{c}") for c in columns])
-    before = by(keys, "_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = last.select(*keys, "_bucket", *[F.last(f"_last_{c}", ignorenulls=True).over(before).alias(f"_carry_{c}") for c in columns])
-    w = by([*keys, "_bucket"], ts)
-    filled = placed.withColumns({c: last_known(c, w) for c in columns}).join(carried, [*keys, "_bucket"])
-    return filled.withColumns({c: F.coalesce(c, f"_carry_{c}") for c in columns}).select(df.columns)
+    from .scan import last_known as carried
+
+    return carried(df, {c: c for c in columns}, keys, ts, bucket).select(df.columns)
 
 
 def bfill_leading(df: DataFrame, columns: list[str], keys: list[str], ts: str, suffix: str = "_is_backfilled") -> DataFrame:
-    """Leading NULLs take the first value after them, with a flag column each: filled cells use the future."""
-    w = by(keys, ts)
-    before = w.rowsBetween(Window.unboundedPreceding, 0)
-    after = w.rowsBetween(0, Window.unboundedFollowing)
-    leading = {c: F.count(c).over(before) == 0 for c in columns}
-    first = {c: F.first(c, ignorenulls=True).over(after) for c in columns}
-    df = df.withColumns({f"{c}{suffix}": leading[c] & first[c].isNotNull() for c in columns})
-    return df.withColumns({c: F.when(F.col(f"{c}{suffix}"), first[c]).otherwise(F.col(c)) for c in columns})
+    """Leading NULLs take the first value after them, with a flag column each: filled cells use the future.
+
+    Leading rows lie before the time of a series' first value, which is one grouped minimum.
+    """
+    known = {c: F.when(F.col(c).isNotNull(), F.col(ts)) for c in columns}
+    firsts = df.groupBy(*keys).agg(*[x for i, c in enumerate(columns) for x in (F.min(known[c]).alias(f"_from_{i}"), F.min_by(c, known[c]).alias(f"_first_{i}"))])
+    held = df.join(firsts, keys) if keys else df.crossJoin(firsts)  # one row
+    held = held.withColumns({f"{c}{suffix}": F.coalesce(F.col(ts) < F.col(f"_from_{i}"), F.lit(False)) for i, c in enumerate(columns)})
+    held = held.withColumns({c: F.when(F.col(f"{c}{suffix}"), F.col(f"_first_{i}")).otherwise(F.col(c)) for i, c in enumerate(columns)})
+    return held.select(*df.columns, *[f"{c}{suffix}" for c in columns if f"{c}{suffix}" not in df.columns])
 
 
 def known_rows(df: DataFrame, flag: str) -> DataFrame:

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..storage import written
+from . import volatility
 from .clean import by
-from .quantiles import quantiles
-from .scan import affine_scan
+from .quantiles import quantiles, running_median
 from .windows import centred_mean
 
 BAND = (0.1, 0.5, 0.9)
@@ -237,102 +242,162 @@ def ar_fitted(df: DataFrame, best: DataFrame, keys: list[str], ts: str, value: s
 
 
 # -- volatility ------------------------------------------------------------------------------------
-GRID = [(a, b) for a in (0.02, 0.05, 0.1, 0.15, 0.2) for b in (0.5, 0.7, 0.8, 0.9, 0.95) if a + b < 1]
+GRID = volatility.GRID
 
 
-def garch_grid(returns: DataFrame, keys: list[str], ts: str, r: str, grid: list[tuple[float, float]] = GRID) -> DataFrame:
-    """The variance-targeted GARCH(1,1) of largest likelihood on a grid: alpha, beta, persistence, last and
-    long-run sigma for each series (Bollerslev, 1986).
+def garch_grid(returns: DataFrame, keys: list[str], ts: str, r: str, grid: list[tuple[float, float]] = GRID, rounds: list | None = None) -> DataFrame:
+    """The variance-targeted GARCH(1,1) of largest likelihood: alpha, beta, persistence, last and long-run sigma for
+    each series (Bollerslev, 1986), by a common grid and then around each series' own best point."""
+    return volatility.fit(returns, keys, ts, r, None, grid, rounds).drop("mean")
 
-    All candidates' variances are one affine scan over all series.
-    """
-    known = returns.where(F.col(r).isNotNull()).select(*keys, ts, r)
-    moments = known.groupBy(*keys).agg(F.avg(r).alias("_mean"), F.var_pop(r).alias("_v"))
-    centred = known.join(moments, keys).withColumn("_e", F.col(r) - F.col("_mean"))
-    centred = centred.withColumn("_last", F.lag("_e").over(by(keys, ts))).select(*keys, ts, "_e", "_v", "_last")
-    maps = {f"_s{i}": _variance(F.lit(a), F.lit(b), F.col("_v")) for i, (a, b) in enumerate(grid)}
-    fitted = affine_scan(centred, keys, ts, maps)
-    like = lambda s2: F.sum(-0.5 * (F.ln(s2) + F.col("_e") * F.col("_e") / F.col(s2)))
-    tried = [F.struct(F.lit(a).alias("alpha"), F.lit(b).alias("beta"), like(s).alias("ll"), F.max_by(s, ts).alias("s2")) for s, (a, b) in zip(maps, grid, strict=True)]
-    scored = fitted.groupBy(*keys).agg(F.count("*").alias("n"), F.max_by("_e", ts).alias("last_residual"), F.max("_v").alias("_v"), F.array(*tried).alias("_tried"))
-    ranked = F.transform("_tried", lambda c: F.struct(-F.round(c["ll"], 6), c["alpha"].alias("alpha"), c["beta"].alias("beta"), c["ll"].alias("ll"), c["s2"].alias("s2")))
-    best = scored.withColumn("_best", F.array_min(ranked)).select("*", "_best.*")
-    return best.select(*keys, "alpha", "beta", (F.col("alpha") + F.col("beta")).alias("persistence"), "n", F.col("ll").alias("log_likelihood"), F.sqrt("s2").alias("last_sigma"), F.sqrt("_v").alias("long_run_sigma"), "last_residual")
-
-
-def _variance(alpha: Column, beta: Column, long_run: Column) -> tuple[Column, Column]:
-    """The map of a GARCH variance onto the next one, from `_last`, the residual before; the first is the long-run one."""
-    first = F.col("_last").isNull()
-    shock = (1 - alpha - beta) * long_run + alpha * F.col("_last") * F.col("_last")
-    return F.when(first, 0.0).otherwise(beta), F.when(first, long_run).otherwise(shock)
+
+def premium_ratios(returns: DataFrame, implied: DataFrame, keys: list[str], ts: str, r: str, dvol: str, window: int = 30) -> DataFrame:
+    """(keys, ts, _iv, _ratio, _known_at): daily implied volatility, and realised over implied of the `window` returns
+    after each row, which is known at the last of these."""
+    ahead = by(keys, ts).rowsBetween(1, window)
+    daily = returns.where(F.col(r).isNotNull()).join(implied, [*keys, ts], "left").withColumn("_iv", F.col(dvol) / 100 / math.sqrt(365))
+    full = F.count(r).over(ahead) == window
+    daily = daily.withColumns({"_real": F.when(full, F.stddev_samp(r).over(ahead)), "_known_at": F.when(full, F.max(ts).over(ahead))})
+    return daily.select(*keys, ts, "_iv", F.try_divide("_real", "_iv").alias("_ratio"), "_known_at")
 
 
 def start_sigma(fit: DataFrame, returns: DataFrame, implied: DataFrame, keys: list[str], ts: str, r: str, dvol: str, window: int = 30, least: int = 60) -> DataFrame:
     """Where implied volatility is known: it times the median of realised over implied in completed windows;
     else the fitted sigma. All are daily."""
-    ahead = by(keys, ts).rowsBetween(1, window)
-    daily = returns.join(implied, [*keys, ts], "left").withColumn("_iv", F.col(dvol) / 100 / math.sqrt(365))
-    daily = daily.withColumn("_real", F.when(F.count(r).over(ahead) == window, F.stddev_samp(r).over(ahead)))
-    ratios = daily.groupBy(*keys).agg(
-        F.median(F.try_divide("_real", F.col("_iv"))).alias("vrp"), F.count(F.when(F.col("_real").isNotNull() & F.col("_iv").isNotNull(), 1)).alias("_n"), F.max_by("_iv", F.when(F.col("_iv").isNotNull(), F.col(ts))).alias("implied_sigma")
-    )
+    daily = premium_ratios(returns, implied, keys, ts, r, dvol, window)
+    ratios = daily.groupBy(*keys).agg(F.median("_ratio").alias("vrp"), F.count("_ratio").alias("_n"), F.max_by("_iv", F.when(F.col("_iv").isNotNull(), F.col(ts))).alias("implied_sigma"))
     out = fit.join(ratios, keys, "left")
     scaled = F.when(F.col("_n") >= least, F.col("vrp") * F.col("implied_sigma"))
     return out.withColumn("start_sigma", F.coalesce(scaled, "last_sigma")).drop("_n")
 
 
+def expanding_premium(returns: DataFrame, implied: DataFrame, keys: list[str], ts: str, r: str, dvol: str, window: int = 30, least: int = 60) -> DataFrame:
+    """(keys, ts, implied_sigma, ratios, vrp) for each known return: implied volatility of the day, and the median of
+    realised over implied among windows that ended by then; NULL until there are `least` of them."""
+    daily = written(premium_ratios(returns, implied, keys, ts, r, dvol, window), "premium")
+    known = daily.where("_ratio is not null").select(*keys, F.col("_known_at").alias(ts), "_ratio")
+    medians = running_median(known, daily.select(*keys, ts), keys, ts, "_ratio")
+    held = daily.select(*keys, ts, F.col("_iv").alias("implied_sigma")).join(medians, [*keys, ts])
+    return held.select(*keys, ts, "implied_sigma", F.col("n").alias("ratios"), F.when(F.col("n") >= least, F.col("median")).alias("vrp"))
+
+
 def residual_pool(returns: DataFrame, fit: DataFrame, keys: list[str], ts: str, r: str) -> DataFrame:
     """(keys, place, size, z, e): every standardised residual and centred return of a series, numbered from 0."""
-    known = returns.where(F.col(r).isNotNull()).select(*keys, ts, r)
-    moments = known.groupBy(*keys).agg(F.avg(r).alias("_mean"), F.count("*").alias("size"))
-    e = known.join(moments.join(fit.select(*keys, "alpha", "beta", "long_run_sigma"), keys), keys).withColumn("_e", F.col(r) - F.col("_mean"))
-    w = by(keys, ts)
-    e = e.withColumns({"_last": F.lag("_e").over(w), "place": (F.row_number().over(w) - 1).cast("long")})
-    scanned = affine_scan(e, keys, ts, {"_s2": _variance(F.col("alpha"), F.col("beta"), F.col("long_run_sigma") * F.col("long_run_sigma"))})
-    return scanned.select(*keys, "place", "size", (F.col("_e") / F.sqrt("_s2")).alias("z"), F.col("_e").alias("e"))
+    known = returns.where(F.col(r).isNotNull())
+    return volatility.residual_pool(known, fit if "mean" in fit.columns else fit.join(known.groupBy(*keys).agg(F.avg(r).alias("mean")), keys), keys, ts, r)
 
 
+# -- simulated paths -------------------------------------------------------------------------------
 METHODS = ["fhs", "fhs_dvol", "fhs_cal", "iid", "garch_normal"]
 DRAW_RANGE = 1 << 52
+STARTS = ["alpha", "beta", "long_run_sigma", "last_sigma", "start_sigma", "calibration"]
+
+
+def drawn(text: str, paths: int, steps: int, salt: str = "") -> np.ndarray:
+    """Repeatable whole numbers from 0 to 2^52 - 1, one for each path and step: the leading 13 hex digits of an md5 over
+    text, path and step, and the salt."""
+    head = text.encode()
+    tails = [b"|%d%s" % (s, salt.encode()) for s in range(1, steps + 1)]
+    data = b"".join([hashlib.md5(start + tail, usedforsecurity=False).digest() for p in range(1, paths + 1) for start in (head + b"|%d" % p,) for tail in tails])
+    return (np.frombuffer(data, dtype=">u8")[::2] >> np.uint64(12)).astype(np.int64).reshape(paths, steps)
+
+
+def mixed(text: str, paths: int, steps: int, salt: str = "") -> np.ndarray:
+    """As `drawn`, by one md5 over text and salt and a mixed counter (the finaliser of splitmix64): much faster, but not
+    what SQL could draw."""
+    first = np.frombuffer(hashlib.md5((text + salt).encode(), usedforsecurity=False).digest()[:8], dtype="<u8")
+    z = first + np.arange(1, paths * steps + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(12)).astype(np.int64).reshape(paths, steps)
+
+
+def normals(text: str, paths: int, steps: int, draw: Callable[..., np.ndarray] = drawn) -> np.ndarray:
+    unit = lambda salt: (draw(text, paths, steps, salt) + 1) / (DRAW_RANGE + 1.0)
+    return np.sqrt(-2 * np.log(unit("|1"))) * np.cos(2 * math.pi * unit("|2"))
+
+
+def walk(start: dict[str, float], method: str, z: np.ndarray, e: np.ndarray, normal: np.ndarray | None) -> np.ndarray:
+    """Log changes (paths x steps) of filtered historical simulation without drift: all paths are stepped together."""
+    sigma = {"fhs_dvol": start["start_sigma"], "fhs_cal": start["last_sigma"] * start["calibration"]}.get(method, start["last_sigma"])
+    v, alpha, beta = start["long_run_sigma"] ** 2, start["alpha"], start["beta"]
+    if method == "iid":
+        return np.cumsum(e, axis=1)
+    shock = normal if method == "garch_normal" else z
+    out, now = np.empty(z.shape), np.full(len(z), sigma * sigma)
+    for t in range(z.shape[1]):
+        out[:, t] = shock[:, t] * np.sqrt(now)
+        now = (1 - alpha - beta) * v + alpha * out[:, t] ** 2 + beta * now
+    return np.cumsum(out, axis=1)
+
+
+def _simulated(origins: DataFrame, pool: DataFrame, keys: list[str], pool_keys: list[str], steps: int, paths: int, seed: int, methods: list[str], fields: list, report, group_origins: int, draw: Callable[..., np.ndarray]) -> DataFrame:
+    """`report` of each origin's walks. A task holds one pool and at most some `group_origins` origins that use it."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    own = origins.select(*dict.fromkeys([*pool_keys, *keys]), *[F.col(c).cast("double") for c in STARTS], text.alias("_text"))
+    parts = own.groupBy(*pool_keys).agg(F.ceil(F.count("*") / group_origins).cast("int").alias("_parts"))
+    asked = own.join(parts, pool_keys).withColumn("_part", F.pmod(F.xxhash64("_text"), "_parts").cast("int"))
+    held = pool.join(parts, pool_keys).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).select(*pool_keys, "_part", "place", "z", "e")
+
+    def run(asked: pa.Table, pool: pa.Table) -> pa.Table:
+        parts = []
+        if asked.num_rows and pool.num_rows:
+            pool = pool.take(pc.sort_indices(pool.column("place")))
+            z_all, e_all = pool.column("z").to_numpy(), pool.column("e").to_numpy()
+            for i, row in enumerate(asked.select([*STARTS, "_text"]).to_pylist()):
+                at = draw(row["_text"], paths, steps) % pool.num_rows
+                z, e = z_all[at], e_all[at]
+                normal = normals(row["_text"], paths, steps, draw) if "garch_normal" in methods else None
+                for method in methods:
+                    made = report(walk(row, method, z, e, normal))
+                    n = len(made[0])
+                    parts.append([*(asked.column(k).take(pa.array(np.full(n, i))) for k in keys), pa.array([method] * n), *made])
+        names = [*keys, "method", *(f.name for f in fields)]
+        kinds = {**{k: asked.schema.field(k).type for k in keys}, "method": pa.string()}
+        if not parts:
+            return pa.table({n: pa.array([], kinds.get(n) or to_arrow_type(next(f for f in fields if f.name == n).dataType)) for n in names})
+        return pa.concat_tables([pa.table([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in p], names=names) for p in parts])
+
+    schema = T.StructType([*[origins.schema[k] for k in keys], T.StructField("method", T.StringType()), *fields])
+    by_part = [*pool_keys, "_part"]
+    return asked.groupBy(*by_part).cogroup(held.groupBy(*by_part)).applyInArrow(run, schema)
+
+
+def bootstrap_paths(
+    origins: DataFrame, pool: DataFrame, keys: list[str], steps: int = 30, paths: int = 10_000, seed: int = 7, pool_keys: list[str] | None = None,
+    methods: list[str] | None = None, at_steps: list[int] | None = None, group_origins: int = 16,
+) -> DataFrame:
+    """(keys, method, path, step, log_change): filtered historical simulation without drift (Barone-Adesi, 1999).
 
+    `origins` has keys, alpha, beta, long_run_sigma, last_sigma, start_sigma and calibration; every method runs from
+    each.  A path draws a residual of its pool for each step by `drawn`, so a run repeats however rows are partitioned.
+    All paths of an origin are stepped together; only the steps `at_steps` are returned (all by default).  Origins
+    without a pool have no rows.
+    """
+    wanted = np.array(at_steps or range(1, steps + 1))
+    fields = [T.StructField("path", T.IntegerType()), T.StructField("step", T.IntegerType()), T.StructField("log_change", T.DoubleType())]
 
-def draw(seed: int, keys: list[str], *more: Column) -> Column:
-    """A repeatable whole number from 0 to 2^52 - 1: the leading 13 hex digits of an md5 over seed, keys and more."""
-    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], *[c.cast("string") for c in more])
-    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
+    def report(x: np.ndarray) -> list[pa.Array]:
+        path = np.repeat(np.arange(1, len(x) + 1, dtype=np.int32), len(wanted))
+        return [pa.array(path), pa.array(np.tile(wanted.astype(np.int32), len(x))), pa.array(x[:, wanted - 1].ravel())]
 
+    return _simulated(origins, pool, keys, pool_keys or keys, steps, paths, seed, methods or METHODS, fields, report, group_origins, drawn)
 
-def bootstrap_paths(origins: DataFrame, pool: DataFrame, keys: list[str], steps: int = 30, paths: int = 10_000, seed: int = 7, pool_keys: list[str] | None = None) -> DataFrame:
-    """(keys, method, path, step, log_change): filtered historical simulation without drift (Barone-Adesi, 1999).
 
-    `origins` has keys, alpha, beta, long_run_sigma, last_sigma, start_sigma and calibration; every method runs
-    from each.  A path draws a residual of its pool for each step by `draw`, so a run repeats however rows are
-    partitioned; draws meet the pool, of any size, in a join by place.  The variance follows its own recursion,
-    folded within the row.
-    """
-    pool_keys = pool_keys or keys
-    sizes = pool.groupBy(*pool_keys).agg(F.max("size").alias("size"))
-    starts = origins.join(sizes, pool_keys).select(*dict.fromkeys([*keys, *pool_keys]), "size", F.explode(F.sequence(F.lit(1), F.lit(paths))).alias("path"))
-    drawn = starts.repartition(*keys, "path").withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))  # few origins make many paths
-    drawn = drawn.withColumn("place", draw(seed, keys, F.col("path"), F.col("step")) % F.col("size"))
-    unit = lambda salt: (draw(seed, keys, F.col("path"), F.col("step"), F.lit(salt)) + 1) / F.lit(DRAW_RANGE + 1.0)
-    drawn = drawn.select(*dict.fromkeys([*keys, *pool_keys]), "path", "step", "place", (F.sqrt(-2 * F.ln(unit(1))) * F.cos(2 * math.pi * unit(2))).alias("normal"))
-    found = drawn.join(pool.drop("size"), [*pool_keys, "place"])
-    walks = found.groupBy(*keys, "path").agg(F.sort_array(F.collect_list(F.struct("step", "z", "e", "normal"))).alias("_draws"))
-    p = walks.join(origins, keys).withColumn("method", F.explode(F.array(*map(F.lit, METHODS))))
-    method = F.col("method")
-    sigma = F.when(method == "fhs_dvol", F.col("start_sigma")).when(method == "fhs_cal", F.col("last_sigma") * F.col("calibration")).otherwise(F.col("last_sigma"))
-    v = F.col("long_run_sigma") * F.col("long_run_sigma")
-
-    def step(s: Column, d: Column) -> Column:
-        last = F.element_at(s, -1)
-        e = F.when(method == "iid", d["e"]).otherwise(F.when(method == "garch_normal", d["normal"]).otherwise(d["z"]) * F.sqrt(last["v"]))
-        new = (1 - F.col("alpha") - F.col("beta")) * v + F.col("alpha") * e * e + F.col("beta") * last["v"]
-        return F.array_append(s, F.struct(new.alias("v"), (last["x"] + e).alias("x")))
-
-    start = F.array(F.struct((sigma * sigma).alias("v"), F.lit(0.0).alias("x")))
-    walk = p.withColumn("_w", F.transform(F.aggregate("_draws", start, step), lambda s: s["x"]))
-    return walk.select(*keys, "method", "path", F.posexplode("_w").alias("step", "log_change")).where("step > 0")
+def bootstrap_quantiles(
+    origins: DataFrame, pool: DataFrame, keys: list[str], levels: list[float], at_steps: list[int], paths: int = 1_000, seed: int = 7, pool_keys: list[str] | None = None,
+    methods: list[str] | None = None, group_origins: int = 64,
+) -> DataFrame:
+    """(keys, method, step, q): quantiles of such paths' log changes, linear between neighbours, without the paths; drawn by
+    `mixed`."""
+    steps = max(at_steps)
+    fields = [T.StructField("step", T.IntegerType()), T.StructField("q", T.ArrayType(T.DoubleType()))]
+
+    def report(x: np.ndarray) -> list[pa.Array]:
+        q = np.quantile(x[:, np.array(at_steps) - 1], levels, axis=0).T
+        return [pa.array(at_steps, pa.int32()), pa.array(q.tolist(), pa.list_(pa.float64()))]
+
+    return _simulated(origins, pool, keys, pool_keys or keys, steps, paths, seed, methods or METHODS, fields, report, group_origins, mixed)
 
 
 def bands(paths: DataFrame, keys: list[str], spot: Column, levels: tuple[float, ...] = (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95)) -> DataFrame:
@@ -341,11 +406,14 @@ def bands(paths: DataFrame, keys: list[str], spot: Column, levels: tuple[float,
     return q.select(*keys, "method", "step", *[F.col("_q")[i].alias(f"p{round(100 * x)}") for i, x in enumerate(levels)])
 
 
-def exceedance(paths: DataFrame, keys: list[str], changes: tuple[float, ...] = (-0.2, -0.1, 0.0, 0.1, 0.2)) -> DataFrame:
-    """Share of paths whose last price is at or above each level, as a change from the spot."""
-    last = paths.where(F.col("step") == F.lit(paths.agg(F.max("step")).collect()[0][0]))
+def exceedance(paths: DataFrame, keys: list[str], changes: tuple[float, ...] = (-0.2, -0.1, 0.0, 0.1, 0.2), step: int | None = None) -> DataFrame:
+    """Share of paths whose price at `step` (the last one by default) is at or above each level, as a change from the spot."""
     cells = F.array(*[F.struct(F.lit(c).alias("change"), (F.exp("log_change") >= 1 + c).cast("double").alias("hit")) for c in changes])
-    return last.select(*keys, "method", F.inline(cells)).groupBy(*keys, "method", "change").agg(F.avg("hit").alias("prob_above"))
+    if step is None:
+        paths = paths.groupBy(*keys, "method", "path").agg(F.max_by("log_change", "step").alias("log_change"))
+    else:
+        paths = paths.where(F.col("step") == step)
+    return paths.select(*keys, "method", F.inline(cells)).groupBy(*keys, "method", "change").agg(F.avg("hit").alias("prob_above"))
 
 
 def sample_paths(paths: DataFrame, keys: list[str], count: int = 24, low: float = 0.05, high: float = 0.95) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import annualised, gain, loss, safe_divide
 from .clean import by
-from .scan import ema
-from .windows import difference, lag, log_return, percent_change, rolling
+from .scan import ema, lagged
+from .windows import lag, log_return, rolling
 
 
 def returns_and_range(df: DataFrame, keys: list[str], ts: str, windows: tuple[int, ...] = (3, 7, 14, 30, 60, 90)) -> DataFrame:
@@ -27,13 +27,15 @@ def returns_and_range(df: DataFrame, keys: list[str], ts: str, windows: tuple[in
 def ema_features(df: DataFrame, keys: list[str], ts: str, spans: tuple[int, ...] = (5, 8, 13, 21, 50, 100, 200)) -> DataFrame:
     """Averages of the close, distance of the close from each, and each one's slope."""
     df = ema(df, keys, ts, {f"ema_{n}": ("close", 2 / (n + 1), n) for n in spans})
-    w = by(keys, ts)
-    return df.withColumns({f"ema_distance_{n}": safe_divide("close", f"ema_{n}") - 1 for n in spans} | {f"ema_slope_{n}": percent_change(f"ema_{n}", w) for n in spans})
+    df = lagged(df, {f"_ema_{n}": f"ema_{n}" for n in spans}, keys, ts)
+    slopes = {f"ema_slope_{n}": safe_divide(f"ema_{n}", f"_ema_{n}") - 1 for n in spans}
+    return df.withColumns({f"ema_distance_{n}": safe_divide("close", f"ema_{n}") - 1 for n in spans} | slopes).drop(*[f"_ema_{n}" for n in spans])
 
 
 def rsi(df: DataFrame, keys: list[str], ts: str, windows: tuple[int, ...] = (7, 14, 21, 28)) -> DataFrame:
     """Relative strength by Wilder's smoothing; NULL where there was no loss."""
-    df = df.withColumn("_d", difference("close", 1, by(keys, ts))).withColumns({"_g": gain("_d"), "_l": loss("_d")})
+    df = lagged(df, {"_before": "close"}, keys, ts).withColumn("_d", F.col("close") - F.col("_before")).drop("_before")
+    df = df.withColumns({"_g": gain("_d"), "_l": loss("_d")})
     specs = {f"_{c}_{n}": (f"_{c}", 1 / n, n) for n in windows for c in ("g", "l")}
     df = ema(df, keys, ts, specs)
     df = df.withColumns({f"rsi_{n}": 100 - 100 / (1 + safe_divide(f"_g_{n}", f"_l_{n}")) for n in windows})
@@ -66,8 +68,9 @@ def bollinger(df: DataFrame, keys: list[str], ts: str, windows: tuple[int, ...]
 
 def true_range(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
     """The largest of the day's range and its distances from the last close; the first day has its range alone."""
-    last = lag("close", 1, by(keys, ts))
-    return df.withColumn("true_range", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - last), F.abs(F.col("low") - last)))
+    last = F.col("_before")
+    df = lagged(df, {"_before": "close"}, keys, ts)
+    return df.withColumn("true_range", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - last), F.abs(F.col("low") - last))).drop("_before")
 
 
 def atr(df: DataFrame, keys: list[str], ts: str, windows: tuple[int, ...] = (7, 14, 21)) -> DataFrame:

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import bisect
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..storage import written
 
@@ -33,3 +39,81 @@ def quantiles(df: DataFrame, keys: list[str], value: str, points: list[float], b
     value_at = lambda x: F.element_at("_held", x.cast("long"))
     between = [value_at(F.floor(x)) + (value_at(F.ceil(x)) - value_at(F.floor(x))) * (x - F.floor(x)) for x in at]
     return held.select(*keys, F.array(*between).alias(name))
+
+
+def running_median(values: DataFrame, asked: DataFrame, keys: list[str], ts: str, value: str, buckets: int = 256, chunk_rows: int = 65_536) -> DataFrame:
+    """(keys, ts, n, median): for each asked time, how many values are known by then, and their median (exact).
+
+    Values fall into buckets of about equal depth, and into chunks of time.  Counts by chunk and bucket, summed over the
+    chunks before, tell in which bucket a time's middle ranks lie.  A task then holds one bucket's values and the
+    times of one chunk that ask for them, so neither a series nor its times meet in one task.  Times without a value
+    yet have a NULL median; NULL values don't count.
+    """
+    known = written(values.where(F.col(value).isNotNull()).select(*keys, F.col(ts).alias("_t"), F.col(value).cast("double").alias("_v")), "values")
+    times = written(asked.select(*keys, F.col(ts).alias("_t")).distinct(), "times")
+    cut = known.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 10 * buckets).alias("_cuts"))
+    cut = written(cut.withColumn("_cuts", F.array_distinct("_cuts")), "cuts")
+    clock = F.col("_t").cast("timestamp").cast("double")
+    ends = times.groupBy(*keys).agg(F.min(clock).alias("_from"), F.max(clock).alias("_to"), F.count("*").alias("_m"))
+    ends = ends.withColumn("_chunks", F.ceil(F.col("_m") / chunk_rows))
+    chunk = F.least(F.floor((clock - F.col("_from")) / F.greatest(F.lit(1.0), (F.col("_to") - F.col("_from")) / F.col("_chunks"))), F.col("_chunks") - 1).cast("int")
+    bucket = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
+    placed = written(known.join(cut, keys).join(ends, keys).select(*keys, "_t", "_v", bucket.alias("_b"), F.greatest(F.lit(0), chunk).alias("_chunk"), "_chunks"), "placed")
+    own = times.join(ends, keys).select(*keys, "_t", chunk.alias("_chunk"))
+
+    # ranks: a chunk's times, its values' times and buckets, and the counts by bucket before it
+    counts = placed.groupBy(*keys, "_chunk", "_b").agg(F.count("*").alias("_m"))
+    later = counts.join(ends.select(*keys, "_chunks"), keys).withColumn("_chunk", F.explode(F.sequence(F.col("_chunk") + 1, F.col("_chunks").cast("int")))).where(F.col("_chunk") < F.col("_chunks"))
+    before = later.groupBy(*keys, "_chunk", "_b").agg(F.sum("_m").alias("_m"))
+    cells = own.select(*keys, "_chunk", "_t", F.lit(None).cast("int").alias("_b"), F.lit(0).cast("long").alias("_m"))
+    cells = cells.unionByName(placed.select(*keys, "_chunk", "_t", "_b", F.lit(1).cast("long").alias("_m"))).unionByName(before.select(*keys, "_chunk", F.lit(None).cast(asked.schema[ts].dataType).alias("_t"), "_b", "_m"))
+    kinds = [times.schema[k] for k in keys]
+    wide = T.StructType([*kinds, T.StructField("_chunk", T.IntegerType()), times.schema["_t"], *[T.StructField(c, T.LongType()) for c in ("n", "_half", "_b", "_rank")]])
+
+    def rank(table: pa.Table) -> pa.Table:
+        b, m = pc.fill_null(table.column("_b"), -1).to_numpy(), table.column("_m").to_numpy()
+        missing = table.column("_t").is_null().to_numpy(zero_copy_only=False)
+        sums = np.bincount(b[missing], weights=m[missing], minlength=buckets + 1).astype(np.int64)
+        rest = table.filter(pa.array(~missing))
+        order = pc.sort_indices(pa.table({"t": rest.column("_t"), "b": pc.fill_null(rest.column("_b"), buckets + 9)}), sort_keys=[("t", "ascending"), ("b", "ascending")])
+        rest = rest.take(order)
+        out = []
+        for i, at in enumerate(pc.fill_null(rest.column("_b"), -1).to_pylist()):
+            if at >= 0:
+                sums[at] += 1
+                continue
+            n = int(sums.sum())
+            total = np.cumsum(sums)
+            for half, k in enumerate({(n - 1) // 2, n // 2} if n else ()):
+                where = int(np.searchsorted(total, k, "right"))
+                out.append((i, n, half, where, k - int(total[where - 1] if where else 0)))
+            if not n:
+                out.append((i, 0, 0, -1, 0))
+        at = pa.array([x[0] for x in out], pa.int64())
+        made = [pa.array([x[j] for x in out], pa.int64()) for j in range(1, 5)]
+        return pa.table([*(rest.column(k).take(at) for k in keys), rest.column("_chunk").take(at), rest.column("_t").take(at), *made], names=[*keys, "_chunk", "_t", "n", "_half", "_b", "_rank"])
+
+    ranks = written(cells.groupBy(*keys, "_chunk").applyInArrow(rank, wide), "ranks")
+    wanted = ranks.where("_b >= 0").withColumn("_b", F.col("_b").cast("int"))
+    needed = wanted.select(*keys, "_chunk", "_b").distinct()
+    held = placed.withColumnRenamed("_chunk", "_at").drop("_chunks").join(needed, [*keys, "_b"]).where(F.col("_at") <= F.col("_chunk"))
+    held = held.select(*[F.col(c).alias(c) for c in (*keys, "_chunk", "_b", "_t", "_v")])
+    found = T.StructType([*kinds, times.schema["_t"], T.StructField("n", T.LongType()), T.StructField("_v", T.DoubleType())])
+
+    def pick(asked: pa.Table, own: pa.Table) -> pa.Table:
+        asked, own = (x.take(pc.sort_indices(x.column("_t"))) for x in (asked, own))
+        known: list[float] = []
+        seen, value, clock = 0, own.column("_v").to_pylist(), own.column("_t").to_pylist()
+        out = []
+        for t, k in zip(asked.column("_t").to_pylist(), asked.column("_rank").to_pylist(), strict=True):
+            while seen < len(clock) and clock[seen] <= t:
+                bisect.insort(known, value[seen])
+                seen += 1
+            out.append(known[k])
+        return asked.select([*keys, "_t", "n"]).append_column("_v", pa.array(out, pa.float64()))
+
+    by = [*keys, "_chunk", "_b"]
+    middles = wanted.groupBy(*by).cogroup(held.groupBy(*by)).applyInArrow(pick, found)
+    medians = middles.groupBy(*keys, "_t", "n").agg(F.avg("_v").alias("median"))
+    none = ranks.where("_b < 0").select(*keys, "_t", "n", F.lit(None).cast("double").alias("median"))
+    return medians.unionByName(none).withColumnRenamed("_t", ts)

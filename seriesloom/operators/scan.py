@@ -1,21 +1,31 @@
-"""Affine scan: e[t] = a[t] * e[t-1] + b[t] over each series, in chunks.
+"""Scans over each series in chunks: summaries, their prefix, and a replay of each chunk from what came before.
 
-Two affine maps compose to one, so a chunk's effect is a pair (A, B).  Chunks hold at most `chunk_rows` rows,
-with all their columns, and are written once.  Their summaries are folded to each chunk's carry-in, series by
-series and without the rows; chunks are then replayed from it, each on its own.
+Keys are not NULL.  A scan needs an associative step: a chunk's effect on the state before it fits into a short summary.  Rows are dealt
+to chunks by time, summaries (a row for each chunk) are combined series by series without the rows, and each chunk is
+replayed from its own state.  So no task sorts or holds a series, and no window runs over one.
+
+`fold_chunks` runs numeric scans (affine maps, exponential averages) on Arrow batches; `prefix` combines summaries of
+any type in built-in functions (last known values, counts, row numbers).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..storage import written
-from .clean import by
 
-CHUNK_DAYS, CHUNK_ROWS = 128, 1024
+#: Days in a chunk: dated series have a row a day at most, others may have many.
+DATED_DAYS, TIMED_DAYS = 8_192, 32
+SHORT = 16_384
 
 
 def running(values: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
@@ -32,34 +42,203 @@ def running(values: Column, start: Column, step: Callable[[Column, Column], Colu
     return F.slice(F.flatten(states), F.lit(2), F.size(values))
 
 
-def affine_scan(df: DataFrame, keys: list[str], ts: str, maps: dict[str, tuple[Column, Column]], chunk: Column | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """`df` with a column for each (a, b) in `maps`; before a series' first row, e is 0.
+def span_of(df: DataFrame, ts: str) -> Column:
+    days = DATED_DAYS if isinstance(df.schema[ts].dataType, T.DateType) else TIMED_DAYS
+    return F.floor(F.unix_date(F.col(ts).cast("date")) / days).cast("long")
+
+
+def prefix(summaries: DataFrame, keys: list[str], chunk: str, start: Column, step: Callable[[Column, Column], Column], name: str = "_carry") -> DataFrame:
+    """(keys, chunk, state before it) from one row for each chunk; `step` takes the state and a chunk's row."""
+    row = F.struct(chunk, *[c for c in summaries.columns if c not in (*keys, chunk)])
+    series = summaries.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_all"))
+    before = F.concat(F.array(start), running(F.col("_all"), start, step))
+    pairs = F.zip_with("_all", F.slice(before, F.lit(1), F.size("_all")), lambda x, s: F.struct(x[chunk].alias(chunk), s.alias(name)))
+    return series.select(*keys, F.inline(pairs))
+
+
+# -- built-in scans --------------------------------------------------------------------------------
+def last_known(df: DataFrame, columns: dict[str, str], keys: list[str], ts: str, chunk: Column | None = None, strict: bool = False) -> DataFrame:
+    """`df` with a column for each (name, source): the source's last value that isn't NULL up to each row.
+
+    `strict` takes the rows before the row itself only.
+    """
+    placed = df.withColumn("_chunk", span_of(df, ts) if chunk is None else chunk.cast("long"))
+    sources = sorted(set(columns.values()))
+    sums = placed.groupBy(*keys, "_chunk").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(ts))).alias(f"_last_{i}") for i, c in enumerate(sources)])
+    types = {c: df.schema[c].dataType for c in sources}
+    start = F.struct(*[F.lit(None).cast(types[c]).alias(f"_last_{i}") for i, c in enumerate(sources)])
+    step = lambda s, x: F.struct(*[F.coalesce(x[f"_last_{i}"], s[f"_last_{i}"]).alias(f"_last_{i}") for i in range(len(sources))])
+    carried = prefix(sums, keys, "_chunk", start, step)
+    w = Window.partitionBy(*keys, "_chunk").orderBy(ts).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
+    local = placed.withColumns({f"_own_{name}": F.last(c, ignorenulls=True).over(w) for name, c in columns.items()}).join(carried, [*keys, "_chunk"])
+    found = {name: F.coalesce(f"_own_{name}", F.col(f"_carry._last_{sources.index(c)}")) for name, c in columns.items()}
+    kept = [c for c in df.columns if c not in columns]
+    return local.select(*kept, *[v.alias(n) for n, v in found.items()])
+
+
+def lagged(df: DataFrame, columns: dict[str, str], keys: list[str], ts: str, chunk: Column | None = None) -> DataFrame:
+    """`df` with a column for each (name, source): the source in the row before, NULL in a series' first row."""
+    boxed = df.withColumns({f"_box_{n}": F.struct(F.col(c).alias("v")) for n, c in columns.items()})
+    found = last_known(boxed, {f"_at_{n}": f"_box_{n}" for n in columns}, keys, ts, chunk, strict=True)
+    return found.select(*df.columns, *[F.col(f"_at_{n}.v").alias(n) for n in columns])
+
+
+def row_numbers(df: DataFrame, keys: list[str], ts: str, chunk: Column | None = None, name: str = "rn", size: str | None = "n") -> DataFrame:
+    """`df` with each row's place in its series from 0, and the series' length."""
+    placed = df.withColumn("_chunk", span_of(df, ts) if chunk is None else chunk.cast("long"))
+    counts = placed.groupBy(*keys, "_chunk").agg(F.count("*").alias("_m"))
+    carried = prefix(counts, keys, "_chunk", F.lit(0).cast("long"), lambda s, x: s + x["_m"])
+    if size:
+        carried = carried.join(counts.groupBy(*keys).agg(F.sum("_m").alias(size)), keys)
+    own = F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(ts)) - 1
+    numbered = placed.withColumn("_own", own).join(carried, [*keys, "_chunk"]).withColumn(name, (F.col("_carry") + F.col("_own")).cast("long"))
+    return numbered.select(*df.columns, name, *([size] if size else []))
 
-    `chunk` must grow with the time; by default it is the date's span of CHUNK_DAYS.  Spans of more than
-    `chunk_rows` rows are cut further.  Times are unique within a series.
+
+# -- numeric scans ---------------------------------------------------------------------------------
+def affine(a: np.ndarray, b: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """States of e = a e' + b along the last axis, from `start`.
+
+    Up to SHORT they are stepped one by one; beyond, rows of about the square root of the length are stepped side by
+    side, then chained.
     """
-    span = F.floor(F.unix_date(F.col(ts).cast("date")) / CHUNK_DAYS) if chunk is None else chunk
-    names, others = list(maps), [c for c in df.columns if c not in (*keys, ts)]
-    pair = lambda a, b: F.struct(a.cast("double").alias("a"), b.cast("double").alias("b"))
-    placed = df.withColumn("_span", span.cast("long"))
-    placed = placed.withColumn("_part", F.floor((F.row_number().over(Window.partitionBy(*keys, "_span").orderBy(ts)) - 1) / chunk_rows))
-    row = F.struct(ts, F.struct(*[pair(a, b).alias(n) for n, (a, b) in maps.items()]).alias("_maps"), *others)
-    chunks = placed.groupBy(*keys, "_span", "_part").agg(F.sort_array(F.collect_list(row)).alias("_rows"))
-
-    def summary(n: str) -> Column:
-        whole = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
-        return F.aggregate("_rows", whole, lambda s, r: F.struct((s["a"] * r["_maps"][n]["a"]).alias("a"), (s["b"] * r["_maps"][n]["a"] + r["_maps"][n]["b"]).alias("b")))
-
-    chunks = written(chunks.withColumn("_sum", F.struct(*[summary(n).alias(n) for n in names])), "chunks")
-    step = lambda state, m: F.struct(*[(state[n] * m[n]["a"] + m[n]["b"]).alias(n) for n in names])
-    series = chunks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_span", "_part", "_sum"))).alias("_all"))
-    zero = F.struct(*[F.lit(0.0).alias(n) for n in names])
-    after = running(F.transform("_all", lambda x: x["_sum"]), zero, step)
-    carried = series.select(*keys, F.inline(F.arrays_zip(F.transform("_all", lambda x: x["_span"]).alias("_span"), F.transform("_all", lambda x: x["_part"]).alias("_part"), F.concat(F.array(zero), after).alias("_carry"))))
-    replay = chunks.drop("_sum").join(carried.where("_span is not null"), [*keys, "_span", "_part"])
-    states = running(F.transform("_rows", lambda r: r["_maps"]), F.col("_carry"), step)
-    full = F.zip_with("_rows", states, lambda r, s: F.struct(r[ts].alias(ts), *[r[c].alias(c) for c in others], *[s[n].alias(n) for n in names]))
-    return replay.select(*keys, F.inline(full)).select(*df.columns, *names)
+    n = a.shape[-1]
+    if not n:
+        return np.zeros(a.shape)
+    if n <= SHORT and a.ndim == 1:
+        return np.fromiter(accumulate(zip(a.tolist(), b.tolist(), strict=True), lambda e, m: m[0] * e + m[1], initial=float(start)), float, n + 1)[1:]
+    if n <= SHORT:
+        out, e = np.empty(a.shape), np.asarray(start, dtype=float)
+        for t in range(n):
+            e = out[..., t] = a[..., t] * e + b[..., t]
+        return out
+    width = math.isqrt(n - 1) + 1
+    rows = -(-n // width)
+    shape = (*a.shape[:-1], rows, width)
+    pad = [(0, 0)] * (a.ndim - 1) + [(0, rows * width - n)]
+    a, b = np.pad(a, pad, constant_values=1.0).reshape(shape), np.pad(b, pad).reshape(shape)
+    made, factor = np.empty(shape), np.empty(shape)
+    e, p = np.zeros(shape[:-1]), np.ones(shape[:-1])
+    for j in range(width):
+        e = a[..., j] * e + b[..., j]
+        p = p * a[..., j]
+        made[..., j], factor[..., j] = e, p
+    carry = np.empty(shape[:-1])
+    state = np.broadcast_to(np.asarray(start, dtype=float), shape[:-2]).copy()
+    for i in range(rows):
+        carry[..., i] = state
+        state = factor[..., i, -1] * state + made[..., i, -1]
+    return (made + factor * carry[..., None]).reshape(*shape[:-2], -1)[..., :n]
+
+
+def _numbers(table: pa.Table, names: list[str]) -> np.ndarray:
+    """Columns as rows of a matrix of doubles, NULL as NaN."""
+    return np.stack([pc.cast(table.column(c), pa.float64()).to_numpy() for c in names]) if names else np.zeros((0, table.num_rows))
+
+
+def fold_chunks(
+    df: DataFrame, keys: list[str], ts: str, inputs: dict[str, Column], outputs: list[str], chunk: Column | None,
+    summary: Callable[[np.ndarray], np.ndarray], start: np.ndarray, step: Callable[[np.ndarray, np.ndarray], np.ndarray], replay: Callable[[np.ndarray, np.ndarray], np.ndarray],
+) -> DataFrame:
+    """`df` with the columns `outputs` of a scan over `inputs`, by chunks.
+
+    `summary` maps a chunk's inputs (a row each, in order of time) to numbers, `step` a state and a summary to the next
+    state, `replay` inputs and the state before them to the outputs, a row each, NaN for NULL.  `chunk` must grow with
+    the time.  Times are unique within a series.
+    """
+    names = [f"_x{i}" for i in range(len(inputs))]
+    placed = written(df.withColumns({"_chunk": span_of(df, ts) if chunk is None else chunk.cast("long")} | {n: c.cast("double") for n, c in zip(names, inputs.values(), strict=True)}), "scan")
+    held = T.StructType([placed.schema[k] for k in [*keys, "_chunk"]])
+
+    def ordered(table: pa.Table) -> pa.Table:
+        return table.take(pc.sort_indices(table.column(ts)))
+
+    def head(table: pa.Table) -> list:
+        return [table.column(k).combine_chunks().slice(0, 1) for k in [*keys, "_chunk"]]
+
+    def summarise(table: pa.Table) -> pa.Table:
+        table = ordered(table)
+        return pa.table([*head(table), pa.array([summary(_numbers(table, names)).tolist()], pa.list_(pa.float64()))], names=[*keys, "_chunk", "_sum"])
+
+    def combine(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table.column("_chunk")))
+        states, now = [], start
+        for s in table.column("_sum").to_pylist():
+            states.append(now.tolist())
+            now = step(now, np.array(s))
+        return table.drop_columns(["_sum"]).append_column("_state", pa.array(states, pa.list_(pa.float64())))
+
+    own = df.columns
+    wanted = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in outputs]])
+
+    def replayed(table: pa.Table, state: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return table.select(own)
+        table = ordered(table)
+        made = replay(_numbers(table, names), np.array(state.column("_state")[0].as_py()))
+        out = table.select(own)
+        for n, row in zip(outputs, made, strict=True):
+            out = out.append_column(n, pa.array(row, pa.float64(), from_pandas=True))
+        return out
+
+    number = T.ArrayType(T.DoubleType())
+    sums = placed.select(*keys, "_chunk", ts, *names).groupBy(*keys, "_chunk").applyInArrow(summarise, T.StructType([*held.fields, T.StructField("_sum", number)]))
+    states = sums.groupBy(*keys).applyInArrow(combine, T.StructType([*held.fields, T.StructField("_state", number)]))
+    return placed.groupBy(*keys, "_chunk").cogroup(states.groupBy(*keys, "_chunk")).applyInArrow(replayed, wanted)
+
+
+def affine_scan(df: DataFrame, keys: list[str], ts: str, maps: dict[str, tuple[Column, Column]], chunk: Column | None = None) -> DataFrame:
+    """`df` with a column for each (a, b) in `maps`: e = a e' + b over a series; before its first row, e is 0."""
+    n = len(maps)
+    inputs = {f"a{i}": a for i, (a, _) in enumerate(maps.values())} | {f"b{i}": b for i, (_, b) in enumerate(maps.values())}
+
+    def summary(x: np.ndarray) -> np.ndarray:
+        return np.concatenate([x[:n].prod(axis=1), affine(x[:n], x[n:], np.zeros(n))[:, -1]])
+
+    return fold_chunks(df, keys, ts, inputs, list(maps), chunk, summary, np.zeros(n), lambda s, m: m[:n] * s + m[n:], lambda x, s: affine(x[:n], x[n:], s))
+
+
+class _Average:
+    """An exponential average over known values; a gap decays what came before it."""
+
+    width = 7  # rows, known ones, unknown ones before and after these, first value, and the map of the others
+
+    def __init__(self, alpha: float, least: int):
+        self.alpha, self.least = alpha, max(1, least)
+
+    def maps(self, v: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        kept = (1.0 - self.alpha) ** np.diff(at)
+        return kept / (kept + self.alpha), self.alpha * v[at[1:]] / (kept + self.alpha)
+
+    def summary(self, v: np.ndarray) -> list[float]:
+        at = np.flatnonzero(~np.isnan(v))
+        if not len(at):
+            return [len(v), 0, 0, 0, 0, 1, 0]
+        a, b = self.maps(v, at)
+        return [len(v), len(at), at[0], len(v) - 1 - at[-1], v[at[0]], a.prod(), affine(a, b, 0.0)[-1] if len(a) else 0.0]
+
+    def first(self, state: np.ndarray, lead: float, value: float) -> float:
+        average, since, seen = state
+        if not seen:
+            return value
+        kept = (1.0 - self.alpha) ** (since + lead + 1)
+        return (kept * average + self.alpha * value) / (kept + self.alpha)
+
+    def step(self, state: np.ndarray, s: np.ndarray) -> list[float]:
+        average, since, seen = state
+        rows, known, lead, trail, value, a, b = s
+        if not known:
+            return [average, since + rows, seen]
+        return [a * self.first(state, lead, value) + b, trail, seen + known]
+
+    def replay(self, v: np.ndarray, state: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(~np.isnan(v))
+        begun = np.cumsum(~np.isnan(v))
+        path = np.array([state[0]])
+        if len(at):
+            first = self.first(state, at[0], v[at[0]])
+            path = np.concatenate([path, [first], affine(*self.maps(v, at), first)])
+        return np.where(state[2] + begun >= self.least, path[begun], np.nan)
 
 
 def ema(df: DataFrame, keys: list[str], ts: str, specs: dict[str, tuple[str, float, int]], chunk: Column | None = None) -> DataFrame:
@@ -68,19 +247,18 @@ def ema(df: DataFrame, keys: list[str], ts: str, specs: dict[str, tuple[str, flo
     The recursion starts at a series' first value.  A missing value keeps the average; the next value then
     weighs against the past decayed over the gap.  Results are NULL until enough values are seen.
     """
-    w = by(keys, ts)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    values = sorted({v for v, _, _ in specs.values()})
-    df = df.withColumn("_rn", F.row_number().over(w))
-    df = df.withColumns({f"_at_{v}": F.when(F.col(v).isNotNull(), F.col("_rn")) for v in values})
-    df = df.withColumns({f"_gap_{v}": F.col("_rn") - F.last(f"_at_{v}", ignorenulls=True).over(before) for v in values} | {f"_n_{v}": F.count(v).over(upto) for v in values})
-    maps = {}
-    for name, (v, alpha, _) in specs.items():
-        kept = F.pow(F.lit(1.0 - alpha), F.col(f"_gap_{v}"))
-        a = F.when(F.col(v).isNull(), 1.0).when(F.col(f"_gap_{v}").isNull(), 0.0).otherwise(kept / (kept + alpha))
-        b = F.when(F.col(v).isNull(), 0.0).when(F.col(f"_gap_{v}").isNull(), F.col(v)).otherwise(alpha * F.col(v) / (kept + alpha))
-        maps[name] = (a, b)
-    out = affine_scan(df, keys, ts, maps, chunk)
-    out = out.withColumns({name: F.when(F.col(f"_n_{v}") >= max(1, least), F.col(name)) for name, (v, _, least) in specs.items()})
-    return out.drop("_rn", *[f"_{k}_{v}" for k in ("at", "gap", "n") for v in values])
+    sources = sorted({v for v, _, _ in specs.values()})
+    made = [(sources.index(v), _Average(alpha, least)) for v, alpha, least in specs.values()]
+    parts = lambda s, width: s.reshape(-1, width)
+
+    def summary(x: np.ndarray) -> np.ndarray:
+        return np.array([m.summary(x[i]) for i, m in made], dtype=float).ravel()
+
+    def step(state: np.ndarray, s: np.ndarray) -> np.ndarray:
+        return np.array([m.step(a, b) for (_, m), a, b in zip(made, parts(state, 3), parts(s, _Average.width), strict=True)], dtype=float).ravel()
+
+    def replay(x: np.ndarray, state: np.ndarray) -> np.ndarray:
+        return np.stack([m.replay(x[i], s) for (i, m), s in zip(made, parts(state, 3), strict=True)])
+
+    kept = [c for c in df.columns if c not in specs]
+    return fold_chunks(df.select(kept), keys, ts, {v: F.col(v) for v in sources}, list(specs), chunk, summary, np.zeros(3 * len(made)), step, replay)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import log_return_label
 from .clean import by
+from .scan import row_numbers
 from .windows import future_return, log_return, rolling
 
 
@@ -22,7 +23,7 @@ def threshold_label(df: DataFrame, keys: list[str], ts: str, horizon: int = 7, s
 
 def numbered(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
     """Place of each row in its series from 0, and the series' length."""
-    return df.withColumns({"rn": F.row_number().over(by(keys, ts)) - 1, "n": F.count("*").over(Window.partitionBy(*keys))})
+    return row_numbers(df, keys, ts)
 
 
 def purged_split(df: DataFrame, keys: list[str], ts: str, train: float = 0.6, validation: float = 0.2, horizon: int = 7) -> DataFrame:

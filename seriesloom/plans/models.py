@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import classify, clean, forecast, indicators, joins, metrics, splits, windows
+from ..operators import classify, clean, forecast, indicators, joins, metrics, splits, volatility, windows
 from ..operators.calendars import calendar_features
 from .base import BARS, BARS_ALL, KEYS, TS, W, bars, query, raw_daily, roll, rounded, written
 from .checks import _walk_sql, labelled, walk
@@ -264,12 +266,25 @@ def market(spark: SparkSession, sf_dir: str, series=None) -> DataFrame:
 _GRID = [(a, b) for a, b in forecast.GRID]
 
 
+def _likelihood_sql(i: int) -> str:
+    """Likelihoods of the candidates g<i> of each series, and the best of them, k<i>."""
+    return f"""s{i} AS (SELECT ce.series_id, rn, alpha, beta, v, v AS s2, e FROM ce JOIN va USING (series_id) JOIN g{i} USING (series_id) WHERE rn = 1
+    UNION ALL SELECT s{i}.series_id, ce.rn, alpha, beta, v, (1 - alpha - beta) * v + alpha * s{i}.e * s{i}.e + beta * s2, ce.e FROM s{i} JOIN ce ON ce.series_id = s{i}.series_id AND ce.rn = s{i}.rn + 1),
+l{i} AS (SELECT series_id, alpha, beta, count(*) AS n, sum(-0.5 * (ln(s2) + e * e / s2)) AS ll, arg_max(s2, rn) AS last, max(v) AS v FROM s{i} GROUP BY 1, 2, 3),
+k{i} AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY round(ll, 6) DESC, alpha, beta) AS k FROM l{i})"""
+
+
+def _refined_sql() -> str:
+    parts = []
+    for i, (steps, gaps) in enumerate(volatility.ROUNDS, 1):
+        parts.append(f"""g{i} AS (SELECT DISTINCT * FROM (SELECT series_id, alpha * f AS alpha, least(1 - (1 - (alpha + beta)) * g, {volatility.MOST_PERSISTENT}::DOUBLE) - alpha * f AS beta FROM k{i - 1},
+    (SELECT unnest({list(steps)}::DOUBLE[]) AS f), (SELECT unnest({list(gaps)}::DOUBLE[]) AS g) WHERE k = 1) WHERE beta >= 0), {_likelihood_sql(i)}""")
+    return ", ".join(parts) + f", k AS (SELECT * FROM k{len(volatility.ROUNDS)})"
+
+
 _GARCH = f"""sm AS (SELECT series_id, date, {roll('close', 7, 'avg')} AS close FROM bars), rr AS (SELECT series_id, date, ln(close / lag(close) {W}) AS r FROM sm),
 ce AS (SELECT series_id, date, r - avg(r) OVER (PARTITION BY series_id) AS e, row_number() OVER (PARTITION BY series_id ORDER BY date) AS rn FROM rr WHERE r IS NOT NULL), va AS (SELECT series_id, avg(e * e) AS v FROM ce GROUP BY 1),
-gr AS (SELECT unnest({[a for a, _ in _GRID]}) AS alpha, unnest({[b for _, b in _GRID]}) AS beta),
-s AS (SELECT series_id, rn, CAST(alpha AS DOUBLE) AS alpha, CAST(beta AS DOUBLE) AS beta, v, v AS s2, e FROM ce JOIN va USING (series_id) CROSS JOIN gr WHERE rn = 1
-    UNION ALL SELECT s.series_id, ce.rn, alpha, beta, v, (1 - alpha - beta) * v + alpha * s.e * s.e + beta * s2, ce.e FROM s JOIN ce ON ce.series_id = s.series_id AND ce.rn = s.rn + 1),
-l AS (SELECT series_id, alpha, beta, count(*) AS n, sum(-0.5 * (ln(s2) + e * e / s2)) AS ll, arg_max(s2, rn) AS last, max(v) AS v FROM s GROUP BY 1, 2, 3), k AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY round(ll, 6) DESC, alpha, beta) AS k FROM l)"""
+g0 AS (SELECT series_id, alpha, beta FROM va, (SELECT unnest({[a for a, _ in _GRID]}::DOUBLE[]) AS alpha, unnest({[b for _, b in _GRID]}::DOUBLE[]) AS beta)), {_likelihood_sql(0)}, {_refined_sql()}"""
 
 
 @query(f"""WITH RECURSIVE {BARS}, {_GARCH}
@@ -312,15 +327,14 @@ def start_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(df, ["persistence", "last_sigma", "long_run_sigma", "vrp", "implied_sigma", "start_sigma"])
 
 
-PATHS, STEPS, SEED = 10_000, 30, 7
+PATHS, STEPS, SEED, CALIBRATION = 10_000, 30, 7, 1.1
 
 
-def simulated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def simulated(spark: SparkSession, sf_dir: str, at_steps: list[int] | None = None, methods: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     returns, fit = volatility_inputs(spark, sf_dir)
     spot = returns.groupBy("series_id").agg(F.max_by("close", "date").alias("spot"), F.max("date").alias("as_of"))
-    pool = written(forecast.residual_pool(returns, fit, KEYS, TS, "r"), "pool")
-    paths = forecast.bootstrap_paths(fit.withColumn("calibration", F.lit(1.0)), pool, KEYS, STEPS, PATHS, SEED)
-    return written(paths, "paths"), spot
+    pool = forecast.residual_pool(returns, fit, KEYS, TS, "r")
+    return written(forecast.bootstrap_paths(fit.withColumn("calibration", F.lit(CALIBRATION)), pool, KEYS, STEPS, PATHS, SEED, None, methods, at_steps), "paths"), spot
 
 
 _DRAW = lambda *more: f"('0x' || substr(md5(concat_ws('|', '{SEED}', series_id{''.join(f', {m}' for m in more)})), 1, 13))::BIGINT"
@@ -334,7 +348,7 @@ dr AS (SELECT series_id, path, step, {_DRAW('path', 'step')} % size AS place, sq
     FROM sz CROSS JOIN (SELECT unnest(range(1, {PATHS + 1})) AS path) CROSS JOIN (SELECT unnest(range(1, {STEPS + 1})) AS step)),
 dw AS (SELECT dr.series_id, path, step, z, e, normal FROM dr JOIN po ON po.series_id = dr.series_id AND po.place = dr.place),
 wk AS (SELECT series_id, method, 0 AS path, 0 AS step, 0.0::DOUBLE AS x, 0.0::DOUBLE AS v, 0.0::DOUBLE AS alpha, 0.0::DOUBLE AS beta, 0.0::DOUBLE AS lv FROM st CROSS JOIN (SELECT unnest({forecast.METHODS}) AS method) WHERE false
-    UNION ALL SELECT * FROM (SELECT series_id, method, path, 0 AS step, 0.0::DOUBLE AS x, CASE method WHEN 'fhs_dvol' THEN start_sigma * start_sigma ELSE last_sigma * last_sigma END AS v, alpha, beta, long_run_sigma * long_run_sigma AS lv
+    UNION ALL SELECT * FROM (SELECT series_id, method, path, 0 AS step, 0.0::DOUBLE AS x, CASE method WHEN 'fhs_dvol' THEN start_sigma * start_sigma WHEN 'fhs_cal' THEN last_sigma * {CALIBRATION}::DOUBLE * (last_sigma * {CALIBRATION}::DOUBLE) ELSE last_sigma * last_sigma END AS v, alpha, beta, long_run_sigma * long_run_sigma AS lv
         FROM st CROSS JOIN (SELECT unnest({forecast.METHODS}) AS method) CROSS JOIN (SELECT unnest(range(1, {PATHS + 1})) AS path))),
 pa AS (SELECT * FROM wk UNION ALL
     SELECT series_id, method, path, step, x + ee, (1 - alpha - beta) * lv + alpha * ee * ee + beta * v, alpha, beta, lv FROM (
@@ -348,8 +362,8 @@ SELECT series_id, method, step, CAST(as_of + step AS DATE) AS date, round(spot,
     {', '.join(f'round(100 * (q[{i}] / spot - 1), 4) AS {p}_pct' for i, p in ((1, 'p5'), (4, 'p50'), (7, 'p95')))} FROM qt""")
 def bootstrap_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bands of each method at days 1, 7, 14, 21 and 30, in prices and as changes from the spot; 10 000 paths."""
-    paths, spot = simulated(spark, sf_dir)
-    near = paths.where(F.col("step").isin(1, 7, 14, 21, 30)).join(spot, KEYS)
+    paths, spot = simulated(spark, sf_dir, [1, 7, 14, 21, 30])
+    near = paths.join(spot, KEYS)
     found = forecast.bands(near, ["series_id", "spot", "as_of"], F.col("spot")).withColumn("date", F.date_add("as_of", F.col("step"))).drop("as_of")
     found = found.withColumns({f"{p}_pct": F.round(100 * (F.col(p) / F.col("spot") - 1), 4) for p in ("p5", "p50", "p95")})
     return rounded(found, ["spot", "p5", "p10", "p25", "p50", "p75", "p90", "p95"], 3)
@@ -359,7 +373,7 @@ def bootstrap_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT series_id, method, change, round(avg(CAST(exp(x) >= 1 + change AS INTEGER)), 6) AS prob_above FROM pa CROSS JOIN lv WHERE step = {STEPS} GROUP BY 1, 2, 3""")
 def exceedance_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of 10 000 paths that end at or above each level, by method."""
-    return rounded(forecast.exceedance(simulated(spark, sf_dir)[0], KEYS), ["prob_above"])
+    return rounded(forecast.exceedance(simulated(spark, sf_dir, [STEPS])[0], KEYS, step=STEPS), ["prob_above"])
 
 
 @query(f"""{_PATHS}, en AS (SELECT series_id, path, round(x, 9) AS x, percent_rank() OVER (PARTITION BY series_id ORDER BY round(x, 9), path) AS u FROM pa WHERE method = 'fhs' AND step = {STEPS}),
@@ -367,31 +381,52 @@ gr2 AS (SELECT *, CAST(floor((u - 0.05) / (0.95 - 0.05) * 23 + 0.5) AS INTEGER)
 SELECT pa.series_id, pa.method, pa.path, step, round(pa.x, 6) AS log_change FROM pa JOIN ch ON ch.series_id = pa.series_id AND ch.path = pa.path AND ch.kk = 1 WHERE pa.method = 'fhs' AND step > 0""")
 def sampled_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """24 whole paths of 10 000, spread evenly by where they end."""
-    paths, _ = simulated(spark, sf_dir)
-    return rounded(forecast.sample_paths(paths.where("method = 'fhs'"), KEYS), ["log_change"])
+    paths, _ = simulated(spark, sf_dir, methods=["fhs"])
+    return rounded(forecast.sample_paths(paths, KEYS), ["log_change"])
+
+
+@query(f"""{_FIT}, kn AS (SELECT series_id, date, iv, rea / nullif(iv, 0) AS ratio, lead(date, 30) {W} AS known_at FROM re),
+pr AS (SELECT a.series_id, a.date, any_value(a.iv) AS iv, count(b.ratio) AS n, median(b.ratio) AS m FROM kn a LEFT JOIN kn b ON b.series_id = a.series_id AND b.known_at <= a.date AND b.ratio IS NOT NULL GROUP BY 1, 2)
+SELECT series_id, date, round(iv, 6) AS implied_sigma, n AS ratios, round(CASE WHEN n >= 60 THEN m END, 6) AS vrp FROM pr""")
+def expanding_premium(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Implied volatility of each day, and the median of realised over implied among windows that ended by then."""
+    returns = written(market(spark, sf_dir), "returns")
+    quoted = written(joins.asof(returns.select("series_id", "date"), implied(returns), KEYS, TS, ["dvol"]), "implied")
+    return rounded(forecast.expanding_premium(returns, quoted, KEYS, TS, "r", "dvol"), ["implied_sigma", "vrp"])
+
+
+LEVELS, HORIZONS = [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95], [7, 14, 30]
+
+
+def backtest_origins(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(origins, pool, actuals) of the backtest: weekly origins of each series from its third year on.
+
+    Parameters are refitted each year on the returns before it; an origin's volatility is filtered from returns up to
+    it, and its start value is the day's implied volatility times the premium known by then.
+    """
+    returns = written(market(spark, sf_dir), "returns")
+    years = sorted(r["y"] for r in returns.select(F.year("date").alias("y")).distinct().collect())[2:]
+    fit = written(volatility.fit(returns, KEYS, TS, "r", [datetime.date(y, 1, 1) for y in years]), "fit")
+    pool = written(volatility.residual_pool(returns, fit, KEYS, TS, "r"), "pool")
+    sigma = volatility.filtered(returns, fit, KEYS, TS, "r").where("not seen and year(cut) = year(date)").select("series_id", "cut", "date", "sigma")
+    quoted = written(joins.asof(returns.select("series_id", "date"), implied(returns), KEYS, TS, ["dvol"]), "implied")
+    premium = forecast.expanding_premium(returns, quoted, KEYS, TS, "r", "dvol")
+    w = clean.by(KEYS, TS)
+    ahead = returns.withColumns({f"actual_{h}": windows.future_return("close", h, w) for h in HORIZONS}).where(f"weekday(date) = 0 and actual_{HORIZONS[-1]} is not null")
+    held = ahead.join(sigma, [*KEYS, TS]).join(fit.select("series_id", "cut", "alpha", "beta", "long_run_sigma"), ["series_id", "cut"]).join(premium, [*KEYS, TS])
+    held = held.withColumns({"last_sigma": F.col("sigma"), "start_sigma": F.coalesce(F.col("implied_sigma") * F.col("vrp"), F.col("sigma")), "calibration": F.lit(CALIBRATION)})
+    origins = written(held.select("series_id", "date", "cut", *forecast.STARTS, *[f"actual_{h}" for h in HORIZONS]), "origins")
+    return origins, pool, origins.select("series_id", "date", F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"actual_{h}").alias("actual")) for h in HORIZONS])).alias("a")).select("series_id", "date", "a.*")
 
 
 @query()
 def band_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weekly origins, three horizons, all methods on the same dates: coverage, pinball, misses, tests.
+    """Weekly origins of every series, three horizons, all methods on the same dates: coverage, pinball, misses, tests.
 
-    Parameters are refitted each year on all data before it; volatility at an origin uses returns up to it.
     1 000 paths from each origin draw from all residuals before its year.
     """
-    returns = written(market(spark, sf_dir, F.lit("all")), "returns")
-    w = clean.by(KEYS, TS)
-    years = [r["y"] for r in returns.select(F.year("date").alias("y")).distinct().orderBy("y").collect()][2:]
-    past = returns.withColumn("y", F.explode(F.array(*map(F.lit, years)))).where(F.year("date") < F.col("y"))
-    keys = ["series_id", "y"]
-    fit = written(forecast.garch_grid(past, keys, TS, "r"), "fit")
-    pool = written(forecast.residual_pool(past, fit, keys, TS, "r"), "pool")
-    recent = returns.withColumns({"sigma_now": windows.rolling("r", 30, w, "std"), "y": F.year("date"), **{f"actual_{h}": windows.future_return("close", h, w) for h in (7, 14, 30)}})
-    origins = recent.where("weekday(date) = 0 and sigma_now is not null and actual_30 is not null").join(fit, keys)
-    origins = origins.withColumns({"last_sigma": F.col("sigma_now"), "start_sigma": F.sqrt(F.col("sigma_now") * F.col("long_run_sigma")), "calibration": F.lit(1.1)})
-    columns = ["series_id", "date", "y", "alpha", "beta", "long_run_sigma", "last_sigma", "start_sigma", "calibration"]
-    paths = forecast.bootstrap_paths(written(origins.select(columns), "origins"), pool, ["series_id", "date"], STEPS, 1000, SEED, keys)
-    q = paths.where("step in (7, 14, 30)").groupBy("series_id", "date", "method", F.col("step").alias("h")).agg(F.percentile("log_change", [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95]).alias("q"))
-    actual = recent.select("series_id", "date", F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"actual_{h}").alias("actual")) for h in (7, 14, 30)])).alias("a")).select("series_id", "date", "a.*")
+    origins, pool, actual = backtest_origins(spark, sf_dir)
+    q = forecast.bootstrap_quantiles(origins, pool, ["series_id", "date"], LEVELS, HORIZONS, 1000, SEED, ["series_id", "cut"]).withColumnRenamed("step", "h")
     scored = written(q.join(actual, ["series_id", "date", "h"]).withColumns({"lower": F.col("q")[1], "mid": F.col("q")[3], "upper": F.col("q")[5], "c50": F.col("actual").between(F.col("q")[2], F.col("q")[4]).cast("double"), "c90": F.col("actual").between(F.col("q")[0], F.col("q")[6]).cast("double")}), "backtest")
     base = metrics.interval_metrics(scored, ["h", "method"], "actual", "lower", "mid", "upper")
     more = scored.groupBy("h", "method").agg(F.avg("c50").alias("coverage_50"), F.avg("c90").alias("coverage_90"), (F.floor(F.datediff(F.max("date"), F.min("date")) / F.col("h"))).alias("independent"))

@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions import scalar
-from seriesloom.operators import calendars, clean, forecast, indicators, joins, metrics, quality, scan, splits, windows
+from seriesloom.operators import calendars, clean, forecast, indicators, joins, metrics, quality, quantiles, scan, splits, volatility, windows
 
 KEYS, TS = ["series_id"], "date"
 
@@ -315,3 +315,162 @@ def test_fills_in_buckets_equal_plain_fills(spark):
     for days in (1, 7, 500):
         got = clean.ffill(df, ["v"], KEYS, TS, F.floor(F.unix_date(TS) / days))
         assert got.columns == df.columns and column(got, "v") == column(clean.ffill(df, ["v"], KEYS, TS), "v")
+
+
+def garch_rows(series, alpha, beta, n, seed=0, start=dt.date(2000, 1, 1)):
+    rng, s2, rows = np.random.default_rng(seed), 1e-4, []
+    for i in range(n):
+        e = rng.normal() * s2**0.5
+        rows.append((series, start + dt.timedelta(days=i), float(e + 2e-4)))
+        s2 = 1e-4 * (1 - alpha - beta) + alpha * e * e + beta * s2
+    return rows
+
+
+def garch_path(r, alpha, beta):
+    e, v = r - r.mean(), r.var()
+    s2 = np.full(len(r), v)
+    for t in range(1, len(r)):
+        s2[t] = (1 - alpha - beta) * v + alpha * e[t - 1] ** 2 + beta * s2[t - 1]
+    return e, s2, float((-0.5 * (np.log(s2) + e * e / s2)).sum())
+
+
+@pytest.mark.parametrize("days", [150, 100_000])
+def test_refits_by_date_equal_plain_recursions(spark, days):
+    """Each cut's fit, filtered volatility and pool are those of the returns before it; refinement never loses."""
+    rows = garch_rows("a", 0.04, 0.955, 900) + garch_rows("b", 0.1, 0.8, 700, 1)
+    df = spark.createDataFrame(rows, "series_id string, date date, r double").repartition(3)
+    cuts, chunk = [dt.date(2001, 1, 1), dt.date(2002, 1, 1)], F.floor(F.unix_date("date") / days)
+    fits = volatility.fit(df, KEYS, TS, "r", cuts, chunk=chunk)
+    found = {(f.series_id, f.cut): f for f in fits.collect()}
+    assert len(found) == 4
+    seen = volatility.filtered(df, fits, KEYS, TS, "r", chunk).toPandas()
+    pool = volatility.residual_pool(df, fits, KEYS, TS, "r", chunk).toPandas()
+    for (series, cut), f in found.items():
+        every = np.array([r for s, _, r in rows if s == series])
+        r = np.array([r for s, d, r in rows if s == series and d < cut])
+        e, s2, ll = garch_path(r, f.alpha, f.beta)
+        assert np.isclose(ll, f.log_likelihood, rtol=1e-10) and np.isclose(f.last_sigma, s2[-1] ** 0.5) and f.n == len(r)
+        assert ll >= max(garch_path(r, a, b)[2] for a, b in volatility.GRID) - 1e-6
+        own = pool[(pool.series_id == series) & (pool.cut == cut)].sort_values("place")
+        assert np.allclose(own.z, e / s2**0.5) and np.allclose(own.e, e) and (own["size"] == len(r)).all()
+        mine = seen[(seen.series_id == series) & (seen.cut == cut)].sort_values("place")
+        s2 = np.full(len(every), r.var())
+        for t in range(1, len(every)):
+            s2[t] = (1 - f.alpha - f.beta) * r.var() + f.alpha * (every[t - 1] - r.mean()) ** 2 + f.beta * s2[t - 1]
+        assert np.allclose(mine.sigma, s2**0.5) and mine.seen.sum() == len(r)
+
+
+def test_persistence_beyond_the_grid_is_reached(spark):
+    df = spark.createDataFrame(garch_rows("a", 0.02, 0.9785, 6000, 5), "series_id string, date date, r double")
+    coarse, fine = (volatility.fit(df, KEYS, TS, "r", rounds=n).collect()[0] for n in ([], None))
+    assert coarse.persistence <= 0.97 + 1e-9 < fine.persistence <= volatility.MOST_PERSISTENT + 1e-12
+    assert fine.log_likelihood > coarse.log_likelihood
+
+
+def test_odd_returns(spark):
+    """Null returns don't count; a series of one return, and no series at all."""
+    rows = [("a", dt.date(2020, 1, 1), None), ("a", dt.date(2020, 1, 2), 0.1), ("b", dt.date(2020, 1, 1), None)]
+    df = spark.createDataFrame(rows, "series_id string, date date, r double")
+    assert volatility.fit(df, KEYS, TS, "r").count() == 0  # no variance, so no likelihood
+    assert volatility.fit(df.where("false"), KEYS, TS, "r", [dt.date(2020, 1, 1)]).count() == 0
+
+
+def brute_walks(origin, pool, text, paths, steps, method, draw):
+    at = draw(text, paths, steps) % len(pool)
+    normal = forecast.normals(text, paths, steps, draw)
+    out = np.zeros((paths, steps))
+    for p in range(paths):
+        sigma = {"fhs_dvol": origin["start_sigma"], "fhs_cal": origin["last_sigma"] * origin["calibration"]}.get(method, origin["last_sigma"])
+        s2, x = sigma**2, 0.0
+        for t in range(steps):
+            z, e = pool[at[p, t]]
+            shock = e if method == "iid" else (normal[p, t] if method == "garch_normal" else z) * s2**0.5
+            x += shock
+            s2 = (1 - origin["alpha"] - origin["beta"]) * origin["long_run_sigma"] ** 2 + origin["alpha"] * shock**2 + origin["beta"] * s2
+            out[p, t] = x
+    return out
+
+
+def test_paths_and_quantiles_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    pool = [(float(z), float(z) / 90) for z in rng.normal(size=37)]
+    rows = [("a", k, 37, *x) for k, x in enumerate(pool)]
+    origin = {"alpha": 0.1, "beta": 0.8, "long_run_sigma": 0.01, "last_sigma": 0.02, "start_sigma": 0.015, "calibration": 1.3}
+    dates = [dt.date(2020, 1, 6) + dt.timedelta(days=7 * i) for i in range(5)]
+    schema = "series_id string, date date, " + ", ".join(f"{c} double" for c in forecast.STARTS)
+    origins = spark.createDataFrame([("a", d, *(origin[c] for c in forecast.STARTS)) for d in dates] + [("none", dates[0], *[0.1] * 6)], schema)
+    held = spark.createDataFrame(rows, "series_id string, place long, size long, z double, e double").repartition(3)
+    keys = ["series_id", "date"]
+    got = forecast.bootstrap_paths(origins, held, keys, 6, 20, 9, KEYS, at_steps=[2, 6], group_origins=2).toPandas()
+    q = {(r.date, r.method, r.step): r.q for r in forecast.bootstrap_quantiles(origins, held, keys, [0.1, 0.5], [2, 6], 20, 9, KEYS, group_origins=2).collect()}
+    assert len(got) == 5 * 5 * 20 * 2 and len(q) == 5 * 5 * 2 and set(got.series_id) == {"a"}
+    for d in dates:
+        for method in forecast.METHODS:
+            want = brute_walks(origin, pool, f"9|a|{d}", 20, 6, method, forecast.drawn)
+            own = got[(got.date == d) & (got.method == method)].sort_values(["path", "step"]).log_change.to_numpy().reshape(20, 2)
+            assert np.allclose(own, want[:, [1, 5]])
+            want = brute_walks(origin, pool, f"9|a|{d}", 20, 6, method, forecast.mixed)
+            assert all(np.allclose(q[d, method, s], np.quantile(want[:, s - 1], [0.1, 0.5])) for s in (2, 6))
+
+
+def test_draws_are_even():
+    for draw in (forecast.drawn, forecast.mixed):
+        u = draw("7|a", 400, 30) / forecast.DRAW_RANGE
+        assert abs(u.mean() - 0.5) < 0.01 and abs(u.std() - 12**-0.5) < 0.01 and len(np.unique(u)) == u.size
+        assert not np.array_equal(draw("7|b", 3, 3), draw("7|a", 3, 3)) and np.array_equal(draw("7|a", 3, 3), draw("7|a", 3, 3))
+
+
+@pytest.mark.parametrize(("buckets", "chunk_rows"), [(4, 7), (256, 65_536), (16, 1)])
+def test_running_median_equals_sorting(spark, buckets, chunk_rows):
+    """Also with ties, heavy tails, times without values and values between the asked times."""
+    rnd = random.Random(5)
+    start = dt.datetime(2020, 1, 1)
+    asked = [(k, start + dt.timedelta(hours=6 * i)) for k in "ab" for i in range(60)] + [("c", start)]
+    values = [(k, start + dt.timedelta(hours=rnd.randrange(-40, 420)), rnd.choice([1.0, rnd.random(), rnd.gauss(0, 1) * 1e9, None])) for k in "ab" for _ in range(90)]
+    v = spark.createDataFrame(values, "series_id string, at timestamp, v double").repartition(3)
+    a = spark.createDataFrame(asked, "series_id string, at timestamp").repartition(2)
+    got = {(r.series_id, r.at): (r.n, r.median) for r in quantiles.running_median(v, a, KEYS, "at", "v", buckets, chunk_rows).collect()}
+    assert len(got) == len(asked)
+    for k, t in got:
+        known = [x for s, u, x in values if s == k and u <= t and x is not None]
+        assert got[k, t][0] == len(known)
+        assert got[k, t][1] == (np.median(known) if known else None)
+
+
+def test_expanding_premium_uses_no_future(spark):
+    rows = [("a", dt.date(2020, 1, 1) + dt.timedelta(days=i), random.Random(i).gauss(0, 0.01)) for i in range(200)]
+    df = spark.createDataFrame(rows, "series_id string, date date, r double")
+    later = df.withColumn("r", F.when(F.col("date") > "2020-05-20", F.col("r") * 50).otherwise(F.col("r")))
+    quoted = df.select("series_id", "date", (F.lit(20.0) + F.dayofmonth("date")).alias("dvol"))
+    a, b = ({r.date: (r.vrp, r.ratios) for r in forecast.expanding_premium(x, quoted, KEYS, TS, "r", "dvol", 10, 20).collect()} for x in (df, later))
+    cut = dt.date(2020, 5, 20)
+    assert all(a[d] == b[d] for d in a if d <= cut) and any(a[d] != b[d] for d in a if d > cut)
+    assert a[dt.date(2020, 1, 15)] == (None, 5) and a[cut][0] is not None
+
+
+def test_no_window_runs_over_a_series(spark):
+    x = spark.range(300).select(F.lit("a").alias("series_id"), F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("date"), *[F.col("id").cast("double").alias(c) for c in ("open", "high", "low", "close")])
+    made = [scan.ema(x, KEYS, TS, {"e": ("close", 0.2, 3)}), indicators.ema_features(x, KEYS, TS, (5,)), indicators.rsi(x, KEYS, TS, (7,)), indicators.macd(x, KEYS, TS), indicators.atr(x, KEYS, TS, (7,)), clean.bfill_leading(x, ["close"], KEYS, TS), clean.ffill(x, ["close"], KEYS, TS), splits.numbered(x, KEYS, TS)]
+    for df in made:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "windowspecdefinition(series_id#" not in plan or all("_chunk#" in line for line in plan.split("\n") if "windowspecdefinition" in line)
+
+
+@pytest.mark.parametrize("days", [1, 9, 1000])
+def test_built_in_scans_equal_pandas(spark, days):
+    rnd = random.Random(8)
+    x = [rnd.choice([None, rnd.random()]) for _ in range(120)]
+    df, chunk = frame(spark, x), F.floor(F.unix_date("date") / days)
+    s = pd.Series(x, dtype=float)
+    assert np.allclose(np.array(column(clean.ffill(df, ["v"], KEYS, TS, chunk), "v"), dtype=float), s.ffill(), equal_nan=True)
+    assert np.allclose(np.array(column(scan.lagged(df, {"p": "v"}, KEYS, TS, chunk), "p"), dtype=float), s.shift(1), equal_nan=True)
+    got = scan.row_numbers(df, KEYS, TS, chunk).orderBy(TS).collect()
+    assert [r.rn for r in got] == list(range(120)) and {r.n for r in got} == {120}
+
+
+def test_one_series_of_five_million_rows(spark):
+    n = 5_000_000
+    df = spark.range(n).select(F.lit("a").alias("series_id"), F.timestamp_seconds(F.lit(1_000_000_000) + F.col("id") * 60).alias("date"), ((F.col("id") * 7919) % 97).cast("double").alias("v"))
+    got = scan.ema(df, KEYS, "date", {"e": ("v", 0.1, 5)}).where(F.unix_seconds("date") >= 1_000_000_000 + (n - 1000) * 60).orderBy("date").toPandas()["e"]
+    want = pd.Series([float(i * 7919 % 97) for i in range(n - 2000, n)]).ewm(alpha=0.1, adjust=False).mean()[-1000:]
+    assert np.allclose(got.to_numpy(dtype=float), want.to_numpy(), rtol=1e-9)
