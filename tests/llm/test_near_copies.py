@@ -7,7 +7,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from seriesloom.llm.near_copies import RADIUS, compare, fingerprint, representatives, shingles
+from seriesloom.llm.near_copies import RADIUS, compare, fingerprint, representatives, shingles, similar
 from seriesloom.llm.simhash import unite
 
 MASK = (1 << 64) - 1
@@ -50,7 +50,8 @@ def slow_roots(texts):
     """The least place in each text's component, and the linked pairs."""
     sets = [slow_set(t) for t in texts]
     prints = [slow_print(s) for s in sets]
-    near = lambda i, j: prints[i] == prints[j] or (5 * min(len(sets[i]), len(sets[j])) >= 4 * max(len(sets[i]), len(sets[j])) > 0 and (prints[i] ^ prints[j]).bit_count() <= RADIUS)
+    near = lambda i, j: sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+    assert all((prints[i] ^ prints[j]).bit_count() <= RADIUS for i in range(len(texts)) for j in range(i) if near(i, j))
     pairs = [(i, j) for i in range(len(texts)) for j in range(i) if near(i, j)]
     parent = list(range(len(texts)))
     for _ in texts:
@@ -59,21 +60,42 @@ def slow_roots(texts):
     return parent, pairs, sets
 
 
-@pytest.mark.parametrize("tile_rows", [16_384, 7])
-def test_stage_against_brute_force(spark, tile_rows):
-    texts = corpus()
+def borderline():
+    """Pairs of texts, each pair of its own words, whose similarity lies between 0.78 and 0.85."""
+    rnd, texts = random.Random(9), []
+    for k in range(90):
+        base = [f"q{k}x{i}" for i in range(210)]
+        copy = list(base)
+        for i in rnd.sample(range(10, 200, 7), 4 + k % 2):
+            copy[i] = "edit"
+        texts += [" ".join(base), " ".join(copy)]
+    return texts
+
+
+@pytest.mark.parametrize(("tile_rows", "tile_bytes", "make"), [(16_384, 2_000_000, corpus), (7, 5_000, corpus), (16_384, 2_000_000, borderline), (50, 4_000, borderline)])
+def test_stage_against_brute_force(spark, tile_rows, tile_bytes, make):
+    """Exactly the exact rule's representatives, also where components spread over tiles."""
+    texts = make()
     parent, pairs, sets = slow_roots(texts)
-    linked = set(pairs)
-    jaccard = lambda i, j: len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j]))
-    every = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] and sets[j]]
-    assert all((i, j) in linked for i, j in every if jaccard(i, j) >= 0.9)
-    assert not any(jaccard(i, j) < 0.5 for i, j in linked if sets[i])
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = corpus_pipeline.near_duplicates(spark, docs, "") if tile_rows > 100 else representatives(docs, tile_rows=tile_rows)
+    if make is borderline:
+        found = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, len(texts), 2)]
+        assert 20 < sum(0.78 <= j < 0.8 for j in found) < 80 and 20 < sum(0.8 <= j < 0.86 for j in found) < 80
+    docs = spark.createDataFrame([(*r, "x") for r in enumerate(texts)], "doc_id long, text string, g string").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, "") if tile_rows > 100 else representatives(docs, tile_rows=tile_rows, tile_bytes=tile_bytes)
     assert got.columns == docs.columns
     assert sorted(r.doc_id for r in got.collect()) == sorted(set(parent))
 
 
+def test_components_of_sets_equal_all_pairs():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        pool = [rng.choice(60, rng.integers(0, 30), replace=False) for _ in range(rng.integers(1, 6))]
+        sets = [np.unique(np.concatenate([rng.permutation(p)[: max(0, len(p) - rng.integers(0, 4))], rng.choice(90, rng.integers(0, 3))]).astype(np.uint64)) for p in (pool[rng.integers(len(pool))] for _ in range(rng.integers(0, 30)))]
+        close = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i]) and 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+        want = unite(np.arange(len(sets)), *(np.array(x, dtype=np.int64) for x in zip(*close, strict=True))) if close else np.arange(len(sets))
+        assert (similar(sets) == want).all()
+
+
 def test_tiles_lose_no_link():
     rnd = np.random.default_rng(3)
     centres = rnd.integers(0, 1 << 63, (40, 4), dtype=np.uint64)
