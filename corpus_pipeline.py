@@ -25,7 +25,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates: five-word Jaccard of 0.8 or more.
 
-    The op2 query's fingerprints (four words, 64 bits, 4 of them) miss most of these; the stage's have 256 bits.
+    The op2 query's fingerprints (four words, 64 bits, 4 of them) miss most of these; the stage's have 256 bits, and
+    each link is checked exactly before it unites anything.
     """
     return near_copies.representatives(docs)
 
