@@ -175,7 +175,7 @@ def similar(sets: list[np.ndarray]) -> np.ndarray:
         width = high - low
         at = np.arange(width.sum()) + np.repeat(low - (np.cumsum(width) - width), width)
         shared = np.bincount(holders[at], minlength=len(sets))
-        j = np.flatnonzero((NUMERATOR + DENOMINATOR) * shared >= NUMERATOR * (sizes + sizes[i]))  # shared / (sum - shared)
+        j = np.flatnonzero((shared > 0) & ((NUMERATOR + DENOMINATOR) * shared >= NUMERATOR * (sizes + sizes[i])))  # shared / (sum - shared)
         return j[label[j] != label[i]]
 
     left = np.argsort(-sizes, kind="stable")
