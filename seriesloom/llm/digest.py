@@ -1,12 +1,10 @@
 """Document fingerprints from improbable features.
 
-Every window of `WINDOW` bytes has an entropy (exact, over its own bytes).  Texts under `BOTH` characters have
-features from windows of `SHORT_WINDOW` bytes besides: two texts of which one is under `SHORT` characters are
-compared by these if both have them, all others by the long ones.  Windows are ranked by entropy: a window
-whose bytes are spread over more values is less probable.  In each neighbourhood of as many windows the
-rarest, leftmost first, gets a point; windows with enough points are the features.  Features go into a chain
-of Bloom filters, and two fingerprints are compared by their filters' bit overlap, normalised between what
-chance gives and the most that is possible.
+Every window of `WINDOW` bytes has an entropy (exact, over its own bytes).  Windows are ranked by entropy: a window
+whose bytes are spread over more values is less probable.  In each neighbourhood of as many windows the rarest,
+leftmost first, gets a point; windows with enough points are the features.  Features go into a chain of Bloom filters,
+and two fingerprints are compared by their filters' bit overlap, normalised between what chance gives and the most
+that is possible.  All lengths are treated alike.
 """
 
 from __future__ import annotations
@@ -24,14 +22,13 @@ from pyspark.sql import types as T
 
 from .shared import ship, slices
 
-WINDOW, POINTS = 32, 8
-SHORT, SHORT_WINDOW, SHORT_POINTS = 256, 8, 1
-BOTH = 2 * SHORT
+WINDOW, POINTS = 12, 2
 BITS = 2048
 SUBHASHES = 5
 PER_FILTER = 160
 CUT = 0.3
-_f = np.arange(WINDOW + 1, dtype=np.float64)
+_MOST = 32  # bytes of a window
+_f = np.arange(_MOST + 1, dtype=np.float64)
 _f[1:] *= np.log2(_f[1:])
 _TERM = np.rint(_f * 65_536).astype(np.int64)  # c log2 c in fixed point: sums are exact
 _GAIN = np.diff(_TERM)
@@ -112,22 +109,15 @@ def features(text: str, window: int = WINDOW, least: int = POINTS) -> list[int]:
 
 
 class Fingerprint:
-    """A chain of Bloom filters (packed bits, a row each) with their numbers of features.
+    """A chain of Bloom filters (packed bits, a row each) with their numbers of features."""
 
-    Texts under `BOTH` characters also have `fine`, a chain from short windows; `short` says that the text is
-    under `SHORT`.
-    """
-
-    def __init__(self, bits: np.ndarray, counts: np.ndarray, fine: Fingerprint | None = None, short: bool = False):
-        self.bits, self.counts, self.fine, self.short = bits, counts, fine, short
+    def __init__(self, bits: np.ndarray, counts: np.ndarray):
+        self.bits, self.counts = bits, counts
         self.set = np.bitwise_count(bits).sum(axis=1).astype(np.float64)
 
     @classmethod
     def of(cls, text: str | None) -> Fingerprint:
-        text = text or ""
-        fine = cls._filled(features(text, SHORT_WINDOW, SHORT_POINTS)) if 0 < len(text) < BOTH else None
-        coarse = cls._filled(features(text))
-        return cls(coarse.bits, coarse.counts, fine, fine is not None and len(text) < SHORT)
+        return cls._filled(features(text or ""))
 
     @classmethod
     def _filled(cls, found: list[int]) -> Fingerprint:
@@ -140,26 +130,22 @@ class Fingerprint:
         return cls(np.packbits(table, axis=1), np.bincount(row, minlength=number))
 
     def __str__(self) -> str:
-        """Filters as features:bits; those of short windows follow after a semicolon, in texts under `SHORT` after two."""
-        own = ",".join(f"{n}:{base64.b64encode(b.tobytes()).decode()}" for n, b in zip(self.counts, self.bits, strict=True))
-        return own if self.fine is None else f"{own}{';;' if self.short else ';'}{self.fine}"
+        """Filters as features:bits, in order."""
+        return ",".join(f"{n}:{base64.b64encode(b.tobytes()).decode()}" for n, b in zip(self.counts, self.bits, strict=True))
 
     @classmethod
     def parse(cls, text: str) -> Fingerprint:
-        own, *fine = text.split(";")
-        parts = [p.split(":") for p in own.split(",")] if own else []
+        parts = [p.split(":") for p in text.split(",")] if text else []
         bits = np.frombuffer(b"".join(base64.b64decode(b) for _, b in parts), dtype=np.uint8).reshape(-1, BITS // 8)
-        return cls(bits, np.array([int(n) for n, _ in parts], dtype=np.int64), cls.parse(fine[-1]) if fine else None, len(fine) == 2)
+        return cls(bits, np.array([int(n) for n, _ in parts], dtype=np.int64))
 
 
 def likeness(a: Fingerprint, b: Fingerprint) -> float:
     """0 to 1: each filter of the shorter chain against its best match, weighted by features.
 
     Two empty chains are alike (1); an empty and another one are not (0).  Chains of one length are compared
-    both ways.  Where one text is short, the chains of short windows count if both have them.
+    both ways.
     """
-    if a.fine is not None and b.fine is not None and (a.short or b.short):
-        a, b = a.fine, b.fine
     if not len(a.counts) or not len(b.counts):
         return float(len(a.counts) == len(b.counts))
     shared = np.bitwise_count(a.bits[:, None] & b.bits[None]).sum(axis=2).astype(np.float64)

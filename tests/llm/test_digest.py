@@ -106,3 +106,19 @@ def test_near_copies_on_both_sides_of_the_length_limits():
         assert d.likeness(a, d.Fingerprint.of(text[::-1][:m])) < 0.1
     for n in range(200, 301):
         assert d.likeness(d.Fingerprint.of(text[:n]), d.Fingerprint.of(text[: n - 1])) > 0.8
+
+
+def test_insertions_change_little_at_any_length():
+    """A few characters inside a text, at every length around the former limits and far from them."""
+    rnd = random.Random(6)
+    text = " ".join("".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(2, 9))) for _ in range(900))
+    for n in [*range(230, 541), 90, 1000, 4000]:
+        at = rnd.randrange(n)
+        assert d.likeness(d.Fingerprint.of(text[:n]), d.Fingerprint.of(text[:at] + "zq xw " + text[at:n])) > 0.6, n
+
+
+def test_clashing_columns(spark):
+    rows = [(2, "some text of the first row", "a", 1, True), (1, "and the text that follows", "b", 2, False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h string, bucket int, guest boolean")
+    got = {r.doc_id: r.near_next for r in d.edited_report(docs).collect()}
+    assert set(got) == {1, 2} and all(x < 0.2 for x in got.values())
