@@ -2,31 +2,33 @@
 
 Groups are scheduled largest first to the least-loaded shard through a heap.  Groups of one weight are
 interchangeable, so the schedule needs only how many groups each weight has: a heap of 40 shards hands out the
-groups of a weight, and these are dealt to the shards by their rank within the weight.  There are at most as many
-weights as the square root of twice all bytes.  Only if even these are more than `most_weights`, groups below
-the largest such weights are bundled by hash first, so that the driver's part stays bounded.
+groups of a weight, and these are dealt to the shards by their rank within the weight.  The sorted table of weights
+streams through the driver, a partition at a time, and the schedule is written in batches: the driver holds the
+shards' loads and a batch, however many weights there are.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, new_path
 
 
-def schedule(weights: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int, int]]:
-    """Deals groups, largest weight first, each to the least-loaded shard; ties by shard.
+def dealt(weights: Iterable[tuple[int, int]], shards: int) -> Iterator[tuple[int, int, int, int]]:
+    """Deals groups, each to the least-loaded shard; ties by shard.
 
-    `weights` are (weight, number of groups); returns (weight, shard, first rank, end rank) of the groups.  Whole
-    rounds, in which each shard gets one group, are handed out at once when the loads are within one weight.
+    `weights` are (weight, number of groups), largest weight first; gives (weight, shard, first rank, end rank) of the
+    groups.  Whole rounds, in which each shard gets one group, are handed out at once when the loads are within one
+    weight.
     """
     heap = [(0, s) for s in range(shards)]
-    out = []
-    for weight, count in sorted(weights, reverse=True):
+    for weight, count in weights:
         taken = [0] * shards
         left = count
         while left:
@@ -43,9 +45,27 @@ def schedule(weights: list[tuple[int, int]], shards: int) -> list[tuple[int, int
         at = 0
         for s, n in enumerate(taken):
             if n:
-                out.append((weight, s, at, at + n))
+                yield weight, s, at, at + n
                 at += n
-    return out
+
+
+def schedule(weights: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int, int]]:
+    return list(dealt(sorted(weights, reverse=True), shards))
+
+
+def written_schedule(groups: DataFrame, shards: int, batch: int) -> DataFrame:
+    """(weight, shard, first, end) of the groups of (group, weight), written; `batch` rows of it at a time."""
+    spark = groups.sparkSession
+    weights = cut(groups.groupBy("weight").agg(F.count("*").alias("n")), "weights")
+    rows = dealt(((r["weight"], r["n"]) for r in weights.orderBy(F.desc("weight")).toLocalIterator()), shards)
+    path = new_path(spark, "schedule")
+    names = ["weight", "shard", "first", "end"]
+    while True:
+        columns = list(zip(*islice(rows, batch), strict=True)) or [[]] * len(names)
+        spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in columns], names=names)).write.mode("append").parquet(path)
+        if len(columns[0]) < batch:
+            break
+    return spark.read.schema("weight long, shard long, first long, end long").parquet(path)
 
 
 def ranked(df: DataFrame, keys: list[str], by: str, parts: int, name: str) -> DataFrame:
@@ -58,7 +78,7 @@ def ranked(df: DataFrame, keys: list[str], by: str, parts: int, name: str) -> Da
     return dealt.withColumn("own", own).join(before, [*keys, "part"]).withColumn(name, (F.col("before") + F.col("own")).cast("long")).drop("part", "own", "before")
 
 
-def shard(docs: DataFrame, shards: int = 40, id: str = "doc_id", text: str = "text", overhead: int = 16, most_weights: int = 200_000, slot_rows: int = 100_000) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, id: str = "doc_id", text: str = "text", overhead: int = 16, batch_weights: int = 200_000, slot_rows: int = 100_000) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for each row, by the law `bytes`.
 
     Null texts count no bytes and share a group with empty ones.  Equal texts share a shard, however many they
@@ -75,20 +95,11 @@ def shard(docs: DataFrame, shards: int = 40, id: str = "doc_id", text: str = "te
     )
     narrow = cut(narrow, "sizes")
     groups = cut(narrow.groupBy("group").agg(F.sum("size").alias("weight"), F.count("*").alias("rows")), "groups")
-    total, rows = groups.agg(F.coalesce(F.sum("weight"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).collect()[0]
-    least = groups.select("weight").distinct().orderBy(F.desc("weight")).limit(most_weights + 1).agg(F.count("*"), F.min("weight")).collect()[0]
-    unit = F.struct(F.lit(False).alias("bundle"), F.col("group").alias("k"))
-    if least[0] > most_weights:
-        bundled = F.struct(F.lit(True).alias("bundle"), F.pmod("group", F.lit(most_weights)).alias("k"))
-        unit = F.when(F.col("weight") > least[1], unit).otherwise(bundled)
-    members = groups.select("group", F.xxhash64(unit).alias("unit"), "weight")
-    units = cut(members.groupBy("unit").agg(F.sum("weight").alias("weight")), "units")
-    weights = [(r["weight"], r["n"]) for r in units.groupBy("weight").agg(F.count("*").alias("n")).collect()]  # at most 2 * most_weights rows
-    dealt = list(zip(*schedule(weights, shards), strict=True)) or [[], [], [], []]
-    plan = spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in dealt], names=["weight", "shard", "first", "end"]))
+    rows = groups.agg(F.coalesce(F.sum("rows"), F.lit(0))).collect()[0][0]
+    plan = written_schedule(groups, shards, batch_weights)
     parts = max(1, -(-rows // slot_rows)) * 4
-    placed = ranked(units, ["weight"], "unit", parts, "rank").join(plan.select("weight", F.col("shard").cast("int").alias("shard"), "first", "end"), "weight")
-    placed = members.join(placed.where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end"))).select("unit", "shard"), "unit").select("group", "shard")
+    placed = ranked(groups.select("group", "weight"), ["weight"], "group", parts, "rank").join(plan.select("weight", F.col("shard").cast("int").alias("shard"), "first", "end"), "weight")
+    placed = placed.where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end"))).select("group", "shard")
     narrow = narrow.join(placed, "group")
     return ranked(narrow, ["shard"], "row", max(1, parts // shards), "slot").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")

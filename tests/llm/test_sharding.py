@@ -2,7 +2,7 @@
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
@@ -46,9 +46,13 @@ def check(got, rows, shards):
 def test_groups_and_loads(spark):
     rows = [(i, "t" * (i * 37 % 900)) for i in range(2000)] + [(None, None), (1, ""), (1, ""), (2, "é" * 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for most in (200_000, 256):
-        got = shard(docs.withColumn("group", F.lit("x")).withColumn("shard", F.lit(1)), shards=8, most_weights=most, slot_rows=50).collect()
+    weights = defaultdict(int)
+    for _, t in rows:
+        weights[t or ""] += len((t or "").encode()) + 16
+    for most in (200_000, 64):  # hundreds of weights: the schedule is the plain one, however they are batched
+        got = shard(docs.withColumn("group", F.lit("x")).withColumn("shard", F.lit(1)), shards=8, batch_weights=most, slot_rows=50).collect()
         load = check(got, rows, 8)
+        assert sorted(load.values()) == sorted(slow_schedule(list(Counter(weights.values()).items()), 8))
         assert max(load.values()) <= 1.02 * sum(load.values()) / 8
         by_text = defaultdict(set)
         for r in got:
