@@ -108,14 +108,15 @@ def pieces(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str |
     return narrow.mapInArrow(encode, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if ids else ""))
 
 
-def pack(items: DataFrame, size: str = "length", capacity: int = 4096, group_rows: int = 32_768, key: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
+def pack(items: DataFrame, size: str = "length", capacity: int = 4096, group_rows: int = 32_768) -> DataFrame:
     """`items` with sequence_id and offset: each item lies in one sequence, gapless from 0.
 
-    Sizes are 1 to `capacity`.  `items` must be a written table: it is counted, then dealt into groups.  Rows
-    that repeat a key are packed each.  An empty table gives an empty result.
+    Sizes are 1 to `capacity`.  `items` must be a written table: it is counted, then its rows are dealt into groups
+    by their number, so that rows alike in any column don't meet.  Repeated rows are packed each.  An empty table
+    gives an empty result.
     """
     groups = max(1, -(-items.count() // group_rows))
-    dealt = items.withColumn("packing_group", F.pmod(F.xxhash64(*key), F.lit(groups)))
+    dealt = items.withColumn("packing_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     schema = T.StructType([*dealt.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(table: pa.Table) -> pa.Table:

@@ -6,6 +6,8 @@ from collections import defaultdict
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from seriesloom.llm.bpe import WordBpe
 from seriesloom.llm.packing import best_fit, pack, pack_documents, pieces
 from seriesloom.llm.shared import tokenizer_path
@@ -75,6 +77,15 @@ def test_groups_waste_little_and_extra_columns_stay(spark):
     assert "offset_note" in got.columns
 
 
+def test_rows_of_one_id_are_dealt_to_all_groups(spark):
+    """200 000 rows that share a null id: no group is larger than the others by much."""
+    items = spark.range(200_000, numPartitions=5).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), (F.col("id") % 500 + 1).alias("length"))
+    got = pack(items)
+    assert got.count() == 200_000
+    sizes = [r["count"] for r in got.groupBy(F.shiftright("sequence_id", 32)).count().collect()]
+    assert len(sizes) == 7 and max(sizes) < 1.1 * 200_000 / 7
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pack_documents(docs).count() == 0 and pieces(docs).count() == 0
