@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+from .quantiles import depth_buckets
+from .scan import prefix, span_of
+
 
 def point_metrics(df: DataFrame, keys: list[str], actual: str, forecast: str) -> DataFrame:
     """MSE, MAE, R squared (NULL up to one row), MAPE, median absolute percentage error."""
@@ -76,17 +78,17 @@ def confusion_metrics(counts: DataFrame, keys: list[str], classes: list) -> Data
     return macro.join(right, keys) if keys else macro.crossJoin(right)  # one row each
 
 
-AUC_BUCKETS = 4096
+AUC_BUCKETS = 256
 
 
 def auc(df: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
     """Area under the ROC curve by average ranks: scores are counted first, then ranked by their counts.
 
-    Distinct scores are ranked within buckets of a growing function of the score; totals of the buckets, at most
-    AUC_BUCKETS a key, give each bucket's first rank.  So no task holds all scores of a key.
+    Distinct scores are ranked within buckets of about equal depth; totals of the buckets, at most AUC_BUCKETS a key,
+    give each bucket's first rank.  So no task holds all scores of a key, however narrow their range.
     """
-    place = F.coalesce(F.floor((F.atan(F.col(score).cast("double")) / math.pi + 0.5) * AUC_BUCKETS), F.lit(-1)).alias("_b")
-    counts = df.groupBy(*keys, place, score).agg(F.count("*").alias("m"), F.sum(F.col(label).cast("long")).alias("p"))
+    counts = written(df.groupBy(*keys, score).agg(F.count("*").alias("m"), F.sum(F.col(label).cast("long")).alias("p")), "scores")
+    counts = depth_buckets(counts, keys, score, AUC_BUCKETS)
     earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     before = lambda c, w: F.coalesce(F.sum(c).over(earlier(w)), F.lit(0))
     own = Window.partitionBy(*keys, "_b").orderBy(score)
@@ -168,12 +170,23 @@ def kupiec(df: DataFrame, keys: list[str], miss: Column, p: float) -> DataFrame:
     return c.withColumn("lr", lr)
 
 
-def diebold_mariano(df: DataFrame, keys: list[str], ts: str, loss_a: str, loss_b: str, lags: int) -> DataFrame:
-    """Mean loss difference over its standard error with `lags` autocovariances (Diebold and Mariano, 1995)."""
-    d = df.withColumn("_d", F.col(loss_a) - F.col(loss_b))
+def diebold_mariano(df: DataFrame, keys: list[str], ts: str, loss_a: str, loss_b: str, lags: int, block: Column | None = None) -> DataFrame:
+    """Mean loss difference over its standard error with `lags` autocovariances (Diebold and Mariano, 1995).
+
+    Differences `lags` rows apart are paired in blocks of time, each with the rows that the next ones lack: the last
+    `lags` rows of every block visit the block after it.  So no task holds a series, nor all rows where there are no
+    keys.  `block` must grow with the time; times are unique within a series.
+    """
+    d = df.withColumns({"_d": F.col(loss_a) - F.col(loss_b), "_block": span_of(df, ts) if block is None else block.cast("long")}).select(*keys, ts, "_block", "_d")
     means = d.groupBy(*keys).agg(F.avg("_d").alias("_mean"))
-    d = (d.join(means, keys) if keys else d.crossJoin(means)).withColumn("_c", F.col("_d") - F.col("_mean"))  # one row
-    shifted = d.withColumns({f"_c{k}": F.lag("_c", k).over(Window.partitionBy(*keys).orderBy(ts)) for k in range(1, lags + 1)})
+    d = (d.join(means, keys) if keys else d.crossJoin(means)).withColumn("_c", F.col("_d") - F.col("_mean")).select(*keys, ts, "_block", "_c", "_d")  # one row
+    tail = d.groupBy(*keys, "_block").agg(F.slice(F.array_sort(F.collect_list(F.struct(ts, "_c")), lambda x, y: F.when(x[ts] > y[ts], -1).when(x[ts] < y[ts], 1).otherwise(0)), 1, max(1, lags)).alias("_tail"))
+    # the last rows before each block, whichever blocks they are from, latest first
+    carried = prefix(tail, keys, "_block", F.slice(F.array(F.struct(F.lit(None).cast(df.schema[ts].dataType).alias(ts), F.lit(None).cast("double").alias("_c"))), 1, 0), lambda s, x: F.slice(F.concat(x["_tail"], s), 1, max(1, lags)))
+    visits = carried.select(*keys, "_block", F.inline("_carry")).withColumn("_own", F.lit(False))
+    every = d.select(*keys, "_block", ts, "_c", F.lit(True).alias("_own"), "_d").unionByName(visits, allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "_block").orderBy(ts)
+    shifted = every.withColumns({f"_c{k}": F.lag("_c", k).over(w) for k in range(1, lags + 1)}).where("_own")
     n = F.count("*")
     variance = F.sum(F.col("_c") * F.col("_c"))
     for k in range(1, lags + 1):

@@ -1,4 +1,4 @@
-"""Exact quantiles of large groups in bounded memory: a histogram first, then the ranks inside a few of its buckets."""
+"""Exact quantiles of large groups in bounded memory: a mergeable sketch brackets each rank, the bracket is counted."""
 
 from __future__ import annotations
 
@@ -14,31 +14,61 @@ from pyspark.sql import types as T
 from ..storage import written
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, points: list[float], buckets: int = 1024, name: str = "_q") -> DataFrame:
+ACCURACY = 2_000
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, points: list[float], name: str = "_q", broadcast_groups: int = 100_000) -> DataFrame:
     """(keys, array of quantiles), linear between neighbouring values; NULL values don't count, keys are not NULL.
 
-    Values are counted in `buckets` buckets between each group's extremes.  Only buckets in which a wanted rank
-    lies are ranked, by distinct values and their counts, so no task sorts or holds a whole group.
+    A sketch of each group gives values whose ranks lie close below and above each wanted one, whatever the values'
+    distribution.  Rows below a bracket are counted; those inside, about four in ACCURACY or equal ones, are ranked by
+    distinct values and their counts.  Groups of up to 2 * ACCURACY rows are ranked whole.  So no task holds a group.
     """
     known = written(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")), "values")
-    ends = known.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_n"))
-    share = F.coalesce(F.try_divide(F.col("_v") - F.col("_low"), F.col("_high") - F.col("_low")), F.lit(0.0))
-    placed = known.join(ends, keys) if keys else known.crossJoin(F.broadcast(ends))  # one row
-    placed = placed.groupBy(*keys, "_n", F.least(F.floor(share * buckets), F.lit(buckets - 1)).alias("_b"), "_v").agg(F.count("*").alias("_m"))
-    placed = written(placed, "placed")
-    earlier = lambda w: F.coalesce(F.sum("_m").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = placed.groupBy(*keys, "_n", "_b").agg(F.sum("_m").alias("_m")).withColumn("_before", earlier(Window.partitionBy(*keys).orderBy("_b")))
-    at = [F.lit(p) * (F.col("_n") - 1) for p in points]
-    ranks = F.array_distinct(F.array(*[f(x).cast("long") for x in at for f in (F.floor, F.ceil)]))
-    wanted = sizes.withColumn("_ranks", F.filter(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_m")))).where(F.size("_ranks") > 0)
-    inside = placed.drop("_n").join(wanted.select(*keys, "_n", "_b", "_before", "_ranks"), [*keys, "_b"])
-    inside = inside.withColumn("_start", F.col("_before") + earlier(Window.partitionBy(*keys, "_b").orderBy("_v")))
-    hit = F.filter("_ranks", lambda r: (r >= F.col("_start")) & (r < F.col("_start") + F.col("_m")))
-    found = inside.select(*keys, "_n", "_v", F.explode(hit).alias("_rank"))
-    held = found.groupBy(*keys, "_n").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_held"))
-    value_at = lambda x: F.element_at("_held", x.cast("long"))
-    between = [value_at(F.floor(x)) + (value_at(F.ceil(x)) - value_at(F.floor(x))) * (x - F.floor(x)) for x in at]
-    return held.select(*keys, F.array(*between).alias(name))
+    reach = 2 / ACCURACY
+    near = [min(1.0, max(0.0, p + d)) for p in points for d in (-reach, reach)]
+    ends = known.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.percentile_approx("_v", near, ACCURACY).alias("_near"))
+    # an end of a bracket beyond the sketch's reach is the group's own
+    small = F.col("_n") <= 2 * ACCURACY
+    low = [F.when(small | F.lit(near[2 * i] <= 0), F.col("_low")).otherwise(F.col("_near")[2 * i]) for i in range(len(points))]
+    high = [F.when(small | F.lit(near[2 * i + 1] >= 1), F.col("_high")).otherwise(F.col("_near")[2 * i + 1]) for i in range(len(points))]
+    ends = written(ends.select(*keys, "_n", *[c.alias(f"_{k}{i}") for k, x in (("l", low), ("h", high)) for i, c in enumerate(x)]), "brackets")
+    if keys:
+        held = known.join(F.broadcast(ends) if ends.count() <= broadcast_groups else ends, keys)
+    else:
+        held = known.crossJoin(F.broadcast(ends))  # one row
+    below = held.groupBy(*keys, "_n").agg(*[F.count_if(F.col("_v") < F.col(f"_l{i}")).alias(f"_b{i}") for i in range(len(points))])
+    hit = F.filter(F.array(*[F.when(F.col("_v").between(F.col(f"_l{i}"), F.col(f"_h{i}")), F.lit(i)) for i in range(len(points))]), lambda i: i.isNotNull())
+    inside = held.withColumn("_i", F.explode(hit)).groupBy(*keys, "_i", "_v").agg(F.count("*").alias("_m"))
+    cells = F.array(*[F.struct(F.lit(i).alias("_i"), F.col(f"_b{i}").alias("_before"), (F.lit(p) * (F.col("_n") - 1)).alias("_at")) for i, p in enumerate(points)])
+    wanted = below.select(*keys, F.inline(cells))
+    start = F.coalesce(F.sum("_m").over(Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = inside.withColumn("_start", start).join(wanted, [*keys, "_i"]).withColumn("_start", F.col("_start") + F.col("_before"))
+    holds = lambda rank: (F.col("_start") <= rank) & (rank < F.col("_start") + F.col("_m"))
+    at = lambda rank: F.max(F.when(holds(rank), F.col("_v")))
+    found = placed.groupBy(*keys, "_i", "_at").agg(at(F.floor("_at")).alias("_x"), at(F.ceil("_at")).alias("_y"))
+    found = found.withColumn("_v", F.col("_x") + (F.col("_y") - F.col("_x")) * (F.col("_at") - F.floor("_at")))
+    rows = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_i", "_v"))).alias("_held"))
+    return rows.select(*keys, F.array(*[F.element_at("_held", i) for i in range(len(points))]).alias(name))
+
+
+def depth_buckets(df: DataFrame, keys: list[str], value: str, buckets: int = 256, name: str = "_b", broadcast_groups: int = 20_000) -> DataFrame:
+    """`df` with a bucket that grows with the value: cuts of about equal depth from a sketch, a NULL value in -1.
+
+    Distinct values at most about twice in `buckets` of the group's share one; `df` should hold each value once.
+    """
+    cuts = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.array_distinct(F.percentile_approx(F.col(value).cast("double"), [i / buckets for i in range(1, buckets)], 10 * buckets)).alias("_cuts"))
+    cuts = written(cuts, "cuts")
+    if keys:
+        held = df.join(F.broadcast(cuts) if cuts.count() <= broadcast_groups else cuts, keys, "left")
+    else:
+        held = df.crossJoin(F.broadcast(cuts))  # one row
+    # the number of cuts below the value, by halving
+    span = F.struct(F.lit(0).alias("a"), F.size("_cuts").alias("b"))
+    middle = lambda s: F.floor((s["a"] + s["b"]) / 2).cast("int")
+    go = lambda s, _: F.when(s["a"] >= s["b"], s).when(F.get("_cuts", middle(s)) < F.col(value).cast("double"), F.struct((middle(s) + 1).alias("a"), s["b"].alias("b"))).otherwise(F.struct(s["a"].alias("a"), middle(s).alias("b")))
+    found = F.aggregate(F.sequence(F.lit(0), F.lit(buckets.bit_length())), span, go)
+    return held.withColumn(name, F.when(F.col(value).isNull(), F.lit(-1)).otherwise(found["a"])).drop("_cuts")
 
 
 def running_median(values: DataFrame, asked: DataFrame, keys: list[str], ts: str, value: str, buckets: int = 256, chunk_rows: int = 65_536) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions import scalar
 from seriesloom.operators import calendars, clean, forecast, indicators, joins, metrics, quality, quantiles, scan, splits, volatility, windows
+from seriesloom.storage import written
 
 KEYS, TS = ["series_id"], "date"
 
@@ -303,12 +304,26 @@ def test_quantiles_of_groups(spark):
     rnd = random.Random(13)
     rows = [("ab"[i % 3 == 0], rnd.choice([rnd.gauss(0, 100), 7.0, None, -1e9])) for i in range(900)] + [("c", 5.0), ("d", None), ("e", 2.0), ("e", 2.0)]
     points = [0.0, 0.1, 0.5, 0.9, 1.0]
-    got = {r.k: r._q for r in quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", points, buckets=16).collect()}
+    got = {r.k: r._q for r in quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", points).collect()}
     assert set(got) == set("abce")
     for k in got:
         assert np.allclose(got[k], np.quantile([v for g, v in rows if g == k and v is not None], points))
 
 
+@pytest.mark.parametrize("kind", ["tail", "ties", "narrow"])
+def test_quantiles_under_skew(spark, kind):
+    """400 000 values under one far larger one, mostly ties, or in a narrow range: few rows are ranked, exactly."""
+    x = {"tail": "if(id = 17, 1e9, exp(randn(3)))", "ties": "if(id % 3 = 0, 5.0, round(randn(3), 2))", "narrow": "0.99 + rand(3) / 1e7"}[kind]
+    df = written(spark.range(400_000, numPartitions=6).select(F.lit("a").alias("k"), F.expr(x).alias("v")), "skew")
+    points = [0.0, 0.1, 0.25, 0.5, 0.9, 0.999, 1.0]
+    want = np.quantile(df.select("v").toPandas()["v"], points)
+    assert np.allclose(quantiles.quantiles(df, ["k"], "v", points).collect()[0]._q, want, rtol=1e-12)
+    assert np.allclose(quantiles.quantiles(df, [], "v", points).collect()[0]._q, want, rtol=1e-12)
+    distinct = df.distinct()
+    sizes = [r["count"] for r in quantiles.depth_buckets(distinct, ["k"], "v").groupBy("_b").count().collect()]
+    assert max(sizes) <= 0.02 * sum(sizes)
+
+
 def test_fills_in_buckets_equal_plain_fills(spark):
     rnd = random.Random(12)
     df = frame(spark, [None if rnd.random() < 0.8 else rnd.random() for _ in range(200)])
@@ -474,3 +489,16 @@ def test_one_series_of_five_million_rows(spark):
     got = scan.ema(df, KEYS, "date", {"e": ("v", 0.1, 5)}).where(F.unix_seconds("date") >= 1_000_000_000 + (n - 1000) * 60).orderBy("date").toPandas()["e"]
     want = pd.Series([float(i * 7919 % 97) for i in range(n - 2000, n)]).ewm(alpha=0.1, adjust=False).mean()[-1000:]
     assert np.allclose(got.to_numpy(dtype=float), want.to_numpy(), rtol=1e-9)
+
+
+@pytest.mark.parametrize("days", [1, 5, 1000])
+@pytest.mark.parametrize("keyed", [True, False])
+def test_loss_differences_in_blocks_equal_one_window(spark, days, keyed):
+    rnd = random.Random(3)
+    rows = [("a", dt.date(2020, 1, 1) + dt.timedelta(days=i + (i > 20) * 9), float(np.sin(i / 9)) + rnd.random(), rnd.random()) for i in range(60)]
+    df = spark.createDataFrame(rows, "k string, date date, x double, y double").repartition(3)
+    got = metrics.diebold_mariano(df, ["k"] if keyed else [], "date", "x", "y", 4, F.floor(F.unix_date("date") / days)).collect()
+    d = np.array([x - y for _, _, x, y in rows])
+    c = d - d.mean()
+    v = c @ c + 2 * sum(c[k:] @ c[:-k] for k in range(1, 5))
+    assert len(got) == 1 and got[0].n == 60 and np.isclose(got[0].dm, d.mean() / np.sqrt(v) * 60)
