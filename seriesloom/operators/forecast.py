@@ -113,24 +113,6 @@ def pinball_boosting(
 
 
 # -- seasonal models -------------------------------------------------------------------------------
-def seasonal_regression(df: DataFrame, ts: str, target: str, train: Column, yearly: int = 6, weekly: int = 3, hinges: int = 8, penalty: float = 0.01) -> DataFrame:
-    """Trend with hinges and Fourier terms of year and week, fitted as one ridge regression; adds `prediction`."""
-    from pyspark.ml.regression import LinearRegression
-
-    low, high = df.where(train).agg(F.min(F.unix_date(ts)), F.max(F.unix_date(ts))).collect()[0]
-    day = F.unix_date(ts).cast("double")
-    trend = (day - low) / max(1, high - low)
-    terms = [trend, *[F.greatest(trend - k / (hinges + 1), F.lit(0.0)) for k in range(1, hinges + 1)]]
-    for period, order in ((365.25, yearly), (7.0, weekly)):
-        for k in range(1, order + 1):
-            angle = 2 * math.pi * k / period * day
-            terms += [F.sin(angle), F.cos(angle)]
-    names = [f"_x{i}" for i in range(len(terms))]
-    coded = _features(df.withColumns(dict(zip(names, terms, strict=True))), names)
-    model = LinearRegression(labelCol=target, regParam=penalty, elasticNetParam=0.0, standardization=True).fit(coded.where(train))
-    return model.transform(coded).drop("features", *names)
-
-
 def decompose(df: DataFrame, keys: list[str], ts: str, value: str, season: Column, period: int = 12) -> DataFrame:
     """Additive trend (centred average), seasonal means centred on zero, and the rest."""
     df = df.withColumns({"trend": centred_mean(value, period, by(keys, ts)), "_s": season})

@@ -7,9 +7,9 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import classify, clean, forecast, indicators, joins, metrics, splits, volatility, windows
+from ..operators import classify, clean, forecast, indicators, joins, linear, metrics, splits, volatility, windows
 from ..operators.calendars import calendar_features
-from .base import BARS, BARS_ALL, KEYS, TS, W, bars, query, raw_daily, roll, rounded, written
+from .base import BARS, BARS_ALL, KEYS, TS, W, bars, query, raw_daily, roll, rounded, table, written
 from .checks import _walk_sql, labelled, walk
 
 Q10, Q50, Q90 = 0.1, 0.5, 0.9
@@ -234,11 +234,36 @@ def dickey_fuller(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(forecast.dickey_fuller(bars(spark, sf_dir), KEYS, TS, "close"), ["slope"]), ["t"], 4)
 
 
+@query()
+def augmented_dickey_fuller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unit-root test of each series' closes, with the lags of least AIC and the p-value."""
+    return linear.augmented_dickey_fuller(bars(spark, sf_dir), KEYS, TS, "close")
+
+
 @query()
 def seasonal_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trend, year and week terms for the whole market, scored after the cut."""
-    df = written(bars(spark, sf_dir, F.lit("all")), "market").withColumn("part", F.when(F.col("date") <= "2000-01-01", "train").otherwise("test"))
-    return metrics.point_metrics(forecast.seasonal_regression(df, "date", "close", F.col("part") == "train"), ["part"], "close", "prediction")
+    """Trend, year and week terms of each series, scored within the training years and after them."""
+    df = written(bars(spark, sf_dir), "market").withColumn("part", F.when(F.col("date") <= "2000-01-01", "train").otherwise("test"))
+    fitted = linear.seasonal_regression(df, KEYS, TS, "close", F.col("part") == "train")
+    return metrics.point_metrics(fitted, ["series_id", "part"], "close", "prediction")
+
+
+@query()
+def hourly_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly event values of each event type by trend, week and day, scored on the last tenth of the time."""
+    events = table(spark, sf_dir, "events")
+    hours = events.groupBy(F.col("event_type").alias("series_id"), F.date_trunc("hour", "ts").alias("hour")).agg(F.sum("value").alias("v"))
+    hours = written(hours, "hours")
+    low, high = hours.agg(F.min(F.unix_seconds("hour")), F.max(F.unix_seconds("hour"))).collect()[0]
+    df = hours.withColumn("part", F.when(F.unix_seconds("hour") <= low + 0.9 * (high - low), "train").otherwise("test"))
+    fitted = linear.seasonal_regression(df, KEYS, "hour", "v", F.col("part") == "train", yearly=0, weekly=3, daily=4)
+    return metrics.point_metrics(fitted, ["series_id", "part"], "v", "prediction")
+
+
+@query()
+def arma_order_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AIC of 54 seasonal autoregressions with moving averages of monthly sums, ranked for each series."""
+    return linear.arma_order_search(monthly(spark, sf_dir), KEYS, TS, "v").drop("coefficients")
 
 
 @query()

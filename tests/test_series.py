@@ -1,6 +1,7 @@
 """Operators against pandas and hand-made frames."""
 
 import datetime as dt
+import math
 import random
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions import scalar
-from seriesloom.operators import calendars, clean, forecast, indicators, joins, metrics, quality, quantiles, scan, splits, volatility, windows
+from seriesloom.operators import calendars, clean, forecast, indicators, joins, linear, metrics, quality, quantiles, scan, splits, volatility, windows
 from seriesloom.storage import written
 
 KEYS, TS = ["series_id"], "date"
@@ -502,3 +503,85 @@ def test_loss_differences_in_blocks_equal_one_window(spark, days, keyed):
     c = d - d.mean()
     v = c @ c + 2 * sum(c[k:] @ c[:-k] for k in range(1, 5))
     assert len(got) == 1 and got[0].n == 60 and np.isclose(got[0].dm, d.mean() / np.sqrt(v) * 60)
+
+
+def adf_by_hand(y, most):
+    d = np.diff(y)
+
+    def fit(p, start):
+        at = np.arange(start, len(y))
+        x = np.column_stack([np.ones(len(at)), y[at - 1], *[d[at - 1 - k] for k in range(1, p + 1)]])
+        b, *_ = np.linalg.lstsq(x, d[at - 1], rcond=None)
+        rss = ((d[at - 1] - x @ b) ** 2).sum()
+        return b, rss, x
+
+    n = len(y) - most - 1
+    best = min(range(most + 1), key=lambda p: n * np.log(fit(p, most + 1)[1] / n) + 2 * (p + 2))
+    b, rss, x = fit(best, best + 1)
+    return b[1] / np.sqrt(rss / (len(x) - x.shape[1]) * np.linalg.inv(x.T @ x)[1, 1]), best, len(x)
+
+
+@pytest.mark.parametrize("days", [37, 10_000])
+def test_augmented_dickey_fuller_equals_least_squares(spark, days):
+    rng = np.random.default_rng(1)
+    walk, stay = 5_000 + np.cumsum(rng.normal(size=260)), [0.0, 0.0]
+    for _ in range(198):
+        stay.append(0.5 * stay[-1] - 0.3 * stay[-2] + rng.normal())
+    df = frame(spark, walk).union(frame(spark, stay, series="b")).union(frame(spark, [3.0] * 30, series="c")).union(frame(spark, [1.0, 2.0], series="d"))
+    got = {r.series_id: r for r in linear.augmented_dickey_fuller(df, KEYS, TS, "v", chunk=F.floor(F.unix_date("date") / days)).collect()}
+    for k, y in (("a", walk), ("b", np.array(stay))):
+        t, lags, n = adf_by_hand(y, int(np.ceil(12 * (len(y) / 100) ** 0.25)))
+        assert np.isclose(got[k].t, t, rtol=1e-6) and (got[k].lags, got[k].n) == (lags, n)
+    assert got["a"].p_value > 0.1 and got["b"].p_value < 0.001 and got["c"].t is None and got["d"].t is None
+    assert abs(linear.unit_root_p(-2.86) - 0.05) < 0.001 and abs(linear.unit_root_p(-3.43) - 0.01) < 0.001 and linear.unit_root_p(9) == 1
+
+
+@pytest.mark.parametrize("days", [20, 10_000])
+def test_orders_with_moving_averages_equal_least_squares(spark, days):
+    rng = np.random.default_rng(4)
+    e = rng.normal(size=200)
+    v = np.cumsum(e + 0.6 * np.r_[0, e[:-1]] + 3 * np.sin(np.arange(200) * np.pi / 6)) + 1000
+    found = linear.arma_order_search(frame(spark, v), KEYS, TS, "v", chunk=F.floor(F.unix_date("date") / days)).collect()
+    x = (v - v.mean()) / v.std()
+    w = np.diff(x)
+    w = w[12:] - w[:-12]
+    at = np.arange(24, len(w))
+    long = np.column_stack([np.ones(len(at)), *[w[at - k] for k in (1, 2, 3, 12, 13, 24)]])
+    shock = np.full(len(w), np.nan)
+    shock[at] = w[at] - long @ np.linalg.lstsq(long, w[at], rcond=None)[0]
+    at = np.arange(36, len(w))
+    assert len(found) == 54 and sorted(r["rank"] for r in found) == list(range(1, 55))
+    for r in found:
+        lags = [*range(1, r.p + 1), *[12 * k for k in range(1, r.seasonal_p + 1)]]
+        moved = [*range(1, r.q + 1), *[12 * k for k in range(1, r.seasonal_q + 1)]]
+        z = np.column_stack([np.ones(len(at)), *[w[at - k] for k in lags], *[shock[at - k] for k in moved]])
+        b, *_ = np.linalg.lstsq(z, w[at], rcond=None)
+        rss = ((w[at] - z @ b) ** 2).sum()
+        assert r.n == len(at) and np.allclose(r.coefficients, b, rtol=1e-6, atol=1e-8)
+        assert np.isclose(r.aic, len(at) * np.log(rss / len(at)) + 2 * (z.shape[1] + 1))
+    best = min(found, key=lambda r: r["rank"])
+    assert best.aic == min(r.aic for r in found) and best.q >= 1
+
+
+@pytest.mark.parametrize("days", [9, 10_000])
+def test_additive_regression_by_series_equals_numpy(spark, days):
+    """Hourly rows with a daily course; each series has its own fit, the same in any chunks."""
+    rng = np.random.default_rng(2)
+    start, rows = dt.datetime(2021, 3, 1), []
+    for k, (slope, size) in {"a": (0.01, 3.0), "b": (-0.02, 0.5)}.items():
+        for i in range(900):
+            rows.append((k, start + dt.timedelta(hours=i), 10 + slope * i + size * math.sin(2 * math.pi * i / 24) + rng.normal() * 0.1))
+    df = spark.createDataFrame([*rows, ("a", None, 1.0), ("b", start + dt.timedelta(hours=950), None), ("c", start, None)], "k string, at timestamp, v double").repartition(3)
+    cut = start + dt.timedelta(hours=800)
+    got = linear.seasonal_regression(df, ["k"], "at", "v", F.col("at") < F.lit(cut), 0, 2, 3, 4, 0.01, F.floor(F.unix_date(F.col("at").cast("date")) / days)).toPandas()
+    for k in "ab":
+        own = [(t.replace(tzinfo=dt.timezone.utc).timestamp(), v, t < cut) for s, t, v in rows if s == k]
+        s, v, train = (np.array(x) for x in zip(*own, strict=True))
+        x = linear.additive_design(s, s[train].min(), s[train].max(), 4, [(365.25, 0), (7.0, 2), (1.0, 3)])
+        m, d = x[train].mean(axis=0), x[train].std(axis=0)
+        z = (x - m) / d
+        b = np.linalg.solve(z[train].T @ z[train] / train.sum() + 0.01 * np.eye(z.shape[1]), z[train].T @ (v[train] - v[train].mean()) / train.sum())
+        mine = got[(got.k == k) & got["at"].notna()].sort_values("at").prediction.to_numpy()[:900]
+        assert np.allclose(mine, v[train].mean() + z @ b, atol=1e-6)
+        assert np.abs(mine - v)[train].mean() < 0.3
+    assert got[(got.k == "c") | got["at"].isna()].prediction.isna().all() and len(got) == len(rows) + 3
