@@ -35,16 +35,17 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], ts: str, columns: l
     return joined.select(*own, *[F.coalesce(c, f"_{c}").alias(c) for c in columns])
 
 
-def release_lagged(days: DataFrame, low: DataFrame, keys: list[str], ts: str, lags: dict[str, int]) -> DataFrame:
+def release_lagged(days: DataFrame, low: DataFrame, keys: list[str], ts: str, lags: dict[str, int], bucket: Column | None = None) -> DataFrame:
     """Each low-frequency column on daily rows from its release day on: its date plus its lag in days.
 
-    All columns share one stream: a row for each lag, then one running `last` for each column.
+    All columns share one stream: a row for each lag, then one running `last` for each column, a year at a time unless
+    another `bucket` is given.
     """
     released = []
     for lag in sorted(set(lags.values())):
         columns = [c for c, n in lags.items() if n == lag]
         released.append(low.select(*keys, F.date_add(ts, lag).alias(ts), *columns))
-    return asof(days, reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), released), keys, ts, list(lags))
+    return asof(days, reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), released), keys, ts, list(lags), F.year(ts) if bucket is None else bucket)
 
 
 def master(days: DataFrame, tables: list[DataFrame], keys: list[str], ts: str, start_columns: list[str]) -> DataFrame:

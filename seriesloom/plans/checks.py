@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import calendars, clean, indicators, joins, metrics, quality, splits, text, windows
+from ..sources import tables as sources
+from ..storage import shared_path
 from .base import BARS, BARS_ALL, KEYS, TS, W, bars, query, raw_daily, roll, rounded, table, written
 from .series import articles
 
@@ -375,15 +377,27 @@ def weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audited(spark, sf_dir).where("reason = 'retained'").select("id", text.weak_label("polarity").alias("label"), scalar.mentions("raw_text", ["the", "and"]).alias("mentioned"))
 
 
-@query(f"""WITH {_ARTICLES}, s AS (SELECT published AS date, (length(text) % 20 - 9) / 10.0 AS score FROM a WHERE published IS NOT NULL),
+_DAILY_TEXT = f"""WITH {_ARTICLES}, s AS (SELECT published AS date, (length(text) % 20 - 9) / 10.0 AS score FROM a WHERE published IS NOT NULL),
 d AS (SELECT date, sum(CASE WHEN score > 0.7 THEN score ELSE 0 END) AS p, sum(CASE WHEN score < 0 THEN -score ELSE 0 END) AS n, count(*) AS v FROM s GROUP BY 1)
-SELECT date, round(p, 4) AS positive_total, round(n, 4) AS negative_total, v AS volume, round(p - n, 4) + 0.0 AS balance, round(p / nullif(p + n, 0), 6) AS pct_positive, round(n / nullif(p + n, 0), 6) AS pct_negative, round((p - n) / v, 6) + 0.0 AS balance_per_volume FROM d""")
+SELECT date, round(p, 4) AS positive_total, round(n, 4) AS negative_total, v AS volume, round(p - n, 4) + 0.0 AS balance, round(p / nullif(p + n, 0), 6) AS pct_positive, round(n / nullif(p + n, 0), 6) AS pct_negative, round((p - n) / v, 6) + 0.0 AS balance_per_volume FROM d"""
+
+
+@query(_DAILY_TEXT)
 def daily_text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = articles(spark, sf_dir).withColumn("score", (F.char_length("raw_text") % 20 - 9) / F.lit(10.0))
     df = rounded(text.daily_sentiment(a, "published_at", "score"), ["positive_total", "negative_total", "balance"], 4)
     return rounded(df, ["pct_positive", "pct_negative", "balance_per_volume"]).withColumns({c: F.col(c) + 0.0 for c in ("balance", "balance_per_volume")})
 
 
+@query(_DAILY_TEXT)
+def news_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily news table written in a folder for each month, and read back with its schema."""
+    daily = daily_text_features(spark, sf_dir)
+    path = shared_path(spark, "news")
+    sources.write_table(daily.withColumn("month", F.date_format("date", "yyyy-MM")), path, ("month",))
+    return spark.read.schema(daily.schema).parquet(path).select(daily.columns)
+
+
 @query(f"WITH {_ARTICLES}, p AS (SELECT id, string_split(text, chr(10)) AS l FROM a), x AS (SELECT id, unnest(l) AS event, generate_subscripts(l, 1) - 1 AS k FROM p) SELECT id, CAST(k AS INTEGER) AS event_no, event FROM x")
 def recap_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.split_events(articles(spark, sf_dir).select("id", F.col("assessment.result.events").alias("events")), "events", "id")

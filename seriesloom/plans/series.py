@@ -188,25 +188,29 @@ def asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last known shipment at or before each day, read in yearly buckets."""
     left = bars(spark, sf_dir).select("series_id", "date", "close")
     right = table(spark, sf_dir, "lineitem").groupBy(F.to_date("l_shipdate").alias("date")).agg(F.round(F.sum("l_quantity"), 2).alias("shipped"))
-    right = right.crossJoin(F.broadcast(left.select("series_id").distinct()))  # one event series, read by each price series
-    return joins.asof(left, right, KEYS, TS, ["shipped"], F.year("date"))
+    # one event series: its last value as of each day is carried once, and every price series meets it by the day
+    days = left.select("date").distinct().withColumn("_market", F.lit(1))
+    known = joins.asof(days, right.withColumn("_market", F.lit(1)), ["_market"], TS, ["shipped"], F.year("date"))
+    return left.join(known.drop("_market"), "date", "left").select("series_id", "date", "close", "shipped")
 
 
 LAGS = {"quantity": 45, "price": 60, "lines": 0}
 
 
-@query(f"""WITH {BARS_ALL}, m AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date, round(sum(l_quantity), 2) AS quantity, round(sum(l_extendedprice), 2) AS price, count(*) AS lines FROM lineitem GROUP BY 1)
-SELECT s.series_id, s.date, q.quantity, p.price, l.lines FROM spine s ASOF LEFT JOIN (SELECT date + 45 AS date, quantity FROM m) q ON s.date >= q.date
-ASOF LEFT JOIN (SELECT date + 60 AS date, price FROM m) p ON s.date >= p.date ASOF LEFT JOIN (SELECT date, lines FROM m) l ON s.date >= l.date""")
+@query(f"""WITH {BARS}, m AS (SELECT o_orderpriority AS series_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS date, round(sum(l_quantity), 2) AS quantity, round(sum(l_extendedprice), 2) AS price, count(*) AS lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)
+SELECT s.series_id, s.date, q.quantity, p.price, l.lines FROM spine s ASOF LEFT JOIN (SELECT series_id, date + 45 AS date, quantity FROM m) q ON s.series_id = q.series_id AND s.date >= q.date
+ASOF LEFT JOIN (SELECT series_id, date + 60 AS date, price FROM m) p ON s.series_id = p.series_id AND s.date >= p.date ASOF LEFT JOIN (SELECT series_id, date, lines FROM m) l ON s.series_id = l.series_id AND s.date >= l.date""")
 def release_lag_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly sums on daily rows from their release day on, each column with its own lag."""
-    days = calendars.spine(raw_daily(spark, sf_dir, F.lit("all")), KEYS, TS)
+    """Monthly sums of each series on its daily rows from their release day on, each column with its own lag."""
+    days = calendars.spine(raw_daily(spark, sf_dir), KEYS, TS)
     return joins.release_lagged(days, monthly_lines(spark, sf_dir), KEYS, TS, LAGS)
 
 
 def monthly_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = table(spark, sf_dir, "lineitem").groupBy(F.to_date(F.date_trunc("month", "l_shipdate")).alias("date"))
-    return m.agg(F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.sum("l_extendedprice"), 2).alias("price"), F.count("*").alias("lines")).withColumn("series_id", F.lit("all"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.to_date(F.date_trunc("month", "l_shipdate")).alias("date"), "l_quantity", "l_extendedprice")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("series_id"))
+    m = lines.join(orders, "o_orderkey").groupBy("series_id", "date")
+    return m.agg(F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.sum("l_extendedprice"), 2).alias("price"), F.count("*").alias("lines"))
 
 
 @query(f"""WITH {BARS}, a AS (SELECT series_id, date, close FROM daily WHERE date >= DATE '1995-02-01'), b AS (SELECT series_id, date, volume FROM daily WHERE date >= DATE '1995-03-15' AND volume > 1),

@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions import scalar
-from seriesloom.operators import calendars, clean, forecast, indicators, joins, linear, metrics, quality, quantiles, scan, splits, volatility, windows
+from seriesloom.operators import calendars, classify, clean, forecast, indicators, joins, linear, metrics, quality, quantiles, scan, splits, volatility, windows
 from seriesloom.storage import written
 
 KEYS, TS = ["series_id"], "date"
@@ -585,3 +585,19 @@ def test_additive_regression_by_series_equals_numpy(spark, days):
         assert np.allclose(mine, v[train].mean() + z @ b, atol=1e-6)
         assert np.abs(mine - v)[train].mean() < 0.3
     assert got[(got.k == "c") | got["at"].isna()].prediction.isna().all() and len(got) == len(rows) + 3
+
+
+def test_class_weights_by_hand(spark):
+    """n / (classes * the class's rows) over the rows that count; other rows take the same weights, unknown labels none."""
+    rows = [("x", 1), ("x", 1), ("x", 1), ("y", 1), ("y", 0), ("z", 0), (None, 1)]
+    df = spark.createDataFrame(rows, "label string, train int")
+    got = {(r.label, r.train): r.weight for r in classify.with_class_weights(df, "label", F.col("train") == 1).collect()}
+    assert got == {("x", 1): 4 / (2 * 3), ("y", 1): 4 / (2 * 1), ("y", 0): 4 / (2 * 1), ("z", 0): None, (None, 1): None}
+
+
+def test_release_lags_in_years_equal_one_stream(spark):
+    days = [dt.date(2019, 11, 1) + dt.timedelta(days=i) for i in range(500)]
+    d = spark.createDataFrame([(k, x) for k in "ab" for x in days], "series_id string, date date")
+    low = spark.createDataFrame([(k, x, float(i), None if i % 3 else float(-i)) for k in "ab" for i, x in enumerate(days[::31])], "series_id string, date date, p double, q double")
+    every = [sorted(map(tuple, joins.release_lagged(d, low, KEYS, TS, {"p": 45, "q": 10}, b).collect())) for b in (None, F.lit(0), F.month("date") + 12 * F.year("date"))]
+    assert every[0] == every[1] == every[2] and any(r[2] is not None for r in every[0])
