@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import safe_divide, sign_label
+from ..storage import written
 from .quality import audit
 
 
@@ -74,29 +77,61 @@ def override_metrics(df: DataFrame, keys: list[str], reference: str, model_label
     )
 
 
-def tfidf_logistic(df: DataFrame, text: str, label: str, split: str, strengths: tuple[float, ...] = (0.5, 2.0, 8.0), features: int = 1 << 16) -> tuple[DataFrame, float]:
+def term_counts(df: DataFrame, keys: list[str], text: str, pairs: bool = True) -> DataFrame:
+    """(keys, term, tf): words of ASCII letters, digits and underscores in lower case, and pairs of neighbours."""
+    words = F.transform(F.regexp_extract_all(F.col(text), F.lit("([A-Za-z0-9_]+)"), 1), F.lower)
+    held = df.where(F.col(text).isNotNull()).select(*keys, words.alias("_w"))
+    joined = F.transform(F.sequence(F.lit(0), F.size("_w") - 2), lambda i: F.concat_ws(" ", F.get("_w", i), F.get("_w", i + 1)))
+    every = F.when(F.size("_w") > 1, F.concat("_w", joined)).otherwise(F.col("_w")) if pairs else F.col("_w")
+    return held.select(*keys, F.explode(every).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+
+
+def vocabulary(counts: DataFrame, least: int = 2, most_terms: int | None = None) -> DataFrame:
+    """(term, df, id), written: every term in at least `least` documents of the counts, numbered from 0 without gaps.
+
+    Terms are dealt to ordered ranges and numbered within each; the ranges' sizes give the offsets, so ids are dense,
+    without collisions, and no table of terms passes through one task.  With `most_terms` the most frequent ones are
+    numbered first and others go; else the order is that of the terms.
+    """
+    found = counts.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= least)
+    order = ["term"] if most_terms is None else [F.desc("df"), F.asc("term")]
+    parts = max(1, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = written(found.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "vocabulary")
+    part = F.shiftright("_at", 33)
+    sizes = sorted(tuple(r) for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())  # a row for each range
+    offsets = list(zip((p for p, _ in sizes), accumulate((n for _, n in sizes), initial=0), strict=False))
+    before = F.element_at(F.create_map(*[F.lit(x) for pair in offsets for x in pair]), part) if offsets else F.lit(0)
+    out = placed.select("term", "df", (before + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long").alias("id"))
+    return out if most_terms is None else out.where(F.col("id") < most_terms)
+
+
+def tfidf(counts: DataFrame, terms: DataFrame, documents: int, broadcast_terms: int = 500_000) -> DataFrame:
+    """(keys, term, id, weight): tf * ln((N + 1) / (df + 1)) of the vocabulary's terms."""
+    few = terms.count() <= broadcast_terms
+    return counts.join(F.broadcast(terms) if few else terms, "term").withColumn("weight", F.col("tf") * F.ln((F.lit(documents) + 1.0) / (F.col("df") + 1.0))).drop("tf", "df")
+
+
+def tfidf_logistic(df: DataFrame, text: str, label: str, split: str, strengths: tuple[float, ...] = (0.5, 2.0, 8.0), most_terms: int = 1 << 18) -> tuple[DataFrame, float]:
     """TF-IDF of words and word pairs into a balanced logistic regression; C is chosen by validation macro F1.
 
-    Returns the predictions on all rows (label, split, prediction) and the chosen C.
+    The vocabulary is exact: terms of two or more training documents, at most the `most_terms` most frequent ones, as
+    the coefficients are held by the driver.  Returns the predictions on all rows (label, split, prediction) and the
+    chosen C.
     """
-    from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer, VectorAssembler
+    from pyspark.ml.linalg import SparseVector, VectorUDT
 
-    from ..storage import written
     from .metrics import confusion, confusion_metrics
 
-    steps = [
-        RegexTokenizer(inputCol=text, outputCol="_w", pattern=r"\W+"),
-        NGram(n=2, inputCol="_w", outputCol="_p"),
-        HashingTF(inputCol="_w", outputCol="_tw", numFeatures=features),
-        HashingTF(inputCol="_p", outputCol="_tp", numFeatures=features),
-        VectorAssembler(inputCols=["_tw", "_tp"], outputCol="_t"),
-        IDF(inputCol="_t", outputCol="features", minDocFreq=2),
-    ]
-    known = df.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    train = known.where(F.col(split) == "train")
-    coded = Pipeline(stages=steps).fit(train).transform(known).select(*[c for c in df.columns if c != text], "features")
+    known = written(df.where(F.col(label).isNotNull() & F.col(text).isNotNull()).withColumn("_row", F.monotonically_increasing_id()), "labelled")
+    counts = written(term_counts(known, ["_row", split], text), "terms")
+    learned = counts.where(F.col(split) == "train")
+    terms = vocabulary(learned, 2, most_terms)
+    size = max(1, terms.count())
+    weighed = tfidf(counts, terms, known.where(F.col(split) == "train").count())
+    vectors = weighed.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("id", "weight"))).alias("_t"))
+    vector = F.udf(lambda t: SparseVector(size, [x[0] for x in t or ()], [x[1] for x in t or ()]), VectorUDT())
+    coded = known.join(vectors, "_row", "left").select(*[c for c in df.columns if c != text], vector("_t").alias("features"))
     classes = sorted(r[0] for r in known.select(label).distinct().collect())
     place = F.create_map(*[F.lit(x) for i, c in enumerate(classes) for x in (c, float(i))])
     coded = written(coded.withColumn("_y", F.element_at(place, F.col(label))), "tfidf")

@@ -462,6 +462,19 @@ def band_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- text baseline ---------------------------------------------------------------------------------
+@query("""WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS ws FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, unnest(ws || list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS term FROM w), c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2),
+v AS (SELECT term, df, row_number() OVER (ORDER BY encode(term)) - 1 AS id FROM (SELECT term, count(*) AS df FROM c GROUP BY 1 HAVING count(*) >= 2)), n AS (SELECT count(*) AS n FROM w)
+SELECT doc_id, term, id, round(tf * ln((n + 1)::DOUBLE / (df + 1)::DOUBLE), 6) AS weight FROM c JOIN v USING (term), n""")
+def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight of each word and word pair of each document, with the term's dense id in an exact vocabulary."""
+    from ..operators import text
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null")
+    counts = written(text.term_counts(docs, ["doc_id"], "text"), "terms")
+    return rounded(text.tfidf(counts, text.vocabulary(counts), docs.count()), ["weight"])
+
+
 @query()
 def tfidf_logreg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TF-IDF and balanced logistic regression on weak labels, split by date, scored by part."""
