@@ -261,9 +261,12 @@ def scan_text(text: str | None, model: LicenseModel) -> list[dict]:
             like = likeness(family, words)
             found.append((i, j, {"paragraph": i, "family": family, "probability": probability, "likeness": like, "confirmed": like >= CONFIRM}))
     kept: list[tuple[int, int, dict]] = []
+    over: dict[int, list[int]] = {}  # the kept ones over each line; what lies within another or overlaps it shares a line
     for i, j, row in sorted(found, key=lambda x: (-x[2]["likeness"] if x[2]["confirmed"] else 1, x[1] - x[0], x[0])):
-        inside = lambda a, b: a <= i and j <= b or i <= a and b <= j
-        if not any(inside(a, b) or (a <= j and i <= b and r["family"] == row["family"]) for a, b, r in kept):
+        met = [kept[k] for k in {k for line in range(i, j + 1) for k in over.get(line, ())}]
+        if not any((a <= i and j <= b) or (i <= a and b <= j) or r["family"] == row["family"] for a, b, r in met):
+            for line in range(i, j + 1):
+                over.setdefault(line, []).append(len(kept))
             kept.append((i, j, row))
     return [row for _, _, row in sorted(kept, key=lambda x: x[:2])]
 
@@ -292,6 +295,8 @@ def license_report(docs: DataFrame) -> DataFrame:
 
     Repeated rows are scanned each; an empty table gives an empty result.
     """
+    if not docs.head(1):
+        return docs.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_predicted long, n_confirmed long, families string")
     found = scan(docs.select("doc_id", "text"), fit(docs))
     sure = F.filter("licenses", lambda x: x["confirmed"])
     report = found.select(

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import pytest
 
@@ -96,3 +97,15 @@ def test_wrapped_headers(model, family, name):
     assert [r["family"] for r in both if r["confirmed"]] == [family, "MIT"]
     split = [tokens(x) for x in ("can redistribute it and/or modify", "", "it under the terms of the GNU General Public License")]
     assert wrapped(split) == [] and wrapped([split[0], split[2]]) == [(0, 1)]
+
+
+def test_many_license_lines_take_linear_time(model):
+    """Two sizes of one text of notices, a blank line after each: twice the lines, about twice the time."""
+    took = []
+    for n in (4_000, 8_000, 16_000):
+        text = "\n\n".join(f"Released under the {('MIT', 'Apache')[i % 2]} License" for i in range(n))
+        began = time.process_time()
+        found = scan_text(text, model)
+        took.append(time.process_time() - began)
+        assert sum(r["confirmed"] for r in found) >= n // 2
+    assert took[2] < 3 * took[1] + 0.2 and took[2] < 5

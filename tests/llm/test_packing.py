@@ -5,7 +5,6 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
-
 from pyspark.sql import functions as F
 
 from seriesloom.llm.bpe import WordBpe
