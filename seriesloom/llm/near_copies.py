@@ -234,8 +234,9 @@ def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", til
     own, body = F.col(names[docs.columns.index(id)]), F.col(names[docs.columns.index(text)]).cast("string")
     marked = cut(held.select("*", marks(body).alias("mark"), F.xxhash64(body).alias("h"), F.monotonically_increasing_id().alias("row")), "marked")
     nodes = cut(marked.groupBy("mark.g").agg(F.min("row").alias("node"), F.first("mark.f").alias("f"), F.first("mark.size").alias("size")), "nodes")
-    near = components(candidates(nodes, tile_rows)).join(nodes.select("node", "size"), "node")
-    members = near.join(marked.select(F.col("row").alias("node"), body.alias("text")), "node")
+    near = cut(components(candidates(nodes, tile_rows)).join(nodes.select("node", "size"), "node"), "near")
+    few = near.count() <= broadcast_rows  # 24 bytes a row; beyond that the texts are shuffled
+    members = marked.select(F.col("row").alias("node"), body.alias("text")).join(F.broadcast(near) if few else near, "node")
     found = components(verified(members, tile_bytes))
     roots = nodes.join(found, "node", "left").select("g", F.coalesce("component", "node").alias("root"))
     place = F.struct(own.isNull().alias("bare"), own.alias("id"), "h", "row")
