@@ -67,6 +67,9 @@ def _carried(chunks: DataFrame, fits: DataFrame, keys: list[str]) -> DataFrame:
     """Chunks with their series' fits (`_fits`), its betas and the decayed sums and number of rows before each."""
     series = fits.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("cut", "mean", "v", "alphas", "betas"))).alias("_fits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("betas")))).alias("_betas"))
     held = chunks.join(series, keys)
+    blank = F.array().cast("array<double>")
+    if chunks.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).collect()[0][0] in (None, 1):  # nothing to carry
+        return held.withColumn("_state", blank)
     width = T.ArrayType(T.DoubleType())
     shown = [chunks.schema[k] for k in [*keys, "_chunk"]]
 
@@ -79,7 +82,6 @@ def _carried(chunks: DataFrame, fits: DataFrame, keys: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in shown), pa.array(out, pa.list_(pa.float64()))], names=[*(f.name for f in shown), "_sum"])
 
     sums = held.select(*keys, "_chunk", "_r", "_betas").mapInArrow(summarise, T.StructType([*shown, T.StructField("_sum", width)]))
-    blank = F.array().cast("array<double>")
 
     def step(state: Column, x: Column) -> Column:
         own = x["_sum"]
