@@ -62,7 +62,7 @@ def last_known(df: DataFrame, columns: dict[str, str], keys: list[str], ts: str,
 
     `strict` takes the rows before the row itself only.
     """
-    placed = df.withColumn("_chunk", span_of(df, ts) if chunk is None else chunk.cast("long"))
+    placed = df.withColumn("_chunk", span_of(df, ts) if chunk is None else chunk)
     sources = sorted(set(columns.values()))
     sums = placed.groupBy(*keys, "_chunk").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(ts))).alias(f"_last_{i}") for i, c in enumerate(sources)])
     types = {c: df.schema[c].dataType for c in sources}
@@ -85,7 +85,7 @@ def lagged(df: DataFrame, columns: dict[str, str], keys: list[str], ts: str, chu
 
 def row_numbers(df: DataFrame, keys: list[str], ts: str, chunk: Column | None = None, name: str = "rn", size: str | None = "n") -> DataFrame:
     """`df` with each row's place in its series from 0, and the series' length."""
-    placed = df.withColumn("_chunk", span_of(df, ts) if chunk is None else chunk.cast("long"))
+    placed = df.withColumn("_chunk", span_of(df, ts) if chunk is None else chunk)
     counts = placed.groupBy(*keys, "_chunk").agg(F.count("*").alias("_m"))
     carried = prefix(counts, keys, "_chunk", F.lit(0).cast("long"), lambda s, x: s + x["_m"])
     if size:
