@@ -57,22 +57,3 @@ QUICK = ["ar_order_search", "ar_forecast", "seasonal_regression", "tfidf_logreg"
 @pytest.mark.parametrize("name", QUICK)
 def test_query_gives_rows(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
-
-
-def test_staged_features_are_pruned_lists(spark):
-    """Stage 1 whole and in order; later stages keep a subset of their lists, the first of any correlated pair."""
-    found = catalogue.QUERIES["staged_features"](spark, SF).collect()
-    kept = {i: [r.feature for r in sorted(found, key=lambda r: r.place) if r.stage == i] for i in range(1, 5)}
-    assert kept[1] == models.UNIVARIATE
-    for i, wanted in enumerate(models.STAGES[1:], 2):
-        assert kept[i] and kept[i][0] == wanted[0] and [c for c in wanted if c in kept[i]] == kept[i]
-
-
-def test_backtest_scores_every_method_on_the_same_dates(spark):
-    found = catalogue.QUERIES["band_backtest"](spark, SF).collect()
-    assert {(r.h, r.method) for r in found} == {(h, m) for h in models.HORIZONS for m in models.forecast.METHODS}
-    for h in models.HORIZONS:
-        own = [r for r in found if r.h == h]
-        assert len({r.n for r in own}) == 1 and sum(r.is_best for r in own) == 1 and all(0 <= r.coverage <= 1 for r in own)
-        assert all(r.coverage_50 <= r.coverage <= r.coverage_90 for r in own)
-        assert {r.method: r.relative_loss for r in own}["fhs"] == 0
