@@ -26,19 +26,21 @@ from .shared import cut, free_name, least_hashed, ship, slices
 
 # Customary wording of public license notices; {v} stands for a version.
 TEMPLATES = {
-    "AGPL": ["licensed under the GNU Affero General Public License version {v}", "SPDX-License-Identifier: AGPL-{v}-or-later", "redistribute it and/or modify it under the terms of the GNU Affero General Public License"],
+    "AGPL": ["licensed under the GNU Affero General Public License version {v}", "SPDX-License-Identifier: AGPL-{v}-or-later", "redistribute it and/or modify it under the terms of the GNU Affero General Public License", "released under the AGPL version {v}"],
     "Apache": ["licensed under the Apache License, Version {v}", "you may not use this file except in compliance with the License", "SPDX-License-Identifier: Apache-{v}", "released under the Apache License {v}"],
     "BSD": ["licensed under the BSD {v}-Clause License", "released under the BSD License", "redistribution and use in source and binary forms, with or without modification, are permitted", "SPDX-License-Identifier: BSD-{v}-Clause"],
-    "CC-BY": ["licensed under CC BY {v}", "licensed under a Creative Commons Attribution {v} International License", "SPDX-License-Identifier: CC-BY-{v}"],
-    "CC-BY-NC": ["licensed under CC BY-NC {v}", "licensed under a Creative Commons Attribution-NonCommercial {v} International License", "SPDX-License-Identifier: CC-BY-NC-{v}"],
-    "CC-BY-SA": ["licensed under CC BY-SA {v}", "licensed under a Creative Commons Attribution-ShareAlike {v} International License", "SPDX-License-Identifier: CC-BY-SA-{v}"],
-    "CC0": ["dedicated to the public domain under CC0 {v}", "SPDX-License-Identifier: CC0-{v}"],
+    "CC-BY": ["licensed under CC BY {v}", "licensed under a Creative Commons Attribution {v} International License", "SPDX-License-Identifier: CC-BY-{v}", "available under the Creative Commons Attribution {v} License", "available under CC BY {v}"],
+    "CC-BY-NC": ["licensed under CC BY-NC {v}", "licensed under a Creative Commons Attribution-NonCommercial {v} International License", "SPDX-License-Identifier: CC-BY-NC-{v}", "available under the Creative Commons Attribution-NonCommercial {v} License", "available under CC BY-NC {v}"],
+    "CC-BY-SA": ["licensed under CC BY-SA {v}", "licensed under a Creative Commons Attribution-ShareAlike {v} International License", "SPDX-License-Identifier: CC-BY-SA-{v}", "available under the Creative Commons Attribution-ShareAlike {v} License", "available under CC BY-SA {v}"],
+    "CC0": ["dedicated to the public domain under CC0 {v}", "SPDX-License-Identifier: CC0-{v}", "released under the CC0 {v} Universal public domain dedication"],
     "GPL": ["licensed under the GNU General Public License, version {v}", "redistribute it and/or modify it under the terms of the GNU General Public License", "SPDX-License-Identifier: GPL-{v}-only", "released under the GPL version {v}"],
-    "LGPL": ["licensed under the GNU Lesser General Public License, version {v}", "SPDX-License-Identifier: LGPL-{v}-or-later", "redistribute it and/or modify it under the terms of the GNU Lesser General Public License"],
-    "MIT": ["licensed under the MIT License", "released under the MIT License", "permission is hereby granted, free of charge, to any person obtaining a copy of this software", "SPDX-License-Identifier: MIT"],
-    "MPL": ["subject to the terms of the Mozilla Public License, v. {v}", "licensed under the Mozilla Public License {v}", "SPDX-License-Identifier: MPL-{v}"],
+    "LGPL": ["licensed under the GNU Lesser General Public License, version {v}", "SPDX-License-Identifier: LGPL-{v}-or-later", "redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "released under the LGPL version {v}"],
+    "MIT": ["licensed under the MIT License", "released under the MIT License", "permission is hereby granted, free of charge, to any person obtaining a copy of this software", "SPDX-License-Identifier: MIT", "distributed under the terms of the MIT License"],
+    "MPL": ["subject to the terms of the Mozilla Public License, v. {v}", "licensed under the Mozilla Public License {v}", "SPDX-License-Identifier: MPL-{v}", "released under the MPL version {v}"],
 }
 OPENINGS = ["", "this work is ", "this project is ", "this file is ", "the code is ", "all content is ", "copyright (c) {v} the authors, "]
+#: Notices of invented licenses, which belong to no family.
+FORMS = ["licensed under the {n} license, version {v}", "released under the {n} license", "this work is licensed under {n} {v}", "the {n} public license", "see the license of {n}", "subject to the terms of the {n} license", "a license to {n} is in the file", "{n} SPDX-License-Identifier: {n}", "SPDX-License-Identifier: {n}-{v}", "SPDX-License-Identifier: {n}", "available under {n} {v}", "copyright (c) {v} {n}, all rights reserved, see the file.", "redistribute it under the terms of the {n} license", "{n} may use this file"]
 UNKNOWN = "unknown"
 _TOKEN = re.compile(r"[^\W\d_]+|\d+")
 GRAMS = 3
@@ -63,14 +65,41 @@ def notices(seed: int = 3, each: int = 24) -> list[tuple[str, int, str]]:
             for _ in range(each):
                 full = rnd.choice(OPENINGS) + wording + rnd.choice(["", ".", " or later.", ", see the file."])
                 out.append((family, k, full.replace("{v}", rnd.choice(["1", "2", "2.0", "3", "3.0", "4.0", "2021"]))))
-    forms = ["licensed under the {n} license, version {v}", "released under the {n} license", "this work is licensed under {n} {v}", "the {n} public license", "see the license of {n}", "subject to the terms of the {n} license", "a license to {n} is in the file", "{n} SPDX-License-Identifier: {n}"]
-    for _ in range(len(out) // 3):
+    for _ in range(len(out) // 2):
         name = "".join(rnd.choice(["ka", "lo", "mi", "ten", "ver", "sa", "pu"]) for _ in range(3))
-        k = rnd.randrange(len(forms))
-        out.append((UNKNOWN, k, rnd.choice(OPENINGS).replace("{v}", "1") + forms[k].replace("{n}", name).replace("{v}", rnd.choice(["1.0", "2"]))))
+        k = rnd.randrange(len(FORMS))
+        out.append((UNKNOWN, k, rnd.choice(OPENINGS).replace("{v}", "1") + FORMS[k].replace("{n}", name).replace("{v}", rnd.choice(["1.0", "2"]))))
     return out
 
 
+def owners() -> dict[str, str | None]:
+    """The family of each n-gram that only one family's templates hold; None for those of several, of FORMS or OPENINGS."""
+    out: dict[str, str | None] = dict.fromkeys(set().union(*(grams(tokens(w.replace("{v}", "0"))) for w in FORMS + OPENINGS)))
+    for family, wordings in TEMPLATES.items():
+        for g in set().union(*(grams(tokens(w.replace("{v}", "0"))) for w in wordings)):
+            out[g] = family if g not in out or out[g] == family else None
+    return out
+
+
+def reworded(family: str, words: list[str], own: dict[str, str | None], rnd: random.Random) -> list[str] | None:
+    """A notice in another word order: a part of it, some words dropped, neighbours swapped.
+
+    None where what is left no longer tells its family: it holds no n-gram of two words or more of this family alone
+    (a single word, like the German mit, may be any text's), or an n-gram of another's.
+    """
+    kept = words
+    if words and rnd.random() < 0.5:
+        n = max(1, round(len(words) * rnd.uniform(0.3, 0.9)))
+        at = rnd.randrange(len(words) - n + 1)
+        kept = words[at : at + n]
+    kept = [w for w in kept if rnd.random() > 0.25]
+    for i in range(len(kept) - 1):
+        if rnd.random() < 0.1:
+            kept[i], kept[i + 1] = kept[i + 1], kept[i]
+    told = {(own[g], " " in g) for g in grams(kept) if own.get(g)}
+    return kept if (family, True) in told and all(f == family for f, _ in told) else None
+
+
 @dataclass
 class LicenseModel:
     """Classes, intercepts, weights by n-gram and temperature; `report` has the figures on held-out wordings."""
@@ -128,7 +157,7 @@ def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
 FOLDS = 3
 
 
-def fit(docs: DataFrame, text: str = "text", sample_paragraphs: int = 4_000, penalty: float = 2e-4, seed: int = 3) -> LicenseModel:
+def fit(docs: DataFrame, text: str = "text", sample_paragraphs: int = 4_000, penalty: float = 2e-4, seed: int = 3, variants: int = 3) -> LicenseModel:
     """Trains on the templates' notices and at most `sample_paragraphs` whole paragraphs of the corpus.
 
     The sample is of the lines with the least hash of document, place and text, without those that a template
@@ -147,12 +176,17 @@ def fit(docs: DataFrame, text: str = "text", sample_paragraphs: int = 4_000, pen
     rows = [(f, k % FOLDS, grams(tokens(n))) for f, k, n in known] + [(UNKNOWN, i % FOLDS, grams(tokens(p))) for i, p in enumerate(plain)]
     # Notices also come inside longer paragraphs.
     rows += [(f, k % FOLDS, grams(tokens(rnd.choice(plain) + " " + n))) for f, k, n in known if plain and rnd.random() < 0.5]
+    # Other word orders and parts of the wordings, so that weight lies on the words that tell a family.
+    own = owners()
+    changed = [(f, k, reworded(f, tokens(n), own, rnd)) for f, k, n in known if f != UNKNOWN for _ in range(variants)]
+    varied = [(f, k % FOLDS, grams(words)) for f, k, words in changed if words]
     rnd.shuffle(rows)
     classes = [*TEMPLATES, UNKNOWN]
     vocabulary = sorted(set().union(*(grams(tokens(n)) for f, _, n in known if f != UNKNOWN)))
     place = {g: i for i, g in enumerate(vocabulary)}
-    coded = [(float(classes.index(f)), fold, Vectors.sparse(len(vocabulary), sorted((place[g], 1.0) for g in gs if g in place))) for f, fold, gs in rows]
-    table = spark.createDataFrame(coded, ["label", "fold", "features"]).coalesce(2).persist()
+    code = lambda found: [(float(classes.index(f)), fold, Vectors.sparse(len(vocabulary), sorted((place[g], 1.0) for g in gs if g in place))) for f, fold, gs in found]
+    coded = code(rows)
+    table = spark.createDataFrame([*coded, *code(varied)], ["label", "fold", "features"]).coalesce(2).persist()
     learner = LogisticRegression(family="multinomial", elasticNetParam=1.0, regParam=penalty, maxIter=60, standardization=False)
     logits, truth = [], []
     for fold in range(FOLDS):

@@ -6,7 +6,7 @@ import time
 
 import pytest
 
-from seriesloom.llm.licenses import UNKNOWN, blocks, fit, license_report, likeness, notices, scan, scan_text, tokens, wrapped
+from seriesloom.llm.licenses import UNKNOWN, blocks, fit, grams, license_report, likeness, notices, owners, reworded, scan, scan_text, tokens, wrapped
 
 FILLER = "der mit und von nicht the of and see a license of trust apache tribe public version".split()
 
@@ -32,7 +32,30 @@ def test_fresh_notices(model):
     assert right >= 0.95 * len(fresh)
     assert model.classify(tokens("der die und mit von"))[0] == UNKNOWN
     assert 0 < model.temperature <= 20
-    assert model.report["precision"] > 0.9 and model.report["recall"] > 0.3 and model.report["calibration_error"] < 0.2
+    assert model.report["precision"] > 0.9 and model.report["recall"] > 0.8 and model.report["calibration_error"] < 0.2
+
+
+def test_reworded_notices_still_tell_their_family():
+    """What is kept holds words of this family alone and none of another's; words that every notice has tell nothing."""
+    own, rnd = owners(), random.Random(5)
+    assert own["affero"] == "AGPL" and own["license"] is None and own["general public license"] is None and own["the license"] is None
+    kept = 0
+    for family, _, notice in notices(seed=1):
+        if family == UNKNOWN:
+            continue
+        words = tokens(notice)
+        got = reworded(family, words, own, rnd)
+        if got is not None:
+            kept += 1
+            assert set(got) <= set(words) and {own[g] for g in grams(got) if own.get(g)} == {family}
+    assert kept > 300 and reworded("MIT", ["the"], own, rnd) is None and reworded("MIT", [], own, rnd) is None
+
+
+def test_wordings_without_a_template(model):
+    """Notices in words of their own: found, though only templates confirm."""
+    lines = {"GPL": "the source is made available under version 3 of the GPL", "LGPL": "you can use this library under the LGPL, version 2.1", "MPL": "covered by the Mozilla Public License 2.0", "Apache": "all code here falls under the Apache License, Version 2.0"}
+    assert {f: model.classify(tokens(x))[0] for f, x in lines.items()} == {f: f for f in lines}
+    assert all(model.classify(tokens(x))[0] == UNKNOWN for x in ("licensed under the Vorpal license, version 3", "you can see the license of trust in the file", ""))
 
 
 def slow_class(model, words):
