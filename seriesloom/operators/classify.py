@@ -1,18 +1,19 @@
 """Direction classifiers: weighted base learners tuned on purged folds, averaged and stacked.
 
-Spark ML fits each model over all training rows; folds and candidates are few and are fitted from one written
-table.  Predictions of all models are rows of one long table (row keys, model, score).
+Spark ML fits each model over all training rows; folds and candidates are few and are fitted together from one
+written table.  Predictions of all models are rows of one long table (row keys, model, score).
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import written
+from .fits import together
 from .metrics import auc
 
 
@@ -109,24 +110,29 @@ def tune(folds: DataFrame, candidates: list, keys: list[str]) -> int:
     if len(candidates) == 1:
         return 0
     numbers = sorted(r["fold"] for r in folds.select("fold").distinct().collect())
-    scores = [0.0] * len(candidates)
-    for fold in numbers:
+
+    def coded(fold) -> DataFrame:
         own = folds.where(F.col("fold") == fold)
-        own = written(rescaled(own, F.col("role") == "train") if "raw" in folds.columns else own, "fold")
-        for i, candidate in enumerate(candidates):
-            fitted = candidate.fit(own.where("role = 'train'"))
-            found = auc(_score(fitted, own.where("role = 'validation'"), [*keys, "y"]), [], "y", "score").collect()[0]["auc"]
-            scores[i] += 0.5 if found is None else found
+        return written(rescaled(own, F.col("role") == "train") if "raw" in folds.columns else own, "fold")
+
+    def score(own: DataFrame, candidate) -> float:
+        fitted = candidate.fit(own.where("role = 'train'"))
+        found = auc(_score(fitted, own.where("role = 'validation'"), [*keys, "y"]), [], "y", "score").collect()[0]["auc"]
+        return 0.5 if found is None else found
+
+    parts = together(folds.sparkSession, [partial(coded, n) for n in numbers])
+    found = together(folds.sparkSession, [partial(score, own, c) for c in candidates for own in parts])
+    scores = [sum(found[i * len(parts) : (i + 1) * len(parts)]) for i in range(len(candidates))]
     return scores.index(max(scores))
 
 
 def base_predictions(df: DataFrame, folds: DataFrame, keys: list[str], grid: dict | None = None) -> tuple[DataFrame, dict]:
-    """Scores of the tuned learners on validation and test rows, and the fitted models."""
+    """Scores of the tuned learners on validation and test rows, and the fitted models.  Learners are tuned together."""
     train, rest = df.where("split = 'train'"), df.where("split in ('validation', 'test')")
-    fitted, out = {}, []
-    for name, candidates in learners(grid, train.count()).items():
-        fitted[name] = candidates[tune(folds, candidates, keys)].fit(train)
-        out.append(_score(fitted[name], rest, [*keys, "split", "y"]).withColumn("model", F.lit(name)))
+    sets = learners(grid, train.count())
+    made = together(df.sparkSession, [lambda c=c: c[tune(folds, c, keys)].fit(train) for c in sets.values()])
+    fitted = dict(zip(sets, made, strict=True))
+    out = [_score(model, rest, [*keys, "split", "y"]).withColumn("model", F.lit(name)) for name, model in fitted.items()]
     return written(reduce(DataFrame.unionByName, out), "base"), fitted
 
 
@@ -156,14 +162,17 @@ def stack_predictions(wide: DataFrame, keys: list[str], models: list[str], folds
     held, wide = written(vector(folds), "meta"), vector(wide)
     classes = held.where("role = 'train'").groupBy("fold").agg(F.countDistinct("y").alias("c")).where("c > 1")
     numbers = sorted(r["fold"] for r in classes.select("fold").collect())
-    out = []
+
+    def score(learner, train: DataFrame, rest: DataFrame, split: str, name: str) -> DataFrame:
+        return _score(learner.fit(train), rest, [*keys, "y"]).select("*", F.lit(split).alias("split"), F.lit(name).alias("model"))
+
+    jobs = []
     for name, learner in meta_learners(len(models), trees, rounds).items():
         for fold in numbers:
             own = held.where(F.col("fold") == fold)
-            out.append(_score(learner.fit(own.where("role = 'train'")), own.where("role = 'validation'"), [*keys, "y"]).select("*", F.lit("oof").alias("split"), F.lit(name).alias("model")))
-        fitted = learner.fit(wide.where("split = 'validation'"))
-        out.append(_score(fitted, wide.where("split = 'test'"), [*keys, "y"]).select("*", F.lit("test").alias("split"), F.lit(name).alias("model")))
-    return reduce(DataFrame.unionByName, out)
+            jobs.append(partial(score, learner, own.where("role = 'train'"), own.where("role = 'validation'"), "oof", name))
+        jobs.append(partial(score, learner, wide.where("split = 'validation'"), wide.where("split = 'test'"), "test", name))
+    return reduce(DataFrame.unionByName, together(wide.sparkSession, jobs))
 
 
 def importances(fitted: dict, columns: list[str], spark) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -19,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..storage import written
 from . import volatility
 from .clean import by
+from .fits import together
 from .quantiles import quantiles, running_median
 from .windows import centred_mean
 
@@ -59,7 +60,7 @@ def _features(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def boosted_points(folds: DataFrame, columns: list[str], target: str, rounds: int = 100, depth: int = 5, rate: float = 0.1, share: float = 0.8, leaf: int = 5, stop: Column | None = None) -> DataFrame:
-    """Walk-forward predictions of gradient-boosted trees (squared loss): one fit for each fold.
+    """Walk-forward predictions of gradient-boosted trees (squared loss): one fit for each fold, fits run together.
 
     Training rows where `stop` holds are kept from the trees and end the rounds when their loss stops falling.
     """
@@ -69,11 +70,14 @@ def boosted_points(folds: DataFrame, columns: list[str], target: str, rounds: in
     model = GBTRegressor(labelCol=target, maxIter=rounds, maxDepth=depth, stepSize=rate, featureSubsetStrategy=str(share), minInstancesPerNode=leaf, seed=42)
     if stop is not None:
         model = model.setValidationIndicatorCol("_stop")
-    out = []
-    for fold in sorted(r["fold"] for r in coded.select("fold").distinct().collect()):
+
+    def fold_points(fold) -> DataFrame:
         own = coded.where(F.col("fold") == fold)
         fitted = model.fit(own.where("role = 'train'"))
-        out.append(fitted.transform(own.where("role = 'test'")).withColumn("n_trees", F.lit(fitted.getNumTrees)))
+        return fitted.transform(own.where("role = 'test'")).withColumn("n_trees", F.lit(fitted.getNumTrees))
+
+    numbers = sorted(r["fold"] for r in coded.select("fold").distinct().collect())
+    out = together(folds.sparkSession, [partial(fold_points, n) for n in numbers])
     return reduce(DataFrame.unionByName, out).drop("features", "_stop")
 
 

@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import datetime
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import classify, clean, forecast, indicators, joins, linear, metrics, splits, volatility, windows
 from ..operators.calendars import calendar_features
+from ..operators.fits import together
 from .base import BARS, BARS_ALL, KEYS, TS, W, bars, query, raw_daily, roll, rounded, table, written
 from .checks import _walk_sql, labelled, walk
 
 Q10, Q50, Q90 = 0.1, 0.5, 0.9
 
+#: Sizes of the boosting and stacking queries.
+ROUNDS, GRID, TUNING_FOLDS, META_SIZES = 10, classify.SMALL_GRID, 2, (20, 10)
+
 
 # -- bands -----------------------------------------------------------------------------------------
 _BAND = "tr AS (SELECT series_id, fold, quantile_cont(target, [0.1, 0.5, 0.9]) AS q FROM wf WHERE role = 'train' GROUP BY 1, 2), bd AS (SELECT wf.*, q[1] AS lower, q[2] AS mid, q[3] AS upper FROM wf JOIN tr USING (series_id, fold) WHERE role = 'test')"
@@ -104,34 +109,35 @@ def gbt_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boosted trees in purged walk-forward folds over all series, on calendar features alone and on all of stage 2:
     errors by fold.
 
-    10 rounds at most; the last tenth of a fold's training days ends them early.  The operator's default is 100.
+    The last tenth of a fold's training days ends the rounds early.
     """
     folds = model_folds(spark, sf_dir, STAGES[1])
     last = folds.where("role = 'train'").groupBy("fold").agg(F.date_sub(F.max("date"), (F.datediff(F.max("date"), F.min("date")) / 10).cast("int")).alias("late"))
     folds = written(folds.join(F.broadcast(last), "fold"), "folds")  # a row for each fold
-    made = [forecast.boosted_points(folds, c, "target", rounds=10, depth=4, stop=F.col("date") > F.col("late")).withColumn("features", F.lit(n)) for n, c in (("calendar", CALENDAR), ("stage 2", STAGES[1]))]
+    made = [forecast.boosted_points(folds, c, "target", rounds=ROUNDS, depth=4, stop=F.col("date") > F.col("late")).withColumn("features", F.lit(n)) for n, c in (("calendar", CALENDAR), ("stage 2", STAGES[1]))]
     return metrics.point_metrics(joins.stack(made), ["features", "fold"], "target", "prediction")
 
 
 @query()
 def pinball_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantile boosting for each fold's band: size-dependent leaves and penalties, a cosine learning rate, four
-    fifths of rows and columns a round.
-
-    5 rounds; the operator's default is 100.
+    fifths of rows and columns a round.  Folds and quantiles are boosted together.
     """
     every = model_folds(spark, sf_dir, STAGES[1])
     sizes = {r["fold"]: r["n"] for r in every.where("role = 'train'").groupBy("fold").agg(F.count("*").alias("n")).collect()}  # a row for each fold
-    rounds, out = 5, []
-    for fold, n in sorted(sizes.items()):
-        folds, made = every.where(F.col("fold") == fold), None
+
+    def band(fold, n: int, name: str, q: float) -> DataFrame:
         leaf, cut, shrink = forecast.adaptive_settings(n)
-        for name, q in (("lower", Q10), ("mid", Q50), ("upper", Q90)):
-            got = forecast.pinball_boosting(folds, STAGES[1], "target", q, F.col("role") == "train", rounds, 3, lambda i: 3 * forecast.cosine_rate(i, rounds), int(leaf), shrink, cut, 0.8, 0.8)
-            got = written(got.select("series_id", "date", "role", "target", F.col("prediction").alias(name)), "quantile")
-            made = got if made is None else made.join(got.drop("role", "target"), ["series_id", "date"])
-        out.append(made.withColumns({"fold": F.lit(fold), "lower": F.least("lower", "mid", "upper"), "upper": F.greatest("lower", "mid", "upper")}))
-    return metrics.interval_metrics(joins.stack(out), ["fold", "role"], "target", "lower", "mid", "upper")
+        got = forecast.pinball_boosting(
+            every.where(F.col("fold") == fold), STAGES[1], "target", q, F.col("role") == "train", ROUNDS, 3, lambda i: rate * forecast.cosine_rate(i, ROUNDS), int(leaf), shrink, cut, 0.8, 0.8
+        )
+        return written(got.select("fold", "series_id", "date", "role", "target", F.lit(name).alias("side"), "prediction"), "quantile")
+
+    rate = 3 if ROUNDS < 20 else 1  # few rounds take longer steps
+    made = together(spark, [partial(band, fold, n, name, q) for fold, n in sorted(sizes.items()) for name, q in (("lower", Q10), ("mid", Q50), ("upper", Q90))])
+    wide = joins.stack(made).groupBy("fold", "series_id", "date", "role", "target").pivot("side", ["lower", "mid", "upper"]).agg(F.first("prediction"))
+    wide = wide.withColumns({"lower": F.least("lower", "mid", "upper"), "upper": F.greatest("lower", "mid", "upper")})
+    return metrics.interval_metrics(wide, ["fold", "role"], "target", "lower", "mid", "upper")
 
 
 # -- direction classification ----------------------------------------------------------------------
@@ -139,7 +145,7 @@ def pinball_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stacking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base learners, their average and stacked meta-learners: thresholds from validation, scores on test.
 
-    Tuned over SMALL_GRID on 2 folds, each scaled by its own training rows; the operators' default is FULL_GRID.
+    Tuned over GRID on purged folds, each scaled by its own training rows; the operators' default is FULL_GRID.
     """
     df = feature_table(spark, sf_dir).drop("target")
     label = labelled(spark, sf_dir).select("series_id", "date", F.col("label").alias("y"))
@@ -147,12 +153,12 @@ def stacking(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = splits.purged_split(ready, KEYS, TS).where("split is not null").drop("rn", "n")
     coded = classify.scaled(classify.with_class_weights(parts, "y", F.col("split") == "train"), STAGES[1], F.col("split") == "train")
     coded = written(coded.select("series_id", "date", "split", "y", "weight", "raw", "features"), "direction")
-    folds = written(splits.purged_folds(coded.where("split = 'train'"), KEYS, TS, 2), "tuning")
-    scores, fitted = classify.base_predictions(coded, folds, ["series_id", "date"], classify.SMALL_GRID)
+    folds = written(splits.purged_folds(coded.where("split = 'train'"), KEYS, TS, TUNING_FOLDS), "tuning")
+    scores, fitted = classify.base_predictions(coded, folds, ["series_id", "date"], GRID)
     models = list(fitted)
     wide = written(classify.wide_scores(scores, ["series_id", "date"], models), "wide")
-    meta_folds = splits.purged_folds(wide.where("split = 'validation'"), KEYS, TS, 2)
-    meta = classify.stack_predictions(wide, ["series_id", "date"], models, meta_folds, 20, 10)
+    meta_folds = splits.purged_folds(wide.where("split = 'validation'"), KEYS, TS, TUNING_FOLDS)
+    meta = classify.stack_predictions(wide, ["series_id", "date"], models, meta_folds, *META_SIZES)
     average = wide.select("series_id", "date", "y", F.when(F.col("split") == "test", "test").otherwise("oof").alias("split"), F.lit("average").alias("model"), F.col("average").alias("score"))
     base = scores.select("series_id", "date", "y", F.when(F.col("split") == "test", "test").otherwise("oof").alias("split"), "model", "score")
     every = written(joins.stack([base, average, meta.select("series_id", "date", "y", "split", "model", "score")]), "scores")
@@ -169,7 +175,8 @@ def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready = clean.complete(df, [*STAGES[1], "target"]).withColumn("y", (F.col("target") > 0).cast("double"))
     train = splits.purged_split(ready, KEYS, TS, horizon=30).where("split = 'train'")
     coded = written(classify.scaled(classify.with_class_weights(train, "y", F.lit(True)), STAGES[1], F.lit(True)).select("y", "weight", "features"), "importance")
-    fitted = {name: c[0].fit(coded) for name, c in classify.learners(classify.SMALL_GRID).items()}
+    sets = classify.learners(GRID, coded.count())
+    fitted = dict(zip(sets, together(spark, [partial(c[0].fit, coded) for c in sets.values()]), strict=True))
     w = Window.partitionBy("model").orderBy(F.desc(F.abs("importance")), "feature")
     return classify.importances(fitted, STAGES[1], spark).withColumn("rank", F.row_number().over(w)).where("rank <= 15")
 
