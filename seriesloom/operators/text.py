@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from itertools import accumulate
-
+import re
+from collections import Counter
+from collections.abc import Iterator
+from functools import reduce
+from itertools import accumulate, pairwise
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import safe_divide, sign_label
 from ..storage import written
@@ -77,13 +85,53 @@ def override_metrics(df: DataFrame, keys: list[str], reference: str, model_label
     )
 
 
+WORD = re.compile(rb"[A-Za-z0-9_]+")
+BLOCK_BYTES = 4 << 20
+
+
+def terms_of(text: bytes, pairs: bool = True) -> Counter[bytes]:
+    """Words of ASCII letters, digits and underscores in lower case, and pairs of neighbours, with their counts."""
+    words = WORD.findall(text.lower())  # of bytes: changes A-Z only
+    return Counter([*words, *[a + b" " + b for a, b in pairwise(words)]] if pairs else words)
+
+
 def term_counts(df: DataFrame, keys: list[str], text: str, pairs: bool = True) -> DataFrame:
-    """(keys, term, tf): words of ASCII letters, digits and underscores in lower case, and pairs of neighbours."""
-    words = F.transform(F.regexp_extract_all(F.col(text), F.lit("([A-Za-z0-9_]+)"), 1), F.lower)
-    held = df.where(F.col(text).isNotNull()).select(*keys, words.alias("_w"))
-    joined = F.transform(F.sequence(F.lit(0), F.size("_w") - 2), lambda i: F.concat_ws(" ", F.get("_w", i), F.get("_w", i + 1)))
-    every = F.when(F.size("_w") > 1, F.concat("_w", joined)).otherwise(F.col("_w")) if pairs else F.col("_w")
-    return held.select(*keys, F.explode(every).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    """(keys, term, tf) of `terms_of` each text; rows that share their keys count as one text's.
+
+    A text is counted in the task that reads it, so terms aren't shuffled; rows come grouped by term within some
+    megabytes of text, which keeps what is written or shuffled of them small.  Only rows of repeated keys are summed.
+    """
+    held = df.where(F.col(text).isNotNull()).select(*keys, F.col(text).cast("binary").alias("_text"))
+    again = held.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*[F.col(k).alias(f"_{k}") for k in keys])
+    types = {k: held.schema[k].dataType for k in keys}
+    schema = T.StructType([*[T.StructField(k, t) for k, t in types.items()], T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+
+    def block(batch: pa.RecordBatch) -> pa.RecordBatch:
+        terms, counts, sizes = [], [], []
+        for t in batch.column("_text"):
+            found = terms_of(t.as_py(), pairs)
+            terms += found.keys()
+            counts += found.values()
+            sizes.append(len(found))
+        column = pa.array(terms, pa.binary())
+        order = np.argsort(column.dictionary_encode().indices.to_numpy(), kind="stable")
+        rows = np.repeat(np.arange(batch.num_rows), sizes)[order]
+        own = [batch.column(k).take(pa.array(rows)) for k in keys]
+        return pa.RecordBatch.from_arrays([*own, column.take(pa.array(order)).cast(pa.string()), pa.array(np.array(counts, dtype=np.int64)[order])], names=[*keys, "term", "tf"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(pc.binary_length(batch.column("_text")).to_numpy().astype(np.int64)) // BLOCK_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), batch.num_rows]
+            for a, b in pairwise(cuts):
+                if b > a:
+                    yield block(batch.slice(a, b - a))
+
+    if again.isEmpty():
+        return held.mapInArrow(count, schema)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    once, more = (held.join(again, same, how).mapInArrow(count, schema) for how in ("left_anti", "left_semi"))
+    return once.unionByName(more.groupBy(*keys, "term").agg(F.sum("tf").alias("tf")))
 
 
 def vocabulary(counts: DataFrame, least: int = 2, most_terms: int | None = None) -> DataFrame:
@@ -106,9 +154,18 @@ def vocabulary(counts: DataFrame, least: int = 2, most_terms: int | None = None)
 
 
 def tfidf(counts: DataFrame, terms: DataFrame, documents: int, broadcast_terms: int = 500_000) -> DataFrame:
-    """(keys, term, id, weight): tf * ln((N + 1) / (df + 1)) of the vocabulary's terms."""
-    few = terms.count() <= broadcast_terms
-    return counts.join(F.broadcast(terms) if few else terms, "term").withColumn("weight", F.col("tf") * F.ln((F.lit(documents) + 1.0) / (F.col("df") + 1.0))).drop("tf", "df")
+    """(keys, term, id, weight): tf * ln((N + 1) / (df + 1)) of the vocabulary's terms.
+
+    The most frequent terms, at most `broadcast_terms`, are broadcast, so that only the counts of rarer ones are shuffled.
+    """
+    heights = sorted((tuple(r) for r in terms.groupBy("df").agg(F.count("*").alias("n")).collect()), reverse=True)  # distinct frequencies
+    sizes = list(accumulate(n for _, n in heights))
+    common = next((df for (df, _), n in zip(heights, sizes, strict=True) if n > broadcast_terms), 0)  # the largest frequency that doesn't fit
+    frequent = F.broadcast(terms.where(F.col("df") > common))
+    joined = counts.join(frequent, "term")
+    if common:
+        joined = joined.unionByName(counts.join(frequent, "term", "left_anti").join(terms.where(F.col("df") <= common), "term"))
+    return joined.withColumn("weight", F.col("tf") * F.ln((F.lit(documents) + 1.0) / (F.col("df") + 1.0))).drop("tf", "df")
 
 
 def tfidf_logistic(df: DataFrame, text: str, label: str, split: str, strengths: tuple[float, ...] = (0.5, 2.0, 8.0), most_terms: int = 1 << 18) -> tuple[DataFrame, float]:

@@ -478,7 +478,7 @@ def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import text
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null")
-    counts = written(text.term_counts(docs, ["doc_id"], "text"), "terms")
+    counts = text.term_counts(docs, ["doc_id"], "text")  # counted anew by each reader: smaller than its rows on disk
     return rounded(text.tfidf(counts, text.vocabulary(counts), docs.count()), ["weight"])
 
 
