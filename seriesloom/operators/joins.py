@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
 from .clean import by
 
 
@@ -39,9 +40,9 @@ def release_lagged(days: DataFrame, low: DataFrame, keys: list[str], ts: str, la
     """Each low-frequency column on daily rows from its release day on: its date plus its lag in days.
 
     All columns share one stream: a row for each lag, then one running `last` for each column, a year at a time unless
-    another `bucket` is given.
+    another `bucket` is given.  The stream is read twice and has a part for each lag, so `low` is written once before.
     """
-    released = []
+    low, released = written(low, "low"), []
     for lag in sorted(set(lags.values())):
         columns = [c for c, n in lags.items() if n == lag]
         released.append(low.select(*keys, F.date_add(ts, lag).alias(ts), *columns))

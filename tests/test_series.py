@@ -601,3 +601,17 @@ def test_release_lags_in_years_equal_one_stream(spark):
     low = spark.createDataFrame([(k, x, float(i), None if i % 3 else float(-i)) for k in "ab" for i, x in enumerate(days[::31])], "series_id string, date date, p double, q double")
     every = [sorted(map(tuple, joins.release_lagged(d, low, KEYS, TS, {"p": 45, "q": 10}, b).collect())) for b in (None, F.lit(0), F.month("date") + 12 * F.year("date"))]
     assert every[0] == every[1] == every[2] and any(r[2] is not None for r in every[0])
+
+
+def test_release_lags_compute_the_low_table_once(spark):
+    """Three lags and both readings of the stream share one computation, counted by the rows it sees."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    low = spark.createDataFrame([("a", dt.date(2020, 1, 1), 5.0, 7.0, 1.0)], "series_id string, date date, p double, q double, s double")
+    got = joins.release_lagged(frame(spark, range(50)), low.mapInArrow(count, low.schema), KEYS, TS, {"p": 45, "q": 0, "s": 10}).collect()
+    assert len(got) == 50 and seen.value == 1
