@@ -489,7 +489,7 @@ def tfidf_logreg(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .checks import audited
 
     a = audited(spark, sf_dir).where("reason = 'retained'").select("id", F.to_date("published_at").alias("date"), F.col("raw_text").alias("text"), text.weak_label("polarity").alias("label"))
-    parts = splits.date_quantile_split(a, "date")
+    parts = splits.date_quantile_split(written(a, "retained"), "date")  # which reads them twice
     found, strength = text.tfidf_logistic(parts, "text", "label", "split")
     counts = metrics.confusion(found, ["split"], "label", "predicted")
     return metrics.confusion_metrics(counts, ["split"], ["negative", "neutral", "positive"]).withColumn("chosen_c", F.lit(strength))

@@ -40,3 +40,14 @@ def test_only_rare_terms_are_shuffled(spark):
     plan = text.tfidf(counts, terms, 120, 5)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("strategy=broadcast") == 2 and "LeftAnti" in plan
     assert {r[0] for r in every} >= {"all", "w1", "v39"} and not any("once" in r[0] for r in every)
+
+
+def test_vectors_equal_the_weights_by_term(spark):
+    df = spark.createDataFrame([(i, f"all w{i % 3} w{i % 3} V{i % 4}" if i else "") for i in range(20)], "doc_id long, text string")
+    counts = text.term_counts(df, ["doc_id"], "text")
+    terms = text.vocabulary(counts, 2, 9)
+    found = text.tfidf_vectors(df, "text", terms, 20)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.doc_id, int(i)): round(float(v), 9) for r in found.collect() for i, v in zip(r.features.indices, r.features.values, strict=True)}
+    assert got == {(r.doc_id, r.id): round(r.weight, 9) for r in text.tfidf(counts, terms, 20).collect()} and len(got) > 60
+    assert {r.features.size for r in found.collect()} == {9} and found.count() == 20
